@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 2 << 20
+SLICE_CELLS = 1 << 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,34 +129,32 @@ def ranked(df: DataFrame, group: list[str], order: list[str], parts: int | None
     return out.select(*[laid[c] for c in df.columns], (laid["_at"] - runs["_first"] + runs["_before"]).alias("rank"))
 
 
-def summed(spark: SparkSession, parts: DataFrame, cells: int, kind: str = "uint32") -> np.ndarray:
-    """The sum of many arrays of `cells` numbers, given as rows (slice int, cells binary).
+def merged(parts: DataFrame, cells: int, merge=np.add) -> np.ndarray:
+    """Many arrays of `cells` uint32, given as rows (slice int, cells binary), merged into one.
 
-    Slices are added in parallel, each task holding one array at most; the driver gets one array of a fixed size.
+    Slices are merged in parallel, each task holding one array at most; the driver gets one array of a fixed size.
     """
-    width = "I" if kind == "uint32" else "d"
-    dtype = np.dtype("uint32" if width == "I" else "float64")
 
-    def add(batches):
+    def fold(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(raw, dtype)
-                held[k] = held[k] + part if k in held else part
+                part = np.frombuffer(raw, np.uint32)
+                held[k] = merge(held[k], part) if k in held else part
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["slice", "cells"])
 
-    out = np.zeros(cells, dtype)
-    rows = parts.repartition("slice").mapInArrow(add, "slice int, cells binary").collect()
-    step = max((len(r.cells) for r in rows), default=0) // dtype.itemsize
+    out = np.zeros(cells, np.uint32)
+    rows = parts.repartition("slice").mapInArrow(fold, "slice int, cells binary").collect()
     for r in rows:
-        part = np.frombuffer(bytes(r.cells), dtype)
-        out[r.slice * step : r.slice * step + len(part)] = part
+        part = np.frombuffer(bytes(r.cells), np.uint32)
+        out[r.slice * SLICE_CELLS : r.slice * SLICE_CELLS + len(part)] = part
     return out
 
 
-def cut_up(cells: np.ndarray, step: int = 16384) -> pa.RecordBatch:
-    """An array as rows for summed()."""
+def cut_up(cells: np.ndarray) -> pa.RecordBatch:
+    """An array of uint32 as rows for merged()."""
+    step = SLICE_CELLS
     n = -(-len(cells) // step)
     return pa.RecordBatch.from_arrays(
         [pa.array(range(n), pa.int32()), pa.array([cells[i * step : (i + 1) * step].tobytes() for i in range(n)], pa.binary())],
