@@ -109,7 +109,8 @@ def ranked(df: DataFrame, group: list[str], order: list[str], parts: int | None
     """df with `rank`, the row's number from 0 among its group in the given order.
 
     Sorted by range over (group, order), so a group of any size is spread over many tasks; a table of rows per
-    partition and group, as long as their number, turns numbers within a partition into ranks. JVM operators only.
+    partition and group turns numbers within a partition into ranks. JVM operators only. The range is found from a
+    sample, so df is evaluated twice: give a checkpointed df if that costs much.
     Null order values come first. Rows equal in all of `order` get an arbitrary order among themselves.
     """
     spark = df.sparkSession
@@ -121,12 +122,11 @@ def ranked(df: DataFrame, group: list[str], order: list[str], parts: int | None
     before = Window.orderBy("_part")
     before = (Window.partitionBy(*group) if group else before).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    runs = small_or_not(checkpointed(runs), 200_000)
-    same = laid["_part"] == runs["_part"]
+    runs = checkpointed(runs).withColumnsRenamed({k: f"_r{k}" for k in ("_part", *group)})
+    same = F.col("_part") == F.col("_r_part")
     for g in group:
-        same = same & laid[g].eqNullSafe(runs[g])
-    out = laid.join(runs, same)
-    return out.select(*[laid[c] for c in df.columns], (laid["_at"] - runs["_first"] + runs["_before"]).alias("rank"))
+        same = same & F.col(g).eqNullSafe(F.col(f"_r{g}"))
+    return laid.join(small_or_not(runs, 200_000), same).withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before")).select(*df.columns, "rank")
 
 
 def merged(parts: DataFrame, cells: int, merge=np.add) -> np.ndarray:
