@@ -23,12 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and stored in the shared folder of spark.checkpoint.dir, so that lost executors lose nothing."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own where it is unset, as in tests."""
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="kinfold-checkpoint-"))
+    return where or sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and stored in the shared folder, so that lost executors lose nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
