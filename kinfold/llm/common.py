@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,19 +59,37 @@ def strings(batch: pa.RecordBatch, column: str) -> list[str]:
     return [v or "" for v in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Each word's number among the distinct words of the texts, the number of words of each text, the distinct words."""
-    parts = [t.split() for t in texts]
-    counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    words = [w for p in parts for w in p]
-    index = dict.fromkeys(words)
-    for i, w in enumerate(index):
-        index[w] = i
-    return np.fromiter(map(index.__getitem__, words), np.int64, len(words)), counts, list(index)
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[list(SPACES.encode())] = True
+PLACES = np.random.default_rng(20240229).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_hashes(distinct: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash of each word, the number of words of each text, the number of code points in words of each text.
+
+    A word's hash is the mixed sum of its bytes, each times an odd number drawn for its place in the word.
+    """
+    blob = b"\n".join(texts) + b"\n"
+    data = np.frombuffer(blob.lower() if lower else blob, np.uint8)  # bytes.lower() is A-Z only
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    inside = ~IS_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    start = np.nonzero(first)[0]
+    counts = np.diff(np.r_[0, np.searchsorted(start, ends)])
+    points = np.cumsum(inside & (data & 0xC0 != 0x80), dtype=np.int64)[ends - 1] if len(texts) else np.zeros(0, np.int64)
+    points = np.diff(np.r_[0, points])
+    if not len(start):
+        return np.zeros(0, np.uint64), counts, points
+    at = np.nonzero(inside)[0]
+    head = np.searchsorted(at, start)
+    length = np.diff(np.r_[head, len(at)])
+    place = at - np.repeat(start, length)
+    value = data[at].astype(np.uint64) + np.uint64(1)
+    longest = int(length.max())
+    table = PLACES if longest <= len(PLACES) else np.r_[PLACES, mix(np.arange(len(PLACES), longest, dtype=np.uint64) + np.uint64(77)) | np.uint64(1)]
+    value *= table[place]
+    return mix(np.add.reduceat(value, head)), counts, points
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,16 +102,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and 64-bit hash of each run of `width` words that lies in one text."""
-    n = len(hashes)
-    if n < width:
+    n = len(hashes) - width + 1
+    if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.zeros(n - width + 1, np.uint64)
-    for i in range(width):
-        h = mix(h + hashes[i : n - width + 1 + i] + np.uint64(0x9E3779B97F4A7C15))
+    h = hashes[:n] * PLACES[0]
+    for i in range(1, width):
+        h += hashes[i : n + i] * PLACES[i]
+    inside = np.ones(n, bool)
     ends = np.cumsum(counts)
-    last = np.repeat(ends, counts)[: n - width + 1]
-    start = np.nonzero(np.arange(n - width + 1) + width <= last)[0]
-    return start, h[start]
+    for i in range(1, width):
+        cut = ends[:-1] - i
+        inside[cut[(cut >= 0) & (cut < n)]] = False
+    start = np.nonzero(inside)[0]
+    return start, mix(h[start])
 
 
 def text_crc(column: str = "doc_id"):

@@ -19,32 +19,65 @@ SKETCH_BITS = 20
 FRAGMENTS = 8
 SMALL_BUCKET = 6
 LONG_BUCKET = 50_000
+MOST_BITS = 4096
 SEEN = 100_000
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts one after another, and the set size of each text."""
-    ids, counts, distinct = common.word_ids([t.lower() for t in texts])  # bytes.lower() is A-Z only
-    hashes = common.word_hashes(distinct)[ids] if len(ids) else np.zeros(0, np.uint64)
-    doc_of = np.repeat(np.arange(len(texts)), counts)
-    start, h = common.windows(hashes, counts, width)
-    doc = doc_of[start]
-    ends = np.cumsum(counts)
+    words, counts, _ = common.hashed_words(texts, lower=True)
+    _, h = common.windows(words, counts, width)
+    sizes = np.maximum(counts - width + 1, 0)
     few = np.nonzero((counts > 0) & (counts < width))[0]
     if len(few):
-        own = []
-        for d in few:
-            x = np.uint64(counts[d])
-            for w in hashes[ends[d] - counts[d] : ends[d]]:
-                x = common.mix(np.array([x]) + w + np.uint64(0x51ED270B))[0]
-            own.append(x)
-        doc, h = np.concatenate([doc, few]), np.concatenate([h, np.array(own, np.uint64)])
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
+        first = np.cumsum(counts) - counts
+        own = [common.mix(np.array([np.sum(words[first[d] : first[d] + counts[d]] * common.PLACES[: counts[d]])]) ^ np.uint64(counts[d])) for d in few.tolist()]
+        h = np.insert(h, (np.cumsum(sizes) - sizes)[few], np.concatenate(own))
+        sizes[few] = 1
+    ends = np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+        h[a:b].sort()
     fresh = np.ones(len(h), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    doc, h = doc[fresh], h[fresh]
-    return h, np.bincount(doc, minlength=len(texts)).astype(np.int64)
+    fresh[1:] = h[1:] != h[:-1]
+    fresh[(ends - sizes)[sizes > 0]] = True
+    sizes = np.diff(np.r_[0, np.r_[0, np.cumsum(fresh)][ends]])
+    return h[fresh], sizes
+
+
+def parity_bits(tokens: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Of each set a row of bits, twice its size or more up to MOST_BITS; a bit is the parity of the shingles that fall on it.
+
+    Two rows differ in at most as many bits as their sets in shingles, also when the longer is folded to the shorter.
+    """
+    width = 1 << np.ceil(np.log2(np.clip(2 * sizes, 64, MOST_BITS))).astype(np.int64)
+    ends = np.cumsum(width)
+    bit = (tokens >> np.uint64(24)).astype(np.int64) & np.repeat(width - 1, sizes)
+    raw = np.packbits((np.bincount(bit + np.repeat(ends - width, sizes), minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(bool), bitorder="little").tobytes()
+    return [raw[a // 8 : b // 8] for a, b in zip((ends - width).tolist(), ends.tolist())]
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Number of different bits, the longer row folded to the length of the shorter."""
+    if len(x) < len(y):
+        x, y = y, x
+    n, a = 8 * len(x), int.from_bytes(x, "little")
+    while n > 8 * len(y):
+        n //= 2
+        a = (a >> n) ^ (a & ((1 << n) - 1))
+    return (a ^ int.from_bytes(y, "little")).bit_count()
+
+
+def possible(percent: int):
+    """Drops pairs whose bits show that too few shingles can be shared. Columns a, na, b, nb, u, v, bits, bits."""
+
+    def run(batches):
+        for t in batches:
+            na, nb = t.column(1).to_pylist(), t.column(3).to_pylist()
+            most = [(p + q - differing(x, y)) // 2 for p, q, x, y in zip(na, nb, t.column(6).to_pylist(), t.column(7).to_pylist())]
+            keep = pa.array([100 * o >= percent * (p + q - o) for o, p, q in zip(most, na, nb)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(list(t.columns[:6]), names=["a", "na", "b", "nb", "u", "v"]).filter(keep)
+
+    return run
 
 
 def set_hashes(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -62,7 +95,7 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def profiled(docs: DataFrame, width: int) -> DataFrame:
-    """Two kinds of rows from one pass: (doc_id, n, cls) of each document, and slices of a count of all shingles by hash."""
+    """Two kinds of rows from one pass: (doc_id, n, cls, bits) of each document, and slices of a count of all shingles by hash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def measure(batches):
@@ -71,13 +104,13 @@ def profiled(docs: DataFrame, width: int) -> DataFrame:
             tokens, sizes = shingle_sets(common.utf8(part, "text"), width)
             cells += np.bincount(tokens & np.uint64((1 << SKETCH_BITS) - 1), minlength=len(cells)).astype(np.uint32)
             none = pa.nulls(part.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), signed(set_hashes(tokens, sizes)), none, pa.nulls(part.num_rows, pa.binary())], names=["doc_id", "n", "cls", "slice", "cells"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), signed(set_hashes(tokens, sizes)), none, pa.array(parity_bits(tokens, sizes), pa.binary())], names=["doc_id", "n", "cls", "slice", "bits"])
         rows = common.cut_up(cells)
         null = lambda t: pa.nulls(rows.num_rows, t)
-        yield pa.RecordBatch.from_arrays([null(docs_type), null(pa.int64()), null(pa.int64()), rows.column(0), rows.column(1)], names=["doc_id", "n", "cls", "slice", "cells"])
+        yield pa.RecordBatch.from_arrays([null(docs_type), null(pa.int64()), null(pa.int64()), rows.column(0), rows.column(1)], names=["doc_id", "n", "cls", "slice", "bits"])
 
     docs_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, n long, cls long, slice int, cells binary")
+    return docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, n long, cls long, slice int, bits binary")
 
 
 def rarity(cells: np.ndarray) -> np.ndarray:
@@ -92,7 +125,8 @@ def rarity(cells: np.ndarray) -> np.ndarray:
 def ordered(tokens: np.ndarray, sizes: np.ndarray, rare: np.ndarray) -> np.ndarray:
     """tokens with each set in global order: by rarity, then by hash."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    return tokens[np.lexsort((tokens, rare[tokens & np.uint64(len(rare) - 1)], doc))]
+    key = doc << 8 | rare[tokens & np.uint64(len(rare) - 1)]
+    return tokens[np.argsort(key, kind="stable")]  # sets are sorted by hash, and most of them are in order already
 
 
 def prefixes(docs: DataFrame, rare, width: int, percent: int) -> DataFrame:
@@ -238,26 +272,30 @@ def fragments(docs: DataFrame, wanted: DataFrame, members: DataFrame, width: int
             packed = [raw[8 * a : 8 * b] for a, b in zip(head.tolist(), np.r_[head[1:], len(doc)].tolist())]
             yield pa.RecordBatch.from_arrays([signed(cls[doc[head]]), pa.array(sizes[doc[head]]), pa.array(frag[head].astype(np.int32)), pa.array(packed, pa.binary())], names=["cls", "n", "frag", "tokens"])
 
-    return kept.mapInArrow(cut, "cls long, n long, frag int, tokens binary").dropDuplicates(["cls", "n", "frag"])
+    return kept.mapInArrow(cut, "cls long, n long, frag int, tokens binary")
 
 
 def overlaps(batches):
     for b in batches:
-        x, y = (c.to_pylist() for c in b.columns[4:6])
+        x, y = (c.to_pylist() for c in b.columns[3:5])
         both = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(both, pa.int64())], names=["a", "na", "b", "nb", "both"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(both, pa.int64())], names=["u", "v", "frag", "both"])
 
 
-def links(docs: DataFrame, found: DataFrame, members: DataFrame, width: int, percent: int, pieces: int = FRAGMENTS) -> DataFrame:
-    """The candidate pairs that are links: overlaps are counted fragment by fragment and summed for each pair."""
-    found = common.checkpointed(found)
-    ends = found.select(F.col("a").alias("cls"), F.col("na").alias("n")).union(found.select("b", "nb")).distinct()
+def links(docs: DataFrame, pairs: DataFrame, node: DataFrame, members: DataFrame, width: int, percent: int, pieces: int = FRAGMENTS) -> DataFrame:
+    """u, v (nodes) of the pairs of classes that are links: overlaps are counted fragment by fragment and summed."""
+    x, y = (node.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("node").alias(k), F.col("bits").alias("bits" + c)) for c, k in (("a", "u"), ("b", "v")))
+    kind = node.schema["node"].dataType.simpleString()
+    near = pairs.join(x, ["a", "na"]).join(y, ["b", "nb"]).select("a", "na", "b", "nb", "u", "v", "bitsa", "bitsb")
+    near = common.checkpointed(near.mapInArrow(possible(percent), f"a long, na long, b long, nb long, u {kind}, v {kind}"))
+    ends = near.select(F.col("a").alias("cls"), F.col("na").alias("n")).union(near.select("b", "nb")).distinct()
     parts = common.checkpointed(fragments(docs, ends, members, width, pieces))
-    one = found.join(parts.select(F.col("cls").alias("a"), F.col("n").alias("na"), "frag", F.col("tokens").alias("x")), ["a", "na"])
+    one = near.join(parts.select(F.col("cls").alias("a"), F.col("n").alias("na"), "frag", F.col("tokens").alias("x")), ["a", "na"])
     two = one.join(parts.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "frag", F.col("tokens").alias("y")), ["b", "nb", "frag"])
-    counted = two.select("a", "na", "b", "nb", "x", "y").mapInArrow(overlaps, "a long, na long, b long, nb long, both long")
-    both = counted.groupBy("a", "na", "b", "nb").agg(F.sum("both").alias("both"))
-    return both.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))
+    counted = two.select("u", "v", "frag", "x", "y").mapInArrow(overlaps, f"u {kind}, v {kind}, frag int, both long")
+    both = counted.groupBy("u", "v", "frag").agg(F.max("both").alias("both")).groupBy("u", "v").agg(F.sum("both").alias("both"))  # max: a doc_id may have several rows
+    linked = near.select("u", "v", "na", "nb").distinct().join(both, ["u", "v"])
+    return linked.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("u", "v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -297,38 +335,34 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """
     spark = docs.sparkSession
     seen = common.checkpointed(profiled(docs, width))
-    rare = spark.sparkContext.broadcast(rarity(common.merged(seen.where("slice IS NOT NULL").select("slice", "cells"), 1 << SKETCH_BITS)))
-    members = seen.where("slice IS NULL").select("doc_id", "n", "cls")
+    rare = spark.sparkContext.broadcast(rarity(common.merged(seen.where("slice IS NOT NULL").select("slice", "bits"), 1 << SKETCH_BITS)))
+    members = seen.where("slice IS NULL").select("doc_id", "n", "cls", "bits")
     usable = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     linked = members.where("n > 0 AND doc_id IS NOT NULL")
     laid = prefixes(usable, rare, width, percent).repartition("token").sortWithinPartitions("token", "n", "cls")
     found = common.checkpointed(laid.mapInArrow(bucket_pairs(percent), "kind int, a long, na long, b long, nb long"))
-    node = linked.groupBy("cls", "n").agg(F.min("doc_id").alias("node"))
-
-    def named(pairs: DataFrame) -> DataFrame:
-        u = node.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("node").alias("u"))
-        v = node.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("node").alias("v"))
-        return pairs.join(u, ["a", "na"]).join(v, ["b", "nb"]).select("u", "v")
-
-    first = common.checkpointed(named(links(usable, found.where("kind = 0").drop("kind").distinct(), linked, width, percent)))
+    node = common.checkpointed(linked.groupBy("cls", "n").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits")))
+    linked = linked.select("doc_id", "cls", "n")
+    first = common.checkpointed(links(usable, found.where("kind = 0").drop("kind").distinct(), node, linked, width, percent))
     comps = components(first)
     large = found.where("kind = 1").select(F.col("b").alias("token"), F.col("a").alias("cls"), F.col("na").alias("n")).distinct()
-    large = large.join(node, ["cls", "n"]).join(comps, "node", "left").select("token", "cls", "n", F.coalesce("root", "node").alias("comp"))
+    large = large.join(node.drop("bits"), ["cls", "n"]).join(comps, "node", "left").select("token", "cls", "n", F.coalesce("root", "node").alias("comp"))
     large = common.checkpointed(large)
     split = large.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     large = common.checkpointed(large.join(split, "token", "left_semi"))
-    x, y = (large.select("token", *(F.col(c).alias(c + k) for c in ("cls", "n", "comp"))) for k in "xy")
-    across = x.join(y, "token").where((F.col("compx") < F.col("compy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
-    across = across.select(F.col("clsx").alias("a"), F.col("nx").alias("na"), F.col("clsy").alias("b"), F.col("ny").alias("nb")).distinct()
     if not large.isEmpty():
-        second = common.checkpointed(named(links(usable, across, linked, width, percent)))
-        first = first.union(second)
+        x, y = (large.select("token", *(F.col(c).alias(c + k) for c in ("cls", "n", "comp"))) for k in "xy")
+        across = x.join(y, "token").where((F.col("compx") < F.col("compy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
+        across = across.select(F.col("clsx").alias("a"), F.col("nx").alias("na"), F.col("clsy").alias("b"), F.col("ny").alias("nb")).distinct()
+        second = common.checkpointed(links(usable, across, node, linked, width, percent))
         if not second.isEmpty():
+            first = first.union(second)
             comps = components(first)
     degree = first.union(first.select("v", "u")).groupBy("u").agg(F.count("*").alias("n_links")).withColumnRenamed("u", "_node")
     comps = comps.withColumnRenamed("node", "_member")
     of = node.join(comps, F.col("node") == F.col("_member"), "left").join(degree, F.col("node") == F.col("_node"), "left")
     of = of.select(F.col("cls").alias("_cls"), F.col("n").alias("_n"), F.coalesce("root", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    members = members.drop("bits")
     out = members.join(of, (F.col("cls") == F.col("_cls")) & (F.col("n") == F.col("_n")), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -17,43 +17,40 @@ MAX_HOST_RATE = 0.5
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def repeated_words(ids: np.ndarray, counts: np.ndarray, distinct: list[bytes]) -> np.ndarray:
+def repeated_words(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each text, how many words lie in a window of WINDOW words that the text holds twice or more."""
     total = np.zeros(len(counts), np.int64)
-    start, h = common.windows(common.word_hashes(distinct)[ids] if len(ids) else np.zeros(0, np.uint64), counts, WINDOW)
+    start, h = common.windows(words, counts, WINDOW)
     if not len(start):
         return total
     doc = np.repeat(np.arange(len(counts)), counts)
-    key = common.mix(h ^ (doc[start].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    a, b = start[order][:-1][same], start[order][1:][same]
-    for i in range(WINDOW):  # equal hashes are not taken on trust
-        ok = ids[a + i] == ids[b + i]
-        a, b = a[ok], b[ok]
-    edge = np.zeros(len(ids) + 1, np.int64)
-    hit = np.unique(np.concatenate([a, b]))
+    key = h + doc[start].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    found = np.sort(key)
+    twice = np.unique(found[1:][found[1:] == found[:-1]])
+    if not len(twice):
+        return total
+    hit = start[twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key]
+    edge = np.zeros(len(words) + 1, np.int64)
     edge[hit] += 1
-    edge[hit + WINDOW] -= 1
+    np.subtract.at(edge, hit + WINDOW, 1)
     covered = np.cumsum(edge[:-1]) > 0
     return total + np.bincount(doc[covered], minlength=len(counts))
 
 
 def text_stats(texts: list[bytes]) -> dict[str, list | np.ndarray]:
-    ids, counts, distinct = common.word_ids(texts)
-    code_points = np.fromiter((len(w.decode("utf-8", "replace")) for w in distinct), np.int64, len(distinct))
-    doc = np.repeat(np.arange(len(texts)), counts)
-    chars = np.bincount(doc, code_points[ids], minlength=len(texts)).astype(np.int64) if len(ids) else np.zeros(len(texts), np.int64)
+    words, counts, points = common.hashed_words(texts)
     dup = []
     for t in texts:
-        lines = [x for x in t.split(b"\n") if x.strip()]
+        lines = t.split(b"\n")
+        if len(set(lines)) != len(lines):
+            lines = [x for x in lines if x.strip()]
         dup.append(len(lines) - len(set(lines)))
     return {
         "n_words": counts,
-        "word_chars": chars,
+        "word_chars": points,
         "n_symbols": [len(t) - len(t.translate(None, SYMBOLS)) for t in texts],
         "n_dup_lines": dup,
-        "n_repeat_words": repeated_words(ids, counts, distinct),
+        "n_repeat_words": repeated_words(words, counts),
     }
 
 
