@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 2 << 20
-SLICE_CELLS = 1 << 14
+SLICE_CELLS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,7 +157,7 @@ def ranked(df: DataFrame, group: list[str], order: list[str], parts: int | None
 
 
 def merged(parts: DataFrame, cells: int, merge=np.add) -> np.ndarray:
-    """Many arrays of `cells` uint32, given as rows (slice int, cells binary), merged into one.
+    """Many arrays of `cells` uint32, given as rows of cut_up(), merged into one.
 
     Slices are merged in parallel, each task holding one array at most; the driver gets one array of a fixed size.
     """
@@ -165,27 +166,31 @@ def merged(parts: DataFrame, cells: int, merge=np.add) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(raw, np.uint32)
+                part = unpacked(raw)
                 held[k] = merge(held[k], part) if k in held else part
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["slice", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([shrunk(v) for v in held.values()], pa.binary())], names=["slice", "cells"])
 
     out = np.zeros(cells, np.uint32)
-    rows = parts.repartition("slice").mapInArrow(fold, "slice int, cells binary").collect()
-    for r in rows:
-        part = np.frombuffer(bytes(r.cells), np.uint32)
+    for r in parts.repartition("slice").mapInArrow(fold, "slice int, cells binary").collect():
+        part = unpacked(bytes(r.cells))
         out[r.slice * SLICE_CELLS : r.slice * SLICE_CELLS + len(part)] = part
     return out
 
 
+def shrunk(cells: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(cells, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def cut_up(cells: np.ndarray) -> pa.RecordBatch:
-    """An array of uint32 as rows for merged()."""
-    step = SLICE_CELLS
-    n = -(-len(cells) // step)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(range(n), pa.int32()), pa.array([cells[i * step : (i + 1) * step].tobytes() for i in range(n)], pa.binary())],
-        names=["slice", "cells"],
-    )
+    """An array of uint32 as rows (slice int, cells binary), compressed byte plane by byte plane."""
+    n = -(-len(cells) // SLICE_CELLS)
+    packed = [shrunk(cells[i * SLICE_CELLS : (i + 1) * SLICE_CELLS]) for i in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "cells"])
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

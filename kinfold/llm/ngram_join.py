@@ -15,7 +15,7 @@ from . import common
 
 WIDTH = 5
 PERCENT = 75
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 FRAGMENTS = 8
 SMALL_BUCKET = 6
 LONG_BUCKET = 50_000
@@ -102,7 +102,7 @@ def profiled(docs: DataFrame, width: int) -> DataFrame:
         cells = np.zeros(1 << SKETCH_BITS, np.uint32)
         for part in common.slices(batches, "text"):
             tokens, sizes = shingle_sets(common.utf8(part, "text"), width)
-            cells += np.bincount(tokens & np.uint64((1 << SKETCH_BITS) - 1), minlength=len(cells)).astype(np.uint32)
+            np.add.at(cells, tokens & np.uint64((1 << SKETCH_BITS) - 1), np.uint32(1))
             none = pa.nulls(part.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), signed(set_hashes(tokens, sizes)), none, pa.array(parity_bits(tokens, sizes), pa.binary())], names=["doc_id", "n", "cls", "slice", "bits"])
         rows = common.cut_up(cells)
@@ -114,19 +114,20 @@ def profiled(docs: DataFrame, width: int) -> DataFrame:
 
 
 def rarity(cells: np.ndarray) -> np.ndarray:
-    """For each cell of the count 0 if it is about as full as most, else how many times over, as a power of two.
+    """How full each cell of the count is, 0 to 255: sixteenths of a standard deviation around the usual, octaves far above.
 
-    It only sets the global order of shingles, rare ones first: any order gives the same links.
+    A shingle occurs in at most as many documents as its cell counts. The global order of shingles is by this figure:
+    any order gives the same links, but with rare shingles first few sets meet in a prefix.
     """
-    usual = np.median(cells) + 4 * np.sqrt(np.median(cells) + 1)
-    return np.floor(np.log2(np.maximum(cells / usual, 0.5)) + 1).clip(0, 60).astype(np.uint8)
+    usual = float(np.median(cells))
+    z = (cells - usual) / np.sqrt(usual + 1)
+    return np.where(z <= 4, 128 + 16 * z, 192 + 4 * np.log2(np.maximum(z, 4) / 4)).clip(0, 255).astype(np.uint8)
 
 
 def ordered(tokens: np.ndarray, sizes: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """tokens with each set in global order: by rarity, then by hash."""
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    key = doc << 8 | rare[tokens & np.uint64(len(rare) - 1)]
-    return tokens[np.argsort(key, kind="stable")]  # sets are sorted by hash, and most of them are in order already
+    """tokens, sorted by hash in each set, in the global order: by rarity, then by hash."""
+    key = np.repeat(np.arange(len(sizes)), sizes) << 8 | rare[tokens & np.uint64(len(rare) - 1)]
+    return tokens[np.argsort(key, kind="stable")]
 
 
 def prefixes(docs: DataFrame, rare, width: int, percent: int) -> DataFrame:
@@ -162,9 +163,10 @@ def prefixes(docs: DataFrame, rare, width: int, percent: int) -> DataFrame:
 def bucket_pairs(percent: int):
     """The reader of one partition sorted by (token, n, cls): candidate pairs (kind 0), rows of large buckets (kind 1).
 
-    In a bucket of up to SMALL_BUCKET classes all pairs whose sizes allow a link; in a larger one each class with the
-    one before it and with a pivot, the first class whose size allows links up to here. So pairs grow with the rows.
-    A task holds one batch and the rows of its last bucket, of a long bucket only pivot and last row.
+    In a bucket of up to SMALL_BUCKET classes all pairs whose sizes allow a link; in a larger one each class with a
+    pivot among the classes of like size, the one with the smallest hash: buckets of the same near copies tend to
+    agree on it. So pairs grow with the rows. A task holds one batch and the rows of its last bucket, of a long bucket
+    the last pivot only.
     """
 
     def run(batches):
@@ -179,7 +181,7 @@ def bucket_pairs(percent: int):
                 yield from candidates(rows, percent, long_token)
                 long_token = rows[-1, 0]
                 last = rows[open_at:]
-                rest = np.concatenate([last[pivots(last[:, 1], percent)[-1:]], last[-1:]])
+                rest = last[pivots(last[:, 1], last[:, 2], percent)[-1:]]
             else:
                 yield from candidates(rows[:open_at], percent, long_token)
                 rest = rows[open_at:]
@@ -188,12 +190,12 @@ def bucket_pairs(percent: int):
     return run
 
 
-def pivots(n: np.ndarray, percent: int) -> np.ndarray:
-    """For ascending sizes, the pivot of each: the first size, until it is too small for a link; then the next."""
+def pivots(n: np.ndarray, cls: np.ndarray, percent: int) -> np.ndarray:
+    """For ascending sizes, the pivot of each: of the sizes that may link with the first, the smallest hash; then the next."""
     out, s = np.zeros(len(n), np.int64), 0
     while s < len(n):
         e = int(np.searchsorted(percent * n, 100 * n[s], side="right"))
-        out[s:e] = s
+        out[s:e] = s + int(np.argmin(cls[s:e]))
         s = e
     return out
 
@@ -215,9 +217,9 @@ def candidates(rows: np.ndarray, percent: int, long_token):
             right.append(s + b)
     for s, c in zip(start[large].tolist(), count[large].tolist()):
         i = np.arange(s, s + c)
-        pivot = s + pivots(n[i], percent)
-        left += [i[:-1], pivot[pivot < i]]
-        right += [i[1:], i[pivot < i]]
+        pivot = s + pivots(n[i], rows[i, 2], percent)
+        left.append(np.minimum(pivot, i)[pivot != i])
+        right.append(np.maximum(pivot, i)[pivot != i])
         kept.append(i)
     i, j = np.concatenate(left), np.concatenate(right)
     ok = 100 * n[i] >= percent * n[j]
