@@ -6,6 +6,8 @@ or lies within a component that other links already join.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -131,9 +133,9 @@ def ordered(tokens: np.ndarray, sizes: np.ndarray, rare: np.ndarray) -> np.ndarr
 
 
 def prefixes(docs: DataFrame, rare, width: int, percent: int) -> DataFrame:
-    """token, n, cls for the first n - ceil(percent n / 100) + 1 shingles of each set: two linked sets share one of them.
+    """token, n, place, cls for the first n - ceil(percent n / 100) + 1 shingles of each set in the global order.
 
-    A task leaves out copies of sets that it has just seen; the rest of them meet at their tokens.
+    Two linked sets share one of them. A task leaves out copies of sets that it has just seen; the rest of them meet at their tokens.
     """
 
     def emit(batches):
@@ -155,22 +157,22 @@ def prefixes(docs: DataFrame, rare, width: int, percent: int) -> DataFrame:
             doc = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(len(tokens)) - (np.cumsum(sizes) - sizes)[doc]
             first = place < (sizes - (-(-percent * sizes // 100)) + 1)[doc]
-            yield pa.RecordBatch.from_arrays([signed(tokens[first]), pa.array(sizes[doc[first]]), signed(cls[doc[first]])], names=["token", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([signed(tokens[first]), pa.array(sizes[doc[first]]), pa.array(place[first]), signed(cls[doc[first]])], names=["token", "n", "place", "cls"])
 
-    return docs.select("text").mapInArrow(emit, "token long, n long, cls long")
+    return docs.select("text").mapInArrow(emit, "token long, n long, place long, cls long")
 
 
 def bucket_pairs(percent: int):
-    """The reader of one partition sorted by (token, n, cls): candidate pairs (kind 0), rows of large buckets (kind 1).
+    """The reader of one partition sorted by (token, n, place, cls): candidate pairs (kind 0), rows of large buckets (kind 1).
 
-    In a bucket of up to SMALL_BUCKET classes all pairs whose sizes allow a link; in a larger one each class with a
-    pivot among the classes of like size, the one with the smallest hash: buckets of the same near copies tend to
-    agree on it. So pairs grow with the rows. A task holds one batch and the rows of its last bucket, of a long bucket
+    In a bucket of up to SMALL_BUCKET classes all pairs that may link; in a larger one each class with a pivot among
+    the classes of like size, the one with the fewest rarer shingles: buckets of the same near copies tend to agree on
+    it. So pairs grow with the rows. A task holds one batch and the rows of its last bucket, of a long bucket
     the last pivot only.
     """
 
     def run(batches):
-        rest, long_token = np.zeros((0, 3), np.int64), None
+        rest, long_token = np.zeros((0, 4), np.int64), None
         for batch in batches:
             rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
             if not len(rows):
@@ -181,7 +183,7 @@ def bucket_pairs(percent: int):
                 yield from candidates(rows, percent, long_token)
                 long_token = rows[-1, 0]
                 last = rows[open_at:]
-                rest = last[pivots(last[:, 1], last[:, 2], percent)[-1:]]
+                rest = last[pivots(last, percent)[-1:]]
             else:
                 yield from candidates(rows[:open_at], percent, long_token)
                 rest = rows[open_at:]
@@ -190,12 +192,20 @@ def bucket_pairs(percent: int):
     return run
 
 
-def pivots(n: np.ndarray, cls: np.ndarray, percent: int) -> np.ndarray:
-    """For ascending sizes, the pivot of each: of the sizes that may link with the first, the smallest hash; then the next."""
+def may_link(na, pa_, nb, pb, percent: int):
+    """Whether two sets of sizes na and nb can link whose first common shingle has these places: none before it is shared,
+    so at most the shingles from it on are. Works on numbers, arrays and Columns."""
+    least = functools.reduce(lambda x, y: x & y, [(100 + percent) * (n - p) >= percent * (na + nb) for n, p in ((na, pa_), (nb, pb))])
+    return least & (100 * na >= percent * nb) & (100 * nb >= percent * na)
+
+
+def pivots(rows: np.ndarray, percent: int) -> np.ndarray:
+    """For rows of one token by size, the pivot of each: of the sizes that may link with the first, the smallest place; then the next."""
+    n = rows[:, 1]
     out, s = np.zeros(len(n), np.int64), 0
     while s < len(n):
         e = int(np.searchsorted(percent * n, 100 * n[s], side="right"))
-        out[s:e] = s + int(np.argmin(cls[s:e]))
+        out[s:e] = s + int(np.lexsort((rows[s:e, 3], rows[s:e, 2]))[0])
         s = e
     return out
 
@@ -217,21 +227,26 @@ def candidates(rows: np.ndarray, percent: int, long_token):
             right.append(s + b)
     for s, c in zip(start[large].tolist(), count[large].tolist()):
         i = np.arange(s, s + c)
-        pivot = s + pivots(n[i], rows[i, 2], percent)
+        pivot = s + pivots(rows[i], percent)
         left.append(np.minimum(pivot, i)[pivot != i])
         right.append(np.maximum(pivot, i)[pivot != i])
         kept.append(i)
     i, j = np.concatenate(left), np.concatenate(right)
-    ok = 100 * n[i] >= percent * n[j]
+    ok = may_link(n[i], rows[i, 2], n[j], rows[j, 2], percent)
     i, j = i[ok], j[ok]
-    out = np.unique(np.c_[rows[i, 2], rows[i, 1], rows[j, 2], rows[j, 1]], axis=0) if len(i) else np.zeros((0, 4), np.int64)
+    swap = (n[i] == n[j]) & (rows[i, 3] > rows[j, 3])  # a pair has the same order in every bucket
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    out = np.zeros((0, 5), np.int64)
+    if len(i):
+        out = np.unique(np.c_[rows[i, 3], rows[i, 1], rows[j, 3], rows[j, 1]], axis=0)
+        out = np.c_[out, np.zeros(len(out), np.int64)]
     kind = np.zeros(len(out), np.int32)
     if kept:
         k = np.concatenate(kept)
-        out = np.concatenate([out, np.c_[rows[k, 2], rows[k, 1], rows[k, 0], np.zeros(len(k), np.int64)]])
+        out = np.concatenate([out, np.c_[rows[k, 3], rows[k, 1], rows[k, 0], np.zeros(len(k), np.int64), rows[k, 2]]])
         kind = np.r_[kind, np.ones(len(k), np.int32)]
     if len(out):
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *(pa.array(np.ascontiguousarray(out[:, c])) for c in range(4))], names=["kind", "a", "na", "b", "nb"])
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *(pa.array(np.ascontiguousarray(out[:, c])) for c in range(5))], names=["kind", "a", "na", "b", "nb", "place"])
 
 
 def fragments(docs: DataFrame, wanted: DataFrame, members: DataFrame, width: int, pieces: int) -> DataFrame:
@@ -341,20 +356,20 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     members = seen.where("slice IS NULL").select("doc_id", "n", "cls", "bits")
     usable = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     linked = members.where("n > 0 AND doc_id IS NOT NULL")
-    laid = prefixes(usable, rare, width, percent).repartition("token").sortWithinPartitions("token", "n", "cls")
-    found = common.checkpointed(laid.mapInArrow(bucket_pairs(percent), "kind int, a long, na long, b long, nb long"))
+    laid = prefixes(usable, rare, width, percent).repartition("token").sortWithinPartitions("token", "n", "place", "cls")
+    found = common.checkpointed(laid.mapInArrow(bucket_pairs(percent), "kind int, a long, na long, b long, nb long, place long"))
     node = common.checkpointed(linked.groupBy("cls", "n").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits")))
     linked = linked.select("doc_id", "cls", "n")
-    first = common.checkpointed(links(usable, found.where("kind = 0").drop("kind").distinct(), node, linked, width, percent))
+    first = common.checkpointed(links(usable, found.where("kind = 0").drop("kind", "place").distinct(), node, linked, width, percent))
     comps = components(first)
-    large = found.where("kind = 1").select(F.col("b").alias("token"), F.col("a").alias("cls"), F.col("na").alias("n")).distinct()
-    large = large.join(node.drop("bits"), ["cls", "n"]).join(comps, "node", "left").select("token", "cls", "n", F.coalesce("root", "node").alias("comp"))
+    large = found.where("kind = 1").select(F.col("b").alias("token"), F.col("a").alias("cls"), F.col("na").alias("n"), "place").distinct()
+    large = large.join(node.drop("bits"), ["cls", "n"]).join(comps, "node", "left").select("token", "cls", "n", "place", F.coalesce("root", "node").alias("comp"))
     large = common.checkpointed(large)
     split = large.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     large = common.checkpointed(large.join(split, "token", "left_semi"))
     if not large.isEmpty():
-        x, y = (large.select("token", *(F.col(c).alias(c + k) for c in ("cls", "n", "comp"))) for k in "xy")
-        across = x.join(y, "token").where((F.col("compx") < F.col("compy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
+        x, y = (large.select("token", *(F.col(c).alias(c + k) for c in ("cls", "n", "place", "comp"))) for k in "xy")
+        across = x.join(y, "token").where((F.col("compx") < F.col("compy")) & may_link(*map(F.col, ("nx", "placex", "ny", "placey")), percent))
         across = across.select(F.col("clsx").alias("a"), F.col("nx").alias("na"), F.col("clsy").alias("b"), F.col("ny").alias("nb")).distinct()
         second = common.checkpointed(links(usable, across, node, linked, width, percent))
         if not second.isEmpty():
