@@ -1 +1 @@
-
+"""Scalar functions as Columns, and the few that need Python."""

@@ -1 +1 @@
-
+"""Readers and writers: file trees, strict reports, runs."""

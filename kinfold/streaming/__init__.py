@@ -1 +1 @@
-
+"""Extension: arrivals of files or events as a stream, merged into the index."""
