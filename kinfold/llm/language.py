@@ -169,6 +169,8 @@ def train(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> Model:
 
     schema = "lang string, grams binary, scripts binary"
     rows = sample(docs, most).mapInArrow(count, schema).repartition("lang").mapInArrow(add, schema).collect()
+    if not rows:
+        return Model([], np.zeros((buckets, 0), np.float32), np.zeros((buckets, 0), np.float32), {})
     rows.sort(key=lambda r: r.lang)
     counts = np.array([np.frombuffer(bytes(r.grams), np.int64) for r in rows], np.float64).reshape(len(rows), 2, -1)
     log = np.log((counts + 0.2) / (counts.sum(axis=2, keepdims=True) + 0.2 * buckets)).astype(np.float32)

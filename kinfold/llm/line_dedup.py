@@ -183,9 +183,9 @@ def unpack_bits(keep: bytes | None, n: int) -> np.ndarray:
 
 
 def with_bitmaps(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    marked = docs.withColumn("_tkey", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_doc", document())
-    keep = keep.select(F.col("doc_id").alias("_kdoc"), F.col("tkey").alias("_ktkey"), F.col("keep").alias("_keep"))
-    return marked.join(keep, (marked["_doc"] == keep["_kdoc"]) & (marked["_tkey"] == keep["_ktkey"]), "left")
+    marked = docs.withColumn("__kf_tkey", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__kf_doc", document())
+    keep = keep.select(F.col("doc_id").alias("__kf_kdoc"), F.col("tkey").alias("__kf_ktkey"), F.col("keep").alias("__kf_keep"))
+    return marked.join(keep, (marked["__kf_doc"] == keep["__kf_kdoc"]) & (marked["__kf_tkey"] == keep["__kf_ktkey"]), "left")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +207,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 sha.append(hashlib.sha256(b"\n".join(r for r, k in zip(rows, mask) if k)).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    joined = with_bitmaps(docs, keep_bitmaps(docs)).select("doc_id", "text", "_keep")
+    joined = with_bitmaps(docs, keep_bitmaps(docs)).select("doc_id", "text", "__kf_keep")
     return joined.mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
@@ -228,7 +228,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = with_bitmaps(docs, keep_bitmaps(docs)).select(*names, "_keep").mapInArrow(cut, docs.schema)
+    out = with_bitmaps(docs, keep_bitmaps(docs)).select(*names, "__kf_keep").mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

@@ -21,6 +21,11 @@ def words(text="text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
+def mark():
+    """Names a row by id and text; the text decides its place among rows that share an id."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def draw(*parts):
     """A 52-bit number, fixed by the parts as text, the same on every engine that has md5."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long")
@@ -76,7 +81,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, blocks
     taken 0; a source without words has target 0. Repeated rows share a place in the permutation and are counted
     one by one. An empty table gives no rows. Extra columns are ignored.
     """
-    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), words().alias("size"), F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit(""))))).alias("mark"))
+    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), words().alias("size"), mark().alias("mark"))
     d = common.checkpointed(d.withColumn("block", (F.conv(F.substring("mark", 1, 8), 16, 10).cast("long") % blocks).cast("int")))
     sums = common.checkpointed(d.groupBy("source", "block").agg(F.sum("size").alias("block_size")))
     sources = targets(sums.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights, most_times)
@@ -108,11 +113,10 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with each row as often as the mix takes it, in the shards' local order; rows without words go."""
-    mark = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
-    times = mixed(docs).where("times > 0").groupBy("mark").agg(F.max("times").alias("_times"))
-    taken = docs.withColumn("mark", mark).join(times, "mark").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return taken.select(*docs.columns)
+    """docs with each row as often as the mix takes it; rows without words or outside the mix go."""
+    times = mixed(docs).where("times > 0").groupBy(F.col("mark").alias("__kf_m")).agg(F.max("times").alias("__kf_times"))
+    taken = docs.withColumn("__kf_mark", mark()).join(times, F.col("__kf_mark") == F.col("__kf_m"))
+    return taken.withColumn("__kf_copy", F.explode(F.sequence(F.lit(1), F.col("__kf_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

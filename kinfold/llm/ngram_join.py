@@ -391,8 +391,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id. Rows without words or doc_id all stay."""
-    keep = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    keep = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kf_id")).distinct()
+    return docs.join(keep, F.col("doc_id") == F.col("__kf_id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
 
 
 ORACLE = r"""

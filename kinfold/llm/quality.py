@@ -108,8 +108,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept rows of docs. Verdicts join back by id and text, so rows that share an id keep their own."""
     key = F.xxhash64("doc_id", "text")
-    kept = quality_rules(docs.select(key.alias("doc_id"), "text", "source")).where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").drop("_key")
+    kept = quality_rules(docs.select(key.alias("doc_id"), "text", "source")).where("kept").select(F.col("doc_id").alias("__kf_key")).distinct()
+    return docs.withColumn("__kf_key", key).join(kept, "__kf_key", "left_semi").drop("__kf_key")
 
 
 ORACLE = r"""

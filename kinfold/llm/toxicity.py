@@ -24,7 +24,10 @@ SHORTEST, LONGEST = 4, 10
 MIN_DOCUMENTS, MIN_CONTEXTS, MIN_ODDS = 6, 4, 2.5
 # What digits and signs stand for inside a word, and letters of other scripts that look like Latin ones.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i"}
-LOOKALIKES = dict(zip("абвгдеёзикмнопрстухуіїјѕһԁԛԝαβγεηικνορτυχωϲ", "a6brgeezukmhonpctyxyiijshdqwabyenikvoptuxwc")) | {"6": "b", "ı": "i", "ʟ": "i", "ß": "ss"}
+LOOKALIKES = {
+    "а": "a", "в": "b", "е": "e", "ё": "e", "з": "e", "і": "i", "ї": "i", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ϲ": "c", "ı": "i", "ʟ": "i", "ß": "ss", "6": "b",
+}
 INVISIBLE = "­​‌‍⁠﻿"
 OTHER = re.compile(r"[\W_]+")
 
