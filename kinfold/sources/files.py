@@ -63,10 +63,10 @@ def strict_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def csv_form(files: DataFrame, header: str) -> DataFrame:
     """path, code of what is wrong with a CSV file as bytes: NOT_UTF8, BOM, CR, NO_FINAL_LF, WRONG_HEADER."""
-    text = F.decode(F.col("content"), F.lit("ISO-8859-1"))  # a letter for each byte
+    text = F.decode(F.col("content"), "ISO-8859-1")  # a letter for each byte
     rules = [
-        (~F.is_valid_utf8(F.col("content").cast("string")), "NOT_UTF8"), (F.startswith(text, F.lit("ï»¿")), "BOM"), (F.contains(text, F.lit("\r")), "CR"),
-        (~F.endswith(text, F.lit("\n")), "NO_FINAL_LF"), (F.substring_index(text, "\n", 1) != header, "WRONG_HEADER"),
+        (~F.is_valid_utf8(F.col("content").cast("string")), "NOT_UTF8"), (text.startswith("ï»¿"), "BOM"), (text.contains("\r"), "CR"),
+        (~text.endswith("\n"), "NO_FINAL_LF"), (F.substring_index(text, "\n", 1) != header, "WRONG_HEADER"),
     ]
     return files.select("path", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for c, k in rules]))).alias("code"))
 
