@@ -144,3 +144,46 @@ def revalidated(expected: DataFrame, observed: DataFrame) -> DataFrame:
 def same_sequence(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
     """Rows of either side that the other lacks, multiplicity included: empty if both are the same. Columns side, and a's."""
     return a.exceptAll(b).withColumn("side", F.lit("A")).unionByName(b.exceptAll(a).withColumn("side", F.lit("B"))).orderBy("side", order)
+
+
+def root_pairs(roots: DataFrame) -> DataFrame:
+    """component, a, b: every two roots of a component, a < b; the pairs that are to be compared, by an equi-join."""
+    return roots.select("component", F.col("root").alias("a")).join(roots.select("component", F.col("root").alias("b")), "component").where("a < b")
+
+
+def binding_variants(a: DataFrame, b: DataFrame) -> DataFrame:
+    """key of references that both sides bind, to different sets of targets. a, b: key, target.
+
+    Sets are compared by their sizes and sums of hashes, added up map-side.
+    """
+    both = a.select("key", "target", F.lit(0).alias("s")).union(b.select("key", "target", F.lit(1).alias("s"))).distinct()
+    h = lambda seed: F.xxhash64(F.lit(seed), "target").cast("decimal(38,0)")
+    of = lambda s, v: F.sum(F.when(F.col("s") == s, v))
+    g = both.groupBy("key").agg(F.count_if(F.col("s") == 0).alias("na"), F.count_if(F.col("s") == 1).alias("nb"), (of(0, h(1)) != of(1, h(1))).alias("d1"), (of(0, h(2)) != of(1, h(2))).alias("d2"))
+    return g.where("na > 0 AND nb > 0 AND (na <> nb OR d1 OR d2)").select("key")
+
+
+def pending(pairs: DataFrame, proven: DataFrame) -> DataFrame:
+    """Pairs a, b of which one side or both were not physically proven. proven: root."""
+    p = proven.select(F.col("root").alias("_r")).distinct()
+    both = pairs.join(p, F.col("a") == F.col("_r"), "left_semi").join(p, F.col("b") == F.col("_r"), "left_semi").select("a", "b")
+    return pairs.join(both, ["a", "b"], "left_anti")
+
+
+def nested_roots(roots: DataFrame) -> DataFrame:
+    """outer, inner: roots (path) of which one lies inside the other, by ancestors and an equi-join."""
+    from kinfold.functions import columns as C
+
+    up = roots.select(F.col("path").alias("inner"), F.explode(C.ancestors(F.col("path"))).alias("outer"))
+    return up.join(roots.select(F.col("path").alias("outer")), "outer").select("outer", "inner")
+
+
+def outcomes(problems: DataFrame, membership: DataFrame, rank: dict[str, int]) -> DataFrame:
+    """component, outcome: the worst outcome of any problem of an entry that a root of the component holds.
+
+    problems: entry, outcome. membership: component, root, entry. A worse outcome is never taken back by a better one.
+    """
+    order = F.create_map(*[x for k, v in rank.items() for x in (F.lit(k), F.lit(v))])
+    hit = membership.join(problems, "entry")
+    worst = hit.groupBy("component").agg(F.max_by("outcome", order[F.col("outcome")]).alias("outcome"))
+    return membership.select("component").distinct().join(worst, "component", "left").select("component", F.coalesce("outcome", F.lit("ADMITTED")).alias("outcome"))

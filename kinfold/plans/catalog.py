@@ -483,3 +483,137 @@ def references(s, d) -> DataFrame:
 def _(s, d):
     inventory = V.table(s, d, "part").select(F.format_string("a/p%d.wav", F.col("p_partkey")).alias("path"))
     return resolve.resolved(references(s, d), inventory).select("ref", "state", "policy", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query("j22_root_pairs", "SELECT a.n_regionkey AS component, a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def _(s, d):
+    return compare.root_pairs(V.table(s, d, "nation").select(F.col("n_regionkey").alias("component"), F.col("n_nationkey").alias("root")))
+
+
+@query("j21_binding_variants", "WITH a AS (SELECT l_suppkey AS key, list_sort(list(DISTINCT l_linenumber)) AS t FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 40 = 0 GROUP BY 1), b AS (SELECT l_suppkey AS key, list_sort(list(DISTINCT l_linenumber)) AS t FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 40 = 0 GROUP BY 1) SELECT key FROM a JOIN b USING (key) WHERE a.t <> b.t")
+def _(s, d):
+    x = V.table(s, d, "lineitem").where("l_partkey % 40 = 0")
+    of = lambda f: x.where(F.col("l_returnflag") == f).select(F.col("l_suppkey").alias("key"), F.col("l_linenumber").alias("target"))
+    return compare.binding_variants(of("A"), of("R"))
+
+
+@query("j23_pending_pairs", "WITH p AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey), ok AS (SELECT DISTINCT s_nationkey AS r FROM supplier WHERE s_acctbal > 5000) SELECT a, b FROM p WHERE a NOT IN (SELECT r FROM ok) OR b NOT IN (SELECT r FROM ok)")
+def _(s, d):
+    pairs = QUERIES["j22_root_pairs"](s, d).select("a", "b")
+    return compare.pending(pairs, V.table(s, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("root")))
+
+
+@query("p10_nested_roots", f"WITH u AS (SELECT DISTINCT path FROM ({V.URLS_SQL})), r AS (SELECT path FROM u UNION SELECT split_part(path, '/', 1) FROM u) SELECT o.path AS outer, i.path AS inner FROM r o JOIN r i ON starts_with(i.path, o.path || '/')".replace("AS outer", 'AS "outer"').replace("AS inner", 'AS "inner"'))
+def _(s, d):
+    u = V.urls(s, d).select("path").distinct()
+    return compare.nested_roots(u.union(u.select(F.substring_index("path", "/", 1))).distinct())
+
+
+@query("r1_component_outcomes", "WITH p AS (SELECT l_partkey AS entry, CASE WHEN bool_or(l_returnflag = 'R') THEN 'STALE' ELSE 'INCOMPLETE' END AS outcome FROM lineitem WHERE l_quantity = 50 AND l_returnflag IN ('A', 'R') GROUP BY 1), m AS (SELECT DISTINCT l_suppkey AS component, l_partkey AS entry FROM lineitem WHERE l_linenumber = 7) SELECT component, CASE WHEN bool_or(coalesce(outcome = 'STALE', false)) THEN 'STALE' WHEN bool_or(outcome IS NOT NULL) THEN 'INCOMPLETE' ELSE 'ADMITTED' END AS outcome FROM m LEFT JOIN p USING (entry) GROUP BY 1")
+def _(s, d):
+    x = V.table(s, d, "lineitem")
+    p = x.where("l_quantity = 50 AND l_returnflag IN ('A', 'R')").select(F.col("l_partkey").alias("entry"), F.when(F.col("l_returnflag") == "R", "STALE").otherwise("INCOMPLETE").alias("outcome"))
+    m = x.where("l_linenumber = 7").select(F.col("l_suppkey").alias("component"), F.lit(0).alias("root"), F.col("l_partkey").alias("entry")).distinct()
+    return compare.outcomes(p, m, {"INCOMPLETE": 1, "STALE": 2})
+
+
+@query("j12_failure_fanout", "SELECT DISTINCT o_custkey AS component, l_suppkey AS root FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_returnflag = 'R'")
+def _(s, d):
+    x = V.table(s, d, "lineitem").where("l_quantity = 50 AND l_returnflag = 'R'").select("l_orderkey", F.col("l_suppkey").alias("root"))
+    return x.join(V.table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("component")), F.col("l_orderkey") == F.col("o_orderkey")).select("component", "root").distinct()
+
+
+@query("j13_digest_crosscheck", f"WITH {V.SNAPSHOT_SQL} SELECT s.path, s.content_id IS NOT DISTINCT FROM o.content_id AS same FROM s LEFT JOIN o ON s.path = o.path")
+def _(s, d):
+    old, new = V.snapshots(s, d)
+    o = old.select("path", F.col("content_id").alias("before"))
+    return new.join(o, "path", "left").select("path", F.col("content_id").eqNullSafe(F.col("before")).alias("same"))
+
+
+@query("a9_root_inventory", f"WITH a AS ({V.TREE_SQL.format('A')}) SELECT count(*) FILTER (WHERE kind = 'REGULAR_FILE') AS files, count(*) FILTER (WHERE kind = 'DIRECTORY') AS directories, CAST(sum(CASE WHEN kind = 'REGULAR_FILE' THEN length(path) END) AS BIGINT) AS bytes FROM a")
+def _(s, d):
+    file = F.col("kind") == "REGULAR_FILE"
+    return V.tree(s, d, "A").agg(F.count_if(file).alias("files"), F.count_if(~file).alias("directories"), F.sum(F.when(file, F.length("path"))).alias("bytes"))
+
+
+@query("a10_shared_paths", f"WITH e AS ({V.ROOTS_SQL}), g AS (SELECT path, count(*) AS n, min(length(path)) AS b FROM e GROUP BY 1) SELECT count(*) FILTER (WHERE n > 1) AS shared, CAST(sum(b) AS BIGINT) AS union_bytes FROM g")
+def _(s, d):
+    g = V.roots(s, d).groupBy("path").agg(F.count("*").alias("n"), F.min(F.length("path")).alias("b"))
+    return g.agg(F.count_if(F.col("n") > 1).alias("shared"), F.sum("b").alias("union_bytes"))
+
+
+@query("a12_diagnostic_counts", f"SELECT status AS severity, container AS code, count(*) AS n FROM ({V.DOCUMENTS_SQL}) WHERE status <> 'OK' GROUP BY 1, 2")
+def _(s, d):
+    return V.documents(s, d).where("status <> 'OK'").groupBy(F.col("status").alias("severity"), F.col("container").alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("a16_admitted_counts", f"SELECT count(*) FILTER (WHERE present) AS admitted, count(*) FILTER (WHERE status = 'OK' AND present) AS complete, count(*) FILTER (WHERE status <> 'OK' AND present) AS incomplete, CAST(coalesce(sum(size) FILTER (WHERE status = 'OK' AND present), 0) AS BIGINT) AS bytes FROM ({V.DOCUMENTS_SQL})")
+def _(s, d):
+    ok_ = F.col("present") & (F.col("status") == "OK")
+    return V.documents(s, d).agg(F.count_if("present").alias("admitted"), F.count_if(ok_).alias("complete"), F.count_if(F.col("present") & ~ok_).alias("incomplete"), F.coalesce(F.sum(F.when(ok_, F.col("size"))), F.lit(0)).alias("bytes"))
+
+
+@query("o5_latest_completed", "SELECT user_id AS run_id, event_type AS status FROM (SELECT user_id, CASE WHEN min(event_id) % 3 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS event_type FROM events GROUP BY 1) WHERE event_type = 'COMPLETED' ORDER BY run_id DESC LIMIT 1")
+def _(s, d):
+    runs = V.table(s, d, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.when(F.min("event_id") % 3 == 0, "FAILED").otherwise("COMPLETED").alias("status"))
+    return index.latest_completed(runs)
+
+
+@query("r7_interrupted_runs", "SELECT user_id AS run_id, CASE WHEN min(event_id) % 3 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM events GROUP BY 1")
+def _(s, d):
+    runs = V.table(s, d, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.when(F.min("event_id") % 3 == 0, "RUNNING").otherwise("COMPLETED").alias("status"))
+    return index.with_interrupted(runs)
+
+
+@query("o8_creation_order", f"SELECT path, CAST(len(string_split(path, '/')) - 1 AS INT) AS depth FROM ({V.ROOTS_SQL}) WHERE root = 0")
+def _(s, d):
+    return V.roots(s, d).where("root = 0").select("path", C.depth(F.col("path")).alias("depth")).orderBy("depth", "path")
+
+
+@query("p9_projections", f"WITH a AS ({V.TREE_SQL.format('A')}), f AS (SELECT * FROM a WHERE kind = 'REGULAR_FILE') SELECT 'FULL' AS projection, count(*) AS n FROM f UNION ALL SELECT 'NON_CHART', count(*) FROM f WHERE NOT is_item")
+def _(s, d):
+    f = V.tree(s, d, "A").where("kind = 'REGULAR_FILE'")
+    p = F.explode(F.when(F.col("is_item"), F.array(F.lit("FULL"))).otherwise(F.array(F.lit("FULL"), F.lit("NON_CHART"))))
+    return f.select(p.alias("projection")).groupBy("projection").agg(F.count("*").alias("n"))
+
+
+@query("p11_container_candidates", f"SELECT root, CASE WHEN count(DISTINCT split_part(path, '/', 1)) > 1 THEN 'MULTIPLE' ELSE 'SINGLE' END AS state FROM ({V.ROOTS_SQL}) GROUP BY 1")
+def _(s, d):
+    return V.roots(s, d).groupBy("root").agg(F.when(F.count_distinct(F.substring_index("path", "/", 1)) > 1, "MULTIPLE").otherwise("SINGLE").alias("state"))
+
+
+@query("v8_coverage_gaps", "WITH e AS (SELECT n_regionkey AS component, n_nationkey AS root FROM nation), m AS (SELECT DISTINCT component FROM e WHERE root % 7 = 0) SELECT component, 'ROOT_WITHOUT_OUTCOME' AS code FROM m UNION ALL SELECT component, 'PAIRS_INCOMPLETE' FROM (SELECT component, count(*) AS n FROM e GROUP BY 1) WHERE component % 2 = 1 AND n > 1")
+def _(s, d):
+    e = V.table(s, d, "nation").select(F.col("n_regionkey").alias("component"), F.col("n_nationkey").alias("root"))
+    return validate.coverage_gaps(e, e.where("root % 7 <> 0"), compare.root_pairs(e).where("component % 2 = 0"))
+
+
+@query("v4_transitions", "SELECT run_id, step, state FROM (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step, CASE WHEN event_id % 5 = 0 THEN 'COMPLETED' ELSE 'RUNNING' END AS state, lag(CASE WHEN event_id % 5 = 0 THEN 'COMPLETED' ELSE 'RUNNING' END) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE CASE WHEN b IS NULL THEN state <> 'RUNNING' ELSE b <> 'RUNNING' OR state = 'RUNNING' END")
+def _(s, d):
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    return validate.transitions(V.table(s, d, "events").select(F.col("user_id").alias("run_id"), step.alias("step"), F.when(F.col("event_id") % 5 == 0, "COMPLETED").otherwise("RUNNING").alias("state")))
+
+
+@query("t7_tree_subset", f"SELECT bool_and(category IN ('SAME_FILE', 'SAME_DIRECTORY', 'FILE_ONLY_B', 'DIRECTORY_ONLY_B')) AS a_in_b, bool_and(category IN ('SAME_FILE', 'SAME_DIRECTORY', 'FILE_ONLY_A', 'DIRECTORY_ONLY_A')) AS b_in_a FROM ({DIFF_SQL})")
+def _(s, d):
+    inside = lambda x: F.every(F.col("category").isin("SAME_FILE", "SAME_DIRECTORY", f"FILE_ONLY_{x}", f"DIRECTORY_ONLY_{x}"))
+    return compare.tree_diff(*trees(s, d)).agg(inside("B").alias("a_in_b"), inside("A").alias("b_in_a"))
+
+
+@query("f10_unsafe_segments", f"SELECT page_id, len(list_filter(string_split(path, '/'), lambda x: x NOT IN ('.', '..') AND (x = '' OR regexp_matches(x, '[. ]$') OR regexp_matches(x, '[<>:\"|?*]') OR regexp_matches(x, '~[0-9]') OR regexp_matches(x, '(?i)^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(\\.|$)')))) > 0 AS unsafe FROM ({V.URLS_SQL})")
+def _(s, d):
+    return V.urls(s, d).select("page_id", F.exists(F.split("path", "/"), C.unsafe_segment).alias("unsafe"))
+
+
+@query("f17_digests", "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, true AS valid FROM documents")
+def _(s, d):
+    return V.table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"), C.is_digest(F.sha2("text", 256)).alias("valid"))
+
+
+@query("stream_sightings", "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY 1")
+def _(s, d):
+    from kinfold.streaming import ingest
+
+    e = V.table(s, d, "events")
+    cut = lambda c: ingest.sightings(e.where(c), "user_id", "ts")
+    return ingest.merge_sightings(cut("event_id % 2 = 0"), cut("event_id % 2 = 1"), "user_id")
