@@ -21,10 +21,12 @@ CONTAINERS = frozenset("article body div html main section table tbody td tr cen
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 # What an article is not made of, by element, by role and by word of class or id.
 ASIDE = frozenset("aside button canvas dialog footer form head header iframe math menu nav noscript object script select style svg template textarea title".split())
+#: Elements that hold an article by what they are; words of their classes say nothing against it.
+SURE = frozenset("article body html main".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus footer form header masthead menu menubar modal nav navbar navigation newsletter notice "
-    "notices pager pagination paywall popup promo promoted promotion related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice "
+    "notices pager pagination paywall popup promo promoted promotion related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar".split()
 )
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|template|noscript|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
@@ -51,7 +53,7 @@ def named(tag: str, attributes: str) -> tuple[str, bool]:
             if key == "class":
                 own = sorted({DIGITS.sub("", x).lower() for x in value.split()})
                 name += "".join("." + x for x in own if x)
-            if key in ("class", "id"):
+            if key in ("class", "id") and tag not in SURE:
                 aside = aside or any(x.lower() in WORDS for x in SPLIT.split(value))
             elif key == "role":
                 aside = aside or value.lower() in ROLES
@@ -140,8 +142,6 @@ def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
         stack.append(node)
     if at < len(page):
         text.append(page[at:])
-    pop = stack[-1]
-    del pop
     end()
     return out, nodes
 

@@ -251,6 +251,11 @@ def test_html_articles_of_test_pages(spark):
         assert got[r.page_id] == "\n".join(x for x in parts if x)
 
 
+def test_html_classes_of_articles():
+    found, _ = html.blocks("<body class='no-sidebar'><main class='share'><p>text</p><div id=top-nav>n</div></main></body>")
+    assert [t for _, t, _ in found] == ["text"]
+
+
 def test_html_broken_markup():
     for bad in ("<", "<div", "<div class='x", "<!-- open", "</div></div>text", "<p>a<p>b</b></i>c", "<script>x", "<a b=\"" + "<" * 500):
         html.blocks(bad)
