@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# What a path is in two trees.
 CATEGORIES = ("SAME_FILE", "SAME_DIRECTORY", "CONTENT_CONFLICT", "FILE_ONLY_A", "FILE_ONLY_B", "DIRECTORY_ONLY_A", "DIRECTORY_ONLY_B", "KIND_CONFLICT")
 COUNTS = ("same_file", "content_conflict", "file_only_a", "file_only_b", "directory_only_a", "directory_only_b", "kind_conflict")
 
