@@ -71,6 +71,23 @@ def split_tree(blocks: DataFrame, levels: int = LEVELS) -> DataFrame:
     return out
 
 
+def cut_block(rows: DataFrame) -> DataFrame:
+    """rows of the blocks in which a source ends, with extra: the row is among the first that pass half of `left`.
+
+    The order is that of the mark. Sizes are added up by the mark's first three digits, map-side, so whole bins fall
+    on one side; rows are put in order only in the bin that the cut meets, a small part of a block of any size.
+    """
+    bins = rows.groupBy("source", "block", "left", F.substring("mark", 1, 3).alias("bin")).agg(F.sum("size").alias("bin_size"))
+    before = F.sum("bin_size").over(Window.partitionBy("source", "block").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = bins.withColumn("before", F.coalesce(before, F.lit(0))).drop("left").withColumnsRenamed({"source": "_s", "block": "_b", "bin": "_bin"})
+    x = rows.withColumn("bin", F.substring("mark", 1, 3)).join(bins, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")) & (F.col("bin") == F.col("_bin")))
+    met = (F.col("before") <= F.col("left")) & (F.col("before") + F.col("bin_size") > F.col("left"))
+    whole = x.where(~met).withColumn("extra", F.col("before") + F.col("bin_size") <= F.col("left"))
+    inside = Window.partitionBy("source", "block").orderBy("mark").rowsBetween(Window.unboundedPreceding, 0)
+    part = x.where(met).withColumn("extra", 2 * (F.col("before") + F.sum("size").over(inside)) - F.col("size") <= 2 * F.col("left"))
+    return whole.unionByName(part).select(*rows.columns, "extra")
+
+
 def mixed(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, blocks: int = BLOCKS, levels: int = LEVELS) -> DataFrame:
     """One row for each row of docs: doc_id, size, source_size, target, times, taken, shards.
 
@@ -100,10 +117,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, blocks
     b = common.small_or_not(b.withColumnsRenamed({"source": "_s", "block": "_b"}), 200_000)
     j = d.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).select("doc_id", "size", "mark", "source", "block", "source_size", "target", "whole", "left", "block_size", "at")
     sure = j.where(~last).withColumn("extra", (F.col("left") >= F.col("block_size")) & (F.col("left") > 0))
-    inside = Window.partitionBy("source", "block").orderBy("mark")
-    cut = j.where(last).withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    cut = cut.withColumn("extra", 2 * F.col("upto") - F.col("size") <= 2 * F.col("left")).drop("upto")
-    out = sure.unionByName(cut)
+    out = sure.unionByName(cut_block(j.where(last)))
     times = F.when(F.col("size") > 0, F.least(F.col("whole") + F.col("extra").cast("int"), F.lit(most_times))).otherwise(0)
     return out.withColumn("times", times).select("doc_id", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), F.slice(F.coalesce("at", F.array().cast("array<int>")), 1, F.col("times")).alias("shards"), "mark")
 

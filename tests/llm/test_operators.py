@@ -350,6 +350,26 @@ def test_split_tree_quotas(spark):
     assert all(20 < n < 65 for n in Counter((r.source, r.shard) for r in out).values())
 
 
+def test_cut_block(spark):
+    sizes = [(i * 7919) % 23 for i in range(3000)]
+    rows = [(None if i % 3 == 0 else str(i % 3), i % 2, size, hashlib.md5(b"%d" % i).hexdigest()) for i, size in enumerate(sizes)]
+    rows += rows[:50]
+    whole = Counter()
+    for source, block, size, _ in rows:
+        whole[source, block] += size
+    left = {k: [0, n // 3, n // 2, n - 1, 1, n // 7][i] for i, (k, n) in enumerate(sorted(whole.items(), key=str))}
+    got = mixing.cut_block(spark.createDataFrame([(*r, left[r[:2]]) for r in rows], "source string, block int, size long, mark string, left long")).collect()
+    want, upto = Counter(), Counter()
+    for source, block, size, mark in sorted(rows, key=lambda r: r[3]):
+        before = upto[source, block]
+        want[source, block, mark, 2 * before + size <= 2 * left[source, block]] += size
+        upto[source, block] += size
+    have = Counter()
+    for r in got:
+        have[r.source, r.block, r.mark, r.extra] += r.size
+    assert len(got) == len(rows) and +have == +want
+
+
 def test_mixing_plan_is_native(docs):
     plan = mixing.mixed(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
