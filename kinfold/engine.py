@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import columns as C
-from kinfold.operators import compare, extract, index, plan, relations, resolve, validate
+from kinfold.operators import compare, extract, index, observe, plan, relations, resolve, validate
 from kinfold.sources import files, sinks
 
 DONE, FAILED, INCOMPLETE = 0, 1, 2
@@ -80,6 +80,7 @@ class Engine:
         if "://" not in self.store:
             outside(self.store, roots)
         with single_writer(self.store):
+            sinks.claim_store(self.spark, self.store)
             known = self.runs()
             run = known[-1] + 1 if known else 1
             seen = None
@@ -169,6 +170,11 @@ def main(argv: list[str] | None = None) -> int:
             x.add_argument("--output", required=True)
     for name in ("compare", "plan"):
         sub.add_parser(name).add_argument("--root", action="append", required=True)
+    x = sub.add_parser("observe")  # with --output the accepted stage is exported, without it taken
+    x.add_argument("stage", choices=observe.STAGES)
+    x.add_argument("--root", action="append")
+    x.add_argument("--accepted")
+    x.add_argument("--output")
     args = p.parse_args(argv)
     engine = Engine(SparkSession.builder.appName("kinfold").getOrCreate(), args.store)
     try:
@@ -178,6 +184,16 @@ def main(argv: list[str] | None = None) -> int:
             print(engine.report(args.output, args.run))
         elif args.command == "verify":
             return INCOMPLETE if not engine.verify(args.run).isEmpty() else DONE
+        elif args.command == "observe":
+            o = observe.Observation(engine.spark, args.store)
+            if args.stage == "SOURCE":
+                if len(args.root or ()) != 2:
+                    raise ValueError("SOURCE takes two roots")
+                print(o.capture(*args.root))
+            elif args.output:
+                print(o.export(args.stage, args.accepted, args.output))
+            else:
+                print((o.preflight if args.stage == "PREFLIGHT" else o.content)(args.accepted))
         elif args.command == "compare":
             parts = engine.compare(*args.root)
             for k in ("flags", "labels", "items"):
@@ -186,7 +202,7 @@ def main(argv: list[str] | None = None) -> int:
             parts = engine.plan(args.root)
             parts["maximal"].show()
             return DONE if parts["violations"].isEmpty() and parts["variants"].isEmpty() else INCOMPLETE
-    except (ValueError, Busy, relations.PairBudgetExceeded) as e:
+    except (ValueError, Busy, observe.Stopped, relations.PairBudgetExceeded) as e:
         print(e, file=sys.stderr)
         return FAILED
     return DONE

@@ -20,6 +20,39 @@ def write_run(df: DataFrame, folder: str, run_id: int, *partition: str) -> str:
     return path
 
 
+STORE = {"owner": "kinfold", "version": 1, "path_comparison": "ordinal"}
+
+
+class ForeignStore(ValueError):
+    """A folder of runs that is another program's, of another version, or compares paths in another way."""
+
+
+def claim_store(spark: SparkSession, store: str) -> None:
+    """Marks a new or empty folder as a store of ours; any other folder must bear that mark already."""
+    jvm = spark._jvm
+    own = jvm.org.apache.hadoop.fs.Path(store, "_meta.json")
+    fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(own):
+        stream = fs.open(own)
+        try:
+            found = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            raise ForeignStore(f"{own} is no JSON") from None
+        finally:
+            stream.close()
+        wrong = [k for k, v in STORE.items() if found.get(k) != v]
+        if wrong:
+            raise ForeignStore(f"{own}: {wrong[0]} is {found.get(wrong[0])!r}")
+        return
+    if fs.exists(own.getParent()) and any(s.getPath().getName() != "_writer.lock" for s in fs.listStatus(own.getParent())):
+        raise ForeignStore(f"{store} holds files but no _meta.json")
+    stream = fs.create(own, False)
+    try:
+        stream.write(bytearray(json.dumps(STORE).encode()))
+    finally:
+        stream.close()
+
+
 def write_csv(df: DataFrame, path: str, *order: str) -> None:
     """CSV with LF, quotes only where needed, numbers as .NET writes them, in order.
 
