@@ -22,6 +22,10 @@ TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
 TERMS = 2000
 SHORTEST, LONGEST = 4, 10
 MIN_DOCUMENTS, MIN_CONTEXTS, MIN_ODDS = 6, 4, 2.5
+#: A term is frequent in a text if it takes one in DENSE words: of stems that also begin harmless words, frequency tells.
+DENSE = 150
+#: L1 penalty of a term, in toxic documents that it must explain alone, and steps of the fit.
+PENALTY, ROUNDS = 1.0, 600
 # What digits and signs stand for inside a word, and letters of other scripts that look like Latin ones.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i"}
 LOOKALIKES = {
@@ -65,6 +69,16 @@ def word_features(word: str):
             yield " " + word[:n]
 
 
+def term_density(text: str) -> dict[str, bool]:
+    """The terms of a text, and whether a term takes at least one in DENSE of its words."""
+    words = folded(text).split()
+    n: Counter = Counter()
+    for w, k in Counter(words).items():
+        for f in word_features(w):
+            n[f] += k
+    return {f: k * DENSE >= len(words) for f, k in n.items()}
+
+
 @dataclass
 class Model:
     terms: dict[str, float]
@@ -119,30 +133,69 @@ def labelled(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> Data
     return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(own, "doc_id").select("toxic", "text")
 
 
+def explaining(y: list[int], terms: list[list[int]], n: int, penalty: float = PENALTY, rounds: int = ROUNDS) -> list[int]:
+    """Terms that a logistic regression on presence, with weights of at least 0 and an L1 penalty, gives any weight.
+
+    A term whose toxic documents others explain already, as words that happen to stand in them or a start shared with
+    harmless words, gets none. Accelerated proximal gradient steps; the work is by terms present and rounds.
+    """
+    if not any(terms):
+        return []
+    y = np.array(y, float)
+    doc = np.repeat(np.arange(len(y)), [len(x) for x in terms])
+    term = np.array([i for x in terms for i in x], np.int64)
+    order = np.lexsort((term, doc, y[doc] if len(doc) else doc))  # sums come in the same order whatever the partitions
+    doc, term = doc[order], term[order]
+    per_term = np.bincount(term, minlength=n).astype(float)
+    # curvature of a coordinate is at most a quarter of its documents times the terms of one of them
+    most = max((len(x) for x in terms), default=0) + 1
+    step = 4.0 / (np.maximum(per_term, 1.0) * most)
+    w, base = np.zeros(n), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    ahead, ahead_base, t = w, base, 1.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(ahead_base + np.bincount(doc, ahead[term], len(y)), -30, 30)))
+        g = np.bincount(term, (p - y)[doc], n)
+        new = np.maximum(ahead - step * (g + penalty), 0.0)
+        new_base = ahead_base - 4.0 / (len(y) * most) * float((p - y).sum())
+        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        ahead, ahead_base = new + (t - 1) / after * (new - w), new_base + (t - 1) / after * (new_base - base)
+        w, base, t = new, new_base, after
+    return np.nonzero(w > 0.05)[0].tolist()
+
+
 def learn_terms(sample: DataFrame, terms: int = TERMS) -> tuple[dict[str, float], list[str]]:
     """Word starts that mark toxic documents, with smoothed log odds as weights, and phrases that excuse them.
 
-    A term needs MIN_DOCUMENTS toxic documents and MIN_CONTEXTS different words before it in these, so that copies of
-    one toxic document don't teach its other words. Of a start and its continuations the shortest that is nearly as
-    sure is kept. A term after a word that clean documents alone put before it, in three or more, is an exception.
+    The odds are those of a term's presence or of its frequency (DENSE), whichever tell more.
+
+    A term needs MIN_DOCUMENTS toxic documents in which it is frequent and MIN_CONTEXTS different words before it in these, so that copies of
+    one toxic document don't teach its other words. Of these the terms are kept that explain labels which the others
+    don't (explaining). A term that tells by presence is
+    excused after a word that clean documents alone put before it, in three or more.
     """
 
     def count(batches):
         by = Counter()
         for part in common.slices(batches, "text"):
             for y, text in zip(part.column(0).to_pylist(), common.strings(part, "text")):
-                for f in {f for w in set(folded(text).split()) for f in word_features(w)}:
-                    by[f] += 1 if y == 0 else 1 << 32
+                for f, dense in term_density(text).items():
+                    by[f, dense, y] += 1
         if by:
-            yield pa.RecordBatch.from_arrays([pa.array(list(by)), pa.array([v >> 32 for v in by.values()], pa.int64()), pa.array([v & 0xFFFFFFFF for v in by.values()], pa.int64())], names=["f", "pos", "neg"])
+            f, dense, y = zip(*by)
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(dense), pa.array(y, pa.int32()), pa.array(list(by.values()), pa.int64())], names=["f", "dense", "toxic", "n"])
 
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return {}, []
-    by = sample.mapInArrow(count, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    odds = F.log((F.col("pos") + 0.5) / (n[1] + 1)) - F.log((F.col("neg") + 0.5) / (n[0] + 1))
-    rows = by.where(F.col("pos") >= MIN_DOCUMENTS).withColumn("w", odds).where(F.col("w") >= MIN_ODDS).orderBy(F.desc("pos"), "f").limit(4 * terms).collect()
-    wanted = {r.f: (r.pos, r.neg, r.w) for r in rows}
+    by = sample.mapInArrow(count, "f string, dense boolean, toxic int, n long").groupBy("f")
+    of = lambda toxic, dense: F.coalesce(F.sum(F.when(F.expr(f"toxic = {toxic}" + " AND dense" * dense), F.col("n"))), F.lit(0))
+    by = by.agg(of(1, False).alias("pos"), of(0, False).alias("neg"), of(1, True).alias("dense_pos"), of(0, True).alias("dense_neg"))
+    odds = lambda pos, neg: F.log((F.col(pos) + 0.5) / (n[1] + 1)) - F.log((F.col(neg) + 0.5) / (n[0] + 1))
+    by = by.where(F.col("dense_pos") >= MIN_DOCUMENTS).withColumns({"once": odds("pos", "neg"), "often": odds("dense_pos", "dense_neg")})
+    rows = by.where(F.greatest("once", "often") >= MIN_ODDS).orderBy(F.desc("dense_pos"), "f").limit(4 * terms).collect()
+    wanted = {r.f: (r.pos, max(r.once, r.often), r.often > r.once, (r.pos, r.neg, r.dense_pos, r.dense_neg)) for r in rows}
+    # a start that the same documents have as a shorter one says nothing new
+    wanted = {f: v for f, v in wanted.items() if not any(f[:k] in wanted and wanted[f[:k]][3] == v[3] for k in range(SHORTEST + 1, len(f)))}
 
     def contexts(batches):
         for part in common.slices(batches, "text"):
@@ -159,15 +212,20 @@ def learn_terms(sample: DataFrame, terms: int = TERMS) -> tuple[dict[str, float]
     seen = sample.mapInArrow(contexts, "f string, before string, toxic int").groupBy("f", "before").agg(F.count_if(F.expr("toxic = 1")).alias("pos"), F.count_if(F.expr("toxic = 0")).alias("neg"))
     seen = common.checkpointed(seen)
     diverse = {r.f for r in seen.groupBy("f").agg(F.count_if(F.expr("pos > 0")).alias("n")).where(F.col("n") >= MIN_CONTEXTS).collect()}
-    chosen: dict[str, float] = {}
-    for f in sorted(diverse, key=lambda x: (len(x), x)):
-        _, _, w = wanted[f]
-        parents = [p for p in chosen if f.startswith(p)]
-        if not parents or w > max(chosen[p] for p in parents) + 1.0:
-            chosen[f] = w
+    names = sorted(diverse)
+    number = {f: i for i, f in enumerate(names)}
+
+    def present(batches):
+        for part in common.slices(batches, "text"):
+            found = [sorted(number[f] for f, dense in term_density(x).items() if f in number and (dense or not wanted[f][2])) for x in common.strings(part, "text")]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "terms"])
+
+    rows = sample.mapInArrow(present, "toxic int, terms array<int>").collect()  # a row for each sampled document, of terms of the bounded list
+    picked = explaining([r.toxic for r in rows], [r.terms for r in rows], len(names))
+    chosen = {names[i]: wanted[names[i]][1] for i in picked}
     chosen = dict(sorted(chosen.items(), key=lambda x: (-wanted[x[0]][0], x[0]))[:terms])
     excuse = seen.where("neg >= 3 AND pos = 0 AND before <> ''").orderBy(F.desc("neg"), "f", "before").limit(terms).collect()
-    return chosen, [f" {r.before}{r.f}" for r in excuse if r.f in chosen]
+    return chosen, [f" {r.before}{r.f}" for r in excuse if r.f in chosen and not wanted[r.f][2]]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:

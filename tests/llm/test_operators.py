@@ -137,6 +137,19 @@ def test_exceptions_and_length():
     assert toxicity.features(" bad ", a)[2] > toxicity.features(" bad" + " word" * 50 + " ", a)[2]
 
 
+def test_toxic_terms_explain_labels():
+    # term 0 marks the toxic, 1 always stands by it but also in clean texts, 2 is everywhere, 3 marks others
+    y = [1] * 40 + [1] * 20 + [0] * 100
+    terms = [[0, 1, 2]] * 40 + [[2, 3]] * 20 + [[1, 2]] * 20 + [[2]] * 79 + [[]]
+    assert toxicity.explaining(y, terms, 4) == [0, 3]
+    assert toxicity.explaining([], [], 0) == toxicity.explaining([1, 0], [[], []], 3) == []
+
+
+def test_toxic_term_density():
+    found = toxicity.term_density("harmless " * 400 + "badword " + "stemmed stemming stems")
+    assert found[" bad" + "w"] is False and found[" stem"] is True and found[" stemm"] is False
+
+
 def test_toxicity_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
