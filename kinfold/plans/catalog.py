@@ -617,3 +617,179 @@ def _(s, d):
     e = V.table(s, d, "events")
     cut = lambda c: ingest.sightings(e.where(c), "user_id", "ts")
     return ingest.merge_sightings(cut("event_id % 2 = 0"), cut("event_id % 2 = 1"), "user_id")
+
+
+def scan_diagnostics(s, d) -> DataFrame:
+    """Folders and files of the documents' tree that a scan reports: some unreadable folders, some files that changed under it."""
+    x = V.table(s, d, "documents")
+    folder = x.select(F.col("source").alias("path"), F.lit("DIRECTORY_UNREADABLE").alias("code")).where("path LIKE '%7'").distinct()
+    file = x.where("doc_id % 211 = 3").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.lit("CHART_UNSTABLE").alias("code"))
+    return folder.union(file)
+
+
+BLOCKED_SQL = "SELECT DISTINCT source AS blocked FROM documents WHERE source LIKE '%7' UNION SELECT source || '/' || lang FROM documents WHERE doc_id % 211 = 3 AND source IS NOT NULL AND lang IS NOT NULL"
+
+
+@query("p2_blocked_folders", BLOCKED_SQL)
+def _(s, d):
+    return relations.blocked_paths(scan_diagnostics(s, d))
+
+
+@query("j27_blocked_containers", f"WITH b AS ({BLOCKED_SQL}), i AS (SELECT DISTINCT container FROM ({V.DOCUMENTS_SQL}) WHERE present) SELECT container FROM i WHERE EXISTS (SELECT 1 FROM b WHERE container = blocked OR starts_with(container, blocked || '/')) UNION SELECT container FROM ({V.DOCUMENTS_SQL}) WHERE present AND status <> 'OK'")
+def _(s, d):
+    return relations.incomplete_containers(V.documents(s, d), scan_diagnostics(s, d))
+
+
+@query("p5_reused_rows", f"SELECT path, content_id FROM ({MERGE_SQL}) WHERE outcome = 'REUSED'")
+def _(s, d):
+    return merged(s, d).where("outcome = 'REUSED'").select("path", "content_id")
+
+
+@query("p4_unseen_rows", f"SELECT path, outcome FROM ({MERGE_SQL}) WHERE outcome IN ('MISSING', 'INACTIVE')")
+def _(s, d):
+    return merged(s, d).where("outcome IN ('MISSING', 'INACTIVE')").select("path", "outcome")
+
+
+@query("p13_subset_edges", f"SELECT CASE WHEN relationship = 'A_SUBSET_OF_B' THEN a ELSE b END AS inner_, CASE WHEN relationship = 'A_SUBSET_OF_B' THEN b ELSE a END AS outer_ FROM ({pairs_sql(V.SUPPLIERS_SQL)}) WHERE relationship IN ('A_SUBSET_OF_B', 'B_SUBSET_OF_A')")
+def _(s, d):
+    p, first = relations.pairs(V.suppliers(s, d)), F.col("relationship") == "A_SUBSET_OF_B"
+    return p.where(F.col("relationship").isin("A_SUBSET_OF_B", "B_SUBSET_OF_A")).select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("inner_"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("outer_"))
+
+
+@query("a3_pair_common", f"WITH i AS ({V.BRANDS_SQL}) SELECT x.container AS a, y.container AS b, count(DISTINCT x.content_id) AS common FROM i x JOIN i y ON x.content_id = y.content_id AND x.container < y.container GROUP BY 1, 2")
+def _(s, d):
+    return relations.pairs(V.brands(s, d)).select("a", "b", "common")
+
+
+@query("o4_pair_order", f"SELECT row_number() OVER (ORDER BY a, b) AS place, a, b FROM ({pairs_sql(V.BRANDS_SQL)})")
+def _(s, d):
+    # the order is kept as a number, found without a window over all pairs
+    p = relations.pairs(V.brands(s, d)).select("a", "b").orderBy("a", "b")
+    at = Window.orderBy("_part")
+    p = relations.checkpointed(p.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    runs = p.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return p.join(runs, "_part").select((F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("place"), "a", "b")
+
+
+@query("j6_entry_view", "SELECT l_orderkey, l_linenumber, o_orderdate, p_brand, ps.n AS copies FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey AND p_size > 10 LEFT JOIN (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ps ON l_partkey = k WHERE l_linenumber = 1")
+def _(s, d):
+    x, o, p = V.table(s, d, "lineitem"), V.table(s, d, "orders"), V.table(s, d, "part").where("p_size > 10")
+    n = x.where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("copies"))
+    j = x.where("l_linenumber = 1").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"), "left").join(n, F.col("l_partkey") == F.col("k"), "left")
+    return j.select("l_orderkey", "l_linenumber", "o_orderdate", "p_brand", "copies")
+
+
+@query("j11_missing_inventory", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def _(s, d):
+    return validate.orphans(V.table(s, d, "customer").select("c_custkey"), V.table(s, d, "orders"), "c_custkey", "o_custkey")
+
+
+LINES_SQL = "SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2"
+
+
+@query("j14_bound_usages", f"SELECT l_orderkey || '.bms' AS path, count(*) AS usages, count(*) FILTER (WHERE l_partkey % 11 <> 0) AS bound FROM ({LINES_SQL}) WHERE l_orderkey % 2 = 1 GROUP BY l_orderkey")
+def _(s, d):
+    c = charts(s, d).where("CAST(substring_index(path, '.', 1) AS BIGINT) % 2 = 1")
+    u = extract.extracted(c).select("path", F.explode("usages").alias("u"))
+    return u.groupBy("path").agg(F.count("*").alias("usages"), F.count_if(F.col("u.state") != "UNKNOWN").alias("bound"))
+
+
+@query("j17_folded_lookup", f"WITH u AS (SELECT DISTINCT path FROM ({V.URLS_SQL})) SELECT a.path AS authored, b.path AS found FROM u a JOIN u b ON upper(a.path) = upper(b.path)")
+def _(s, d):
+    # casing that fold_key takes apart: the authored side is upper-cased first, as references often are
+    u = V.urls(s, d).select("path").distinct()
+    a = u.select(F.col("path").alias("authored"), fold_key(F.upper("path")).alias("key"))
+    return a.join(u.select(F.col("path").alias("found"), fold_key("path").alias("key")), "key").select("authored", "found")
+
+
+@query("j19_same_stem", "SELECT p_partkey AS ref, 'a/p' || p_partkey || e AS found, e = '.ogg' AS recommended FROM part, (VALUES ('.ogg'), ('.flac')) x(e) WHERE p_partkey % 7 IN (1, 2, 4)")
+def _(s, d):
+    files = V.table(s, d, "part").select(F.explode(F.array(F.format_string("a/p%d.ogg", F.col("p_partkey")), F.format_string("a/p%d.flac", F.col("p_partkey")))).alias("path"))
+    return resolve.same_stem(references(s, d).where("ref % 7 IN (1, 2, 4)"), files)
+
+
+@query("f3_contains", f"SELECT page_id, starts_with(path, split_part(path, '/', 1) || '/') OR path = split_part(path, '/', 1) AS inside, path = rtrim(path, '0123456789') OR starts_with(path, rtrim(path, '0123456789') || '/') AS cut_inside FROM ({V.URLS_SQL})")
+def _(s, d):
+    p = F.col("path")
+    return V.urls(s, d).select("page_id", C.contains(F.substring_index(p, "/", 1), p).alias("inside"), C.contains(F.regexp_replace(p, "[0-9]+$", ""), p).alias("cut_inside"))
+
+
+@query("f8_relative_path", f"SELECT page_id, CASE WHEN contains(path, '/') THEN substr(path, strpos(path, '/') + 1) ELSE '.' END AS relative FROM ({V.URLS_SQL})")
+def _(s, d):
+    return V.urls(s, d).select("page_id", C.relative(F.substring_index("path", "/", 1), F.col("path")).alias("relative"))
+
+
+@query("f9_lexical_resolve", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a/b/x' || p_partkey WHEN 1 THEN 'a/x' || p_partkey WHEN 2 THEN NULL ELSE 'a/b/c/x' || p_partkey END AS path FROM part")
+def _(s, d):
+    n = F.col("p_partkey").cast("string")
+    authored = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(".\\x"), n)).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("../x"), n)).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("../../../x"), n)).otherwise(F.concat(F.lit("c/./d/../x"), n))
+    return V.table(s, d, "part").select("p_partkey", C.lexical_resolve(F.lit("a/b"), authored).alias("path"))
+
+
+@query("f11_rooted", "SELECT p_partkey, p_partkey % 3 < 2 AS rooted, CASE p_partkey % 3 WHEN 0 THEN 'C:/x' WHEN 1 THEN '/x' ELSE 'x/C:' END AS unified FROM part")
+def _(s, d):
+    k = F.col("p_partkey") % 3
+    authored = F.when(k == 0, F.lit("C:\\x")).when(k == 1, F.lit("\\x")).otherwise(F.lit("x\\C:"))
+    return V.table(s, d, "part").select("p_partkey", C.rooted(authored).alias("rooted"), C.slashes(authored).alias("unified"))
+
+
+@query("f13_reserved_first_segment", f"SELECT page_id, lower(split_part(path, '/', 1)) = lower('SITE1.EXAMPLE.COM') AS reserved, NOT contains(path, '/') AS direct, CAST(length(path) - length(replace(path, '/', '')) AS INT) AS depth FROM ({V.URLS_SQL})")
+def _(s, d):
+    p = F.col("path")
+    return V.urls(s, d).select("page_id", (F.lower(F.substring_index(p, "/", 1)) == F.lower(F.lit("SITE1.EXAMPLE.COM"))).alias("reserved"), (F.instr(p, "/") == 0).alias("direct"), C.depth(p).alias("depth"))
+
+
+@query("f18_padded_ids", "SELECT s_suppkey, printf('PAIR_%06d', s_suppkey) AS id, lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS short, printf('%02X', s_suppkey % 256) AS hex FROM supplier")
+def _(s, d):
+    k = F.col("s_suppkey")
+    return V.table(s, d, "supplier").select("s_suppkey", C.padded_id(F.lit("PAIR"), k).alias("id"), F.lpad((k % 1000).cast("string"), 3, "0").alias("short"), F.format_string("%02X", k % 256).alias("hex"))
+
+
+@query("f19_digest_validator", "SELECT doc_id, doc_id % 3 = 0 AS valid FROM documents")
+def _(s, d):
+    h = F.sha2(F.col("doc_id").cast("string"), 256)
+    bad = F.when(F.col("doc_id") % 3 == 0, h).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("G"), F.substring(h, 2, 63))).otherwise(F.substring(h, 1, 63))
+    return V.table(s, d, "documents").select("doc_id", C.is_digest(bad).alias("valid"))
+
+
+@query("f22_json_pointer", f"SELECT page_id, replace(replace('~' || path, '~', '~0'), '/', '~1') AS part FROM ({V.URLS_SQL})")
+def _(s, d):
+    return V.urls(s, d).select("page_id", C.json_pointer(F.concat(F.lit("~"), F.col("path"))).alias("part"))
+
+
+@query("f23_build_revision", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'CLEAN' WHEN 1 THEN 'DIRTY' ELSE 'UNKNOWN' END AS state, CASE WHEN s_suppkey % 3 < 2 THEN substr(sha256(s_name), 1, 40) END AS revision FROM supplier")
+def _(s, d):
+    r = F.substring(F.sha2("s_name", 256), 1, 40)
+    text = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("1.0+"), r)).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("1.0+"), r, F.lit(".dirty"))).otherwise(F.concat(F.lit("1.0+"), F.substring(r, 1, 39)))
+    b = C.build_revision(text)
+    return V.table(s, d, "supplier").select("s_suppkey", b.alias("b")).select("s_suppkey", "b.state", "b.revision")
+
+
+@query("t4_concat", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def _(s, d):
+    return V.table(s, d, "customer").select(F.col("c_nationkey").alias("k")).unionAll(V.table(s, d, "supplier").select("s_nationkey"))
+
+
+@query("t5_set_equality", "WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem), b AS (SELECT p_partkey AS k FROM part) SELECT NOT EXISTS (SELECT k FROM a EXCEPT SELECT k FROM b) AND NOT EXISTS (SELECT k FROM b EXCEPT SELECT k FROM a) AS equal, (SELECT count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b)) AS only_a, (SELECT count(*) FROM (SELECT k FROM b EXCEPT SELECT k FROM a)) AS only_b")
+def _(s, d):
+    a = V.table(s, d, "lineitem").select(F.col("l_partkey").alias("k")).distinct().withColumn("a", F.lit(True))
+    b = V.table(s, d, "part").select(F.col("p_partkey").alias("k")).withColumn("b", F.lit(True))
+    n = a.join(b, "k", "full").agg(F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"))
+    return n.select(((F.col("only_a") == 0) & (F.col("only_b") == 0)).alias("equal"), "only_a", "only_b")
+
+
+@query("t8_distinct_by", "SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order FROM orders GROUP BY 1")
+def _(s, d):
+    return V.table(s, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_order"))
+
+
+@query("v21_deciding_finding", f"SELECT 'INVALID' AS kind, 'ABSENT_BUT_OK' AS code, min(path) AS key FROM ({V.DOCUMENTS_SQL}) WHERE size % 3 = 0 HAVING count(*) > 0")
+def _(s, d):
+    x = V.documents(s, d)
+    return validate.worst(validate.findings(x, "SCOPE_CHANGED", "A", "path", F.col("size") % 2 == 0).unionByName(validate.findings(x, "INVALID", "ABSENT_BUT_OK", "path", F.col("size") % 3 == 0)))
+
+
+@query("v9_duplicate_keys", "SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def _(s, d):
+    return validate.duplicate_keys(V.table(s, d, "lineitem"), "l_orderkey", "l_partkey").select("l_orderkey", "l_partkey", "n")
