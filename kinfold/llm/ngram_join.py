@@ -199,6 +199,11 @@ def may_link(na, pa_, nb, pb, percent: int):
     return least & (100 * na >= percent * nb) & (100 * nb >= percent * na)
 
 
+def size_band(n, percent: int):
+    """Number of the band of sizes that n is in. Bands are a little wider than the ratio of two sets that link."""
+    return F.floor(F.log(n) / F.log(F.lit(100.5 / percent))).cast("int")
+
+
 def pivots(rows: np.ndarray, percent: int) -> np.ndarray:
     """For rows of one token by size, the pivot of each: of the sizes that may link with the first, the smallest place; then the next."""
     n = rows[:, 1]
@@ -343,7 +348,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     Equal sets are one class with its smallest doc_id as node. Candidates are classes that share a shingle of their
     prefixes in the global order. First round: a few pairs of each bucket, verified, give components. Second round:
-    in large buckets, all pairs between classes of different components; so a group of near copies of any size
+    in large buckets, pairs of like size between classes of different components; so a group of near copies of any size
     costs about a pair for each member and shingle, and no link between components is missed.
 
     Null or empty text has an empty set and links with nothing; fewer words than `width` are one shingle. A row with
@@ -369,7 +374,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     large = common.checkpointed(large.join(split, "token", "left_semi"))
     if not large.isEmpty():
         x, y = (large.select("token", *(F.col(c).alias(c + k) for c in ("cls", "n", "place", "comp"))) for k in "xy")
-        across = x.join(y, "token").where((F.col("compx") < F.col("compy")) & may_link(*map(F.col, ("nx", "placex", "ny", "placey")), percent))
+        # sets that link lie in the same or in neighbouring bands of size, so a bucket is joined band by band
+        x, y = x.withColumn("band", size_band(F.col("nx"), percent)), y.withColumn("band", F.explode(F.array(*[size_band(F.col("ny"), percent) + i for i in (-1, 0, 1)])))
+        across = x.join(y, ["token", "band"]).where((F.col("compx") < F.col("compy")) & may_link(*map(F.col, ("nx", "placex", "ny", "placey")), percent))
         across = across.select(F.col("clsx").alias("a"), F.col("nx").alias("na"), F.col("clsy").alias("b"), F.col("ny").alias("nb")).distinct()
         second = common.checkpointed(links(usable, across, node, linked, width, percent))
         if not second.isEmpty():

@@ -487,6 +487,12 @@ def test_ngram_join_large_group(spark, edits):
     assert got == components(rows)
 
 
+def test_size_bands(spark):
+    """No two sizes that may link are more than a band apart."""
+    n = [r.b for r in spark.range(1, 3000).select(ngram_join.size_band(F.col("id"), 75).alias("b")).collect()]
+    assert all(n[min(4 * k // 3, 2999) - 1] - n[k - 1] in (0, 1) for k in range(1, 3000))
+
+
 def test_parity_bits_bound():
     r = np.random.default_rng(3)
     for _ in range(60):
