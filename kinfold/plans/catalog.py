@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +16,16 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, whole: bool = False):
+    """Registers a query; with `whole` also <name>_whole, the same without the conditions of V.CUTS in view and SQL."""
+
     def add(f):
         QUERIES[name] = f
         if sql is not None:
             ORACLE_SQL[name] = sql
+        if whole:
+            QUERIES[f"{name}_whole"] = partial(f, whole=True)
+            ORACLE_SQL[f"{name}_whole"] = V.uncut(sql)
         return f
 
     return add
@@ -81,14 +88,14 @@ def _(s, d):
 EXACT_SQL = f"WITH i AS ({V.USERS_SQL}), g AS (SELECT container, list_sort(list(DISTINCT content_id)) AS sig FROM i GROUP BY 1), k AS (SELECT sig, min(container) AS cluster_key, count(*) AS size FROM g GROUP BY 1 HAVING count(*) > 1) SELECT cluster_key, container, size FROM g JOIN k USING (sig)"
 
 
-@query("g3_exact_clusters", EXACT_SQL)
-def _(s, d):
-    return relations.exact_clusters(V.users(s, d))
+@query("g3_exact_clusters", EXACT_SQL, whole=True)
+def _(s, d, whole=False):
+    return relations.exact_clusters(V.users(s, d, whole))
 
 
-@query("a5_cluster_sizes", f"SELECT size, count(*) AS clusters FROM (SELECT cluster_key, count(*) AS size FROM ({EXACT_SQL}) GROUP BY 1) GROUP BY 1")
-def _(s, d):
-    return relations.size_distribution(relations.exact_clusters(V.users(s, d)))
+@query("a5_cluster_sizes", f"SELECT size, count(*) AS clusters FROM (SELECT cluster_key, count(*) AS size FROM ({EXACT_SQL}) GROUP BY 1) GROUP BY 1", whole=True)
+def _(s, d, whole=False):
+    return relations.size_distribution(relations.exact_clusters(V.users(s, d, whole)))
 
 
 # edges along a chain of nations and their regions' suppliers: components by region of suppliers and customers in debt
@@ -490,9 +497,9 @@ def _(s, d):
     return compare.root_pairs(V.table(s, d, "nation").select(F.col("n_regionkey").alias("component"), F.col("n_nationkey").alias("root")))
 
 
-@query("j21_binding_variants", "WITH a AS (SELECT l_suppkey AS key, list_sort(list(DISTINCT l_linenumber)) AS t FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 40 = 0 GROUP BY 1), b AS (SELECT l_suppkey AS key, list_sort(list(DISTINCT l_linenumber)) AS t FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 40 = 0 GROUP BY 1) SELECT key FROM a JOIN b USING (key) WHERE a.t <> b.t")
-def _(s, d):
-    x = V.table(s, d, "lineitem").where("l_partkey % 40 = 0")
+@query("j21_binding_variants", "WITH a AS (SELECT l_suppkey AS key, list_sort(list(DISTINCT l_linenumber)) AS t FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 40 = 0 GROUP BY 1), b AS (SELECT l_suppkey AS key, list_sort(list(DISTINCT l_linenumber)) AS t FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 40 = 0 GROUP BY 1) SELECT key FROM a JOIN b USING (key) WHERE a.t <> b.t", whole=True)
+def _(s, d, whole=False):
+    x = V.table(s, d, "lineitem").where(V.kept("bindings", whole))
     of = lambda f: x.where(F.col("l_returnflag") == f).select(F.col("l_suppkey").alias("key"), F.col("l_linenumber").alias("target"))
     return compare.binding_variants(of("A"), of("R"))
 

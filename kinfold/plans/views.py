@@ -6,6 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Conditions by which views and their SQL keep a part of a table; the queries named *_whole go without them.
+CUTS = {"users": "event_id % 10 = 0", "bindings": "l_partkey % 40 = 0"}
+
+
+def kept(view: str, whole: bool) -> str:
+    return "true" if whole else CUTS[view]
+
+
+def uncut(sql: str) -> str:
+    """sql over whole tables; raises if it holds none of CUTS."""
+    out = sql
+    for condition in CUTS.values():
+        out = out.replace(condition, "true")
+    if out == sql:
+        raise ValueError("no condition to drop")
+    return out
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -36,8 +54,8 @@ def baskets(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("container"), F.col("l_partkey").alias("content_id"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("path"))
 
 
-def users(spark, d) -> DataFrame:
-    return table(spark, d, "events").where("event_id % 10 = 0").select(F.col("user_id").alias("container"), F.col("event_type").alias("content_id"), F.col("event_id").cast("string").alias("path"))
+def users(spark, d, whole=False) -> DataFrame:
+    return table(spark, d, "events").where(kept("users", whole)).select(F.col("user_id").alias("container"), F.col("event_type").alias("content_id"), F.col("event_id").cast("string").alias("path"))
 
 
 def tree(spark, d, flag: str) -> DataFrame:

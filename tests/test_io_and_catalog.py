@@ -2,13 +2,14 @@
 
 import json
 import os
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kinfold.plans import catalog
+from kinfold.plans import catalog, views
 from kinfold.sources import files, sinks
 from kinfold.streaming import ingest
 
@@ -108,3 +109,14 @@ def test_windows_of_stream(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("SELECT sum(n) AS n FROM w").first().n == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_whole_events_and_lines(spark, duck):
+    assert {"g3_exact_clusters_whole", "a5_cluster_sizes_whole", "j21_binding_variants_whole"} <= set(catalog.QUERIES)
+    assert not any(c in catalog.ORACLE_SQL[n] for n in catalog.QUERIES if n.endswith("_whole") for c in views.CUTS.values())
+    sets = {}
+    for user, kind in duck.sql("SELECT user_id, event_type FROM events").fetchall():
+        sets.setdefault(user, set()).add(kind)
+    alike = Counter(frozenset(x) for x in sets.values())
+    got = {r.container: r["size"] for r in catalog.QUERIES["g3_exact_clusters_whole"](spark, SF).collect()}
+    assert got == {u: alike[frozenset(x)] for u, x in sets.items() if alike[frozenset(x)] > 1}
