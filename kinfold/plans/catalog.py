@@ -60,9 +60,9 @@ def _(s, d):
     return relations.pairs(V.brands(s, d))
 
 
-@query("j1_supplier_pairs", pairs_sql(V.SUPPLIERS_SQL))
-def _(s, d):
-    return relations.pairs(V.suppliers(s, d))
+@query("j1_supplier_pairs", pairs_sql(V.SUPPLIERS_SQL), whole=True)
+def _(s, d, whole=False):
+    return relations.pairs(V.suppliers(s, d, whole))
 
 
 @query("j1_basket_pairs", pairs_sql(V.BASKETS_SQL))
@@ -80,9 +80,9 @@ def _(s, d):
     return relations.containers(ok(V.documents(s, d)))
 
 
-@query("a4_label_counts", f"SELECT l.relationship, coalesce(n, 0) AS n FROM (VALUES ('EXACT_CHART_SET'), ('A_SUBSET_OF_B'), ('B_SUBSET_OF_A'), ('HIGH_OVERLAP'), ('MEDIUM_OVERLAP'), ('SHARED_CHARTS')) l(relationship) LEFT JOIN (SELECT relationship, count(*) AS n FROM ({pairs_sql(V.SUPPLIERS_SQL)}) GROUP BY 1) USING (relationship)")
-def _(s, d):
-    return relations.label_counts(relations.pairs(V.suppliers(s, d)))
+@query("a4_label_counts", f"SELECT l.relationship, coalesce(n, 0) AS n FROM (VALUES ('EXACT_CHART_SET'), ('A_SUBSET_OF_B'), ('B_SUBSET_OF_A'), ('HIGH_OVERLAP'), ('MEDIUM_OVERLAP'), ('SHARED_CHARTS')) l(relationship) LEFT JOIN (SELECT relationship, count(*) AS n FROM ({pairs_sql(V.SUPPLIERS_SQL)}) GROUP BY 1) USING (relationship)", whole=True)
+def _(s, d, whole=False):
+    return relations.label_counts(relations.pairs(V.suppliers(s, d, whole)))
 
 
 EXACT_SQL = f"WITH i AS ({V.USERS_SQL}), g AS (SELECT container, list_sort(list(DISTINCT content_id)) AS sig FROM i GROUP BY 1), k AS (SELECT sig, min(container) AS cluster_key, count(*) AS size FROM g GROUP BY 1 HAVING count(*) > 1) SELECT cluster_key, container, size FROM g JOIN k USING (sig)"
@@ -105,15 +105,15 @@ RELATED_SQL = """WITH RECURSIVE e0 AS (SELECT DISTINCT o_custkey % 997 AS x, (o_
  SELECT min(y) AS cluster_key, x AS container FROM r GROUP BY x"""
 
 
-@query("g1_related_clusters", RELATED_SQL)
-def _(s, d):
-    o = V.table(s, d, "orders").where("o_totalprice > 300000")
+@query("g1_related_clusters", RELATED_SQL, whole=True)
+def _(s, d, whole=False):
+    o = V.table(s, d, "orders").where(V.kept("related", whole))
     return relations.related_clusters(o.select((F.col("o_custkey") % 997).alias("a"), ((F.col("o_custkey") * 7 + 3) % 997).alias("b")))
 
 
-@query("w1_cluster_ids", f"WITH c AS ({RELATED_SQL}) SELECT 'RELATED' AS kind, printf('RELATED_%06d', dense_rank() OVER (ORDER BY cluster_key)) AS cluster_id, container FROM c")
-def _(s, d):
-    return relations.numbered(QUERIES["g1_related_clusters"](s, d), "RELATED")
+@query("w1_cluster_ids", f"WITH c AS ({RELATED_SQL}) SELECT 'RELATED' AS kind, printf('RELATED_%06d', dense_rank() OVER (ORDER BY cluster_key)) AS cluster_id, container FROM c", whole=True)
+def _(s, d, whole=False):
+    return relations.numbered(QUERIES["g1_related_clusters_whole" if whole else "g1_related_clusters"](s, d), "RELATED")
 
 
 @query("a6_summary", f"""WITH i AS ({V.DOCUMENTS_SQL}) SELECT count(*) FILTER (WHERE present) AS current, count(*) FILTER (WHERE present AND status = 'OK') AS verified,
@@ -163,19 +163,19 @@ MERGE_SQL = f"""WITH {V.SNAPSHOT_SQL}, j AS (SELECT coalesce(s.path, o.path) AS
   outcome IN ('NEW', 'REUSED', 'CHANGED', 'HASHED') AS present, outcome FROM k"""
 
 
-def merged(s, d) -> DataFrame:
-    old, new = V.snapshots(s, d)
+def merged(s, d, whole=False) -> DataFrame:
+    old, new = V.snapshots(s, d, whole)
     return index.merge(old, new, 2, active_roots=s.createDataFrame([("/lib0",), ("/lib1",)], "root string"))
 
 
-@query("j2_index_merge", MERGE_SQL)
-def _(s, d):
-    return merged(s, d)
+@query("j2_index_merge", MERGE_SQL, whole=True)
+def _(s, d, whole=False):
+    return merged(s, d, whole)
 
 
-@query("a7_scan_statistics", f"SELECT {', '.join(f'''count(*) FILTER (WHERE outcome = '{x}') AS {x.lower()}''' for x in ('NEW', 'REUSED', 'CHANGED', 'HASHED', 'MISSING', 'UNVERIFIED', 'INACTIVE'))} FROM ({MERGE_SQL})")
-def _(s, d):
-    return index.statistics(merged(s, d))
+@query("a7_scan_statistics", f"SELECT {', '.join(f'''count(*) FILTER (WHERE outcome = '{x}') AS {x.lower()}''' for x in ('NEW', 'REUSED', 'CHANGED', 'HASHED', 'MISSING', 'UNVERIFIED', 'INACTIVE'))} FROM ({MERGE_SQL})", whole=True)
+def _(s, d, whole=False):
+    return index.statistics(merged(s, d, whole))
 
 
 DIFF_SQL = f"""WITH a AS ({V.TREE_SQL.format('A')}), b AS ({V.TREE_SQL.format('R')}) SELECT coalesce(a.path, b.path) AS path, a.kind AS kind_a, b.kind AS kind_b, a.digest AS digest_a, b.digest AS digest_b, a.is_item AS item_a, b.is_item AS item_b,
@@ -254,9 +254,9 @@ def _(s, d):
     return compare.alias_conflicts(x)
 
 
-@query("j7_revalidation", f"WITH {V.SNAPSHOT_SQL} SELECT coalesce(o.path, s.path) AS path, o.content_id AS expected, s.content_id AS observed, CASE WHEN s.path IS NULL THEN 'MISSING' WHEN o.path IS NULL THEN 'UNEXPECTED' WHEN o.content_id = s.content_id THEN 'MATCH' ELSE 'CHANGED' END AS state FROM o FULL JOIN s ON o.path = s.path")
-def _(s, d):
-    old, new = V.snapshots(s, d)
+@query("j7_revalidation", f"WITH {V.SNAPSHOT_SQL} SELECT coalesce(o.path, s.path) AS path, o.content_id AS expected, s.content_id AS observed, CASE WHEN s.path IS NULL THEN 'MISSING' WHEN o.path IS NULL THEN 'UNEXPECTED' WHEN o.content_id = s.content_id THEN 'MATCH' ELSE 'CHANGED' END AS state FROM o FULL JOIN s ON o.path = s.path", whole=True)
+def _(s, d, whole=False):
+    old, new = V.snapshots(s, d, whole)
     return compare.revalidated(old.withColumnRenamed("content_id", "digest"), new.withColumnRenamed("content_id", "digest"))
 
 
@@ -294,32 +294,32 @@ def _(s, d):
     return o.select("o_orderkey", C.ticks_to_text(F.col("ticks")).alias("text"), C.ticks_to_timestamp(F.col("ticks")).cast("timestamp_ntz").alias("instant"))
 
 
-def conflict_paths(s, d) -> DataFrame:
-    r = V.roots(s, d)
+def conflict_paths(s, d, whole=False) -> DataFrame:
+    r = V.roots(s, d, whole)
     return r.groupBy("path").agg(F.count_distinct(F.struct("kind", F.coalesce("digest", F.lit("")).alias("x"))).alias("n")).where("n > 1").select("path")
 
 
 PLAN_SQL = f"WITH e AS ({V.ROOTS_SQL}), c AS (SELECT path FROM e GROUP BY 1 HAVING count(DISTINCT kind || coalesce(digest, '')) > 1)"
 
 
-@query("a20_virtual_entries", f"{PLAN_SQL} SELECT path, min(kind) AS kind, min(digest) AS digest, count(*) AS n_sources FROM e WHERE path NOT IN (SELECT path FROM c) GROUP BY path")
-def _(s, d):
-    return plan.virtual_entries(V.roots(s, d), conflict_paths(s, d)).drop("sources")
+@query("a20_virtual_entries", f"{PLAN_SQL} SELECT path, min(kind) AS kind, min(digest) AS digest, count(*) AS n_sources FROM e WHERE path NOT IN (SELECT path FROM c) GROUP BY path", whole=True)
+def _(s, d, whole=False):
+    return plan.virtual_entries(V.roots(s, d, whole), conflict_paths(s, d, whole)).drop("sources")
 
 
-@query("c6_ledger", f"{PLAN_SQL} SELECT root, path, CASE WHEN path IN (SELECT path FROM c) THEN 'BLOCKED_CONFLICT' ELSE 'REPRESENTED_VIRTUALLY' END AS disposition FROM e")
-def _(s, d):
-    return plan.ledger(V.roots(s, d), conflict_paths(s, d)).drop("entry")
+@query("c6_ledger", f"{PLAN_SQL} SELECT root, path, CASE WHEN path IN (SELECT path FROM c) THEN 'BLOCKED_CONFLICT' ELSE 'REPRESENTED_VIRTUALLY' END AS disposition FROM e", whole=True)
+def _(s, d, whole=False):
+    return plan.ledger(V.roots(s, d, whole), conflict_paths(s, d, whole)).drop("entry")
 
 
-@query("a21_plan_counts", f"{PLAN_SQL}, v AS (SELECT path, count(*) AS n FROM e WHERE path NOT IN (SELECT path FROM c) GROUP BY 1) SELECT (SELECT count(*) FROM e) AS entries, (SELECT count(*) FROM e WHERE path IN (SELECT path FROM c)) AS blocked, (SELECT count(*) FROM e WHERE is_item) AS items, count(*) AS targets, count(*) FILTER (WHERE n >= 2) AS shared, count(*) FILTER (WHERE n = 1) AS exclusive FROM v")
-def _(s, d):
-    return plan.plan_counts(V.roots(s, d), conflict_paths(s, d))
+@query("a21_plan_counts", f"{PLAN_SQL}, v AS (SELECT path, count(*) AS n FROM e WHERE path NOT IN (SELECT path FROM c) GROUP BY 1) SELECT (SELECT count(*) FROM e) AS entries, (SELECT count(*) FROM e WHERE path IN (SELECT path FROM c)) AS blocked, (SELECT count(*) FROM e WHERE is_item) AS items, count(*) AS targets, count(*) FILTER (WHERE n >= 2) AS shared, count(*) FILTER (WHERE n = 1) AS exclusive FROM v", whole=True)
+def _(s, d, whole=False):
+    return plan.plan_counts(V.roots(s, d, whole), conflict_paths(s, d, whole))
 
 
-@query("v15_plan_violations", f"SELECT '' AS code, '' AS key FROM ({V.ROOTS_SQL}) WHERE false")
-def _(s, d):
-    r, c = V.roots(s, d), conflict_paths(s, d)
+@query("v15_plan_violations", f"SELECT '' AS code, '' AS key FROM ({V.ROOTS_SQL}) WHERE false", whole=True)
+def _(s, d, whole=False):
+    r, c = V.roots(s, d, whole), conflict_paths(s, d, whole)
     return plan.verify_plan(r, plan.virtual_entries(r, c), plan.ledger(r, c))
 
 
@@ -327,24 +327,24 @@ SUBSETS_SQL = f"""WITH e AS ({V.ROOTS_SQL}), m AS (SELECT CAST(unnest(range(1, 1
  SELECT mask, max(n) = 1 AS compatible FROM x GROUP BY 1"""
 
 
-@query("g5_subset_lattice", SUBSETS_SQL)
-def _(s, d):
-    return plan.subsets(V.roots(s, d))
+@query("g5_subset_lattice", SUBSETS_SQL, whole=True)
+def _(s, d, whole=False):
+    return plan.subsets(V.roots(s, d, whole))
 
 
-@query("g6_maximal_groups", f"WITH l AS (SELECT mask FROM ({SUBSETS_SQL}) WHERE compatible) SELECT mask FROM l WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.mask <> l.mask AND b.mask & l.mask = l.mask)")
-def _(s, d):
-    return plan.maximal(plan.subsets(V.roots(s, d)))
+@query("g6_maximal_groups", f"WITH l AS (SELECT mask FROM ({SUBSETS_SQL}) WHERE compatible) SELECT mask FROM l WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.mask <> l.mask AND b.mask & l.mask = l.mask)", whole=True)
+def _(s, d, whole=False):
+    return plan.maximal(plan.subsets(V.roots(s, d, whole)))
 
 
-@query("w3_variants", f"WITH e AS ({V.ROOTS_SQL}), g AS (SELECT path, digest, array_to_string(list_sort(list(DISTINCT root)), ',') AS roots FROM e WHERE kind = 'REGULAR_FILE' GROUP BY 1, 2), n AS (SELECT path FROM g GROUP BY 1 HAVING count(*) > 1) SELECT path, '_variants/' || lpad(CAST(row_number() OVER (PARTITION BY path ORDER BY digest) AS VARCHAR), 3, '0') AS variant, digest, roots FROM g WHERE path IN (SELECT path FROM n)")
-def _(s, d):
-    return plan.variants(V.roots(s, d)).withColumn("roots", F.array_join("roots", ","))
+@query("w3_variants", f"WITH e AS ({V.ROOTS_SQL}), g AS (SELECT path, digest, array_to_string(list_sort(list(DISTINCT root)), ',') AS roots FROM e WHERE kind = 'REGULAR_FILE' GROUP BY 1, 2), n AS (SELECT path FROM g GROUP BY 1 HAVING count(*) > 1) SELECT path, '_variants/' || lpad(CAST(row_number() OVER (PARTITION BY path ORDER BY digest) AS VARCHAR), 3, '0') AS variant, digest, roots FROM g WHERE path IN (SELECT path FROM n)", whole=True)
+def _(s, d, whole=False):
+    return plan.variants(V.roots(s, d, whole)).withColumn("roots", F.array_join("roots", ","))
 
 
-@query("w6_copy_source", f"SELECT path, min(root) AS root FROM ({V.ROOTS_SQL}) GROUP BY 1")
-def _(s, d):
-    return plan.copy_source(V.roots(s, d)).drop("entry")
+@query("w6_copy_source", f"SELECT path, min(root) AS root FROM ({V.ROOTS_SQL}) GROUP BY 1", whole=True)
+def _(s, d, whole=False):
+    return plan.copy_source(V.roots(s, d, whole)).drop("entry")
 
 
 @query("w4_prefix_labels", "SELECT event_id, coalesce(array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ','), '') AS earlier FROM events")
@@ -530,9 +530,9 @@ def _(s, d):
     return x.join(V.table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("component")), F.col("l_orderkey") == F.col("o_orderkey")).select("component", "root").distinct()
 
 
-@query("j13_digest_crosscheck", f"WITH {V.SNAPSHOT_SQL} SELECT s.path, s.content_id IS NOT DISTINCT FROM o.content_id AS same FROM s LEFT JOIN o ON s.path = o.path")
-def _(s, d):
-    old, new = V.snapshots(s, d)
+@query("j13_digest_crosscheck", f"WITH {V.SNAPSHOT_SQL} SELECT s.path, s.content_id IS NOT DISTINCT FROM o.content_id AS same FROM s LEFT JOIN o ON s.path = o.path", whole=True)
+def _(s, d, whole=False):
+    old, new = V.snapshots(s, d, whole)
     o = old.select("path", F.col("content_id").alias("before"))
     return new.join(o, "path", "left").select("path", F.col("content_id").eqNullSafe(F.col("before")).alias("same"))
 
@@ -543,9 +543,9 @@ def _(s, d):
     return V.tree(s, d, "A").agg(F.count_if(file).alias("files"), F.count_if(~file).alias("directories"), F.sum(F.when(file, F.length("path"))).alias("bytes"))
 
 
-@query("a10_shared_paths", f"WITH e AS ({V.ROOTS_SQL}), g AS (SELECT path, count(*) AS n, min(length(path)) AS b FROM e GROUP BY 1) SELECT count(*) FILTER (WHERE n > 1) AS shared, CAST(sum(b) AS BIGINT) AS union_bytes FROM g")
-def _(s, d):
-    g = V.roots(s, d).groupBy("path").agg(F.count("*").alias("n"), F.min(F.length("path")).alias("b"))
+@query("a10_shared_paths", f"WITH e AS ({V.ROOTS_SQL}), g AS (SELECT path, count(*) AS n, min(length(path)) AS b FROM e GROUP BY 1) SELECT count(*) FILTER (WHERE n > 1) AS shared, CAST(sum(b) AS BIGINT) AS union_bytes FROM g", whole=True)
+def _(s, d, whole=False):
+    g = V.roots(s, d, whole).groupBy("path").agg(F.count("*").alias("n"), F.min(F.length("path")).alias("b"))
     return g.agg(F.count_if(F.col("n") > 1).alias("shared"), F.sum("b").alias("union_bytes"))
 
 
@@ -572,9 +572,9 @@ def _(s, d):
     return index.with_interrupted(runs)
 
 
-@query("o8_creation_order", f"SELECT path, CAST(len(string_split(path, '/')) - 1 AS INT) AS depth FROM ({V.ROOTS_SQL}) WHERE root = 0")
-def _(s, d):
-    return V.roots(s, d).where("root = 0").select("path", C.depth(F.col("path")).alias("depth")).orderBy("depth", "path")
+@query("o8_creation_order", f"SELECT path, CAST(len(string_split(path, '/')) - 1 AS INT) AS depth FROM ({V.ROOTS_SQL}) WHERE root = 0", whole=True)
+def _(s, d, whole=False):
+    return V.roots(s, d, whole).where("root = 0").select("path", C.depth(F.col("path")).alias("depth")).orderBy("depth", "path")
 
 
 @query("p9_projections", f"WITH a AS ({V.TREE_SQL.format('A')}), f AS (SELECT * FROM a WHERE kind = 'REGULAR_FILE') SELECT 'FULL' AS projection, count(*) AS n FROM f UNION ALL SELECT 'NON_CHART', count(*) FROM f WHERE NOT is_item")
@@ -584,9 +584,9 @@ def _(s, d):
     return f.select(p.alias("projection")).groupBy("projection").agg(F.count("*").alias("n"))
 
 
-@query("p11_container_candidates", f"SELECT root, CASE WHEN count(DISTINCT split_part(path, '/', 1)) > 1 THEN 'MULTIPLE' ELSE 'SINGLE' END AS state FROM ({V.ROOTS_SQL}) GROUP BY 1")
-def _(s, d):
-    return V.roots(s, d).groupBy("root").agg(F.when(F.count_distinct(F.substring_index("path", "/", 1)) > 1, "MULTIPLE").otherwise("SINGLE").alias("state"))
+@query("p11_container_candidates", f"SELECT root, CASE WHEN count(DISTINCT split_part(path, '/', 1)) > 1 THEN 'MULTIPLE' ELSE 'SINGLE' END AS state FROM ({V.ROOTS_SQL}) GROUP BY 1", whole=True)
+def _(s, d, whole=False):
+    return V.roots(s, d, whole).groupBy("root").agg(F.when(F.count_distinct(F.substring_index("path", "/", 1)) > 1, "MULTIPLE").otherwise("SINGLE").alias("state"))
 
 
 @query("v8_coverage_gaps", "WITH e AS (SELECT n_regionkey AS component, n_nationkey AS root FROM nation), m AS (SELECT DISTINCT component FROM e WHERE root % 7 = 0) SELECT component, 'ROOT_WITHOUT_OUTCOME' AS code FROM m UNION ALL SELECT component, 'PAIRS_INCOMPLETE' FROM (SELECT component, count(*) AS n FROM e GROUP BY 1) WHERE component % 2 = 1 AND n > 1")
@@ -647,19 +647,19 @@ def _(s, d):
     return relations.incomplete_containers(V.documents(s, d), scan_diagnostics(s, d))
 
 
-@query("p5_reused_rows", f"SELECT path, content_id FROM ({MERGE_SQL}) WHERE outcome = 'REUSED'")
-def _(s, d):
-    return merged(s, d).where("outcome = 'REUSED'").select("path", "content_id")
+@query("p5_reused_rows", f"SELECT path, content_id FROM ({MERGE_SQL}) WHERE outcome = 'REUSED'", whole=True)
+def _(s, d, whole=False):
+    return merged(s, d, whole).where("outcome = 'REUSED'").select("path", "content_id")
 
 
-@query("p4_unseen_rows", f"SELECT path, outcome FROM ({MERGE_SQL}) WHERE outcome IN ('MISSING', 'INACTIVE')")
-def _(s, d):
-    return merged(s, d).where("outcome IN ('MISSING', 'INACTIVE')").select("path", "outcome")
+@query("p4_unseen_rows", f"SELECT path, outcome FROM ({MERGE_SQL}) WHERE outcome IN ('MISSING', 'INACTIVE')", whole=True)
+def _(s, d, whole=False):
+    return merged(s, d, whole).where("outcome IN ('MISSING', 'INACTIVE')").select("path", "outcome")
 
 
-@query("p13_subset_edges", f"SELECT CASE WHEN relationship = 'A_SUBSET_OF_B' THEN a ELSE b END AS inner_, CASE WHEN relationship = 'A_SUBSET_OF_B' THEN b ELSE a END AS outer_ FROM ({pairs_sql(V.SUPPLIERS_SQL)}) WHERE relationship IN ('A_SUBSET_OF_B', 'B_SUBSET_OF_A')")
-def _(s, d):
-    p, first = relations.pairs(V.suppliers(s, d)), F.col("relationship") == "A_SUBSET_OF_B"
+@query("p13_subset_edges", f"SELECT CASE WHEN relationship = 'A_SUBSET_OF_B' THEN a ELSE b END AS inner_, CASE WHEN relationship = 'A_SUBSET_OF_B' THEN b ELSE a END AS outer_ FROM ({pairs_sql(V.SUPPLIERS_SQL)}) WHERE relationship IN ('A_SUBSET_OF_B', 'B_SUBSET_OF_A')", whole=True)
+def _(s, d, whole=False):
+    p, first = relations.pairs(V.suppliers(s, d, whole)), F.col("relationship") == "A_SUBSET_OF_B"
     return p.where(F.col("relationship").isin("A_SUBSET_OF_B", "B_SUBSET_OF_A")).select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("inner_"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("outer_"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 #: Conditions by which views and their SQL keep a part of a table; the queries named *_whole go without them.
-CUTS = {"users": "event_id % 10 = 0", "bindings": "l_partkey % 40 = 0"}
+CUTS = {"users": "event_id % 10 = 0", "bindings": "l_partkey % 40 = 0", "suppliers": "l_linenumber = 1", "snapshots": "event_id % 7 < 4", "roots": "p_size <= 8", "gap": "NOT (root = 3 AND p_size < 5)", "related": "o_totalprice > 300000"}
 
 
 def kept(view: str, whole: bool) -> str:
@@ -43,8 +43,8 @@ def brands(spark, d) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_brand").alias("container"), F.col("p_size").cast("string").alias("content_id"), F.col("p_partkey").cast("string").alias("path"))
 
 
-def suppliers(spark, d) -> DataFrame:
-    x = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_suppkey", "l_partkey")
+def suppliers(spark, d, whole=False) -> DataFrame:
+    x = table(spark, d, "lineitem").where(kept("suppliers", whole)).select("l_suppkey", "l_partkey")
     p = table(spark, d, "part").select("p_partkey", "p_size")
     return x.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("container"), F.col("p_size").alias("content_id"), F.col("l_partkey").alias("path"))
 
@@ -83,12 +83,12 @@ BASKETS_SQL = "SELECT l_orderkey AS container, l_partkey AS content_id, l_orderk
 USERS_SQL = "SELECT user_id AS container, event_type AS content_id, CAST(event_id AS VARCHAR) AS path FROM events WHERE event_id % 10 = 0"
 
 
-def snapshots(spark, d) -> tuple[DataFrame, DataFrame]:
+def snapshots(spark, d, whole=False) -> tuple[DataFrame, DataFrame]:
     """Two scans of users: the index of run 1 and what run 2 sees. Users play files; size and time come from their events."""
     e = table(spark, d, "events").select(F.concat(F.lit("/lib"), (F.col("user_id") % 3).cast("string"), F.lit("/"), F.col("user_id").cast("string")).alias("path"), F.concat(F.lit("/lib"), (F.col("user_id") % 3).cast("string")).alias("root"), "event_id", "event_type")
     of = lambda cut: e.where(cut).groupBy("path", "root").agg(F.count("*").alias("size"), F.max("event_id").alias("mtime"), F.md5(F.min("event_type")).alias("content_id"))
-    old = of("event_id % 7 < 4 AND event_id % 200 < 120").withColumns({"status": F.lit("OK"), "first_seen": F.lit(1), "last_seen": F.lit(1), "present": F.lit(True)})
-    return old, of("event_id % 7 < 4 AND event_id % 200 < 160 AND event_id % 200 > 4")
+    old = of(f"{kept('snapshots', whole)} AND event_id % 200 < 120").withColumns({"status": F.lit("OK"), "first_seen": F.lit(1), "last_seen": F.lit(1), "present": F.lit(True)})
+    return old, of(f"{kept('snapshots', whole)} AND event_id % 200 < 160 AND event_id % 200 > 4")
 
 
 SNAPSHOT_SQL = """
@@ -104,11 +104,11 @@ def urls(spark, d) -> DataFrame:
 URLS_SQL = "SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages"
 
 
-def roots(spark, d) -> DataFrame:
+def roots(spark, d, whole=False) -> DataFrame:
     """Four small trees of parts by size, for the lattice: a folder, files by brand, one root at odds with another."""
-    p = table(spark, d, "part").where("p_size <= 8").select((F.col("p_partkey") % 4).cast("int").alias("root"), "p_brand", "p_size")
+    p = table(spark, d, "part").where(kept("roots", whole)).select((F.col("p_partkey") % 4).cast("int").alias("root"), "p_brand", "p_size")
     files = p.groupBy("root", "p_size").agg(F.md5(F.max("p_brand")).alias("digest"))
-    files = files.where("NOT (root = 3 AND p_size < 5)").select("root", F.concat(F.lit("s/"), F.col("p_size").cast("string")).alias("path"), F.lit("REGULAR_FILE").alias("kind"), F.when(F.col("root") < 2, F.md5(F.col("p_size").cast("string"))).otherwise(F.col("digest")).alias("digest"), (F.col("p_size") == 1).alias("is_item"))
+    files = files.where(kept("gap", whole)).select("root", F.concat(F.lit("s/"), F.col("p_size").cast("string")).alias("path"), F.lit("REGULAR_FILE").alias("kind"), F.when(F.col("root") < 2, F.md5(F.col("p_size").cast("string"))).otherwise(F.col("digest")).alias("digest"), (F.col("p_size") == 1).alias("is_item"))
     base = spark.range(4).select(F.col("id").cast("int").alias("root")).withColumn("path", F.explode(F.array(F.lit("."), F.lit("s"))))
     folders = base.select("root", "path", F.lit("DIRECTORY").alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(False).alias("is_item"))
     all_ = files.unionByName(folders)
