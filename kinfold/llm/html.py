@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHARE = 0.7
 MOST_PATHS = 16
 MIN_VOTES = 0.02
 # Fixed values of HTML: elements without content, elements in the flow of a line, elements that hold blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article body div html main section table tbody td tr center".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 # What an article is not made of, by element, by role and by word of class or id.
@@ -146,23 +146,26 @@ def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
     return out, nodes
 
 
+def article_blocks(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks that say where the article is: not mostly links, and headings or more than a word; else all but links."""
+    own = [b for b in found if 2 * b[2] < len(b[1])]
+    return [b for b in own if " " in b[1] or b[0].tag in HEADINGS] or own
+
+
+def common_path(paths) -> str:
+    first, last = (x.split(">") for x in (min(paths), max(paths)))
+    n = next((i for i, (a, b) in enumerate(zip(first, last)) if a != b), min(len(first), len(last)))
+    return ">".join(first[:n])
+
+
 def best_path(found: list[tuple[Node, str, int]]) -> str | None:
-    """The deepest container path that holds SHARE of the page's text outside links."""
-    totals: dict[str, int] = {}
-    whole = 0
-    for node, text, linked in found:
-        n = max(0, len(text) - 2 * linked)
-        whole += n
-        seen = None
-        while node is not None:
-            if node.path != seen:
-                totals[node.path] = totals.get(node.path, 0) + n
-                seen = node.path
-            node = node.parent
-    if not whole:
+    """The lowest container path that holds all article blocks, and what stands beside it right in a container around it."""
+    wanted = {n.path for n, _, _ in article_blocks(found)}
+    if not wanted:
         return None
-    good = [p for p, n in totals.items() if n >= SHARE * whole]
-    return max(good, key=lambda p: (p.count(">"), totals[p], p))
+    best = common_path(wanted)
+    around = [n.path for n, text, linked in found if 2 * linked < len(text) and under(best, n.path)]
+    return min([best, *around], key=len)
 
 
 def under(path: str, top: str) -> bool:
@@ -178,29 +181,50 @@ def host_of(url="url"):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, paths: the container paths that get at least MIN_VOTES of the host's votes, most votes first, at most MOST_PATHS.
+    """host, paths, outside: the container paths with at least MIN_VOTES of the host's votes, most votes first, at most
+    MOST_PATHS, and those that more of its pages leave out of their path than take in.
 
     Each page with text has a vote. Votes are counted map-side, so a host of any size is a few rows.
     """
 
     def vote(batches):
         for part in common.slices(batches, "html"):
-            chosen = [best_path(blocks(x)[0]) for x in common.strings(part, "html")]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chosen, pa.string())], names=["host", "path"])
-
-    votes = pages.select(host_of().alias("host"), "html").mapInArrow(vote, "host string, path string")
-    votes = votes.where("path IS NOT NULL AND host <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
+            rows = []
+            for host, page in zip(part.column(0).to_pylist(), common.strings(part, "html")):
+                found, _ = blocks(page)
+                best = best_path(found)
+                if best is not None and host:
+                    rows.append((host, best, 1, 0))
+                    rows += [(host, p, 0, 1 if under(p, best) else -1) for p in {n.path for n, _, _ in found}]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["host", "path", "vote", "inside"])
+
+    votes = pages.select(host_of().alias("host"), "html").mapInArrow(vote, "host string, path string, vote int, inside int")
+    votes = votes.groupBy("host", "path").agg(F.sum("vote").alias("n"), F.sum("inside").alias("inside"), F.count_if(F.col("inside") < 0).alias("out"))
     by = Window.partitionBy("host")
-    votes = votes.withColumn("all", F.sum("n").over(by)).where(F.col("n") >= MIN_VOTES * F.col("all"))
-    votes = votes.withColumn("k", F.row_number().over(by.orderBy(F.desc("n"), "path"))).where(F.col("k") <= MOST_PATHS)
-    return votes.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("k", "path"))).alias("p")).select("host", F.col("p.path").alias("paths"))
+    votes = votes.withColumn("all", F.sum("n").over(by)).withColumn("k", F.row_number().over(by.orderBy(F.desc("n"), "path")))
+    won = (F.col("n") >= MIN_VOTES * F.col("all")) & (F.col("k") <= MOST_PATHS)
+    out = (F.col("inside") < 0) & (F.col("out") >= MIN_VOTES * F.col("all"))
+    votes = votes.where(won | out).groupBy("host").agg(F.array_sort(F.collect_list(F.when(won, F.struct("k", "path")))).alias("p"), F.array_sort(F.collect_list(F.when(out, F.col("path")))).alias("outside"))
+    return votes.select("host", F.col("p.path").alias("paths"), "outside")
+
+
+def chosen_path(found: list[tuple[Node, str, int]], paths, outside) -> str | None:
+    """The first of paths that the page has with text and that holds the page's article blocks, save those `outside`;
+    else the page's own best path."""
+    have, own = {n.path for n, _, _ in found}, {n.path for n, _, _ in article_blocks(found)}
+    wanted = own - set(outside or ())
+    for p in () if own and not wanted else paths or ():
+        if any(under(h, p) for h in have) and all(under(h, p) for h in wanted):
+            return p
+    return best_path(found)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, path for each row of pages.
 
-    The text is that under the host's first winning path which the page has with text; a page with none of them, or
-    without a host, goes by its own best path. Null or empty html gives an empty text. Repeated rows return as often
+    The text is that under the host's first winning path which holds the page's article, as far as the host's pages
+    don't leave its containers out; a page with none of them, or without a host, goes by its own best path. Null or empty html gives an empty text. Repeated rows return as often
     as they occur and vote each; no rows give no rows; extra columns are ignored.
     """
     paths = common.small_or_not(common.checkpointed(host_paths(pages)).withColumnRenamed("host", "_host"), 50_000)
@@ -209,16 +233,14 @@ def extracted(pages: DataFrame) -> DataFrame:
     def read(batches):
         for part in common.slices(batches, "html"):
             texts, used = [], []
-            for page, wanted in zip(common.strings(part, "html"), part.column(3).to_pylist()):
+            for page, paths, outside in zip(common.strings(part, "html"), part.column(3).to_pylist(), part.column(4).to_pylist()):
                 found, _ = blocks(page)
-                have = {n.path for n, _, _ in found}
-                path = next((p for p in wanted or () if any(under(h, p) for h in have)), None)
-                path = path if path is not None else best_path(found)
+                path = chosen_path(found, paths, outside)
                 texts.append(text_at(found, path))
                 used.append(path)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(used, pa.string())], names=["page_id", "url", "text", "n_chars", "path"])
 
-    joined = pages.select("page_id", "url", "html", host_of().alias("_h")).join(paths, F.col("_h") == F.col("_host"), "left").select("page_id", "url", "html", "paths")
+    joined = pages.select("page_id", "url", "html", host_of().alias("_h")).join(paths, F.col("_h") == F.col("_host"), "left").select("page_id", "url", "html", "paths", "outside")
     return joined.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long, path string")
 
 

@@ -274,6 +274,19 @@ def test_html_broken_markup():
         html.blocks(bad)
 
 
+def test_html_keeps_whole_articles(spark):
+    story = " ".join(["story"] * 80)
+    split = f"<html><body><article><h1>Title</h1><p>lead</p><div class=story><p>{story}</p></div></article></body></html>"
+    lead = f"<html><body><div class=page><p>lead</p><div class=story><p>{story}</p></div></div></body></html>"
+    two = f"<html><body><ul><li><a href=/>Home page</a></ul><div class=a><p>{story}</p></div><div class=b><p>the shorter section</p></div></body></html>"
+    minority = f"<html><body><div class=story><p>read more below</p></div><div class=essay><p>{story}</p></div></body></html>"
+    plain = f"<html><body><div class=story><p>{story}</p></div></body></html>"
+    rows = [(i, "http://a/", split) for i in range(5)] + [(i, "http://b/", lead) for i in range(5, 10)] + [(i, "http://c/", two) for i in range(10, 15)] + [(i, "http://d/", plain) for i in range(15, 75)] + [(75, "http://d/", minority)]
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == f"Title\nlead\n{story}" and got[5] == f"lead\n{story}" and got[15] == story
+    assert got[10].endswith(f"{story}\nthe shorter section") and got[75] == f"read more below\n{story}"
+
+
 # 6
 
 
