@@ -188,3 +188,21 @@ def outcomes(problems: DataFrame, membership: DataFrame, rank: dict[str, int]) -
     hit = membership.join(problems, "entry")
     worst = hit.groupBy("component").agg(F.max_by("outcome", order[F.col("outcome")]).alias("outcome"))
     return membership.select("component").distinct().join(worst, "component", "left").select("component", F.coalesce("outcome", F.lit("ADMITTED")).alias("outcome"))
+
+
+def stage_outcomes(stage: str, roots: DataFrame, entries: DataFrame, reads: DataFrame, verified: DataFrame, state: str) -> DataFrame:
+    """root, outcome, entries, required, successful of a stage (PREFLIGHT or CONTENT) that ended in `state`.
+
+    roots: root. entries: root, entry, kind. reads: entry, status (of charts in PREFLIGHT). verified: root.
+    """
+    good = reads.where("status = 'SUCCESS'").select("entry").distinct().withColumn("good", F.lit(True))
+    file = F.col("kind") == "REGULAR_FILE"
+    counted = file & F.col("good") if stage == "CONTENT" else F.col("good")
+    n = entries.join(good, "entry", "left").groupBy("root").agg(F.count("*").alias("entries"), F.count_if(file).alias("required"), F.count_if(counted).alias("successful"))
+    out = roots.select("root").distinct().join(n, "root", "left").fillna(0, ["entries", "required", "successful"])
+    out = out.join(verified.select("root").distinct().withColumn("ok", F.lit(True)), "root", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    if stage == "CONTENT":
+        outcome = F.lit(state) if state in ("STALE", "CANCELLED", "FAILED", "BLOCKED") else F.when(F.col("ok") & (F.col("successful") == F.col("required")), "COMPLETE").otherwise("INCOMPLETE")
+    else:
+        outcome = F.when(F.col("ok") & F.lit(state == "INCOMPLETE"), "COMPLETE").otherwise(state)
+    return out.select("root", outcome.alias("outcome"), "entries", "required", "successful")

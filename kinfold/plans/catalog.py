@@ -474,6 +474,17 @@ def _(s, d):
     return resolve.proof(resolve.usage_coverage(extract.extracted(charts(s, d))))
 
 
+@query("y12_bounded_proof", """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2), g AS (SELECT l_orderkey AS o, count(*) AS n, count(*) FILTER (WHERE p % 11 = 0) AS unbound, count(*) FILTER (WHERE p % 5 = 0) AS missing,
+ count(*) FILTER (WHERE p % 11 <> 0 AND p % 5 <> 0) AS exact, CASE WHEN l_orderkey % 2 = 0 THEN 2 ELSE 0 END AS two FROM l GROUP BY 1)
+ SELECT o || '.bms' AS path, CASE WHEN unbound + missing = 0 THEN 'PROVEN' ELSE 'NOT_PROVEN' END AS proof, CAST(n + two AS INT) AS declared, CAST(n - unbound + two AS INT) AS related, CAST(exact + two AS INT) AS ordinal,
+  CASE WHEN missing > 0 THEN 'INCOMPLETE_OR_NO_OBSERVED_BINDINGS' WHEN exact + two > 0 THEN 'COMPLETE_ORDINAL_OBSERVED_BINDINGS' ELSE 'ORDINAL_PATHS_WITHOUT_ADMITTED_USAGE_BINDING' END AS physical FROM g""")
+def _(s, d):
+    """Against an inventory without the sounds of every fifth part."""
+    p = V.table(s, d, "part").where("p_partkey % 5 <> 0").select(F.format_string("p%d.wav", F.col("p_partkey")).alias("path"))
+    inventory = p.union(s.createDataFrame([("x.wav",), ("y.wav",)], "path string"))
+    return resolve.bounded_proof(extract.extracted(charts(s, d)), inventory).select("path", "proof", "declared", "related", "ordinal", "physical")
+
+
 def references(s, d) -> DataFrame:
     p = V.table(s, d, "part")
     name = F.format_string("p%d", F.col("p_partkey"))

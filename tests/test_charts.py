@@ -6,7 +6,7 @@ import json
 import pytest
 
 from kinfold.functions import python as P
-from kinfold.operators import extract, resolve
+from kinfold.operators import compare, extract, resolve
 from kinfold.operators.resolve import ALWAYS, MAYBE, NEVER, Region, Term
 
 
@@ -197,3 +197,26 @@ def test_names_and_json(spark):
     assert [P.duplicate_keys(x) for x in ('{"a":1,"a":2}', '{"a":{"b":1}}', "{")] == ["a", "", None]
     df = spark.createDataFrame([("é",), (None,)], "s string").select(P.fold_key("s").alias("k"))
     assert [r.k for r in df.collect()] == ["É", None]
+
+
+def test_bounded_proof(spark):
+    text = b"#WAV01 k.wav\n#00111:01\n"
+    twice = b"#RANDOM 2\n#IF 1\n#WAV01 k.wav\n#ENDIF\n#IF 2\n#00111:01\n#ENDIF\n#ENDRANDOM\n"
+    files = spark.createDataFrame([(f"{x}/c.bms", bytearray(twice if x == "never" else text)) for x in ("ok", "gone", "case", "ogg", "two", "never")] + [("none/c.bms", bytearray(b"#TITLE t\n"))], "path string, content binary")
+    inventory = spark.createDataFrame([(x,) for x in ("ok/k.wav", "never/k.wav", "case/K.WAV", "ogg/k.ogg", "two/k.wav", "two/K.wav")], "path string")
+    got = {r.path.split("/")[0]: r for r in resolve.bounded_proof(extract.extracted(files), inventory).collect()}
+    assert {k for k, r in got.items() if r.proof == "PROVEN"} == {"ok"} and got["ok"].blockers == [] and (got["ok"].satisfiable, got["ok"].declared, got["ok"].related, got["ok"].observed, got["ok"].ordinal) == (1, 1, 1, 1, 1)
+    assert {k: (r.evidence[0].state, r.physical) for k, r in got.items() if r.evidence} == {
+        "ok": ("ORDINAL_EXACT_OBSERVED_MATCH", "COMPLETE_ORDINAL_OBSERVED_BINDINGS"), "gone": ("NO_OBSERVED_MATCH", "INCOMPLETE_OR_NO_OBSERVED_BINDINGS"), "case": ("WINDOWS_QUALIFIED_OBSERVED_MATCH", "QUALIFIED_WINDOWS_OBSERVED_BINDINGS"),
+        "ogg": ("ALTERNATE_EXTENSION_PROPOSALS_ONLY", "ALTERNATE_EXTENSION_PROPOSALS_ONLY_OR_MIXED"), "two": ("AMBIGUOUS_OBSERVED_MATCH", "AMBIGUOUS_OBSERVED_BINDINGS"), "never": ("ORDINAL_EXACT_OBSERVED_MATCH", "ORDINAL_PATHS_WITHOUT_ADMITTED_USAGE_BINDING"),
+    }
+    assert got["none"].physical == "NO_PHYSICAL_RESOURCE_DECLARATIONS_IN_SCOPE" and "NO_PHYSICAL_RESOURCE_BINDINGS_IN_SCOPE" in got["none"].blockers and "ORDINAL_EXACT_PHYSICAL_BINDING_COVERAGE_NOT_PROVEN" in got["case"].blockers
+
+
+def test_stage_outcomes(spark):
+    entries = spark.createDataFrame([(1, 1, "DIRECTORY"), (1, 2, "REGULAR_FILE"), (2, 3, "REGULAR_FILE")], "root int, entry int, kind string")
+    roots, reads, verified = spark.createDataFrame([(1,), (2,), (3,)], "root int"), spark.createDataFrame([(2, "SUCCESS"), (3, "ERROR")], "entry int, status string"), spark.createDataFrame([(1,), (2,)], "root int")
+    run = lambda stage, state: {tuple(r) for r in compare.stage_outcomes(stage, roots, entries, reads, verified, state).collect()}
+    assert run("CONTENT", "INCOMPLETE") == {(1, "COMPLETE", 2, 1, 1), (2, "INCOMPLETE", 1, 1, 0), (3, "INCOMPLETE", 0, 0, 0)}
+    assert run("PREFLIGHT", "INCOMPLETE") == {(1, "COMPLETE", 2, 1, 1), (2, "COMPLETE", 1, 1, 0), (3, "INCOMPLETE", 0, 0, 0)}
+    assert {x[1] for x in run("CONTENT", "STALE")} == {"STALE"}
