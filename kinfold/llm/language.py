@@ -14,11 +14,12 @@ from . import common
 
 #: Bound of the training sample, documents of each language, taken by hash of doc_id.
 TRAIN_DOCUMENTS = 1500
-#: Bound of the number of languages, most documents first.
-LANGUAGES = 120
 BUCKET_BITS = 16
 PENALTY = 12.0
 VITERBI_BYTES = 12 << 20
+#: Scores of bytes held at once, and languages counted at once by a task.
+SCORES = 1 << 24
+HELD = 128
 # First and last code point of the ranges in which scripts write letters, and the script.
 SCRIPTS = (
     (0x0041, 0x024F, "latin"), (0x0370, 0x03FF, "greek"), (0x0400, 0x052F, "cyrillic"), (0x0530, 0x058F, "armenian"), (0x0590, 0x05FF, "hebrew"),
@@ -72,9 +73,15 @@ class Model:
         """Score of each word in each language, and its letters."""
         raw = np.frombuffer(b" " + text.encode() + b" ", np.uint8)
         three, four, inside, start = grams(raw)
-        s = self.three[three]
-        s += np.where(inside[:, None], self.four[four], np.float32(0))
-        scores = np.add.reduceat(s, start, axis=0)
+        scores = np.empty((len(start), len(self.languages)), np.float32)
+        rows, i = max(1, SCORES // len(self.languages)), 0
+        while i < len(start):  # some words at a time: with many languages a row is wide
+            j = max(i + 1, int(np.searchsorted(start, start[i] + rows)))
+            a, b = start[i], start[j] if j < len(start) else len(three)
+            s = self.three[three[a:b]]
+            s += np.where(inside[a:b, None], self.four[four[a:b]], np.float32(0))
+            scores[i:j] = np.add.reduceat(s, start[i:j] - a, axis=0)
+            i = j
         letters = np.add.reduceat((raw[raw != 32] & 0xC0 != 0x80).astype(np.int64), start)
         if not text.isascii():
             self.narrow(scores, text)
@@ -102,8 +109,9 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     first = (np.cumsum(lengths) - lengths)[order]
     n, steps = lengths[order], int(lengths.max(initial=0))
     active = np.searchsorted(-n, -np.arange(steps), side="left")  # texts longer than t come first
-    back = np.zeros(scores.shape, np.uint8)
-    own = np.arange(scores.shape[1], dtype=np.uint8)
+    kind = np.uint8 if scores.shape[1] <= 256 else np.uint16 if scores.shape[1] <= 1 << 16 else np.uint32
+    back = np.zeros(scores.shape, kind)
+    own = np.arange(scores.shape[1], dtype=kind)
     v = np.zeros((len(n), scores.shape[1]), np.float32)
     for t in range(steps):
         m = active[t]
@@ -113,11 +121,11 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
             top = u.argmax(axis=1)
             jump = u[np.arange(m), top] - penalty
             stay = u >= jump[:, None]
-            back[at] = np.where(stay, own, top[:, None].astype(np.uint8))
+            back[at] = np.where(stay, own, top[:, None].astype(kind))
             u = np.where(stay, u, jump[:, None])
         v[:m] = u + scores[at]
-    label = np.zeros(len(scores), np.uint8)
-    now = v.argmax(axis=1).astype(np.uint8)
+    label = np.zeros(len(scores), kind)
+    now = v.argmax(axis=1).astype(kind)
     for t in range(steps - 1, -1, -1):
         m = active[t]
         at = first[:m] + t
@@ -129,15 +137,18 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 def sample(docs: DataFrame, most: int) -> DataFrame:
     """At most about `most` documents of each language outside the held-out fold, by hash of doc_id."""
     fit = docs.where(~common.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    sizes = fit.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = fit.groupBy("lang").agg(F.count("*").alias("n"))
     u = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return fit.join(F.broadcast(sizes), "lang").where(u * F.col("n") < most).select("lang", "text")  # sizes has LANGUAGES rows at most
+    return fit.join(common.small_or_not(common.checkpointed(sizes), 50_000), "lang").where(u * F.col("n") < most).select("lang", "text")
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> Model:
-    """Counts of hashed byte n-grams of each language over the sample; the driver gets LANGUAGES arrays of fixed size."""
+    """Counts of hashed byte n-grams of each language over the sample; the driver gets arrays of fixed size for each language."""
     buckets = 1 << BUCKET_BITS
 
+    def rows_of(held: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([common.shrunk(v[0]) for v in held.values()]), pa.array([v[1].tobytes() for v in held.values()])], names=["lang", "grams", "scripts"])
+
     def count(batches):
         held: dict[str, list] = {}
         for part in common.slices(batches, "text", 1 << 20):
@@ -154,31 +165,38 @@ def train(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> Model:
                     k = scripts_of(c)
                     if k:
                         row[1][k.bit_length() - 1] += joined.count(c)
+                if len(held) >= HELD:
+                    yield rows_of(held)
+                    held = {}
         if held:
-            langs = list(held)
-            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array([held[x][0].tobytes() for x in langs]), pa.array([held[x][1].tobytes() for x in langs])], names=["lang", "grams", "scripts"])
+            yield rows_of(held)
 
-    def add(batches):
-        held: dict[str, list] = {}
+    def add(batches):  # sorted by language
+        last, row = None, None
         for b in batches:
             for lang, g, s in zip(*(c.to_pylist() for c in b.columns)):
-                row = held.setdefault(lang, [0, 0])
-                row[0], row[1] = row[0] + np.frombuffer(g, np.int64), row[1] + np.frombuffer(s, np.int64)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held)), *(pa.array([v[i].tobytes() for v in held.values()]) for i in (0, 1))], names=["lang", "grams", "scripts"])
+                if lang != last and row is not None:
+                    yield rows_of({last: row})
+                    row = None
+                row = row or [0, 0]
+                last, row = lang, [row[0] + common.unpacked(g).astype(np.int64), row[1] + np.frombuffer(s, np.int64)]
+        if row is not None:
+            yield rows_of({last: row})
 
     schema = "lang string, grams binary, scripts binary"
-    rows = sample(docs, most).mapInArrow(count, schema).repartition("lang").mapInArrow(add, schema).collect()
+    rows = sample(docs, most).mapInArrow(count, schema).repartition("lang").sortWithinPartitions("lang").mapInArrow(add, schema).collect()
     if not rows:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros((buckets, 0), np.float32), {})
     rows.sort(key=lambda r: r.lang)
-    counts = np.array([np.frombuffer(bytes(r.grams), np.int64) for r in rows], np.float64).reshape(len(rows), 2, -1)
-    log = np.log((counts + 0.2) / (counts.sum(axis=2, keepdims=True) + 0.2 * buckets)).astype(np.float32)
+    log = np.empty((2, buckets, len(rows)), np.float32)
+    for i, r in enumerate(rows):
+        counts = common.unpacked(bytes(r.grams)).astype(np.float64).reshape(2, -1)
+        log[:, :, i] = np.log((counts + 0.2) / (counts.sum(axis=1, keepdims=True) + 0.2 * buckets))
     letters = np.array([np.frombuffer(bytes(r.scripts), np.int64) for r in rows], np.float64).reshape(len(rows), -1)
     share = letters / np.maximum(letters.sum(axis=1, keepdims=True), 1)
     uses = {1 << k: share[:, k] >= 0.05 for k in range(len(NAMES))}
     uses[0] = np.ones(len(rows), bool)
-    return Model([r.lang for r in rows], np.ascontiguousarray(log[:, 0].T), np.ascontiguousarray(log[:, 1].T), uses)
+    return Model([r.lang for r in rows], log[0], log[1], uses)
 
 
 def identified(docs: DataFrame, model: Model | None = None, penalty: float = PENALTY) -> DataFrame:
@@ -195,7 +213,7 @@ def identified(docs: DataFrame, model: Model | None = None, penalty: float = PEN
     def label(batches):
         m = model.value
         k = len(m.languages)
-        for part in common.slices(batches, "text", VITERBI_BYTES):
+        for part in common.slices(batches, "text", VITERBI_BYTES * 8 // max(8, k)):
             texts = [cleaned(t) for t in common.strings(part, "text")]
             some = [i for i, t in enumerate(texts) if t] if k else []
             found = [m.words(texts[i]) for i in some]

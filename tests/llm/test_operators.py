@@ -122,6 +122,23 @@ def test_language_awkward(docs, none):
     assert {r.lang_pred for r in language.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_learns_all(spark):
+    r = random.Random(9)
+    words = {f"l{i:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(6)] for i in range(300)}
+    rows = [(8 * i + k, " ".join(r.choices(w, k=20)), lang) for i, (lang, w) in enumerate(words.items()) for k in range(8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    model = language.train(table)
+    assert set(model.languages) == set(words)
+    got = {x.doc_id: x.lang_pred for x in language.identified(table, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.99
+
+
+def test_viterbi_many_labels():
+    scores = np.zeros((3, 700), np.float32)
+    scores[[0, 1, 2], [650, 300, 299]] = 9
+    assert language.viterbi(scores, np.array([2, 1]), 1.0).tolist() == [650, 300, 299]
+
+
 # 3
 
 
