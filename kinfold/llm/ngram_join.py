@@ -343,13 +343,14 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components: no end after 60 rounds")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (of its class with other classes, as verified) for each row of docs.
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs; with count_links also n_links, of its class with other classes.
 
     Equal sets are one class with its smallest doc_id as node. Candidates are classes that share a shingle of their
     prefixes in the global order. First round: a few pairs of each bucket, verified, give components. Second round:
     in large buckets, pairs of like size between classes of different components; so a group of near copies of any size
-    costs about a pair for each member and shingle, and no link between components is missed.
+    costs about a pair for each member and shingle, and no link between components is missed. With count_links the second
+    round takes the pairs within components too, so all links are verified: the work grows with the square of a group.
 
     Null or empty text has an empty set and links with nothing; fewer words than `width` are one shingle. A row with
     null doc_id takes part in nothing and gets a null component. Repeated rows return as often as they occur. No
@@ -370,30 +371,36 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     large = found.where("kind = 1").select(F.col("b").alias("token"), F.col("a").alias("cls"), F.col("na").alias("n"), "place").distinct()
     large = large.join(node.drop("bits"), ["cls", "n"]).join(comps, "node", "left").select("token", "cls", "n", "place", F.coalesce("root", "node").alias("comp"))
     large = common.checkpointed(large)
-    split = large.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    large = common.checkpointed(large.join(split, "token", "left_semi"))
+    if not count_links:
+        split = large.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        large = common.checkpointed(large.join(split, "token", "left_semi"))
     if not large.isEmpty():
         x, y = (large.select("token", *(F.col(c).alias(c + k) for c in ("cls", "n", "place", "comp"))) for k in "xy")
         # sets that link lie in the same or in neighbouring bands of size, so a bucket is joined band by band
         x, y = x.withColumn("band", size_band(F.col("nx"), percent)), y.withColumn("band", F.explode(F.array(*[size_band(F.col("ny"), percent) + i for i in (-1, 0, 1)])))
-        across = x.join(y, ["token", "band"]).where((F.col("compx") < F.col("compy")) & may_link(*map(F.col, ("nx", "placex", "ny", "placey")), percent))
+        apart = F.struct("nx", "clsx") < F.struct("ny", "clsy") if count_links else F.col("compx") < F.col("compy")
+        across = x.join(y, ["token", "band"]).where(apart & may_link(*map(F.col, ("nx", "placex", "ny", "placey")), percent))
         across = across.select(F.col("clsx").alias("a"), F.col("nx").alias("na"), F.col("clsy").alias("b"), F.col("ny").alias("nb")).distinct()
         second = common.checkpointed(links(usable, across, node, linked, width, percent))
         if not second.isEmpty():
             first = first.union(second)
             comps = components(first)
-    degree = first.union(first.select("v", "u")).groupBy("u").agg(F.count("*").alias("n_links")).withColumnRenamed("u", "_node")
     comps = comps.withColumnRenamed("node", "_member")
-    of = node.join(comps, F.col("node") == F.col("_member"), "left").join(degree, F.col("node") == F.col("_node"), "left")
-    of = of.select(F.col("cls").alias("_cls"), F.col("n").alias("_n"), F.coalesce("root", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of = node.join(comps, F.col("node") == F.col("_member"), "left")
+    counts = []
+    if count_links:
+        pairs = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        degree = pairs.union(pairs.select("v", "u")).groupBy("u").agg(F.count("*").alias("n_links")).withColumnRenamed("u", "_node")
+        of, counts = of.join(degree, F.col("node") == F.col("_node"), "left"), [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    of = of.select(F.col("cls").alias("_cls"), F.col("n").alias("_n"), F.coalesce("root", "node").alias("component_id"), *counts)
     members = members.drop("bits")
     out = members.join(of, (F.col("cls") == F.col("_cls")) & (F.col("n") == F.col("_n")), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *counts)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(common.table(spark, sf_dir, "documents")).drop("n_links")
+    return jaccard_components(common.table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

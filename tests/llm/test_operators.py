@@ -517,6 +517,18 @@ def test_ngram_join_large_group(spark, edits):
     assert got == components(rows)
 
 
+def test_ngram_join_counts_links(spark):
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(base[: 60 + i % 30] + [f"x{i}"])) for i in range(60)] + [(60 + i, f"y{i} y y y y y{i}") for i in range(5)] + [(65, rows_) for rows_ in [" ".join(base[:60] + ["x0"])]]
+    r.shuffle(rows)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    classes = {frozenset(x) for x in sets.values()}
+    want = {i: sum(100 * len(x & y) >= 75 * len(x | y) for y in classes) - 1 for i, x in sets.items()}
+    got = {x.doc_id: x.n_links for x in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), count_links=True).collect()}
+    assert got == want and max(want.values()) > 20
+
+
 def test_size_bands(spark):
     """No two sizes that may link are more than a band apart."""
     n = [r.b for r in spark.range(1, 3000).select(ngram_join.size_band(F.col("id"), 75).alias("b")).collect()]
