@@ -126,11 +126,24 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def placed(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """docs with a row for each copy that the mix takes, and _shard and _place: its output shard and the draw that orders it there."""
+    taken = mixed(docs, levels=levels).where("times > 0").groupBy(F.col("mark").alias("__kf_m")).agg(F.max(F.struct("times", "shards")).alias("__kf_t"))
+    rows = docs.withColumn("__kf_mark", mark()).join(taken, F.col("__kf_mark") == F.col("__kf_m"))
+    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__kf_mark", F.posexplode("__kf_t.shards").alias("__kf_copy", "_shard"))
+    return rows.withColumn("_place", draw(F.lit("place"), "__kf_mark", F.col("__kf_copy").cast("string"))).drop("__kf_mark", "__kf_copy")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with each row as often as the mix takes it; rows without words or outside the mix go."""
-    times = mixed(docs).where("times > 0").groupBy(F.col("mark").alias("__kf_m")).agg(F.max("times").alias("__kf_times"))
-    taken = docs.withColumn("__kf_mark", mark()).join(times, F.col("__kf_mark") == F.col("__kf_m"))
-    return taken.withColumn("__kf_copy", F.explode(F.sequence(F.lit(1), F.col("__kf_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with each row as often as the mix takes it, shard after shard, shuffled in each; rows without words or outside the mix go.
+
+    Partition k of n holds the copies whose shard and place lie in the k-th part of all: draws are even, so no task is
+    larger than others by more than the shards are.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor((F.col("_shard") + F.col("_place") / float(1 << 52)) * n / (1 << LEVELS)).cast("int")
+    laid = placed(docs).repartitionById(n, F.least(part, F.lit(n - 1))).sortWithinPartitions("_shard", "_place")
+    return laid.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

@@ -413,6 +413,17 @@ def test_cut_block(spark):
     assert len(got) == len(rows) and +have == +want
 
 
+def test_mixing_shuffles_in_shards(spark, real):
+    rows = mixing.placed(real).collect()
+    place = defaultdict(list)
+    for r in rows:
+        place[r.doc_id].append((r._shard, r._place))
+    assert {r._shard for r in rows} == set(range(16)) and len({p for x in place.values() for p in x}) == len(rows)
+    out = [r.doc_id for r in mixing.stage(spark, real, SF).collect()]
+    assert out == [r.doc_id for r in sorted(rows, key=lambda r: (r._shard, r._place))]
+    assert sum(a == b for a, b in zip(out, out[1:])) < len(out) // 20
+
+
 def test_mixing_plan_is_native(docs):
     plan = mixing.mixed(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
