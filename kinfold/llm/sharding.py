@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -51,18 +51,38 @@ def curve(dims: list, bits: int = BITS):
 
 
 def code(column: str):
-    """The first seven bytes as a number that sorts as they do; null is -1."""
-    return F.coalesce(F.conv(F.hex(F.rpad(F.substring(F.encode(F.col(column).cast("string"), "UTF-8"), 1, 7), 7, F.lit(b"\0"))), 16, 10).cast("long"), F.lit(-1))
+    """The whole value as text that sorts by its bytes; null is empty and comes first."""
+    return F.coalesce(F.concat(F.lit("v"), F.col(column).cast("string")), F.lit(""))
 
 
-def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
-    """df with q_<dim>, 0 to 2**bits - 1: the number of approximate quantiles over all rows that the value passes."""
-    steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = df.agg(*[F.percentile_approx(d, steps, 2000).alias(f"c_{d}") for d in dims])
-    out = df.join(F.broadcast(cuts))  # an aggregate without keys: one row of a few numbers
+def cuts(df: DataFrame, dim: str, rows: str, bits: int = BITS) -> list:
+    """The distinct values of dim at which the quantiles of the rows lie, each value of df standing for `rows` of them.
+
+    Values are counted map-side and sorted by range; of each, the rows before it are found from the sums of the
+    partitions. The driver gets 2**bits - 1 values at most.
+    """
+    values = df.groupBy(dim).agg(F.sum(rows).alias("n")).repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), dim)
+    values = common.checkpointed(values.withColumn("part", F.spark_partition_id()))
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = values.groupBy("part").agg(F.sum("n").alias("own")).withColumn("start", F.coalesce(F.sum("own").over(above), F.lit(0)))
+    total = parts.agg(F.sum("own")).first()[0]
+    if not total:
+        return []
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy(dim).rowsBetween(Window.unboundedPreceding, 0))
+    v = values.join(F.broadcast(parts.select("part", "start")), "part").withColumn("upto", upto)  # a row for each partition
+    v = v.withColumn("before", F.col("upto") - F.col("n"))
+    # quantile i lies in the value with before < i * total / 2**bits <= upto
+    passed = lambda c: F.expr(f"LEAST(CAST({c} AS DECIMAL(30, 0)) * {1 << bits} DIV {total}, {(1 << bits) - 1})")
+    return [r[0] for r in v.where(passed("upto") > passed("before")).select(dim).orderBy(dim).collect()]
+
+
+def quantised(df: DataFrame, dims: list[str], rows: str, bits: int = BITS) -> DataFrame:
+    """df with q_<dim>, 0 to 2**bits - 1: the number of quantiles, over all rows that df stands for, that the value passes."""
+    out = df
     for d in dims:
-        out = out.withColumn(f"q_{d}", F.size(F.filter(F.array_distinct(f"c_{d}"), lambda c: c < F.col(d))).cast("int"))
-    return out.drop(*[f"c_{d}" for d in dims])
+        passed = [(F.col(d) > F.lit(c)).cast("int") for c in cuts(df, d, rows, bits)]
+        out = out.withColumn(f"q_{d}", sum(passed, F.lit(0)))
+    return out
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
@@ -77,7 +97,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFram
     d = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("text_key"), code("source").alias("source"), code("lang").alias("lang"))
     d = common.checkpointed(d)
     groups = d.groupBy("text_key", "size").agg(F.min("source").alias("source"), F.min("lang").alias("lang"), F.count("*").alias("copies"))
-    groups = quantised(common.checkpointed(groups), ["source", "lang", "size"], bits)
+    groups = quantised(common.checkpointed(groups), ["source", "lang", "size"], "copies", bits)
     groups = groups.select("text_key", "size", curve([F.col("q_source"), F.col("q_lang"), F.col("q_size")], bits).alias("curve"))
     laid = d.drop("source", "lang").join(groups, ["text_key", "size"])
     laid = common.ranked(common.checkpointed(laid), [], ["curve", "text_key", "size", "doc_id"])

@@ -454,6 +454,28 @@ def test_sharding(docs, none, real):
     assert sharding.sharded(none).count() == 0
 
 
+def test_sharding_tells_long_names_apart(spark):
+    rows = [(i, f"text {i}", "en", f"https://www.example.com/{i % 16:02}") for i in range(320)]
+    rows += [(1000 + i, "copy", "en", "https://www.example.com/00") for i in range(160)] + [(2000, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    values = df.withColumn("v", sharding.code("source")).groupBy("v").agg(F.count("*").alias("n"))
+    q = {r.v: r.q_v for r in sharding.quantised(values, ["v"], "n").collect()}
+    names, upto, want = sorted(q), 0, {}
+    count = Counter("" if x[3] is None else "v" + x[3] for x in rows)
+    ends = [-(-i * len(rows) // 16) for i in range(1, 16)]
+    at = []
+    for x in names:
+        at += [x for e in ends if upto < e <= upto + count[x]]
+        upto += count[x]
+    want = {x: len({c for c in at if c < x}) for x in names}
+    assert q == want and max(q.values()) >= 8
+    by = defaultdict(set)
+    source = {i: s for i, _, _, s in rows}
+    for r in sharding.sharded(df, 8).collect():
+        by[r.shard].add(source[r.doc_id])
+    assert sum(map(len, by.values())) < 17 * 4
+
+
 # 9
 
 
