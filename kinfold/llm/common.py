@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
-SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch on its way to Python, of a slice of it, and of a piece of a text that arrays are made of.
+ARROW_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 SLICE_CELLS = 1 << 16
 
 
@@ -38,6 +42,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def id_kind(docs: DataFrame, column: str = "doc_id") -> str:
+    """The type of the id column as DDL, for the schema of a function over Arrow batches."""
+    return docs.schema[column].dataType.simpleString()
+
+
+def in_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """df.mapInArrow(fn, schema) with batches cut at ARROW_BYTES before they are built; a longer row makes one of its own.
+
+    The session's bound by bytes is lowered for that and never raised, as a bound by rows holds no memory of long texts.
+    A worker gives what it doesn't use back after each partition.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+    def lean(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            given_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def given_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut where the text of a slice would pass `most` bytes; one long text makes a slice of its own."""
     for batch in batches:
@@ -68,20 +105,39 @@ PLACES = np.random.default_rng(20240229).integers(1, 2**63, 64, dtype=np.uint64)
 def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hash of each word, the number of words of each text, the number of code points in words of each text.
 
-    A word's hash is the mixed sum of its bytes, each times an odd number drawn for its place in the word.
+    A word's hash is the mixed sum of its bytes, each times an odd number drawn for its place in the word. The bytes
+    are taken in pieces of PIECE_BYTES that end between words, so that a long text costs eight bytes a word, and
+    only a word longer than a piece more than that.
     """
     blob = b"\n".join(texts) + b"\n"
     data = np.frombuffer(blob.lower() if lower else blob, np.uint8)  # bytes.lower() is A-Z only
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    hashes, counts, points = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    lo = 0
+    while lo < len(data) and len(texts):
+        hi = lo + PIECE_BYTES
+        while hi < len(data) and not IS_SPACE[data[hi - 1]]:
+            more = np.nonzero(IS_SPACE[data[hi : hi + PIECE_BYTES]])[0]
+            hi += int(more[0]) + 1 if len(more) else PIECE_BYTES
+        hi = min(hi, len(data))
+        start, own, inside = piece_words(data[lo:hi])
+        t0, t1 = int(np.searchsorted(ends, lo, side="right")), int(np.searchsorted(ends, hi, side="left"))
+        stops = np.minimum(ends[t0 : t1 + 1], hi) - lo
+        counts[t0 : t0 + len(stops)] += np.diff(np.r_[0, np.searchsorted(start, stops)])
+        points[t0 : t0 + len(stops)] += np.diff(np.r_[0, np.cumsum(inside & (data[lo:hi] & 0xC0 != 0x80), dtype=np.int32)[stops - 1]])
+        hashes.append(own)
+        lo = hi
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts, points
+
+
+def piece_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of these bytes start, their hashes, and which bytes lie in words."""
     inside = ~IS_SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     start = np.nonzero(first)[0]
-    counts = np.diff(np.r_[0, np.searchsorted(start, ends)])
-    points = np.cumsum(inside & (data & 0xC0 != 0x80), dtype=np.int64)[ends - 1] if len(texts) else np.zeros(0, np.int64)
-    points = np.diff(np.r_[0, points])
     if not len(start):
-        return np.zeros(0, np.uint64), counts, points
+        return start, np.zeros(0, np.uint64), inside
     at = np.nonzero(inside)[0]
     head = np.searchsorted(at, start)
     length = np.diff(np.r_[head, len(at)])
@@ -90,7 +146,7 @@ def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, n
     longest = int(length.max())
     table = PLACES if longest <= len(PLACES) else np.r_[PLACES, mix(np.arange(len(PLACES), longest, dtype=np.uint64) + np.uint64(77)) | np.uint64(1)]
     value *= table[place]
-    return mix(np.add.reduceat(value, head)), counts, points
+    return start, mix(np.add.reduceat(value, head)), inside
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -172,7 +228,7 @@ def merged(parts: DataFrame, cells: int, merge=np.add) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([shrunk(v) for v in held.values()], pa.binary())], names=["slice", "cells"])
 
     out = np.zeros(cells, np.uint32)
-    for r in parts.repartition("slice").mapInArrow(fold, "slice int, cells binary").collect():
+    for r in in_arrow(parts.repartition("slice"), fold, "slice int, cells binary").collect():
         part = unpacked(bytes(r.cells))
         out[r.slice * SLICE_CELLS : r.slice * SLICE_CELLS + len(part)] = part
     return out

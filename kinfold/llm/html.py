@@ -199,7 +199,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["host", "path", "vote", "inside"])
 
-    votes = pages.select(host_of().alias("host"), "html").mapInArrow(vote, "host string, path string, vote int, inside int")
+    votes = common.in_arrow(pages.select(host_of().alias("host"), "html"), vote, "host string, path string, vote int, inside int")
     votes = votes.groupBy("host", "path").agg(F.sum("vote").alias("n"), F.sum("inside").alias("inside"), F.count_if(F.col("inside") < 0).alias("out"))
     by = Window.partitionBy("host")
     votes = votes.withColumn("all", F.sum("n").over(by)).withColumn("k", F.row_number().over(by.orderBy(F.desc("n"), "path")))
@@ -241,7 +241,7 @@ def extracted(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(used, pa.string())], names=["page_id", "url", "text", "n_chars", "path"])
 
     joined = pages.select("page_id", "url", "html", host_of().alias("_h")).join(paths, F.col("_h") == F.col("_host"), "left").select("page_id", "url", "html", "paths", "outside")
-    return joined.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long, path string")
+    return common.in_arrow(joined, read, f"page_id {kind}, url string, text string, n_chars long, path string")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

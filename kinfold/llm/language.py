@@ -184,7 +184,7 @@ def train(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> Model:
             yield rows_of({last: row})
 
     schema = "lang string, grams binary, scripts binary"
-    rows = sample(docs, most).mapInArrow(count, schema).repartition("lang").sortWithinPartitions("lang").mapInArrow(add, schema).collect()
+    rows = common.in_arrow(common.in_arrow(sample(docs, most), count, schema).repartition("lang").sortWithinPartitions("lang"), add, schema).collect()
     if not rows:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros((buckets, 0), np.float32), {})
     rows.sort(key=lambda r: r.lang)
@@ -234,7 +234,7 @@ def identified(docs: DataFrame, model: Model | None = None, penalty: float = PEN
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pred), pa.array(score), pa.array(spans, kinds)], names=["doc_id", "held_out", "lang_pred", "score", "spans"])
 
     schema = f"doc_id {kind}, held_out boolean, lang_pred string, score double, spans array<struct<first: int, last: int, lang: string>>"
-    return docs.select("doc_id", common.held_out().alias("held_out"), "text").mapInArrow(label, schema)
+    return common.in_arrow(docs.select("doc_id", common.held_out().alias("held_out"), "text"), label, schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,7 +211,7 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(track), *[raw] * keep_media))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in zip(*rows))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(store, f"doc_id {kind}, {SCHEMA}" + ", media binary" * keep_media)
+    return common.in_arrow(docs.select("doc_id", "text"), store, f"doc_id {kind}, {SCHEMA}" + ", media binary" * keep_media)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

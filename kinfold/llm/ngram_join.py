@@ -112,7 +112,7 @@ def profiled(docs: DataFrame, width: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([null(docs_type), null(pa.int64()), null(pa.int64()), rows.column(0), rows.column(1)], names=["doc_id", "n", "cls", "slice", "bits"])
 
     docs_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, n long, cls long, slice int, bits binary")
+    return common.in_arrow(docs.select("doc_id", "text"), measure, f"doc_id {kind}, n long, cls long, slice int, bits binary")
 
 
 def rarity(cells: np.ndarray) -> np.ndarray:
@@ -159,7 +159,7 @@ def prefixes(docs: DataFrame, rare, width: int, percent: int) -> DataFrame:
             first = place < (sizes - (-(-percent * sizes // 100)) + 1)[doc]
             yield pa.RecordBatch.from_arrays([signed(tokens[first]), pa.array(sizes[doc[first]]), pa.array(place[first]), signed(cls[doc[first]])], names=["token", "n", "place", "cls"])
 
-    return docs.select("text").mapInArrow(emit, "token long, n long, place long, cls long")
+    return common.in_arrow(docs.select("text"), emit, "token long, n long, place long, cls long")
 
 
 def bucket_pairs(percent: int):
@@ -269,7 +269,7 @@ def fragments(docs: DataFrame, wanted: DataFrame, members: DataFrame, width: int
             own[b.column(0).to_numpy() & (cells - 1)] = True
         yield common.cut_up(np.packbits(own, bitorder="little").view(np.uint32))
 
-    mask = common.merged(reps.select(F.xxhash64("doc_id").alias("h")).mapInArrow(bits, "slice int, cells binary"), cells // 32, np.bitwise_or)
+    mask = common.merged(common.in_arrow(reps.select(F.xxhash64("doc_id").alias("h")), bits, "slice int, cells binary"), cells // 32, np.bitwise_or)
     mask = spark.sparkContext.broadcast(mask)
 
     def sieve(batches):
@@ -279,7 +279,7 @@ def fragments(docs: DataFrame, wanted: DataFrame, members: DataFrame, width: int
             if hit.any():
                 yield b.filter(pa.array(hit)).select(["doc_id", "text"])
 
-    kept = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(sieve, docs.select("doc_id", "text").schema)
+    kept = common.in_arrow(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), sieve, docs.select("doc_id", "text").schema)
     kept = kept.join(reps, "doc_id", "left_semi").select("text")
     shift = np.uint64(64 - pieces.bit_length() + 1)
 
@@ -294,7 +294,7 @@ def fragments(docs: DataFrame, wanted: DataFrame, members: DataFrame, width: int
             packed = [raw[8 * a : 8 * b] for a, b in zip(head.tolist(), np.r_[head[1:], len(doc)].tolist())]
             yield pa.RecordBatch.from_arrays([signed(cls[doc[head]]), pa.array(sizes[doc[head]]), pa.array(frag[head].astype(np.int32)), pa.array(packed, pa.binary())], names=["cls", "n", "frag", "tokens"])
 
-    return kept.mapInArrow(cut, "cls long, n long, frag int, tokens binary")
+    return common.in_arrow(kept, cut, "cls long, n long, frag int, tokens binary")
 
 
 def overlaps(batches):
@@ -309,12 +309,12 @@ def links(docs: DataFrame, pairs: DataFrame, node: DataFrame, members: DataFrame
     x, y = (node.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("node").alias(k), F.col("bits").alias("bits" + c)) for c, k in (("a", "u"), ("b", "v")))
     kind = node.schema["node"].dataType.simpleString()
     near = pairs.join(x, ["a", "na"]).join(y, ["b", "nb"]).select("a", "na", "b", "nb", "u", "v", "bitsa", "bitsb")
-    near = common.checkpointed(near.mapInArrow(possible(percent), f"a long, na long, b long, nb long, u {kind}, v {kind}"))
+    near = common.checkpointed(common.in_arrow(near, possible(percent), f"a long, na long, b long, nb long, u {kind}, v {kind}"))
     ends = near.select(F.col("a").alias("cls"), F.col("na").alias("n")).union(near.select("b", "nb")).distinct()
     parts = common.checkpointed(fragments(docs, ends, members, width, pieces))
     one = near.join(parts.select(F.col("cls").alias("a"), F.col("n").alias("na"), "frag", F.col("tokens").alias("x")), ["a", "na"])
     two = one.join(parts.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "frag", F.col("tokens").alias("y")), ["b", "nb", "frag"])
-    counted = two.select("u", "v", "frag", "x", "y").mapInArrow(overlaps, f"u {kind}, v {kind}, frag int, both long")
+    counted = common.in_arrow(two.select("u", "v", "frag", "x", "y"), overlaps, f"u {kind}, v {kind}, frag int, both long")
     both = counted.groupBy("u", "v", "frag").agg(F.max("both").alias("both")).groupBy("u", "v").agg(F.sum("both").alias("both"))  # max: a doc_id may have several rows
     linked = near.select("u", "v", "na", "nb").distinct().join(both, ["u", "v"])
     return linked.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("u", "v")
@@ -363,7 +363,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     usable = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     linked = members.where("n > 0 AND doc_id IS NOT NULL")
     laid = prefixes(usable, rare, width, percent).repartition("token").sortWithinPartitions("token", "n", "place", "cls")
-    found = common.checkpointed(laid.mapInArrow(bucket_pairs(percent), "kind int, a long, na long, b long, nb long, place long"))
+    found = common.checkpointed(common.in_arrow(laid, bucket_pairs(percent), "kind int, a long, na long, b long, nb long, place long"))
     node = common.checkpointed(linked.groupBy("cls", "n").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits")))
     linked = linked.select("doc_id", "cls", "n")
     first = common.checkpointed(links(usable, found.where("kind = 0").drop("kind", "place").distinct(), node, linked, width, percent))

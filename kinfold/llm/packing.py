@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import functools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -18,6 +19,12 @@ LENGTH = 1024
 END = 0
 #: The pre-tokeniser's pattern of byte-level BPE; fixed by the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the pattern's \s takes it. A text is encoded in parts of about PART characters that end before white
+#: space; a run of LONG_RUN is taken out of the pattern's hands, which would step back over all of it.
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+PART, LONG_RUN = 1 << 18, 4096
+LONG_SPACE = re.compile(f"{SPACE}{{{LONG_RUN},}}")
+CUT = re.compile(f"(?<!{SPACE}){SPACE}")
 PIECE = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, fill int"
 
 
@@ -54,7 +61,7 @@ def encoder(path: str):
             import tiktoken
 
             fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            return lambda text: fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+            return functools.partial(encoded, fast)
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
@@ -62,6 +69,27 @@ def encoder(path: str):
     return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
 
 
+def encoded(fast, text: str) -> np.ndarray:
+    """The ids of a text of any length.
+
+    No pre-token of the pattern crosses a place where white space follows something else, so a text may be cut there.
+    Of a run of white space all but its last character is one pre-token, at the text's end all of it.
+    """
+    text = text.encode("utf-8", "replace").decode() if not text.isascii() else text
+    out, at = [], 0
+    runs = [(m.start(), m.end() if m.end() == len(text) else m.end() - 1) for m in LONG_SPACE.finditer(text)] if len(text) >= LONG_RUN else []
+    for start, stop in [*runs, (len(text), len(text))]:
+        while at < start:
+            m = CUT.search(text, at + PART, start) if start - at > PART else None
+            to = m.start() if m else start
+            out.append(fast.encode_to_numpy(text[at:to], disallowed_special=()))
+            at = to
+        if start < stop:
+            out.append(np.array(fast._encode_single_piece(text[start:stop]), np.uint32))
+            at = stop
+    return np.concatenate(out).astype("<u4", copy=False) if out else np.zeros(0, "<u4")
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
     """Each document's ids, with END after them, cut at multiples of `length`; fill is the piece's length as a key."""
     path = tokenizer or default_tokenizer()
@@ -69,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
 
     def cut(batches):
         encode = encoder(path)
-        for part in common.slices(batches, "text", 1 << 20):
+        for part in common.slices(batches, "text"):
             at, rows = [], []
             for i, text in enumerate(common.strings(part, "text")):
                 ids = np.append(encode(text), np.uint32(END)).astype("<u4", copy=False)
@@ -84,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "fill"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECE.format(kind=kind))
+    return common.in_arrow(docs.select("doc_id", "text"), cut, PIECE.format(kind=kind))
 
 
 def shortest_pack_first(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[list[tuple[int, int]], int]]:
@@ -178,7 +206,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return cut.mapInArrow(place, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return common.in_arrow(cut, place, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

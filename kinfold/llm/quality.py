@@ -65,7 +65,7 @@ def document_stats(docs: DataFrame, host: str = "source") -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, host string, " + ", ".join(f"{k} long" for k in STATS)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return docs.select("doc_id", F.col(host).cast("string").alias("host"), "text").mapInArrow(measure, schema).withColumn("base_failed", failed)
+    return common.in_arrow(docs.select("doc_id", F.col(host).cast("string").alias("host"), "text"), measure, schema).withColumn("base_failed", failed)
 
 
 def host_verdicts(stats: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:

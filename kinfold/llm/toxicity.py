@@ -187,7 +187,7 @@ def learn_terms(sample: DataFrame, terms: int = TERMS) -> tuple[dict[str, float]
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return {}, []
-    by = sample.mapInArrow(count, "f string, dense boolean, toxic int, n long").groupBy("f")
+    by = common.in_arrow(sample, count, "f string, dense boolean, toxic int, n long").groupBy("f")
     of = lambda toxic, dense: F.coalesce(F.sum(F.when(F.expr(f"toxic = {toxic}" + " AND dense" * dense), F.col("n"))), F.lit(0))
     by = by.agg(of(1, False).alias("pos"), of(0, False).alias("neg"), of(1, True).alias("dense_pos"), of(0, True).alias("dense_neg"))
     odds = lambda pos, neg: F.log((F.col(pos) + 0.5) / (n[1] + 1)) - F.log((F.col(neg) + 0.5) / (n[0] + 1))
@@ -209,7 +209,7 @@ def learn_terms(sample: DataFrame, terms: int = TERMS) -> tuple[dict[str, float]
                 f, b, y = zip(*sorted(found))
                 yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(b), pa.array(y, pa.int32())], names=["f", "before", "toxic"])
 
-    seen = sample.mapInArrow(contexts, "f string, before string, toxic int").groupBy("f", "before").agg(F.count_if(F.expr("toxic = 1")).alias("pos"), F.count_if(F.expr("toxic = 0")).alias("neg"))
+    seen = common.in_arrow(sample, contexts, "f string, before string, toxic int").groupBy("f", "before").agg(F.count_if(F.expr("toxic = 1")).alias("pos"), F.count_if(F.expr("toxic = 0")).alias("neg"))
     seen = common.checkpointed(seen)
     diverse = {r.f for r in seen.groupBy("f").agg(F.count_if(F.expr("pos > 0")).alias("n")).where(F.col("n") >= MIN_CONTEXTS).collect()}
     names = sorted(diverse)
@@ -220,7 +220,7 @@ def learn_terms(sample: DataFrame, terms: int = TERMS) -> tuple[dict[str, float]
             found = [sorted(number[f] for f, dense in term_density(x).items() if f in number and (dense or not wanted[f][2])) for x in common.strings(part, "text")]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "terms"])
 
-    rows = sample.mapInArrow(present, "toxic int, terms array<int>").collect()  # a row for each sampled document, of terms of the bounded list
+    rows = common.in_arrow(sample, present, "toxic int, terms array<int>").collect()  # a row for each sampled document, of terms of the bounded list
     picked = explaining([r.toxic for r in rows], [r.terms for r in rows], len(names))
     chosen = {names[i]: wanted[names[i]][1] for i in picked}
     chosen = dict(sorted(chosen.items(), key=lambda x: (-wanted[x[0]][0], x[0]))[:terms])
@@ -254,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
             x = [features(folded(t), automaton) for t in common.strings(part, "text")]
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in zip(*x))], names=["y", "a", "b", "c", "d"])
 
-    rows = sample.mapInArrow(measure, "y int, a double, b double, c double, d double").collect()  # four numbers of each sampled document
+    rows = common.in_arrow(sample, measure, "y int, a double, b double, c double, d double").collect()  # four numbers of each sampled document
     if len({r.y for r in rows}) == 2:
         rows.sort()
         x = np.array([r[1:] for r in rows])
@@ -280,7 +280,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(x @ m.weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(x[:, 3] > 0)], names=["doc_id", "held_out", "score", "predicted", "matched"])
 
-    return docs.select("doc_id", common.held_out().alias("held_out"), "text").mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int, matched boolean")
+    return common.in_arrow(docs.select("doc_id", common.held_out().alias("held_out"), "text"), score, f"doc_id {kind}, held_out boolean, score double, predicted int, matched boolean")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
