@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -254,10 +255,17 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div id="comments"><p>Great article</p></div><aside>Side</aside><footer>&copy; f</footer></body></html>"""
 
 
+def own_text(page):
+    found = html.read(page)
+    good = html.own_article(found)
+    return "\n".join(t for e, t in found if id(e) in good)
+
+
 def test_html_page():
-    found, _ = html.blocks(PAGE)
-    assert html.text_at(found, html.best_path(found)) == "Head & line\nFirst bold text here.\nSecond é link text more"
-    assert html.best_path(found) == ">html>body>div.body.post-"
+    assert own_text(PAGE) == "Head & line\nFirst bold text here.\nSecond é link text more"
+    found = html.read(PAGE)
+    good = html.own_article(found)
+    assert {">".join([x.name for x in html.ancestors(e)][::-1]) for e, _ in found if id(e) in good} == {">html>body>div.body.post-"}
 
 
 def test_html_consensus(spark, none):
@@ -282,13 +290,42 @@ def test_html_articles_of_test_pages(spark):
 
 
 def test_html_classes_of_articles():
-    found, _ = html.blocks("<body class='no-sidebar'><main class='share'><p>text</p><div id=top-nav>n</div></main></body>")
-    assert [t for _, t, _ in found] == ["text"]
+    assert own_text("<body class='no-sidebar'><main class='share'><p>text</p><div id=top-nav>n</div></main></body>") == "text"
+    assert own_text("<body><div class='share-story'><p>some text here</p></div></body>") == "some text here"  # no other container
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<", "<div", "<div class='x", "<!-- open", "</div></div>text", "<p>a<p>b</b></i>c", "<script>x", '<a b="' + "<" * 500, "<div x='" * 300_000, '<a title="x ' * 300_000 + ">", "<a '\">\" " * 300_000, "<!" * 1_000_000, "<div>" * 100_000 + "a b" + "</div>" * 100_000,
+     "<b>" * 50_000 + "<p>a b" * 50_000, "<ul><li>" * 50_000, "<div>" * 50_000 + "</span>" * 100_000, "<div " + "class " * 300_000 + ">a b", "<td><p>x y" * 100_000],
+)
+def test_html_broken_markup(page):
+    began = time.time()
+    own_text(page)
+    assert time.time() - began < 8  # a quadratic reader takes minutes
+
+
+def test_html_vote_decides(spark):
+    """Boilerplate without a telling tag or class: the same text on a host's pages, and containers that most pages reject."""
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    page = lambda k: f"<html><body><div class=a><p>Sold by the yard since ever</p></div><div class=b><h1>{words(k, 3)}</h1><p>{words(k, 60)}</p></div><div class=c><p>{words(k + 100, 9)}</p></div></body></html>"
+    short = lambda k: f"<html><body><div class=e><a href=/>{words(k, 5)}</a></div><div class=b><p>{words(k, 40)}</p></div></body></html>"
+    odd = f"<html><body><div class=e>{words(7, 30)}</div><div class=b><p>{words(9, 40)}</p></div></body></html>"
+    odder = f"<html><body><p>{words(8, 4)}</p><div class=e>{words(7, 30)}</div><div class=b><p>{words(9, 40)}</p></div></body></html>"
+    rows = [(k, "http://h/", page(k)) for k in range(12)] + [(20 + k, "http://g/", short(k)) for k in range(8)] + [(30, "http://g/", odd), (31, "http://g/", odder)]
+    rows += [(40, "http://alone/", page(40)), (41, None, odder)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extracted(pages).collect()}
+    for k in range(12):
+        assert got[k] == "\n".join([words(k, 3), words(k, 60), words(k + 100, 9)]) != own_text(page(k))
+    assert got[31] == f"{words(8, 4)}\n{words(9, 40)}" != own_text(odder)  # the host's pages reject e
+    assert got[30] == own_text(odd) and got[41] == own_text(odder) and got[40] == own_text(page(40))
 
 
-def test_html_broken_markup():
-    for bad in ("<", "<div", "<div class='x", "<!-- open", "</div></div>text", "<p>a<p>b</b></i>c", "<script>x", "<a b=\"" + "<" * 500):
-        html.blocks(bad)
+def test_html_vote_counts_copies_once_for_repeats(spark):
+    page = "<body><div class=a><p>one and the same article</p></div></body>"
+    got = html.extracted(spark.createDataFrame([(k, "http://h/", page) for k in range(9)], "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {"one and the same article"}
 
 
 def test_html_keeps_whole_articles(spark):
