@@ -212,6 +212,24 @@ def ranked(df: DataFrame, group: list[str], order: list[str], parts: int | None
     return laid.join(small_or_not(runs, 200_000), same).withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before")).select(*df.columns, "rank")
 
 
+def running(df: DataFrame, order: list[str], sums: dict[str, str], parts: int | None = None) -> DataFrame:
+    """df with `rank`, the row's number from 0 in the order, and for each name: column of `sums` the sum over all rows before.
+
+    As ranked(): a range sort, then a table of sums by partition; no task sees more than its partition. Rows should
+    differ in `order`, nulls come first.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    laid = checkpointed(laid.withColumn("_part", F.shiftright("_at", 33)))
+    cols = {"rank": F.lit(1), **{name: F.col(c) for name, c in sums.items()}}
+    totals = laid.groupBy("_part").agg(*[F.sum(c).alias(f"_t{name}") for name, c in cols.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    totals = totals.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_t{name}").over(before), F.lit(0)).alias(f"_b{name}") for name in cols])
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    out = laid.join(F.broadcast(totals), F.col("_part") == F.col("_p"))  # at most n rows
+    return out.select(*df.columns, *[(F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"_b{name}")).alias(name) for name, c in cols.items()])
+
+
 def merged(parts: DataFrame, cells: int, merge=np.add) -> np.ndarray:
     """Many arrays of `cells` uint32, given as rows of cut_up(), merged into one.
 

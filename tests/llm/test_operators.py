@@ -2,12 +2,14 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
 import time
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -421,13 +423,81 @@ def test_mixing(docs, none):
     assert sorted(map(tuple, mixing.mixed(docs.repartition(9)).drop("mark", "shards").collect()), key=str) == sorted(map(tuple, mixing.mixed(docs).drop("mark", "shards").collect()), key=str)
 
 
-def test_split_tree_quotas(spark):
-    blocks = spark.range(999).select((F.col("id") % 3).cast("string").alias("source"), F.col("id").cast("int").alias("block"), F.lit(1).alias("copy"))
-    out = mixing.split_tree(blocks, 3).collect()
-    per = Counter(r.shard for r in out)
-    assert len(out) == 999 and sorted(per) == list(range(8)) and max(per.values()) - min(per.values()) <= 3
-    assert {(r.source, r.block) for r in out} == {(str(i % 3), i) for i in range(999)}
-    assert all(20 < n < 65 for n in Counter((r.source, r.shard) for r in out).values())
+def quantile(total, marked, drawn, u):
+    """Smallest x at which the hypergeometric distribution passes u, by whole numbers."""
+    upto, every = 0, math.comb(total, drawn)
+    for x in range(max(0, drawn - total + marked), min(drawn, marked) + 1):
+        upto += math.comb(marked, x) * math.comb(total - marked, drawn - x)
+        if upto > u * every:
+            return x
+    return min(drawn, marked)
+
+
+def test_hypergeometric(spark):
+    r = random.Random(3)
+    rows = []
+    for _ in range(400):
+        total = r.choice([0, 1, 2, 5, 40, 700, 5000])
+        rows.append((total, r.randint(0, total), r.randint(0, total), r.choice([0.0, r.random(), 1 - 2.0**-52])))
+    got = spark.createDataFrame(rows, "a long, b long, c long, u double").select("*", mixing.hypergeometric(F.col("a"), F.col("b"), F.col("c"), F.col("u")).alias("x")).collect()
+    for g in got:
+        if 0 < g.u < 1 - 2.0**-50:
+            assert g.x == quantile(g.a, g.b, g.c, Fraction(g.u)), g
+        assert max(0, g.c - g.a + g.b) <= g.x <= min(g.b, g.c)
+
+
+@pytest.mark.parametrize("fold", [1024, 3])
+def test_split_tree_quotas(spark, monkeypatch, fold):
+    monkeypatch.setattr(mixing, "FOLD", fold)
+    start = {i: (i * 37) % 90 for i in range(1, 12)}
+    draw = lambda *x: Fraction(int(hashlib.md5(":".join(map(str, x)).encode()).hexdigest()[:13], 16), 1 << 52)
+    nodes = {0: dict(start)}
+    for level in range(3):
+        after = {}
+        for node, q in nodes.items():
+            folds = defaultdict(dict)
+            for i, n in sorted(q.items()):
+                if n:
+                    folds[(i - 1) // fold][i] = n
+            total = sum(q.values())
+            left, x = total // 2, {}
+            for f, own in sorted(folds.items()):
+                whole = sum(own.values())
+                take = quantile(total, whole, left, draw("fold", level, node, f))
+                total, left = total - whole, left - take
+                for i, n in sorted(own.items()):
+                    x[i] = quantile(whole, n, take, draw("quota", level, node, i))
+                    whole, take = whole - n, take - x[i]
+            after[2 * node] = x
+            after[2 * node + 1] = {i: q[i] - x[i] for i in x}
+        nodes = after
+    want = {(i, node): n for node, q in nodes.items() for i, n in q.items() if n}
+    got = mixing.split_tree(spark.createDataFrame(list(start.items()), "i long, q long"), 3).collect()
+    assert {(r.i, r.shard): r.q for r in got} == want and len(got) == len(want)
+    per = Counter()
+    for r in got:
+        per[r.shard] += r.q
+    assert max(per.values()) - min(per.values()) <= 3 and sum(per.values()) == sum(start.values())
+
+
+def test_blocks_are_dealt_by_quota(spark):
+    copies = [(i, b, c) for i in (1, 2, 5) for b in range(40 * i) for c in (1, 2)]
+    df = spark.createDataFrame(copies, "i long, block int, copy int")
+    got = mixing.dealt(df, 3).collect()
+    quotas = {(r.i, r.shard): r.q for r in mixing.split_tree(df.groupBy("i").agg(F.count("*").alias("q")), 3).collect()}
+    assert sorted((r.i, r.block, r.copy) for r in got) == copies and Counter((r.i, r.shard) for r in got) == quotas
+    for i in (1, 2, 5):
+        own = sorted((r for r in got if r.i == i), key=lambda r: hashlib.md5(f"deal:{i}:{r.block}:{r.copy}".encode()).hexdigest()[:13])
+        assert [r.shard for r in own] == sorted(r.shard for r in own)
+
+
+def test_running_sums(spark):
+    rows = [(f"s{i:03}" if i else None, i * i % 17) for i in range(200)]
+    got = common.running(spark.createDataFrame(rows, "s string, n long").repartition(5), ["s"], {"before": "n"}, 7).collect()
+    n, upto = 0, 0
+    for s, k in sorted(rows, key=lambda r: r[0] or ""):
+        assert next((r.rank, r.before) for r in got if r.s == s) == (n, upto)
+        n, upto = n + 1, upto + k
 
 
 def test_cut_block(spark):
