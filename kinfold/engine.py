@@ -136,7 +136,7 @@ class Engine:
         """What the charts' usages bind to, and which files of the inventory (path) their declarations name."""
         d = charts.select("path", F.explode("declarations").alias("d")).select(F.concat_ws("#", "path", F.col("d.id").cast("string")).alias("ref"), C.parent(F.col("path")).alias("base"), F.col("d.written_path").alias("authored"))
         usages = resolve.usage_coverage(charts)
-        return {"paths": resolve.resolved(d.where("authored IS NOT NULL"), inventory), "usages": usages, "proof": resolve.proof(usages), "bounded_proof": resolve.bounded_proof(charts, inventory)}
+        return {"paths": resolve.resolved(d.where("authored IS NOT NULL"), inventory), "usages": usages, "proof": resolve.bounded_proof(charts, inventory)}
 
     def plan(self, roots: list[str]) -> dict[str, DataFrame]:
         """Two to six trees: virtual entries, ledger, the lattice and its maximal groups, and what a check of the plan finds."""

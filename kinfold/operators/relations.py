@@ -31,8 +31,8 @@ def eligible(items: DataFrame) -> DataFrame:
 
 
 def blocked_paths(diagnostics: DataFrame) -> DataFrame:
-    """Folders that a scan could not read whole: a folder's own path, or the folder of a file that failed."""
-    path = F.when(F.col("code").isin("DIRECTORY_UNREADABLE", "REPARSE_SKIPPED", "ENTRY_METADATA"), F.col("path")).when(F.col("code").isin("CHART_READ", "CHART_UNSTABLE"), C.parent(F.col("path")))
+    """Folders that a scan could not read whole: a folder's own path, or the folder of an entry that failed."""
+    path = F.when(F.col("code").isin("DIRECTORY_UNREADABLE", "REPARSE_SKIPPED"), F.col("path")).when(F.col("code").isin("ENTRY_METADATA", "CHART_READ", "CHART_UNSTABLE"), C.parent(F.col("path")))
     return diagnostics.select(path.alias("blocked")).where("blocked IS NOT NULL").distinct()
 
 

@@ -6,24 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Conditions by which views and their SQL keep a part of a table; the queries named *_whole go without them.
-CUTS = {"users": "event_id % 10 = 0", "bindings": "l_partkey % 40 = 0", "suppliers": "l_linenumber = 1", "snapshots": "event_id % 7 < 4", "roots": "p_size <= 8", "gap": "NOT (root = 3 AND p_size < 5)", "related": "o_totalprice > 300000"}
-
-
-def kept(view: str, whole: bool) -> str:
-    return "true" if whole else CUTS[view]
-
-
-def uncut(sql: str) -> str:
-    """sql over whole tables; raises if it holds none of CUTS."""
-    out = sql
-    for condition in CUTS.values():
-        out = out.replace(condition, "true")
-    if out == sql:
-        raise ValueError("no condition to drop")
-    return out
-
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -43,8 +25,8 @@ def brands(spark, d) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_brand").alias("container"), F.col("p_size").cast("string").alias("content_id"), F.col("p_partkey").cast("string").alias("path"))
 
 
-def suppliers(spark, d, whole=False) -> DataFrame:
-    x = table(spark, d, "lineitem").where(kept("suppliers", whole)).select("l_suppkey", "l_partkey")
+def suppliers(spark, d) -> DataFrame:
+    x = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
     p = table(spark, d, "part").select("p_partkey", "p_size")
     return x.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("container"), F.col("p_size").alias("content_id"), F.col("l_partkey").alias("path"))
 
@@ -54,8 +36,8 @@ def baskets(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("container"), F.col("l_partkey").alias("content_id"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("path"))
 
 
-def users(spark, d, whole=False) -> DataFrame:
-    return table(spark, d, "events").where(kept("users", whole)).select(F.col("user_id").alias("container"), F.col("event_type").alias("content_id"), F.col("event_id").cast("string").alias("path"))
+def users(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("user_id").alias("container"), F.col("event_type").alias("content_id"), F.col("event_id").cast("string").alias("path"))
 
 
 def tree(spark, d, flag: str) -> DataFrame:
@@ -78,22 +60,22 @@ SELECT source || '/' || lang || '/' || doc_id AS path, source || '/' || lang AS
        CASE WHEN doc_id % 97 = 5 THEN 'ERROR' WHEN doc_id % 89 = 7 THEN 'UNVERIFIED' ELSE 'OK' END AS status FROM documents
 """
 BRANDS_SQL = "SELECT p_brand AS container, CAST(p_size AS VARCHAR) AS content_id, CAST(p_partkey AS VARCHAR) AS path FROM part"
-SUPPLIERS_SQL = "SELECT l_suppkey AS container, p_size AS content_id, l_partkey AS path FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1"
+SUPPLIERS_SQL = "SELECT l_suppkey AS container, p_size AS content_id, l_partkey AS path FROM lineitem JOIN part ON l_partkey = p_partkey"
 BASKETS_SQL = "SELECT l_orderkey AS container, l_partkey AS content_id, l_orderkey || '/' || l_linenumber AS path FROM lineitem"
-USERS_SQL = "SELECT user_id AS container, event_type AS content_id, CAST(event_id AS VARCHAR) AS path FROM events WHERE event_id % 10 = 0"
+USERS_SQL = "SELECT user_id AS container, event_type AS content_id, CAST(event_id AS VARCHAR) AS path FROM events"
 
 
-def snapshots(spark, d, whole=False) -> tuple[DataFrame, DataFrame]:
-    """Two scans of users: the index of run 1 and what run 2 sees. Users play files; size and time come from their events."""
-    e = table(spark, d, "events").select(F.concat(F.lit("/lib"), (F.col("user_id") % 3).cast("string"), F.lit("/"), F.col("user_id").cast("string")).alias("path"), F.concat(F.lit("/lib"), (F.col("user_id") % 3).cast("string")).alias("root"), "event_id", "event_type")
-    of = lambda cut: e.where(cut).groupBy("path", "root").agg(F.count("*").alias("size"), F.max("event_id").alias("mtime"), F.md5(F.min("event_type")).alias("content_id"))
-    old = of(f"{kept('snapshots', whole)} AND event_id % 200 < 120").withColumns({"status": F.lit("OK"), "first_seen": F.lit(1), "last_seen": F.lit(1), "present": F.lit(True)})
-    return old, of(f"{kept('snapshots', whole)} AND event_id % 200 < 160 AND event_id % 200 > 4")
+def snapshots(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Two scans: the index of run 1 and what run 2 sees. A user's events of one type play a file, whose size and time come from them."""
+    e = table(spark, d, "events").select(F.concat(F.lit("/lib"), (F.col("user_id") % 3).cast("string"), F.lit("/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("path"), F.concat(F.lit("/lib"), (F.col("user_id") % 3).cast("string")).alias("root"), "event_id")
+    of = lambda cut: e.where(cut).groupBy("path", "root").agg(F.count("*").alias("size"), F.max("event_id").alias("mtime"), F.md5(F.min("event_id").cast("string")).alias("content_id"))
+    old = of("event_id % 200 < 120").withColumns({"status": F.lit("OK"), "first_seen": F.lit(1), "last_seen": F.lit(1), "present": F.lit(True)})
+    return old, of("event_id % 200 < 160 AND event_id % 200 > 4")
 
 
 SNAPSHOT_SQL = """
-o AS (SELECT '/lib' || user_id % 3 || '/' || user_id AS path, '/lib' || user_id % 3 AS root, count(*) AS size, max(event_id) AS mtime, md5(min(event_type)) AS content_id FROM events WHERE event_id % 7 < 4 AND event_id % 200 < 120 GROUP BY ALL),
-s AS (SELECT '/lib' || user_id % 3 || '/' || user_id AS path, '/lib' || user_id % 3 AS root, count(*) AS size, max(event_id) AS mtime, md5(min(event_type)) AS content_id FROM events WHERE event_id % 7 < 4 AND event_id % 200 < 160 AND event_id % 200 > 4 GROUP BY ALL)
+o AS (SELECT '/lib' || user_id % 3 || '/' || user_id || '/' || event_type AS path, '/lib' || user_id % 3 AS root, count(*) AS size, max(event_id) AS mtime, md5(CAST(min(event_id) AS VARCHAR)) AS content_id FROM events WHERE event_id % 200 < 120 GROUP BY ALL),
+s AS (SELECT '/lib' || user_id % 3 || '/' || user_id || '/' || event_type AS path, '/lib' || user_id % 3 AS root, count(*) AS size, max(event_id) AS mtime, md5(CAST(min(event_id) AS VARCHAR)) AS content_id FROM events WHERE event_id % 200 < 160 AND event_id % 200 > 4 GROUP BY ALL)
 """
 
 
@@ -104,11 +86,11 @@ def urls(spark, d) -> DataFrame:
 URLS_SQL = "SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages"
 
 
-def roots(spark, d, whole=False) -> DataFrame:
+def roots(spark, d) -> DataFrame:
     """Four small trees of parts by size, for the lattice: a folder, files by brand, one root at odds with another."""
-    p = table(spark, d, "part").where(kept("roots", whole)).select((F.col("p_partkey") % 4).cast("int").alias("root"), "p_brand", "p_size")
+    p = table(spark, d, "part").select((F.col("p_partkey") % 4).cast("int").alias("root"), "p_brand", "p_size")
     files = p.groupBy("root", "p_size").agg(F.md5(F.max("p_brand")).alias("digest"))
-    files = files.where(kept("gap", whole)).select("root", F.concat(F.lit("s/"), F.col("p_size").cast("string")).alias("path"), F.lit("REGULAR_FILE").alias("kind"), F.when(F.col("root") < 2, F.md5(F.col("p_size").cast("string"))).otherwise(F.col("digest")).alias("digest"), (F.col("p_size") == 1).alias("is_item"))
+    files = files.select("root", F.concat(F.lit("s/"), F.col("p_size").cast("string")).alias("path"), F.lit("REGULAR_FILE").alias("kind"), F.when(F.col("root") < 2, F.md5(F.col("p_size").cast("string"))).otherwise(F.col("digest")).alias("digest"), (F.col("p_size") == 1).alias("is_item"))
     base = spark.range(4).select(F.col("id").cast("int").alias("root")).withColumn("path", F.explode(F.array(F.lit("."), F.lit("s"))))
     folders = base.select("root", "path", F.lit("DIRECTORY").alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(False).alias("is_item"))
     all_ = files.unionByName(folders)
@@ -116,8 +98,8 @@ def roots(spark, d, whole=False) -> DataFrame:
 
 
 ROOTS_SQL = """
-WITH p AS (SELECT (p_partkey % 4)::INT AS root, p_brand, p_size FROM part WHERE p_size <= 8)
+WITH p AS (SELECT (p_partkey % 4)::INT AS root, p_brand, p_size FROM part)
 SELECT root, 's/' || p_size AS path, 'REGULAR_FILE' AS kind, CASE WHEN root < 2 THEN md5(CAST(p_size AS VARCHAR)) ELSE md5(max(p_brand)) END AS digest, p_size = 1 AS is_item
-FROM p WHERE NOT (root = 3 AND p_size < 5) GROUP BY root, p_size
+FROM p GROUP BY root, p_size
 UNION ALL SELECT r.root::INT, x.path, 'DIRECTORY', NULL, false FROM range(4) r(root), (VALUES ('.'), ('s')) x(path)
 """

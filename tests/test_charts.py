@@ -11,47 +11,86 @@ from kinfold.operators.resolve import ALWAYS, MAYBE, NEVER, Region, Term
 
 
 def parse(text, ext="bms", **limits):
-    return extract.parse_chart(text if isinstance(text, bytes) else text.replace(" / ", "\n").encode(), ext, extract.Limits(**limits))
+    return extract.parse_chart(text if isinstance(text, bytes) else text.encode(), ext, extract.Limits(**limits))
+
+
+def song(*lines, **limits):
+    return parse("\n".join(lines), **limits)
 
 
 def codes(r):
     return {d["code"] for d in r["diagnostics"]}
 
 
-def test_plain_chart():
-    r = parse("#TITLE Fixture / #WAV01 sub/a sound.wav / #BMP01 image.png / #BPM01 180 / #STOP01 192 / #00101:010100 / #00111:01 / #00104:01 / #00108:01 / #00109:01")
-    assert (len(r["declarations"]), len(r["usages"]), r["usages"][0]["column"], r["diagnostics"], r["coverage"]) == (4, 6, 8, [], "COMPLETE_SUPPORTED_SYNTAX")
+def test_whole_song():
+    r = song("#ARTIST nobody", "// drums", "#WAV0A drums/kick 1.wav", "#bmp7Z\tsky.png", "#BPM0C 97.5", "#STOP02 48", "  #02301:0A000A", "#02314:000A", "#02306:7Z", "#02308:0C", "#02309:0002", "#02302:0.75", "#STAGEFILE cover.jpg")
+    assert [(d["namespace"], d["logical_id"], d["kind"], d["written_path"], d["value"], d["line"]) for d in r["declarations"]] == [
+        ("WAV", "0A", "AUDIO", "drums/kick 1.wav", "drums/kick 1.wav", 3), ("BMP", "7Z", "VISUAL", "sky.png", "sky.png", 4), ("BPM", "0C", "TIMING", None, "97.5", 5), ("STOP", "02", "TIMING", None, "48", 6), ("HEADER", "STAGEFILE", "VISUAL", "cover.jpg", "cover.jpg", 13),
+    ]
+    assert [(u["logical_id"], u["kind"], u["line"], u["column"]) for u in r["usages"]] == [("0A", "BGM_EVENT", 7, 10), ("0A", "BGM_EVENT", 7, 14), ("0A", "PLAYABLE_EVENT", 8, 10), ("7Z", "BGA_06", 9, 8), ("0C", "TIMING_REFERENCE", 10, 8), ("02", "TIMING_REFERENCE", 11, 10), ("STAGEFILE", "HEADER_RESOURCE", 13, None)]
+    assert (r["diagnostics"], r["coverage"]) == ([], "COMPLETE_SUPPORTED_SYNTAX")
 
 
-def test_conflicting_declarations():
-    r = parse("#WAV01 a / #WAV02 a / #WAV01 b / #00111:0102")
-    assert "CONFLICTING_DECLARATIONS" in codes(r) and [u["state"] for u in r["usages"]] == ["AMBIGUOUS", "POTENTIAL"]
+def test_ids_declared_twice():
+    r = song("#WAVAA one.wav", "#WAVBB two.wav", "#WAVAA three.wav", "#WAVCC four.wav", "#WAVCC four.wav", "#00511:AABBCCDD")
+    assert {"CONFLICTING_DECLARATIONS", "DUPLICATE_DECLARATION", "UNDECLARED_LOGICAL_ID"} <= codes(r)
+    assert [u["state"] for u in r["usages"]] == ["AMBIGUOUS", "POTENTIAL", "AMBIGUOUS", "UNKNOWN"] and [d["state"] for d in r["declarations"]].count("OBSERVED") == 1
 
 
-@pytest.mark.parametrize("raw,encodings,code", [(b"#WAV01 \x89\xb9.wav", ["CP932"], None), ("#WAV01 é.wav".encode(), ["UTF-8", "CP932"], "AMBIGUOUS_ENCODING"), (b"\x81", [], "DECODING_FAILED"), (b"\xef\xbb\xbf\xc3", [], "DECODING_FAILED"), (b"#TITLE a\0", ["UTF-8"], "NUL_IN_TEXT")])
+@pytest.mark.parametrize(
+    "raw,encodings,code",
+    [("#ARTIST 歌".encode("cp932"), ["CP932"], None), ("#ARTIST über".encode(), ["UTF-8", "CP932"], "AMBIGUOUS_ENCODING"), (b"#GENRE \xfe\xff\x81", [], "DECODING_FAILED"), (b"\xef\xbb\xbf#GENRE \xe3\x81", [], "DECODING_FAILED"), (b"#GENRE x\0y", ["UTF-8"], "NUL_IN_TEXT")],
+)
 def test_decodings(raw, encodings, code):
     r = parse(raw)
     assert [d["encoding"] for d in r["decodings"]] == encodings and (code is None or code in codes(r))
-    assert encodings != ["CP932"] or r["declarations"][0]["written_path"] == "音.wav"
 
 
-@pytest.mark.parametrize("text,code", [("#IF 1", "UNCLOSED_CONDITIONAL"), ("#ELSE", "ORPHAN_BRANCH"), ("#CASE 1", "ORPHAN_CASE"), ("#SWITCH 2 / #ENDIF", "MISMATCHED_CONDITIONAL_END"), ("#RANDOM huh", "INVALID_CONDITIONAL_ARGUMENT"), ("#CUSTOM_RESOURCE", "UNSUPPORTED_SYNTAX"), ("#WAVX a", "MALFORMED_DECLARATION"), ("#WAV01", "EMPTY_RESOURCE_PATH"), ("#00102:x", "MALFORMED_METER"), ("#00111:1", "MALFORMED_EVENT_DATA"), ("#00103:GG", "INVALID_HEX_BPM")])
-def test_diagnostics(text, code):
-    assert code in codes(parse(text))
+def test_decoded_paths():
+    r = parse("#WAV0B 歌/こえ.wav".encode("cp932"))
+    assert r["declarations"][0]["written_path"] == "歌/こえ.wav"
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_line_ends(end):
+    r = parse(end.join(["#WAV01 p.wav", "", "#00111:01", ""]))
+    assert (r["declarations"][0]["line"], r["usages"][0]["line"], r["diagnostics"]) == (1, 3, [])
+
+
+@pytest.mark.parametrize(
+    "lines,code",
+    [
+        (["#RANDOM 3", "#IF 2", "#ENDRANDOM"], "UNCLOSED_CONDITIONAL"), (["#RANDOM 2", "#ELSEIF 1"], "ORPHAN_BRANCH"), (["#RANDOM 2", "#DEF"], "ORPHAN_CASE"), (["#SETSWITCH 4", "#CASE 4", "#ENDRANDOM"], "MISMATCHED_CONDITIONAL_END"), (["#SWITCH 0"], "INVALID_CONDITIONAL_ARGUMENT"), (["#SETRANDOM 2147483648"], "INVALID_CONDITIONAL_ARGUMENT"),
+        (["#MIDIFILE m.mid"], "UNSUPPORTED_SYNTAX"), (["some words"], "UNSUPPORTED_SYNTAX"), (["#BMP123 a.png"], "MALFORMED_DECLARATION"), (["#BMP0F   "], "EMPTY_RESOURCE_PATH"), (["#07702:1.2.3"], "MALFORMED_METER"), (["#07702:0.0"], "MALFORMED_METER"), (["#07716:0AB"], "MALFORMED_EVENT_DATA"),
+        (["#07703:7G"], "INVALID_HEX_BPM"), (["#07701:0-"], "UNSUPPORTED_SYNTAX"), (["#RANDOM 5", "#ENDRANDOM"], "CONDITIONAL_SEMANTICS_DEFERRED"), (["#LNOBJ ZZ"], "LN_SEMANTICS_DEFERRED"),
+    ],
+)
+def test_diagnostics(lines, code):
+    assert code in codes(song(*lines))
 
 
 def test_channels():
-    r = parse("#001D1:05 / #00131:01 / #00151:01 / #00106:01 / #00103:FF / #001ZZ:01 / #LNOBJ 0A")
-    assert [(u["namespace"], u["logical_id"], u["kind"]) for u in r["usages"]] == [("WAV", "00", "LANDMINE_WAV00_POTENTIAL"), ("WAV", "01", "INVISIBLE_EVENT"), ("WAV", "01", "LONG_NOTE_EVENT"), ("BMP", "01", "BGA_06"), ("WAV", "0A", "LN_TERMINATOR_MARKER")]
-    assert [u["kind"] for u in r["unknown"]] == ["CHANNEL_ZZ"]
-    assert all(u["state"] == "UNKNOWN" and u["logical_id"] is None for u in parse("#BASE 62 / #WAV01 a / #00111:01")["usages"])
+    r = song("#100E9:7X", "#10042:7X", "#10065:7X", "#10007:7X", "#10003:0F", "#100Q4:7X", "#LNOBJ 7x")
+    assert [(u["namespace"], u["logical_id"], u["kind"]) for u in r["usages"]] == [("WAV", "00", "LANDMINE_WAV00_POTENTIAL"), ("WAV", "7X", "INVISIBLE_EVENT"), ("WAV", "7X", "LONG_NOTE_EVENT"), ("BMP", "7X", "BGA_07"), ("WAV", "7X", "LN_TERMINATOR_MARKER")]
+    assert [u["kind"] for u in r["unknown"]] == ["CHANNEL_Q4"]
+    other = song("#base 62", "#WAVzz z.wav", "#10011:ZZ")
+    assert [u["state"] for u in other["usages"]] == ["UNKNOWN"] and other["declarations"][0]["state"] == "UNSUPPORTED" and other["usages"][0]["logical_id"] is None
+
+
+def test_blocks():
+    r = song("#RANDOM 2", "#IF 1", "#WAV01 a", "#ELSEIF 2", "#WAV01 b", "#ELSE", "#WAV01 c", "#ENDIF", "#SWITCH 2", "#CASE 1", "#SKIP", "#DEF", "#WAV02 d", "#ENDSW", "#ENDRANDOM", "#WAV03 e")
+    assert [(c["directive"], c["parent"]) for c in r["contexts"]] == [("RANDOM", None), ("IF", 0), ("ELSEIF", 0), ("ELSE", 0), ("ENDIF", 3), ("SWITCH", 0), ("CASE", 5), ("SKIP", 6), ("DEF", 5), ("ENDSW", 8), ("ENDRANDOM", 0)]
+    assert [d["contexts"] for d in r["declarations"]] == [[0, 1], [0, 2], [0, 3], [0, 5, 8], []]
 
 
 def test_limits():
-    assert "LINE_LIMIT" in codes(parse("#TITLE " + "x" * 50, line=20)) and "FACT_OR_DEPTH_LIMIT" in codes(parse("#00111:" + "01" * 50, facts=10))
-    r = parse("#TITLE x", bytes=3)
+    assert "LINE_LIMIT" in codes(song("#GENRE " + "y" * 90, line=30)) and "FACT_OR_DEPTH_LIMIT" in codes(song("#04511:" + "0A" * 70, facts=20))
+    r = song("#GENRE waltz", bytes=4)
     assert codes(r) == {"SIZE_LIMIT"} and r["sha256"] is None
-    assert "FACT_OR_DEPTH_LIMIT" in codes(parse("#RANDOM 2 / " * 5, depth=3)) and codes(parse("")) == {"EMPTY_CHART"} and codes(parse("x", "txt")) == {"FORMAT_UNSUPPORTED"}
+    assert "FACT_OR_DEPTH_LIMIT" in codes(song(*["#RANDOM 3"] * 7, depth=6)) and "FACT_OR_DEPTH_LIMIT" not in codes(song(*["#RANDOM 3"] * 6, depth=6))
+    assert codes(parse("")) == {"EMPTY_CHART"} and codes(parse("x", "doc")) == {"FORMAT_UNSUPPORTED"}
+    many = song(*["what"] * 30, facts=20)
+    assert len(many["unknown"]) == 20 == len(many["diagnostics"]) and many["diagnostics"][-1]["code"] == "FACT_OR_DEPTH_LIMIT"
     with pytest.raises(ValueError):
         extract.Limits(depth=65)
 
@@ -133,46 +172,73 @@ def test_ambiguous_and_limited_matches(spark):
     assert r.state == "UNKNOWN" and len(r.candidates) == 2
 
 
-R2 = "#RANDOM 2 / #IF {} / {} / #ENDIF / #ENDRANDOM"
-TAIL = " / #00111:01"
+PLAY = "#00111:01"
+
+
+def chosen(*branches, by="IF", head="#RANDOM 2", end=("#ENDIF", "#ENDRANDOM")):
+    """A block with a declaration or usage in each branch."""
+    body = [x for k, b in enumerate(branches, 1) for x in (([f"#IF {k}", b, "#ENDIF"]) if by == "IF" else [f"#{by} {k}", b, "#SKIP"])]
+    return [head, *body, end[-1]]
 
 
 @pytest.mark.parametrize(
-    "text,effective,coverage",
+    "lines,effective,coverage",
     [
-        ("#WAV01 a.wav" + TAIL, "SINGLE_CANDIDATE_WITHIN_MODEL", "COVER"),
-        (R2.format(1, "#WAV01 a.wav") + TAIL, "SINGLE_CANDIDATE_WITHIN_MODEL", "UNBOUND"),
-        ("#WAV01 a.wav / " + R2.format(1, "#00111:01"), "SINGLE_CANDIDATE_WITHIN_MODEL", "COVER"),
-        ("#RANDOM 2 / #IF 1 / #WAV01 a / #ENDIF / #IF 2 / #00111:01 / #ENDIF / #ENDRANDOM", "NO_COMPATIBLE_DECLARATION_WITHIN_MODEL", "UNBOUND"),
-        ("#RANDOM 2 / #IF 1 / #WAV01 a / #ENDIF / #IF 2 / #WAV01 b / #ENDIF / #ENDRANDOM" + TAIL, "BRANCH_EXCLUSIVE_ALTERNATIVES_WITHIN_MODEL", "COVER"),
-        ("#WAV01 a / #WAV01 b" + TAIL, "AMBIGUOUS_EFFECTIVE_DECLARATION", "COVER"),
-        ("#WAV01 a / " + R2.format(1, "#WAV01 b") + TAIL, "AMBIGUOUS_EFFECTIVE_DECLARATION", "COVER"),
-        ("#SWITCH 3 / #CASE 1 / #WAV01 a / #SKIP / #CASE 2 / #WAV01 b / #SKIP / #DEF / #WAV01 c / #ENDSW" + TAIL, "BRANCH_EXCLUSIVE_ALTERNATIVES_WITHIN_MODEL", "COVER"),
-        ("#SETSWITCH 2 / #CASE 1 / #WAV01 a / #SKIP / #CASE 2 / #WAV01 b / #SKIP / #ENDSW" + TAIL, "SINGLE_CANDIDATE_WITHIN_MODEL", "UNBOUND"),
-        ("#SWITCH 3 / #CASE 1 / #WAV01 a / #CASE 2 / #WAV01 b / #ENDSW" + TAIL, "UNKNOWN_EFFECTIVE_DECLARATION", "UNKNOWN_RELATION_COVERAGE"),
-        ("#RANDOM 2 / #WAV01 a / #ENDRANDOM" + TAIL, "UNKNOWN_EFFECTIVE_DECLARATION", "UNKNOWN_RELATION_COVERAGE"),
-        ("#00111:01", "UNRESOLVED_LOGICAL_REFERENCE", "UNBOUND"),
+        (["#WAV01 a.wav", PLAY], "SINGLE_CANDIDATE_WITHIN_MODEL", resolve.COVERED),
+        ([*chosen("#WAV01 a.wav"), PLAY], "SINGLE_CANDIDATE_WITHIN_MODEL", resolve.UNBOUND),
+        (["#WAV01 a.wav", *chosen(PLAY)], "SINGLE_CANDIDATE_WITHIN_MODEL", resolve.COVERED),
+        (chosen("#WAV01 a", PLAY), "NO_COMPATIBLE_DECLARATION_WITHIN_MODEL", resolve.UNBOUND),
+        ([*chosen("#WAV01 a", "#WAV01 b"), PLAY], "BRANCH_EXCLUSIVE_ALTERNATIVES_WITHIN_MODEL", resolve.COVERED),
+        (["#WAV01 a", "#WAV01 b", PLAY], "AMBIGUOUS_EFFECTIVE_DECLARATION", resolve.COVERED),
+        (["#WAV01 a", *chosen("#WAV01 b"), PLAY], "AMBIGUOUS_EFFECTIVE_DECLARATION", resolve.COVERED),
+        (["#SWITCH 3", "#CASE 1", "#WAV01 a", "#SKIP", "#CASE 2", "#WAV01 b", "#SKIP", "#DEF", "#WAV01 c", "#ENDSW", PLAY], "BRANCH_EXCLUSIVE_ALTERNATIVES_WITHIN_MODEL", resolve.COVERED),
+        ([*chosen("#WAV01 a", "#WAV01 b", by="CASE", head="#SETSWITCH 2", end=("#ENDSW",)), PLAY], "SINGLE_CANDIDATE_WITHIN_MODEL", None),
+        (["#SWITCH 3", "#CASE 1", "#WAV01 a", "#CASE 2", "#WAV01 b", "#ENDSW", PLAY], "UNKNOWN_EFFECTIVE_DECLARATION", resolve.UNCLEAR),
+        (["#RANDOM 2", "#WAV01 a", "#ENDRANDOM", PLAY], "UNKNOWN_EFFECTIVE_DECLARATION", resolve.UNCLEAR),
+        (["#RANDOM 2", "#IF 3", PLAY, "#ENDIF", "#ENDRANDOM", "#WAV01 a"], "NO_COMPATIBLE_DECLARATION_WITHIN_MODEL", resolve.UNUSED),
+        ([PLAY], "UNRESOLVED_LOGICAL_REFERENCE", resolve.UNCLEAR),  # an undeclared usage has no region
     ],
-)
-def test_usage_semantics(text, effective, coverage):
-    (u,) = resolve.analysed(parse(text))
-    if coverage == "UNBOUND" and "SETSWITCH" in text:
-        assert u["effective"] == effective
-    else:
-        assert (u["effective"], u["coverage"]) == (effective, coverage)
+)
+def test_usage_semantics(lines, effective, coverage):
+    (u,) = resolve.analysed(song(*lines))
+    assert u["effective"] == effective and coverage in (None, u["coverage"])
+
+
+def test_unsupported_facts_have_no_region():
+    r = song("#BASE 62", "#WAV01 a.wav", PLAY)
+    decl, use = resolve.regions(r)
+    assert {x.state for x in (*decl.values(), *use.values())} == {resolve.UNKNOWN}
+    assert [x["state"] for x in resolve.obligations(r)] == ["POTENTIAL_OBLIGATION_UNKNOWN_SEMANTICS"]
+    title = parse(json.dumps(chart(info={"title_image": "t.png", "back_image": "b.png"})), "bmson")
+    decl, use = resolve.regions(title)
+    assert [decl[d["id"]].state == resolve.UNKNOWN for d in title["declarations"]] == [d["logical_id"] == "title_image" for d in title["declarations"]]
+    assert [use[u["id"]].state == resolve.UNKNOWN for u in title["usages"]] == [u["logical_id"] == "title_image" for u in title["usages"]]
+
+
+def test_order_in_text():
+    r = song(PLAY, "#WAV01 a", "#00112:01", "#BANNER b.png")
+    assert {(x["usage"], x["declaration"]): x["order"] for x in resolve.relations(r)} == {(0, 0): resolve.AFTER, (1, 0): resolve.BEFORE, (2, 1): resolve.AFTER}
+    assert {x["order"] for x in resolve.relations(parse(json.dumps(chart()), "bmson"))} == {resolve.NO_ORDER}
 
 
 def test_witness():
-    (u,) = resolve.analysed(parse(R2.format(1, "#WAV01 a.wav") + TAIL))
+    (u,) = resolve.analysed(song(*chosen("#WAV01 a.wav"), PLAY))
     assert u["witness"] == "0=2-2"
 
 
+def test_coverage_of_files(spark):
+    text = "\n".join(["#WAV01 a.wav", PLAY, "#00112:02"])
+    files = spark.createDataFrame([("d/x.bms", bytearray(text.encode())), ("d/y.bms", None)], "path string, content binary")
+    direct, parsed = (sorted(map(tuple, resolve.usage_coverage(x).collect()), key=str) for x in (files, extract.extracted(files)))
+    assert direct == parsed and [r[5] for r in direct] == [resolve.COVERED, resolve.UNCLEAR]
+
+
 def test_cover_grid():
     cells = list(itertools.product((1, 2, 3), repeat=2))
     for mask in range(512):
         decls = [Region(MAYBE, (Term(0, 3, x), Term(1, 3, y))) for k, (x, y) in enumerate(cells) if mask >> k & 1]
         state, witness = resolve.covered(Region(ALWAYS), decls)
-        assert (state == "COVER") == (mask == 511)
+        assert (state == resolve.COVERED) == (mask == 511)
         if mask and mask != 511:
             box = [range(witness[v][0], witness[v][1] + 1) for v in (0, 1)]
             assert all(not mask >> cells.index(c) & 1 for c in itertools.product(*box))
@@ -205,7 +271,7 @@ def test_bounded_proof(spark):
     files = spark.createDataFrame([(f"{x}/c.bms", bytearray(twice if x == "never" else text)) for x in ("ok", "gone", "case", "ogg", "two", "never")] + [("none/c.bms", bytearray(b"#TITLE t\n"))], "path string, content binary")
     inventory = spark.createDataFrame([(x,) for x in ("ok/k.wav", "never/k.wav", "case/K.WAV", "ogg/k.ogg", "two/k.wav", "two/K.wav")], "path string")
     got = {r.path.split("/")[0]: r for r in resolve.bounded_proof(extract.extracted(files), inventory).collect()}
-    assert {k for k, r in got.items() if r.proof == "PROVEN"} == {"ok"} and got["ok"].blockers == [] and (got["ok"].satisfiable, got["ok"].declared, got["ok"].related, got["ok"].observed, got["ok"].ordinal) == (1, 1, 1, 1, 1)
+    assert {k for k, r in got.items() if r.proof == resolve.PROVEN} == {"ok"} and got["ok"].blockers == [] and (got["ok"].satisfiable, got["ok"].declared, got["ok"].related, got["ok"].observed, got["ok"].ordinal) == (1, 1, 1, 1, 1)
     assert {k: (r.evidence[0].state, r.physical) for k, r in got.items() if r.evidence} == {
         "ok": ("ORDINAL_EXACT_OBSERVED_MATCH", "COMPLETE_ORDINAL_OBSERVED_BINDINGS"), "gone": ("NO_OBSERVED_MATCH", "INCOMPLETE_OR_NO_OBSERVED_BINDINGS"), "case": ("WINDOWS_QUALIFIED_OBSERVED_MATCH", "QUALIFIED_WINDOWS_OBSERVED_BINDINGS"),
         "ogg": ("ALTERNATE_EXTENSION_PROPOSALS_ONLY", "ALTERNATE_EXTENSION_PROPOSALS_ONLY_OR_MIXED"), "two": ("AMBIGUOUS_OBSERVED_MATCH", "AMBIGUOUS_OBSERVED_BINDINGS"), "never": ("ORDINAL_EXACT_OBSERVED_MATCH", "ORDINAL_PATHS_WITHOUT_ADMITTED_USAGE_BINDING"),

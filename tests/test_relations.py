@@ -94,12 +94,29 @@ def test_incremental_life(spark):
         assert r.content_id == {2: "h1", 3: "h1", 4: "h1", 5: "h3", 6: "h3", 7: "h3"}[run]
 
 
+def test_counters(spark):
+    """A new file is new and hashed, a changed stamp is changed whatever the digest, what is missing already isn't missing anew."""
+    kept = SEEN + ", status string, first_seen int, last_seen int, present boolean"
+    old = [("same", 1, "h", "OK", True), ("touched", 1, "h", "OK", True), ("edited", 1, "h", "OK", True), ("broken", 1, "h", "OK", True), ("failed", 1, None, "ERROR", True), ("gone", 1, "h", "OK", True), ("long gone", 1, "h", "MISSING", False)]
+    old = spark.createDataFrame([(p, "/", 1, m, h, s, 1, 1, here) for p, m, h, s, here in old], kept)
+    new = [("same", 1, None, "OK"), ("touched", 2, "h", "OK"), ("edited", 2, "g", "OK"), ("broken", 2, None, "UNSTABLE"), ("failed", 1, None, "ERROR"), ("fresh", 1, "f", "OK"), ("bad", 1, None, "ERROR")]
+    out = index.merge(old, spark.createDataFrame([(p, "/", 1, m, h, s) for p, m, h, s in new], SEEN + ", status string"), 2)
+    assert index.statistics(out).first().asDict() == {"discovered": 7, "reused": 1, "hashed": 3, "new": 2, "changed": 3, "missing": 1, "errored": 3, "unstable": 1}
+    assert {r.path: r.status for r in out.collect()} == {"same": "OK", "touched": "OK", "edited": "OK", "broken": "UNSTABLE", "failed": "ERROR", "fresh": "OK", "bad": "ERROR", "gone": "MISSING", "long gone": "MISSING"}
+
+
+def test_unreadable_entry_blocks_its_folder(spark):
+    items = spark.createDataFrame([("root/A", True, "OK"), ("root/A/sub", True, "OK"), ("root/B", True, "OK")], "container string, present boolean, status string")
+    said = spark.createDataFrame([("ENTRY_METADATA", "root/A/x.bms")], "code string, path string")
+    assert {r.container for r in relations.incomplete_containers(items, said).collect()} == {"root/A", "root/A/sub"}
+
+
 def test_blocked_and_inactive(spark):
     old = spark.createDataFrame([("/a/x/1", "/a", 1, 1, "h", "OK", 1, 1, True), ("/a/y/1", "/a", 1, 1, "h", "OK", 1, 1, True), ("/b/1", "/b", 1, 1, "h", "OK", 1, 1, True)], SEEN + ", status string, first_seen int, last_seen int, present boolean")
     out = index.merge(old, spark.createDataFrame([], SEEN), 2, active_roots=spark.createDataFrame([("/a",)], "root string"), blocked=spark.createDataFrame([("/a/x",)], "blocked string"))
     assert {r.path: (r.outcome, r.present) for r in out.collect()} == {"/a/x/1": ("UNVERIFIED", False), "/a/y/1": ("MISSING", False), "/b/1": ("INACTIVE", False)}
     s = index.statistics(out).first()
-    assert (s.missing, s.unverified, s.inactive, s.new) == (1, 1, 1, 0)
+    assert (s.missing, s.discovered, s.new) == (1, 0, 0)
 
 
 TREE = "path string, kind string, digest string, is_item boolean"
