@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import argparse
 import contextlib
+import fcntl
+import json
 import os
 import sys
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import columns as C
 from kinfold.operators import compare, extract, index, observe, plan, relations, resolve, validate
-from kinfold.sources import files, sinks
+from kinfold.sources import files, guarded, sinks
 
 DONE, FAILED, INCOMPLETE = 0, 1, 2
 
@@ -23,21 +26,25 @@ class Busy(RuntimeError):
 
 @contextlib.contextmanager
 def single_writer(store: str):
-    """A lock file beside a local store; runs elsewhere rely on write-once folders alone."""
+    """A lock beside a local store that the system releases with the process; other stores rely on write-once folders."""
     if "://" in store:
         yield
         return
     os.makedirs(store, exist_ok=True)
-    path = os.path.join(store, "_writer.lock")
-    try:
-        handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-    except FileExistsError:
-        raise Busy(f"{path} exists") from None
-    try:
+    with open(os.path.join(store, "_writer.lock"), "w") as lock:
+        try:
+            fcntl.flock(lock, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except OSError:
+            raise Busy(f"{store} has another writer") from None
         yield
-    finally:
-        os.close(handle)
-        os.unlink(path)
+
+
+def now() -> str:
+    return datetime.now(timezone.utc).isoformat()
+
+
+def jpath(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
 
 
 def outside(path: str, roots: list[str]) -> str:
@@ -49,6 +56,9 @@ def outside(path: str, roots: list[str]) -> str:
     return path
 
 
+INDEX = "path string, root string, size long, mtime long, content_id string, root_id int, md5 string, status string, first_seen int, last_seen int, present boolean"
+
+
 class Engine:
     """store: folder of runs, each written once. Sources are only read."""
 
@@ -72,7 +82,12 @@ class Engine:
         return self.spark.read.parquet(f"{self.store}/run={run or known[-1]}")
 
     def scan(self, roots: list[str], rehash: bool = False) -> DataFrame:
-        """Reads the items under the roots, merges them with the last run's index, writes the next run; its statistics."""
+        """Lists what lies under the roots, reads the items whose size or time changed, writes the next run; its counters.
+
+        What can't be listed or read is a diagnostic and a status: such items stay in the index, and items that were
+        known below an unreadable folder are UNVERIFIED, not missing.
+        """
+        roots = [os.path.abspath(r) for r in roots]
         for a in roots:
             for b in roots:
                 if a != b:
@@ -82,35 +97,128 @@ class Engine:
         with single_writer(self.store):
             sinks.claim_store(self.spark, self.store)
             known = self.runs()
-            run = known[-1] + 1 if known else 1
-            seen = None
-            for r in roots:
-                own = files.items(files.tree(self.spark, r), r, run).withColumn("mtime", F.unix_micros("mtime")).select("path", "root", "size", "mtime", "content_id")
-                seen = own if seen is None else seen.unionByName(own)
-            empty = self.spark.createDataFrame([], seen.schema).withColumns({"status": F.lit("OK"), "first_seen": F.lit(0), "last_seen": F.lit(0), "present": F.lit(True)})
-            old = self.index().drop("outcome") if known else empty
-            merged = index.merge(old, seen, run, rehash, self.spark.createDataFrame([(r,) for r in roots], "root string"))
-            sinks.write_run(merged, self.store, run)
-        return index.statistics(self.index())
+            run = max([*known, *(s["run"] for s in self.scans())], default=0) + 1
+            ids = self.root_ids()
+            ids |= {r: len(ids) + k for k, r in enumerate((r for r in sorted(roots) if r not in ids), 1)}
+            begun = {"run": run, "started_utc": now(), "roots": roots, "root_ids": ids}
+            self.mark(begun | {"status": "RUNNING"})
+            try:
+                merged, diagnostics = self.merged(roots, run, rehash, ids)
+                diagnostics.write.mode("errorifexists").parquet(f"{self.store}/diagnostics/run={run}")
+                sinks.write_run(merged, self.store, run)
+            except BaseException:
+                self.mark(begun | {"status": "FAILED", "completed_utc": now()})
+                raise
+            counted = index.statistics(self.index(run)).first().asDict()
+            self.mark(begun | {"status": "COMPLETED", "completed_utc": now(), "statistics": counted})
+        return index.statistics(self.index(run))
+
+    def merged(self, roots: list[str], run: int, rehash: bool, ids: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+        """The next index and the diagnostics of the listing and of the reads."""
+        entries = relations.checkpointed(guarded.walk(self.spark, roots))
+        named = self.spark.createDataFrame(list(ids.items()), "root string, root_id int")
+        item = C.extension(F.col("path")).isin(*files.ITEM_EXTENSIONS) & F.col("kind").isin("REGULAR_FILE", "REPARSE", "UNKNOWN") & (F.col("status") != "ENUMERATION_ERROR")
+        # a root is one of the item's folders
+        found = entries.where(item).select("path", F.col("size").alias("size"), F.col("mtime_ns").alias("mtime"), F.explode(C.ancestors(F.col("path"))).alias("root")).join(F.broadcast(named.where(F.col("root").isin(roots))), "root")
+        old = self.index().drop("outcome", "counted") if self.runs() else self.spark.createDataFrame([], INDEX)
+        before = old.where("status = 'OK' AND content_id IS NOT NULL").select("path", "size", "mtime")
+        fresh = found if rehash else found.join(before.select("path", F.struct("size", "mtime").alias("stamp")), "path", "left").where(~F.struct("size", "mtime").eqNullSafe(F.col("stamp")))
+        read = relations.checkpointed(guarded.read_charts(fresh.select("path").repartition("path"))).withColumnRenamed("status", "read")
+        seen = found.join(read.select("path", "read", "sha256", "md5", "size_after", "mtime_after"), "path", "left")
+        seen = seen.select(
+            "path", "root", "root_id", F.coalesce("size_after", "size", F.lit(-1)).alias("size"), F.coalesce("mtime_after", "mtime", F.lit(0)).alias("mtime"), F.col("sha256").alias("content_id"), "md5",
+            F.when(F.col("read").isNull() | (F.col("read") == "SUCCESS"), "OK").when(F.col("read") == "UNSTABLE", "UNSTABLE").otherwise("ERROR").alias("status"),
+        )
+        said = entries.select(
+            F.when(F.col("kind") == "REPARSE", "WARNING").otherwise("ERROR").alias("severity"),
+            F.when(F.col("status") == "ENUMERATION_ERROR", "DIRECTORY_UNREADABLE").when(F.col("status") == "METADATA_ERROR", "ENTRY_METADATA").when(F.col("kind") == "REPARSE", "REPARSE_SKIPPED").alias("code"), "path",
+        ).where("code IS NOT NULL")
+        failed = read.where("read <> 'SUCCESS'").select(F.lit("ERROR").alias("severity"), F.when(F.col("read") == "UNSTABLE", "CHART_UNSTABLE").otherwise("CHART_READ").alias("code"), "path")
+        blocked = said.select(F.col("path").alias("blocked"))
+        merged = index.merge(old, seen, run, rehash, self.spark.createDataFrame([(r,) for r in roots], "root string"), blocked)
+        return merged, said.unionByName(failed)
+
+    def mark(self, scan: dict) -> None:
+        """One state of a scan, as a small file that is never written again."""
+        folder = jpath(self.spark, f"{self.store}/scans")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out = fs.create(jpath(self.spark, f"{self.store}/scans/{scan['run']:08d}-{scan['status']}.json"), False)
+        try:
+            out.write(bytearray(json.dumps(scan).encode()))
+        finally:
+            out.close()
+
+    def scans(self) -> list[dict]:
+        """The scans begun so far with their last state; one that says RUNNING without a writer was interrupted."""
+        folder = jpath(self.spark, f"{self.store}/scans")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        last: dict[int, dict] = {}
+        for f in fs.listStatus(folder) if fs.exists(folder) else ():
+            stream = fs.open(f.getPath())
+            try:
+                scan = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+            if scan["run"] not in last or last[scan["run"]]["status"] == "RUNNING":
+                last[scan["run"]] = scan
+        return [s if s["status"] != "RUNNING" else s | {"status": "FAILED"} for _, s in sorted(last.items())]
+
+    def root_ids(self) -> dict[str, int]:
+        """Every root ever scanned and its number."""
+        return {r: k for s in self.scans() for r, k in s["root_ids"].items()}
+
+    def diagnostics(self, run: int | None = None) -> DataFrame:
+        run = run or self.runs()[-1]
+        return self.spark.read.schema("severity string, code string, path string").parquet(f"{self.store}/diagnostics/run={run}")
 
     def items(self, run: int | None = None) -> DataFrame:
         i = self.index(run)
         return i.withColumn("container", C.parent(F.col("path")))
 
     def report(self, folder: str, run: int | None = None) -> dict[str, int]:
-        """duplicates, pairs, clusters as CSV folders and summary.json under folder; counts of each."""
-        i = self.items(run)
-        whole = relations.eligible(i).join(relations.incomplete_containers(i), "container", "left_anti")
-        dup = relations.duplicates(relations.eligible(i)).select("content_id", "path", "container", "size", "locations")
+        """duplicate_charts.csv, folder_candidates.csv, clusters.csv, diagnostics.csv and summary.json in a new folder; counts of each.
+
+        Folders that were not read whole take no part in relations. The folder may lie neither in a root nor around the store.
+        """
+        if "://" not in folder:
+            outside(folder, list(self.root_ids()))
+            if os.path.commonpath([os.path.realpath(folder), os.path.realpath(self.store)]) == os.path.realpath(folder):
+                raise ValueError(f"{folder} holds the store")
+            if os.path.isdir(folder) and os.listdir(folder):
+                raise ValueError(f"{folder} is not empty")
+            os.makedirs(folder, exist_ok=True)
+        run = run or (self.runs() or [0])[-1]
+        i, said = self.items(run), self.diagnostics(run)
+        broken = relations.checkpointed(relations.incomplete_containers(i, said))
+        whole = relations.eligible(i).join(broken, "container", "left_anti")
+        dup = relations.checkpointed(relations.duplicates(relations.eligible(i)))
         pairs = relations.checkpointed(relations.pairs(whole))
-        related = relations.numbered(relations.related_clusters(pairs), "RELATED")
-        exact = relations.numbered(relations.exact_clusters(whole), "EXACT_ONLY")
-        sinks.write_csv(dup, f"{folder}/duplicates", "content_id", "path")
-        sinks.write_csv(pairs, f"{folder}/pairs", "a", "b")
-        sinks.write_csv(related.unionByName(exact), f"{folder}/clusters", "kind", "cluster_id", "container")
+        related = relations.checkpointed(relations.numbered(relations.related_clusters(pairs), "RELATED"))
+        exact = relations.checkpointed(relations.numbered(relations.exact_clusters(whole), "EXACT_ONLY"))
+        ticks = F.col("mtime").cast("decimal(38,0)") / 100
+        rows = dup.select(
+            F.col("content_id").alias("sha256"), "md5", F.col("locations").alias("group_paths"), "root_id", F.col("path").alias("absolute_path"), F.col("container").alias("parent_folder"), C.name(F.col("path")).alias("filename"),
+            C.extension(F.col("path")).alias("extension"), "size", C.ticks_to_text(F.floor(ticks).cast("long") + F.lit(C.TICKS_AT_EPOCH)).alias("mtime_utc"),
+        )
+        sinks.write_csv_file(rows, f"{folder}/duplicate_charts.csv", "sha256", "absolute_path")
+        sides = {"a": "folder_a", "b": "folder_b", "physical_a": "physical_files_a", "physical_b": "physical_files_b", "items_a": "charts_a", "items_b": "charts_b"}
+        sinks.write_csv_file(pairs.withColumnsRenamed(sides), f"{folder}/folder_candidates.csv", "folder_a", "folder_b")
+        both = related.unionByName(exact)
+        sized = both.join(both.groupBy("cluster_id").agg(F.count("*").alias("folder_count")), "cluster_id").select("kind", "cluster_id", "folder_count", F.col("container").alias("folder_path"))
+        sinks.write_csv_file(sized, f"{folder}/clusters.csv", "kind", "cluster_id", "folder_path")
+        sinks.write_csv_file(said, f"{folder}/diagnostics.csv", "severity", "code", "path")
+        spread = lambda c: {str(r["size"]): r.clusters for r in relations.size_distribution(c.withColumnRenamed("cluster_id", "cluster_key")).orderBy("size").collect()}
+        s = relations.summary(i, said).first()
+        scan = next((x for x in self.scans() if x["run"] == run), {})
         counts = {"duplicates": dup.count(), "pairs": pairs.count(), "related": related.select("cluster_id").distinct().count(), "exact": exact.select("cluster_id").distinct().count()}
-        labels = {r.relationship: r.n for r in relations.label_counts(pairs).collect()}
-        sinks.publish_json(counts | {"relationships": labels}, f"{folder}/summary.json")
+        summary = {
+            "scan_id": run, "scan_started_utc": scan.get("started_utc"), "scan_completed_utc": scan.get("completed_utc"), "roots": scan.get("roots"), "current_chart_files": s.current, "verified_chart_files": s.verified,
+            "unverified_previously_indexed_chart_files": s.unverified, "unique_sha256": s.unique_contents, "unique_md5": s.unique_md5, "physical_chart_folders": s.containers,
+            "analyzed_chart_folders": whole.select("container").distinct().count(), "incomplete_folders": broken.count(), "duplicate_sha256_groups": dup.select("content_id").distinct().count(), "candidate_folder_pairs": counts["pairs"],
+            "relationship_counts": {r.relationship: r.n for r in relations.label_counts(pairs).collect()}, "cluster_count": counts["related"], "cluster_size_distribution": spread(related),
+            "exact_only_cluster_count": counts["exact"], "exact_only_cluster_size_distribution": spread(exact), "hash_cache_statistics": scan.get("statistics"), "warning_count": s.warnings, "error_count": s.errors,
+        }
+        sinks.publish_json(summary, f"{folder}/summary.json")
         return counts
 
     def tree(self, root: str) -> DataFrame:
@@ -130,7 +238,9 @@ class Engine:
 
     def extract(self, root: str) -> DataFrame:
         f = files.tree(self.spark, root)
-        return extract.extracted(f.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*files.ITEM_EXTENSIONS)).where(f"length <= {8 << 20}"))
+        # a file beyond the bound keeps its row, with SIZE_LIMIT; one byte more than the bound is enough to tell
+        content = F.expr(f"IF(length > {8 << 20}, substring(content, 1, {(8 << 20) + 1}), content)").alias("content")
+        return extract.extracted(f.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*files.ITEM_EXTENSIONS)).select("path", content))
 
     def resolve(self, charts: DataFrame, inventory: DataFrame) -> dict[str, DataFrame]:
         """What the charts' usages bind to, and which files of the inventory (path) their declarations name."""

@@ -132,9 +132,23 @@ def related_clusters(edges: DataFrame, left: str = "a", right: str = "b", rounds
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def in_order(df: DataFrame, number: str, *keys: str) -> DataFrame:
+    """df with `number`, from 1 in the order of keys, by a range sort and the row counts of the partitions before.
+
+    No task sees more than its partition; the table of counts has a row for each partition. Rows equal in keys are
+    numbered in any order.
+    """
+    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    laid = checkpointed(laid.withColumn("_part", F.shiftright("_at", 33)))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = laid.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n")).select("_p", before.alias("_before"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return laid.join(F.broadcast(parts), F.col("_part") == F.col("_p")).select(*df.columns, (F.col("_before") + within + 1).alias(number))
+
+
 def numbered(clusters: DataFrame, kind: str) -> DataFrame:
-    """kind, cluster_id, container: ids count clusters by their smallest member. There is a row of keys for each cluster."""
-    ids = clusters.select("cluster_key").distinct().withColumn("k", F.row_number().over(Window.orderBy("cluster_key")))
+    """kind, cluster_id, container: ids count clusters by their smallest member."""
+    ids = in_order(clusters.select("cluster_key").distinct(), "k", "cluster_key")
     return clusters.join(ids, "cluster_key").select(F.lit(kind).alias("kind"), C.padded_id(F.lit(kind), F.col("k")).alias("cluster_id"), "container")
 
 

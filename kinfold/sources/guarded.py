@@ -18,7 +18,7 @@ from kinfold.functions import columns as C
 from kinfold.operators.relations import checkpointed
 
 ENTRY = "path string, kind string, size long, mtime_ns long, native_id string, links long, status string"
-READ = "path string, size_before long, mtime_before long, size_after long, mtime_after long, sha256 string, bytes long, attempts int, status string"
+READ = "path string, size_before long, mtime_before long, size_after long, mtime_after long, sha256 string, md5 string, bytes long, attempts int, status string"
 CHUNK = 1 << 16
 ATTEMPTS = 2
 # Fixed values of the file format: magic, and the write and read versions of rollback journals.
@@ -106,29 +106,30 @@ def walk(spark: SparkSession, roots: list[str], most_depth: int = 128) -> DataFr
     raise TooDeep(f"folders nest deeper than {most_depth}")
 
 
-def hashed(path: str) -> tuple[str, int]:
-    h, n = hashlib.sha256(), 0
+def hashed(path: str) -> tuple[str, str, int]:
+    h, m, n = hashlib.sha256(), hashlib.md5(usedforsecurity=False), 0
     with open(path, "rb", opener=lambda p, flags: os.open(p, flags | os.O_NOFOLLOW)) as f:
         while part := f.read(CHUNK):
             h.update(part)
+            m.update(part)
             n += len(part)
-    return h.hexdigest(), n
+    return h.hexdigest(), m.hexdigest(), n
 
 
 def guarded_read(path: str, attempts: int = ATTEMPTS) -> dict:
     """One row of READ: the digest counts only if the file was the same before, during and after the read."""
-    out = dict.fromkeys(("size_before", "mtime_before", "size_after", "mtime_after", "sha256")) | {"path": path, "bytes": 0, "attempts": 0, "status": "UNSTABLE"}
+    out = dict.fromkeys(("size_before", "mtime_before", "size_after", "mtime_after", "sha256", "md5")) | {"path": path, "bytes": 0, "attempts": 0, "status": "UNSTABLE"}
     try:
         for k in range(1, attempts + 1):
             before = facts(path)
             out |= {"attempts": k, "size_before": before["size"], "mtime_before": before["mtime_ns"]}
             if before["kind"] != "REGULAR_FILE":
                 return out | {"status": "REPARSE"}
-            digest, n = hashed(path)
+            digest, md5, n = hashed(path)
             after = facts(path)
             out |= {"bytes": out["bytes"] + n, "size_after": after["size"], "mtime_after": after["mtime_ns"]}
             if before == after and n == before["size"]:
-                return out | {"sha256": digest, "status": "SUCCESS"}
+                return out | {"sha256": digest, "md5": md5, "status": "SUCCESS"}
     except FileNotFoundError:
         return out | {"status": "MISSING"}
     except NotADirectoryError:
@@ -156,11 +157,11 @@ def read_content(expected: DataFrame) -> DataFrame:
                 return False
             return want["kind"] == "REGULAR_FILE" and all(now[k] == v for k, v in want.items())
 
-        out = dict.fromkeys(("size_before", "mtime_before", "size_after", "mtime_after", "sha256")) | {"path": r["path"], "bytes": 0, "attempts": 0, "status": "STALE"}
+        out = dict.fromkeys(("size_before", "mtime_before", "size_after", "mtime_after", "sha256", "md5")) | {"path": r["path"], "bytes": 0, "attempts": 0, "status": "STALE"}
         if same():
             out = guarded_read(r["path"])
             out["status"] = "STALE" if not same() else "ERROR" if out["status"] == "UNREADABLE" else out["status"]
-        yield out if out["status"] == "SUCCESS" else out | {"sha256": None}
+        yield out if out["status"] == "SUCCESS" else out | {"sha256": None, "md5": None}
 
     return mapped(expected.select("path", "kind", "size", "mtime_ns", "native_id"), one, READ)
 

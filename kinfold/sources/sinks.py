@@ -68,6 +68,31 @@ def write_csv(df: DataFrame, path: str, *order: str) -> None:
     out.write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\n").option("emptyValue", "").csv(path)
 
 
+def write_csv_file(df: DataFrame, path: str, *order: str) -> None:
+    """As write_csv, in one file with one header: the sorted parts are written by the executors and then streamed together."""
+    spark = df.sparkSession
+    jvm, parts = spark._jvm, path + ".parts"
+    write_csv(df, parts, *order)
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(place(parts)) if s.getPath().getName().startswith("part-"))
+    header = (",".join(df.columns) + "\n").encode()
+    out = fs.create(place(path), False)
+    try:
+        out.write(bytearray(header))
+        for n in names:
+            own = fs.open(place(f"{parts}/{n}"))
+            try:
+                if fs.getFileStatus(place(f"{parts}/{n}")).getLen() > len(header):
+                    own.seek(len(header))
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(own, out, 1 << 16, False)
+            finally:
+                own.close()
+    finally:
+        out.close()
+    fs.delete(place(parts), True)
+
+
 def publish_json(value: dict, path: str) -> None:
     """A small JSON document, written beside its place and linked to it: it appears whole, and never replaces another."""
     folder = os.path.dirname(os.path.abspath(path))

@@ -1,5 +1,8 @@
 """The engine over a small library of folders."""
 
+import json
+import os
+
 import pytest
 
 from kinfold import engine
@@ -19,22 +22,81 @@ def test_scan_report_verify(spark, library):
     e = engine.Engine(spark, str(library / "store"))
     root = str(library / "songs")
     s = e.scan([root]).first()
-    assert (s.new, s.reused) == (3, 0)
+    assert (s.discovered, s.new, s.hashed, s.reused) == (3, 3, 3, 0)
     (library / "songs/A/one.bms").write_text("longer")
     (library / "songs/B/one.bms").unlink()
     s = e.scan([root]).first()
-    assert (s.changed, s.reused, s.missing) == (1, 1, 1) and e.runs() == [1, 2]
+    assert (s.changed, s.hashed, s.reused, s.missing) == (1, 1, 1, 1) and e.runs() == [1, 2]
+    assert e.scan([root]).first().missing == 0  # what is gone already isn't missing anew
     assert e.report(str(library / "r1"), 1) == {"duplicates": 2, "pairs": 1, "related": 1, "exact": 1}
     assert e.report(str(library / "r2")) == {"duplicates": 0, "pairs": 0, "related": 0, "exact": 0}
-    assert e.verify().count() == 0
+    rows = (library / "r1/duplicate_charts.csv").read_text().splitlines()
+    assert rows[0] == "sha256,md5,group_paths,root_id,absolute_path,parent_folder,filename,extension,size,mtime_utc" and [r.split(",")[4] for r in rows[1:]] == [f"{root}/{x}/one.bms" for x in "AB"]
+    assert rows[1].split(",")[1:4] == ["9dd4e461268c8034f5c8564e155c67a6", "2", "1"] and rows[1].endswith("Z")
+    assert (library / "r1/clusters.csv").read_text() == f"kind,cluster_id,folder_count,folder_path\nEXACT_ONLY,EXACT_ONLY_000001,2,{root}/A\nEXACT_ONLY,EXACT_ONLY_000001,2,{root}/B\nRELATED,RELATED_000001,2,{root}/A\nRELATED,RELATED_000001,2,{root}/B\n"
+    assert (library / "r1/folder_candidates.csv").read_text().splitlines()[1].startswith(f"{root}/A,{root}/B,1,1,1,1,1,")
+    summary = json.loads((library / "r1/summary.json").read_text())
+    assert (summary["scan_id"], summary["current_chart_files"], summary["cluster_size_distribution"], summary["hash_cache_statistics"]["new"]) == (1, 3, {"2": 1}, 3)
+    assert e.verify().count() == 0 and [s["status"] for s in e.scans()] == ["COMPLETED"] * 3
     with pytest.raises(ValueError):
         e.scan([root, root + "/A"])
     with pytest.raises(ValueError):
         engine.Engine(spark, root + "/store").scan([root])
+    with pytest.raises(ValueError):
+        e.report(str(library / "r1"))
     with engine.single_writer(str(library / "store")), pytest.raises(engine.Busy):
         e.scan([root])
 
 
+def test_second_scan_opens_no_file(spark, library, monkeypatch):
+    e, root = engine.Engine(spark, str(library / "store")), library / "songs"
+    e.scan([str(root)])
+    for f in root.rglob("*.[bB][mM][sS]"):  # the same size and time, other bytes: only a reader would notice
+        stamp = f.stat()
+        f.write_bytes(bytes(b ^ 1 for b in f.read_bytes()))
+        os.utime(f, ns=(stamp.st_atime_ns, stamp.st_mtime_ns))
+    before = {r.path: r.content_id for r in e.index().collect()}
+    s = e.scan([str(root)]).first()
+    assert (s.reused, s.hashed) == (3, 0) and {r.path: r.content_id for r in e.index().collect()} == before
+    assert e.scan([str(root)], rehash=True).first().hashed == 3 and all(r.content_id != before[r.path] for r in e.index().collect())
+
+
+def test_scan_diagnostics(spark, library):
+    e, root = engine.Engine(spark, str(library / "store")), library / "songs"
+    (root / "D").mkdir()
+    (root / "D/three.bms").write_text("y")
+    e.scan([str(root)])
+    (root / "A/link.bms").symlink_to(root / "B/one.bms")  # a link is named, not followed
+    (root / "D/three.bms").unlink()
+    (root / "D").rmdir()
+    (root / "D").symlink_to(root / "B")
+    s = e.scan([str(root)]).first()
+    assert (s.discovered, s.errored, s.missing) == (4, 1, 0)
+    state = {os.path.relpath(r.path, root): (r.status, r.present) for r in e.index().collect()}
+    assert state["D/three.bms"] == ("UNVERIFIED", False) and state["A/link.bms"] == ("ERROR", True) and state["A/one.bms"] == ("OK", True)
+    said = {(r.severity, r.code, os.path.relpath(r.path, root)) for r in e.diagnostics().collect()}
+    assert said == {("WARNING", "REPARSE_SKIPPED", "A/link.bms"), ("WARNING", "REPARSE_SKIPPED", "D"), ("ERROR", "CHART_READ", "A/link.bms")}
+    assert e.report(str(library / "r")) == {"duplicates": 2, "pairs": 0, "related": 0, "exact": 0}  # folder A was not read whole
+    assert json.loads((library / "r/summary.json").read_text())["incomplete_folders"] == 1
+
+
+def test_interrupted_scan(spark, library, monkeypatch):
+    e, root = engine.Engine(spark, str(library / "store")), str(library / "songs")
+    monkeypatch.setattr(engine.index, "merge", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        e.scan([root])
+    monkeypatch.undo()
+    assert [s["status"] for s in e.scans()] == ["FAILED"] and e.runs() == []
+    e.scan([root])
+    assert [(s["run"], s["status"]) for s in e.scans()] == [(1, "FAILED"), (2, "COMPLETED")] and e.runs() == [2]
+
+
+def test_large_charts_keep_their_row(spark, tmp_path):
+    (tmp_path / "big.bms").write_bytes(b"#TITLE t\n" + b"*" * (8 << 20))
+    (r,) = engine.Engine(spark, str(tmp_path / "s")).extract(str(tmp_path)).collect()
+    assert [d.code for d in r.diagnostics] == ["SIZE_LIMIT"] and r.sha256 is None
+
+
 def test_compare_extract_plan(spark, library):
     e = engine.Engine(spark, str(library / "store"))
     a, b, c = (str(library / "songs" / x) for x in "ABC")
