@@ -21,6 +21,7 @@ ARROW_BYTES = 2 << 20
 SLICE_BYTES = 1 << 20
 PIECE_BYTES = 1 << 18
 SLICE_CELLS = 1 << 16
+MERGED_AT_ONCE = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,12 @@ def id_kind(docs: DataFrame, column: str = "doc_id") -> str:
     return docs.schema[column].dataType.simpleString()
 
 
+def arrow_kind(docs: DataFrame, column: str = "doc_id") -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(docs.schema[column].dataType)
+
+
 def in_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """df.mapInArrow(fn, schema) with batches cut at ARROW_BYTES before they are built; a longer row makes one of its own.
 
@@ -233,7 +240,7 @@ def running(df: DataFrame, order: list[str], sums: dict[str, str], parts: int |
 def merged(parts: DataFrame, cells: int, merge=np.add) -> np.ndarray:
     """Many arrays of `cells` uint32, given as rows of cut_up(), merged into one.
 
-    Slices are merged in parallel, each task holding one array at most; the driver gets one array of a fixed size.
+    Slices are merged in parallel, in groups first where there are many; the driver gets one array of a fixed size.
     """
 
     def fold(batches):
@@ -245,6 +252,9 @@ def merged(parts: DataFrame, cells: int, merge=np.add) -> np.ndarray:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([shrunk(v) for v in held.values()], pa.binary())], names=["slice", "cells"])
 
+    if parts.rdd.getNumPartitions() > MERGED_AT_ONCE:  # each of these tasks takes the slices of a part of all tasks
+        group = F.pmod(F.spark_partition_id(), F.lit(MERGED_AT_ONCE))
+        parts = in_arrow(parts.withColumn("_group", group).repartition("slice", "_group").select("slice", parts.columns[1]), fold, "slice int, cells binary")
     out = np.zeros(cells, np.uint32)
     for r in in_arrow(parts.repartition("slice"), fold, "slice int, cells binary").collect():
         part = unpacked(bytes(r.cells))

@@ -20,7 +20,10 @@ PERCENT = 75
 SKETCH_BITS = 22
 FRAGMENTS = 8
 SMALL_BUCKET = 6
+#: Rows of an open bucket that a task holds, and rows by which a cell of the count must exceed the usual for its shingles'
+#: buckets to be dealt over several tasks, about that many each.
 LONG_BUCKET = 50_000
+HOT = 2_000
 MOST_BITS = 4096
 SEEN = 100_000
 
@@ -111,7 +114,7 @@ def profiled(docs: DataFrame, width: int) -> DataFrame:
         null = lambda t: pa.nulls(rows.num_rows, t)
         yield pa.RecordBatch.from_arrays([null(docs_type), null(pa.int64()), null(pa.int64()), rows.column(0), rows.column(1)], names=["doc_id", "n", "cls", "slice", "bits"])
 
-    docs_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    docs_type = common.arrow_kind(docs)
     return common.in_arrow(docs.select("doc_id", "text"), measure, f"doc_id {kind}, n long, cls long, slice int, bits binary")
 
 
@@ -126,6 +129,38 @@ def rarity(cells: np.ndarray) -> np.ndarray:
     return np.where(z <= 4, 128 + 16 * z, 192 + 4 * np.log2(np.maximum(z, 4) / 4)).clip(0, 255).astype(np.uint8)
 
 
+class Order:
+    """The global order of shingles, by rarity and then by hash, its fragments, and which shingles are hot. Its size is that of the count."""
+
+    def __init__(self, cells: np.ndarray, hot: int = HOT):
+        self.rare = rarity(cells)
+        mass = np.bincount(self.rare, cells.astype(np.float64) + 1e-9, 256)
+        self.before, self.mass, self.total = np.cumsum(mass) - mass, mass, mass.sum()
+        parts = np.ceil((cells.astype(np.float64) - np.median(cells)) / hot)
+        self.hot = np.nonzero(parts > 1)[0]
+        self.parts = parts[self.hot].astype(np.uint64)
+
+    def cell(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens & np.uint64(len(self.rare) - 1)).astype(np.int64)
+
+    def fragment(self, tokens: np.ndarray, pieces: int) -> np.ndarray:
+        """The fragment of each shingle: runs of the global order that hold about as many shingles each."""
+        rare = self.rare[self.cell(tokens)]
+        place = (self.before[rare] + self.mass[rare] * (tokens.astype(np.float64) / 2.0**64)) / self.total
+        return np.minimum((place * pieces).astype(np.int64), pieces - 1)
+
+    def bucket(self, tokens: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """The shingle, but for a hot one a number for each part of its sets; parts are drawn anew for every shingle."""
+        out = tokens.copy()
+        if len(self.hot):
+            cell = self.cell(tokens)
+            at = np.minimum(np.searchsorted(self.hot, cell), len(self.hot) - 1)
+            hit = np.nonzero(self.hot[at] == cell)[0]
+            part = common.mix(cls[hit] ^ common.mix(tokens[hit])) % self.parts[at[hit]]
+            out[hit] = common.mix(tokens[hit] + (part + np.uint64(1)) * common.PLACES[0])
+        return out
+
+
 def ordered(tokens: np.ndarray, sizes: np.ndarray, rare: np.ndarray) -> np.ndarray:
     """tokens, sorted by hash in each set, in the global order: by rarity, then by hash."""
     key = np.repeat(np.arange(len(sizes)), sizes) << 8 | rare[tokens & np.uint64(len(rare) - 1)]
@@ -133,9 +168,9 @@ def ordered(tokens: np.ndarray, sizes: np.ndarray, rare: np.ndarray) -> np.ndarr
 
 
 def prefixes(docs: DataFrame, rare, width: int, percent: int) -> DataFrame:
-    """token, n, place, cls for the first n - ceil(percent n / 100) + 1 shingles of each set in the global order.
+    """bucket, n, place, cls, token for the first n - ceil(percent n / 100) + 1 shingles of each set in the global order.
 
-    Two linked sets share one of them. A task leaves out copies of sets that it has just seen; the rest of them meet at their tokens.
+    Two linked sets share one of them. The bucket is the shingle, or of a hot shingle one of several. A task leaves out copies of sets that it has just seen; the rest of them meet at their tokens.
     """
 
     def emit(batches):
@@ -153,17 +188,19 @@ def prefixes(docs: DataFrame, rare, width: int, percent: int) -> DataFrame:
             tokens, cls, sizes = tokens[np.repeat(new, sizes)], cls[new], sizes[new]
             if not len(tokens):
                 continue
-            tokens = ordered(tokens, sizes, order)
+            tokens = ordered(tokens, sizes, order.rare)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(len(tokens)) - (np.cumsum(sizes) - sizes)[doc]
             first = place < (sizes - (-(-percent * sizes // 100)) + 1)[doc]
-            yield pa.RecordBatch.from_arrays([signed(tokens[first]), pa.array(sizes[doc[first]]), pa.array(place[first]), signed(cls[doc[first]])], names=["token", "n", "place", "cls"])
+            own = tokens[first]
+            yield pa.RecordBatch.from_arrays([signed(order.bucket(own, cls[doc[first]])), pa.array(sizes[doc[first]]), pa.array(place[first]), signed(cls[doc[first]]), signed(own)], names=["bucket", "n", "place", "cls", "token"])
 
-    return common.in_arrow(docs.select("text"), emit, "token long, n long, place long, cls long")
+    return common.in_arrow(docs.select("text"), emit, "bucket long, n long, place long, cls long, token long")
 
 
-def bucket_pairs(percent: int):
-    """The reader of one partition sorted by (token, n, place, cls): candidate pairs (kind 0), rows of large buckets (kind 1).
+def bucket_pairs(percent: int, long_bucket: int = LONG_BUCKET):
+    """The reader of one partition sorted by (bucket, n, place, cls): candidate pairs (kind 0), rows of large buckets and of
+    parts of hot shingles (kind 1).
 
     In a bucket of up to SMALL_BUCKET classes all pairs that may link; in a larger one each class with a pivot among
     the classes of like size, the one with the fewest rarer shingles: buckets of the same near copies tend to agree on
@@ -172,14 +209,14 @@ def bucket_pairs(percent: int):
     """
 
     def run(batches):
-        rest, long_token = np.zeros((0, 4), np.int64), None
+        rest, long_token = np.zeros((0, 5), np.int64), None
         for batch in batches:
             rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
             if not len(rows):
                 continue
             rows = np.concatenate([rest, rows])
             open_at = int(np.searchsorted(rows[:, 0], rows[-1, 0], side="left"))
-            if len(rows) - open_at > LONG_BUCKET:
+            if len(rows) - open_at > long_bucket:
                 yield from candidates(rows, percent, long_token)
                 long_token = rows[-1, 0]
                 last = rows[open_at:]
@@ -222,8 +259,9 @@ def candidates(rows: np.ndarray, percent: int, long_token):
     token, n = rows[:, 0], rows[:, 1]
     start = np.nonzero(np.r_[True, token[1:] != token[:-1]])[0]
     count = np.diff(np.r_[start, len(token)])
-    start, count = start[count > 1], count[count > 1]
-    large = (count > SMALL_BUCKET) | (token[start] == long_token if long_token is not None else False)
+    some = (count > 1) | (token[start] != rows[start, 4])  # a part of a hot shingle is never alone
+    start, count = start[some], count[some]
+    large = (count > SMALL_BUCKET) | (token[start] == long_token if long_token is not None else False) | (token[start] != rows[start, 4])
     left, right, kept = [], [], []
     for a in range(SMALL_BUCKET):
         for b in range(a + 1, SMALL_BUCKET):
@@ -248,14 +286,14 @@ def candidates(rows: np.ndarray, percent: int, long_token):
     kind = np.zeros(len(out), np.int32)
     if kept:
         k = np.concatenate(kept)
-        out = np.concatenate([out, np.c_[rows[k, 3], rows[k, 1], rows[k, 0], np.zeros(len(k), np.int64), rows[k, 2]]])
+        out = np.concatenate([out, np.c_[rows[k, 3], rows[k, 1], rows[k, 4], np.zeros(len(k), np.int64), rows[k, 2]]])
         kind = np.r_[kind, np.ones(len(k), np.int32)]
     if len(out):
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *(pa.array(np.ascontiguousarray(out[:, c])) for c in range(5))], names=["kind", "a", "na", "b", "nb", "place"])
 
 
-def fragments(docs: DataFrame, wanted: DataFrame, members: DataFrame, width: int, pieces: int) -> DataFrame:
-    """cls, n, frag, tokens: the sets of the wanted classes cut into fragments of the hash order of shingles.
+def fragments(docs: DataFrame, wanted: DataFrame, members: DataFrame, order, width: int, pieces: int) -> DataFrame:
+    """cls, n, frag, tokens: the sets of the wanted classes cut into fragments of the global order of shingles.
 
     One document stands for each class. A bit filter of a fixed size drops most other documents before the join.
     """
@@ -281,14 +319,15 @@ def fragments(docs: DataFrame, wanted: DataFrame, members: DataFrame, width: int
 
     kept = common.in_arrow(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), sieve, docs.select("doc_id", "text").schema)
     kept = kept.join(reps, "doc_id", "left_semi").select("text")
-    shift = np.uint64(64 - pieces.bit_length() + 1)
 
     def cut(batches):
         for part in common.slices(batches, "text"):
             tokens, sizes = shingle_sets(common.utf8(part, "text"), width)
             if not len(tokens):
                 continue
-            cls, doc, frag = set_hashes(tokens, sizes), np.repeat(np.arange(len(sizes)), sizes), (tokens >> shift).astype(np.int64)
+            cls, doc, frag = set_hashes(tokens, sizes), np.repeat(np.arange(len(sizes)), sizes), order.value.fragment(tokens, pieces)
+            by = np.argsort(doc * pieces + frag, kind="stable")
+            tokens, frag = tokens[by], frag[by]
             head = np.nonzero(np.r_[True, (doc[1:] != doc[:-1]) | (frag[1:] != frag[:-1])])[0]
             raw = tokens.tobytes()
             packed = [raw[8 * a : 8 * b] for a, b in zip(head.tolist(), np.r_[head[1:], len(doc)].tolist())]
@@ -304,14 +343,14 @@ def overlaps(batches):
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(both, pa.int64())], names=["u", "v", "frag", "both"])
 
 
-def links(docs: DataFrame, pairs: DataFrame, node: DataFrame, members: DataFrame, width: int, percent: int, pieces: int = FRAGMENTS) -> DataFrame:
+def links(docs: DataFrame, pairs: DataFrame, node: DataFrame, members: DataFrame, order, width: int, percent: int, pieces: int = FRAGMENTS) -> DataFrame:
     """u, v (nodes) of the pairs of classes that are links: overlaps are counted fragment by fragment and summed."""
     x, y = (node.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("node").alias(k), F.col("bits").alias("bits" + c)) for c, k in (("a", "u"), ("b", "v")))
     kind = node.schema["node"].dataType.simpleString()
     near = pairs.join(x, ["a", "na"]).join(y, ["b", "nb"]).select("a", "na", "b", "nb", "u", "v", "bitsa", "bitsb")
     near = common.checkpointed(common.in_arrow(near, possible(percent), f"a long, na long, b long, nb long, u {kind}, v {kind}"))
     ends = near.select(F.col("a").alias("cls"), F.col("na").alias("n")).union(near.select("b", "nb")).distinct()
-    parts = common.checkpointed(fragments(docs, ends, members, width, pieces))
+    parts = common.checkpointed(fragments(docs, ends, members, order, width, pieces))
     one = near.join(parts.select(F.col("cls").alias("a"), F.col("n").alias("na"), "frag", F.col("tokens").alias("x")), ["a", "na"])
     two = one.join(parts.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "frag", F.col("tokens").alias("y")), ["b", "nb", "frag"])
     counted = common.in_arrow(two.select("u", "v", "frag", "x", "y"), overlaps, f"u {kind}, v {kind}, frag int, both long")
@@ -343,13 +382,16 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components: no end after 60 rounds")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, count_links: bool = False) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, count_links: bool = False, hot: int = HOT, long_bucket: int = LONG_BUCKET) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs; with count_links also n_links, of its class with other classes.
 
     Equal sets are one class with its smallest doc_id as node. Candidates are classes that share a shingle of their
     prefixes in the global order. First round: a few pairs of each bucket, verified, give components. Second round:
     in large buckets, pairs of like size between classes of different components; so a group of near copies of any size
-    costs about a pair for each member and shingle, and no link between components is missed. With count_links the second
+    costs about a pair for each member and shingle, and no link between components is missed. A hot shingle's sets are
+    dealt over several buckets, drawn anew for each shingle, which the second round joins where components differ. Of a
+    pair in that round the smaller set must have the shingle early, so sets that share only a frequent passage, late in
+    the order, don't meet. With count_links the second
     round takes the pairs within components too, so all links are verified: the work grows with the square of a group.
 
     Null or empty text has an empty set and links with nothing; fewer words than `width` are one shingle. A row with
@@ -358,15 +400,15 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """
     spark = docs.sparkSession
     seen = common.checkpointed(profiled(docs, width))
-    rare = spark.sparkContext.broadcast(rarity(common.merged(seen.where("slice IS NOT NULL").select("slice", "bits"), 1 << SKETCH_BITS)))
+    order = spark.sparkContext.broadcast(Order(common.merged(seen.where("slice IS NOT NULL").select("slice", "bits"), 1 << SKETCH_BITS), hot))
     members = seen.where("slice IS NULL").select("doc_id", "n", "cls", "bits")
     usable = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     linked = members.where("n > 0 AND doc_id IS NOT NULL")
-    laid = prefixes(usable, rare, width, percent).repartition("token").sortWithinPartitions("token", "n", "place", "cls")
-    found = common.checkpointed(common.in_arrow(laid, bucket_pairs(percent), "kind int, a long, na long, b long, nb long, place long"))
+    laid = prefixes(usable, order, width, percent).repartition("bucket").sortWithinPartitions("bucket", "n", "place", "cls")
+    found = common.checkpointed(common.in_arrow(laid, bucket_pairs(percent, long_bucket), "kind int, a long, na long, b long, nb long, place long"))
     node = common.checkpointed(linked.groupBy("cls", "n").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits")))
     linked = linked.select("doc_id", "cls", "n")
-    first = common.checkpointed(links(usable, found.where("kind = 0").drop("kind", "place").distinct(), node, linked, width, percent))
+    first = common.checkpointed(links(usable, found.where("kind = 0").drop("kind", "place").distinct(), node, linked, order, width, percent))
     comps = components(first)
     large = found.where("kind = 1").select(F.col("b").alias("token"), F.col("a").alias("cls"), F.col("na").alias("n"), "place").distinct()
     large = large.join(node.drop("bits"), ["cls", "n"]).join(comps, "node", "left").select("token", "cls", "n", "place", F.coalesce("root", "node").alias("comp"))
@@ -376,12 +418,15 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         large = common.checkpointed(large.join(split, "token", "left_semi"))
     if not large.isEmpty():
         x, y = (large.select("token", *(F.col(c).alias(c + k) for c in ("cls", "n", "place", "comp"))) for k in "xy")
-        # sets that link lie in the same or in neighbouring bands of size, so a bucket is joined band by band
-        x, y = x.withColumn("band", size_band(F.col("nx"), percent)), y.withColumn("band", F.explode(F.array(*[size_band(F.col("ny"), percent) + i for i in (-1, 0, 1)])))
-        apart = F.struct("nx", "clsx") < F.struct("ny", "clsy") if count_links else F.col("compx") < F.col("compy")
+        # x is the smaller set; its partner's size lies in the same band or the next, so a bucket is joined band by band
+        x = x.where(may_link(F.col("nx"), F.col("placex"), F.col("nx"), F.lit(0), percent)).withColumn("band", size_band(F.col("nx"), percent))
+        y = y.withColumn("band", F.explode(F.array(*[size_band(F.col("ny"), percent) - i for i in (0, 1)])))
+        apart = F.struct("nx", "clsx") < F.struct("ny", "clsy")
+        if not count_links:
+            apart = apart & (F.col("compx") != F.col("compy"))
         across = x.join(y, ["token", "band"]).where(apart & may_link(*map(F.col, ("nx", "placex", "ny", "placey")), percent))
         across = across.select(F.col("clsx").alias("a"), F.col("nx").alias("na"), F.col("clsy").alias("b"), F.col("ny").alias("nb")).distinct()
-        second = common.checkpointed(links(usable, across, node, linked, width, percent))
+        second = common.checkpointed(links(usable, across, node, linked, order, width, percent))
         if not second.isEmpty():
             first = first.union(second)
             comps = components(first)

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +219,35 @@ def check_packed(rows, source):
     return by, seqs
 
 
+def test_encoder_long_runs():
+    """Texts on which the pattern would step back over a run of white space, and texts of many parts, as the library does them."""
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    own, library = packing.encoder(path), Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    r = random.Random(1)
+    cases = [c * 2_000_000 for c in " \na"] + ["x" + " " * 5000 + "y z", "x" + "\n" * 5000 + " y", " " * 4096, " " * 4097 + "a", "ab\u3000" * 3000 + "\u3000" * 5000 + "c", "a" + "\t " * 4000 + "\x1c b", "\x1c" * 9000 + "x", "it's 12 words. " * 60_000]
+    cases += ["".join(r.choice(["a", "b", " ", "  ", "\n", " " * 4100, "'s", "1", "é", "\u3000", "\x85", "!", "\x1f", "\u200b"]) for _ in range(400)) for _ in range(20)]
+    for text in cases:
+        assert own(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_hashed_words_of_long_texts(monkeypatch):
+    r = random.Random(2)
+    texts_ = [" ".join(r.choice(["a", "bb", "ccc é", "\n", "x" * 300]) for _ in range(r.randrange(200))).encode() for _ in range(50)] + [b"", b"  ", b"z" * 5000]
+    whole = common.hashed_words(texts_)
+    assert whole[1].tolist() == [len(t.split()) for t in texts_]
+    monkeypatch.setattr(common, "PIECE_BYTES", 64)
+    assert all((a == b).all() for a, b in zip(whole, common.hashed_words(texts_)))
+
+
+def test_arrow_batches_are_cut_by_bytes(spark):
+    df = spark.range(3000).select(F.lit("x" * 10_000).alias("text"))
+    sizes = common.in_arrow(df, lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+    assert len(sizes) > 10 and max(r.n for r in sizes) < 2 * common.ARROW_BYTES
+
+
 def test_packing_round_trip(real):
     rows = packing.packed(real).collect()
     source = dict(texts(real))
@@ -643,8 +673,8 @@ def test_ngram_join(docs, none):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
-@pytest.mark.parametrize("edits", [3, 8])
-def test_ngram_join_large_group(spark, edits):
+@pytest.mark.parametrize("edits,limits", [(3, {}), (8, {}), (8, {"hot": 10}), (3, {"hot": 7, "long_bucket": 20}), (8, {"long_bucket": 9})])
+def test_ngram_join_large_group(spark, edits, limits):
     r = random.Random(edits)
     base = [f"w{r.randrange(4000)}" for _ in range(150)]
     rows = []
@@ -653,10 +683,60 @@ def test_ngram_join_large_group(spark, edits):
         for _ in range(r.randint(0, edits)):
             w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
         rows.append((i, " ".join(w)))
-    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **limits).collect())
     assert got == components(rows)
 
 
+def test_ngram_join_shared_passage(spark):
+    """Thousands of documents that share a passage of most of their words and aren't alike, with some near copies among them."""
+    passage = " ".join(f"p{k}" for k in range(120))
+    rows = [(i, f"{passage} " + " ".join(f"{i}x{k}" for k in range(60 + i % 9))) for i in range(5000)]
+    rows += [(10_000 + i, rows[i][1] + " tail") for i in range(0, 5000, 500)]
+    for limits in ({}, {"hot": 500, "long_bucket": 300}):
+        got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), **limits).collect()}
+        assert got == {i: i if i < 10_000 else i - 10_000 for i, _ in rows}
+
+
+def test_buckets_in_any_batches():
+    """Candidate pairs and large buckets of a sorted partition don't depend on how it is cut into batches, but for pivots of long buckets."""
+    r = np.random.default_rng(4)
+    token = np.sort(r.integers(0, 40, 3000))
+    rows = np.c_[token, r.integers(20, 30, 3000), r.integers(0, 3, 3000), r.integers(0, 500, 3000), token]
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+
+    def out(size, long_bucket):
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[i : i + size, c])) for c in range(5)], names=["bucket", "n", "place", "cls", "token"]) for i in range(0, len(rows), size)]
+        return {tuple(x.values()) for b in ngram_join.bucket_pairs(75, long_bucket)(iter(batches)) for x in b.to_pylist()}
+
+    whole = out(3000, 10**6)
+    assert out(100, 10**6) == whole
+    kept = lambda x: {t for t in x if t[0] == 1}
+    assert kept(out(70, 30)) == kept(whole)  # rows that the second round joins are all there
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "string"])
+def test_ids_of_any_type(spark, kind):
+    text = "\n".join(["a shared line", "one two three four five six seven"])
+    df = spark.createDataFrame([(i, text) for i in range(12)] + [(None, text)] * 2, "doc_id long, text string").select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
+    low = {"string": "0"}.get(kind, 0)
+    assert {r.component_id for r in ngram_join.jaccard_components(df).collect()} == {low, None}
+    bitmaps = line_dedup.keep_bitmaps(df).collect()
+    assert len(bitmaps) == 13 and len(line_dedup.keep_bitmaps(df, at_least=14).collect()) == 0  # rows without id are one document by their text
+    first = {r.doc_id for r in line_dedup.keep_bitmaps(df.where("doc_id IS NOT NULL"), keep_first=True).collect()}
+    assert len(first) == 11 and {"string": "=0"}.get(kind, 0) not in first
+
+
+def test_fragments_follow_the_order():
+    r = np.random.default_rng(1)
+    cells = r.poisson(3, 1 << 12).astype(np.uint32)
+    cells[r.integers(0, 1 << 12, 40)] += 5000
+    order = ngram_join.Order(cells)
+    tokens = np.sort(r.integers(0, 2**64 - 1, 4000, dtype=np.uint64))
+    laid = ngram_join.ordered(tokens, np.array([len(tokens)]), order.rare)
+    frag = order.fragment(laid, 8)
+    assert (np.diff(frag) >= 0).all() and set(frag.tolist()) >= {0, 1}
+
+
 def test_ngram_join_counts_links(spark):
     r = random.Random(3)
     base = [f"w{i}" for i in range(90)]
