@@ -415,7 +415,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     large = common.checkpointed(large)
     if not count_links:
         split = large.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        large = common.checkpointed(large.join(split, "token", "left_semi"))
+        large = common.checkpointed(large.join(common.small_or_not(common.checkpointed(split), 200_000), "token", "left_semi"))
     if not large.isEmpty():
         x, y = (large.select("token", *(F.col(c).alias(c + k) for c in ("cls", "n", "place", "comp"))) for k in "xy")
         # x is the smaller set; its partner's size lies in the same band or the next, so a bucket is joined band by band
