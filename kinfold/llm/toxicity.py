@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 import unicodedata
@@ -18,14 +20,13 @@ from . import common
 
 #: Bounds of the training sample, documents of each label, taken by hash of doc_id.
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
-#: Bound of the lexicon.
-TERMS = 2000
 SHORTEST, LONGEST = 4, 10
 MIN_DOCUMENTS, MIN_CONTEXTS, MIN_ODDS = 6, 4, 2.5
 #: A term is frequent in a text if it takes one in DENSE words: of stems that also begin harmless words, frequency tells.
 DENSE = 150
-#: L1 penalty of a term, in toxic documents that it must explain alone, and steps of the fit.
-PENALTY, ROUNDS = 1.0, 600
+#: L1 penalties of a term, in toxic documents that it must explain alone, of which folds of the training sample choose
+#: one, and steps of a fit and of a fit to a fold.
+PENALTIES, ROUNDS, FOLD_ROUNDS = (0.5, 1.0, 2.0, 4.0), 600, 150
 # What digits and signs stand for inside a word, and letters of other scripts that look like Latin ones.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i"}
 LOOKALIKES = {
@@ -109,7 +110,10 @@ def hits(text: str, automaton) -> tuple[float, int]:
         elif w > at.get(start, 0.0):
             at[start] = w
     if spared:
-        at = {s: w for s, w in at.items() if not any(a <= s < b for a, b in spared)}
+        # phrases from the left; of those that begin at or before a place, the furthest end tells
+        spared.sort()
+        begins, reach = [a for a, _ in spared], list(itertools.accumulate((b for _, b in spared), max))
+        at = {s: w for s, w in at.items() if not ((k := bisect.bisect_right(begins, s)) and reach[k - 1] > s)}
     return sum(at.values()), len(at)
 
 
@@ -121,7 +125,7 @@ def features(text: str, automaton) -> list[float]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> DataFrame:
-    """toxic (0 or 1) and text of the sample: at most about `toxic` and `clean` documents outside the held-out fold."""
+    """toxic (0 or 1), text and fold (1 to 4) of the sample: at most about `toxic` and `clean` documents outside the held-out fold."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~common.held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     own = common.checkpointed(own)
     n = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).where("toxic IN (0, 1)").collect()}
@@ -130,17 +134,39 @@ def labelled(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> Data
     own = own.where("toxic IN (0, 1)").where(u < share)
     # The sample's size is bound by its shares; a hash that fails that bound would join by shuffle.
     own = common.small_or_not(own, 2 * (toxic + clean))
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(own, "doc_id").select("toxic", "text")
+    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(own, "doc_id").select("toxic", "text", (common.text_crc() % 5).cast("int").alias("fold"))
 
 
-def explaining(y: list[int], terms: list[list[int]], n: int, penalty: float = PENALTY, rounds: int = ROUNDS) -> list[int]:
-    """Terms that a logistic regression on presence, with weights of at least 0 and an L1 penalty, gives any weight.
+def explaining(y: list[int], terms: list[list[int]], n: int, penalty: float = 1.0, rounds: int = ROUNDS) -> list[int]:
+    """Terms that sparse() gives any weight."""
+    return np.nonzero(sparse(y, terms, n, penalty, rounds)[0] > 0.05)[0].tolist()
+
+
+def chosen_penalty(y: list[int], terms: list[list[int]], fold: list[int], n: int) -> float:
+    """The penalty under which fits to all folds but one tell the labels of that one best; of equal ones the largest.
+
+    All of it is the training sample: the held-out fold of the corpus has no part in it.
+    """
+    loss = dict.fromkeys(PENALTIES, 0.0)
+    for f in sorted(set(fold)):
+        rest, own = [i for i, k in enumerate(fold) if k != f], [i for i, k in enumerate(fold) if k == f]
+        if len({y[i] for i in rest}) < 2:
+            continue
+        for penalty in PENALTIES:
+            w, base = sparse([y[i] for i in rest], [terms[i] for i in rest], n, penalty, FOLD_ROUNDS)
+            z = np.array([base + w[terms[i]].sum() for i in own])
+            loss[penalty] += float(np.logaddexp(0, np.where(np.array([y[i] for i in own]) == 1, -z, z)).sum())
+    return min(reversed(PENALTIES), key=lambda x: round(loss[x], 6))
+
+
+def sparse(y: list[int], terms: list[list[int]], n: int, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights and base of a logistic regression on presence, with weights of at least 0 and an L1 penalty.
 
     A term whose toxic documents others explain already, as words that happen to stand in them or a start shared with
     harmless words, gets none. Accelerated proximal gradient steps; the work is by terms present and rounds.
     """
     if not any(terms):
-        return []
+        return np.zeros(n), 0.0
     y = np.array(y, float)
     doc = np.repeat(np.arange(len(y)), [len(x) for x in terms])
     term = np.array([i for x in terms for i in x], np.int64)
@@ -160,10 +186,10 @@ def explaining(y: list[int], terms: list[list[int]], n: int, penalty: float = PE
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
         ahead, ahead_base = new + (t - 1) / after * (new - w), new_base + (t - 1) / after * (new_base - base)
         w, base, t = new, new_base, after
-    return np.nonzero(w > 0.05)[0].tolist()
+    return w, base
 
 
-def learn_terms(sample: DataFrame, terms: int = TERMS) -> tuple[dict[str, float], list[str]]:
+def learn_terms(sample: DataFrame) -> tuple[dict[str, float], list[str]]:
     """Word starts that mark toxic documents, with smoothed log odds as weights, and phrases that excuse them.
 
     The odds are those of a term's presence or of its frequency (DENSE), whichever tell more.
@@ -192,7 +218,7 @@ def learn_terms(sample: DataFrame, terms: int = TERMS) -> tuple[dict[str, float]
     by = by.agg(of(1, False).alias("pos"), of(0, False).alias("neg"), of(1, True).alias("dense_pos"), of(0, True).alias("dense_neg"))
     odds = lambda pos, neg: F.log((F.col(pos) + 0.5) / (n[1] + 1)) - F.log((F.col(neg) + 0.5) / (n[0] + 1))
     by = by.where(F.col("dense_pos") >= MIN_DOCUMENTS).withColumns({"once": odds("pos", "neg"), "often": odds("dense_pos", "dense_neg")})
-    rows = by.where(F.greatest("once", "often") >= MIN_ODDS).orderBy(F.desc("dense_pos"), "f").limit(4 * terms).collect()
+    rows = by.where(F.greatest("once", "often") >= MIN_ODDS).collect()  # as many as a bounded sample has
     wanted = {r.f: (r.pos, max(r.once, r.often), r.often > r.once, (r.pos, r.neg, r.dense_pos, r.dense_neg)) for r in rows}
     # a start that the same documents have as a shorter one says nothing new
     wanted = {f: v for f, v in wanted.items() if not any(f[:k] in wanted and wanted[f[:k]][3] == v[3] for k in range(SHORTEST + 1, len(f)))}
@@ -218,13 +244,13 @@ def learn_terms(sample: DataFrame, terms: int = TERMS) -> tuple[dict[str, float]
     def present(batches):
         for part in common.slices(batches, "text"):
             found = [sorted(number[f] for f, dense in term_density(x).items() if f in number and (dense or not wanted[f][2])) for x in common.strings(part, "text")]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "fold", "terms"])
 
-    rows = common.in_arrow(sample, present, "toxic int, terms array<int>").collect()  # a row for each sampled document, of terms of the bounded list
-    picked = explaining([r.toxic for r in rows], [r.terms for r in rows], len(names))
-    chosen = {names[i]: wanted[names[i]][1] for i in picked}
-    chosen = dict(sorted(chosen.items(), key=lambda x: (-wanted[x[0]][0], x[0]))[:terms])
-    excuse = seen.where("neg >= 3 AND pos = 0 AND before <> ''").orderBy(F.desc("neg"), "f", "before").limit(terms).collect()
+    rows = common.in_arrow(sample, present, "toxic int, fold int, terms array<int>").collect()  # a row for each sampled document
+    y, own = [r.toxic for r in rows], [r.terms for r in rows]
+    picked = explaining(y, own, len(names), chosen_penalty(y, own, [r.fold for r in rows], len(names)))
+    chosen = dict(sorted((names[i], wanted[names[i]][1]) for i in picked))
+    excuse = seen.where("neg >= 3 AND pos = 0 AND before <> ''").orderBy("f", "before").collect()
     return chosen, [f" {r.before}{r.f}" for r in excuse if r.f in chosen and not wanted[r.f][2]]
 
 
@@ -243,7 +269,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> n
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Model:
-    sample = labelled(docs, labels, toxic, clean)
+    sample = common.checkpointed(labelled(docs, labels, toxic, clean))  # bounded by its documents, read five times
     terms, exceptions = learn_terms(sample)
     model = Model(terms, exceptions, np.array([-3.0, 0, 0, 0]))
     own = docs.sparkSession.sparkContext.broadcast(model)
@@ -265,7 +291,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, hits for each row of docs.
 
-    Null and empty texts match nothing and get the score of such texts. Repeated rows return as often as they occur;
+    Null and empty texts match nothing and get the score of such texts. Of terms that begin at one place the heaviest
+    counts; a long text costs its folded copy and its matches. Repeated rows return as often as they occur;
     a null doc_id is held out; no rows give no rows; extra columns are ignored. Without both labels to learn from,
     nothing matches and every score is below one half.
     """
