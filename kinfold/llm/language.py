@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,18 +25,24 @@ HELD = 128
 SCRIPTS = (
     (0x0041, 0x024F, "latin"), (0x0370, 0x03FF, "greek"), (0x0400, 0x052F, "cyrillic"), (0x0530, 0x058F, "armenian"), (0x0590, 0x05FF, "hebrew"),
     (0x0600, 0x06FF, "arabic"), (0x0750, 0x077F, "arabic"), (0x0900, 0x097F, "devanagari"), (0x0980, 0x09FF, "bengali"), (0x0A00, 0x0A7F, "gurmukhi"),
-    (0x0A80, 0x0AFF, "gujarati"), (0x0B80, 0x0BFF, "tamil"), (0x0C00, 0x0C7F, "telugu"), (0x0C80, 0x0CFF, "kannada"), (0x0D00, 0x0D7F, "malayalam"),
-    (0x0E00, 0x0E7F, "thai"), (0x0E80, 0x0EFF, "lao"), (0x1000, 0x109F, "myanmar"), (0x10A0, 0x10FF, "georgian"), (0x1100, 0x11FF, "hangul"),
+    (0x0A80, 0x0AFF, "gujarati"), (0x0B00, 0x0B7F, "oriya"), (0x0B80, 0x0BFF, "tamil"), (0x0C00, 0x0C7F, "telugu"), (0x0C80, 0x0CFF, "kannada"), (0x0D00, 0x0D7F, "malayalam"), (0x0D80, 0x0DFF, "sinhala"),
+    (0x0E00, 0x0E7F, "thai"), (0x0E80, 0x0EFF, "lao"), (0x0F00, 0x0FFF, "tibetan"), (0x1000, 0x109F, "myanmar"), (0x10A0, 0x10FF, "georgian"), (0x1100, 0x11FF, "hangul"),
     (0x1200, 0x137F, "ethiopic"), (0x1780, 0x17FF, "khmer"), (0x1E00, 0x1EFF, "latin"), (0x1F00, 0x1FFF, "greek"), (0x3040, 0x30FF, "kana"),
     (0x3400, 0x4DBF, "han"), (0x4E00, 0x9FFF, "han"), (0xAC00, 0xD7AF, "hangul"), (0xF900, 0xFAFF, "han"),
 )
 NAMES = tuple(dict.fromkeys(s for _, _, s in SCRIPTS))
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Marks belong to the letters that they follow; a word of marks alone is none.
+NOT_WORDS = regex.compile(r"[^\p{L}\p{M}\p{Nl}\p{No}]+|(?<![\p{L}\p{M}])\p{M}+|[\p{Nl}\p{No}]+")
+#: Beyond so many scores a text is labelled part by part, in two passes.
+LONG_SCORES = 1 << 24
+LONG_PART = 1 << 18
 
 
 def cleaned(text: str) -> str:
-    """Lower-case words of letters, a space between them."""
-    return NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Lower-case words of letters and their marks, a space between them."""
+    text = text.lower()
+    return " ".join((NOT_LETTERS if text.isascii() else NOT_WORDS).sub(" ", text).split())
 
 
 def scripts_of(word: str) -> int:
@@ -83,24 +90,74 @@ class Model:
             scores[i:j] = np.add.reduceat(s, start[i:j] - a, axis=0)
             i = j
         letters = np.add.reduceat((raw[raw != 32] & 0xC0 != 0x80).astype(np.int64), start)
-        if not text.isascii():
-            self.narrow(scores, text)
+        self.narrow(scores, text)
         return scores, letters
 
+    def candidates(self, key: int) -> np.ndarray:
+        """Languages that write in all of these scripts."""
+        if key not in self.uses:
+            ok = np.ones(len(self.languages), bool)
+            for k in range(len(NAMES)):
+                if key >> k & 1:
+                    ok &= self.uses.get(1 << k, np.zeros(len(ok), bool))
+            self.uses[key] = ok
+        return self.uses[key]
+
     def narrow(self, scores: np.ndarray, text: str) -> None:
         """Languages that don't write in a word's scripts are out for it, unless none does."""
-        for i, w in enumerate(text.split(" ")):
-            if not w.isascii():
-                key = scripts_of(w)
-                if key not in self.uses:
-                    ok = np.ones(len(self.languages), bool)
-                    for k in range(len(NAMES)):
-                        if key >> k & 1:
-                            ok &= self.uses.get(1 << k, np.zeros(len(ok), bool))
-                    self.uses[key] = ok
-                ok = self.uses[key]
-                if ok.any() and not ok.all():
-                    scores[i, ~ok] = -1e4
+        plain, words = 1 << NAMES.index("latin"), text.split(" ")
+        odd = [] if text.isascii() else [i for i, w in enumerate(words) if not w.isascii()]
+        ok = self.candidates(plain)
+        if ok.any() and not ok.all():  # words of ASCII letters alone
+            own = np.ones(len(words), bool)
+            own[odd] = False
+            scores[np.ix_(own, ~ok)] = -1e4
+        for i in odd:
+            ok = self.candidates(scripts_of(words[i]))
+            if ok.any() and not ok.all():
+                scores[i, ~ok] = -1e4
+
+    def labels(self, text: str, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+        """Label and letters of each word of a long text, by parts between words: a pass forward keeps the state before each
+        part, a pass backward works the parts out again from the last. The same as viterbi() on the whole."""
+        parts, at = [], 0
+        while at < len(text):
+            end = text.find(" ", at + LONG_PART)
+            end = len(text) if end < 0 else end
+            parts.append(text[at:end])
+            at = end + 1
+        before, v = [], None
+        for p in parts:
+            before.append(v)
+            v = forward(self.words(p)[0], v, penalty)[0]
+        out, letters, now = [], [], int(v.argmax())
+        for p, v in zip(reversed(parts), reversed(before)):
+            scores, n = self.words(p)
+            _, back = forward(scores, v, penalty)
+            own = np.empty(len(scores), np.int64)
+            for t in range(len(scores) - 1, -1, -1):
+                own[t] = now
+                now = int(back[t, now])
+            out.append(own)
+            letters.append(n)
+        return np.concatenate(out[::-1]), np.concatenate(letters[::-1])
+
+
+def forward(scores: np.ndarray, v: np.ndarray | None, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """The state after these words, and for each word and label the label before it. v: the state before them, if any."""
+    k = scores.shape[1]
+    back = np.zeros(scores.shape, np.uint8 if k <= 256 else np.uint16 if k <= 1 << 16 else np.uint32)
+    own = np.arange(k)
+    for t in range(len(scores)):
+        if v is None:
+            v = scores[t].copy()
+            continue
+        top = int(v.argmax())
+        jump = v[top] - np.float32(penalty)
+        stay = v >= jump
+        back[t] = np.where(stay, own, top)
+        v = np.where(stay, v, jump) + scores[t]
+    return v, back
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -203,7 +260,8 @@ def identified(docs: DataFrame, model: Model | None = None, penalty: float = PEN
     """doc_id, held_out, lang_pred, score, spans for each row of docs.
 
     spans lists (first word, last word, language) over the words of letters; lang_pred has most letters, score is its
-    share of them. Null text, no letter, or nothing to learn from: `und`, score 0, no spans. Ties go to the first
+    share of them. A long text is worked through in parts, so it costs its words and a byte or two for each word and
+    language of a part. Null text, no letter, or nothing to learn from: `und`, score 0, no spans. Ties go to the first
     language by code point. A null doc_id is held out. Repeated rows return as often as they occur; no rows give no
     rows; extra columns are ignored.
     """
@@ -215,16 +273,19 @@ def identified(docs: DataFrame, model: Model | None = None, penalty: float = PEN
         k = len(m.languages)
         for part in common.slices(batches, "text", VITERBI_BYTES * 8 // max(8, k)):
             texts = [cleaned(t) for t in common.strings(part, "text")]
-            some = [i for i, t in enumerate(texts) if t] if k else []
+            long = {i for i, t in enumerate(texts) if (t.count(" ") + 1) * k > LONG_SCORES}
+            some = [i for i, t in enumerate(texts) if t and i not in long] if k else []
             found = [m.words(texts[i]) for i in some]
             pred, score, spans = ["und"] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
+            labelled = []
             if found:
                 lengths = np.array([len(s) for s, _ in found])
-                labels = viterbi(np.concatenate([s for s, _ in found]), lengths, penalty)
-                at = 0
-                for i, (s, letters) in zip(some, found):
-                    own = labels[at : at + len(s)]
-                    at += len(s)
+                labels = np.split(viterbi(np.concatenate([s for s, _ in found]), lengths, penalty), np.cumsum(lengths)[:-1])
+                labelled = [(i, own, letters) for i, own, (_, letters) in zip(some, labels, found)]
+            if k:
+                labelled += [(i, *m.labels(texts[i], penalty)) for i in sorted(long)]
+            if labelled:
+                for i, own, letters in labelled:
                     share = np.bincount(own, letters, minlength=k)
                     best = int(share.argmax())
                     pred[i], score[i] = m.languages[best], share[best] / share.sum()
