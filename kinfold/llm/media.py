@@ -20,7 +20,7 @@ UNIT = 576
 PAD = b"\xff"
 TIMESCALE = 48_000
 #: Boxes whose content is boxes, with the bytes before the first one. Fixed values of the format.
-NESTED = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0}
+NESTED = {b"moov": 0, b"moof": 0, b"traf": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0}
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -103,6 +103,7 @@ class Track:
     handler: str = ""
     timescale: int = 0
     duration: int = 0
+    number: int = 0
     tables: dict[bytes, tuple[int, int]] = field(default_factory=dict)
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -118,9 +119,22 @@ def numbers(data: memoryview, at: int, n: int, kind: str) -> np.ndarray:
 
 
 def sample_table(data: memoryview, t: Track) -> None:
-    """Sizes and offsets of all samples, from stsz, stsc and stco or co64, and the numbers of sync samples from stss."""
-    size, count = struct.unpack_from(">II", data, t.tables[b"stsz"][0] + 4)
-    t.sizes = np.full(count, size, np.int64) if size else numbers(data, t.tables[b"stsz"][0] + 12, count, ">u4")
+    """Sizes and offsets of all samples, from stsz or stz2, stsc and stco or co64, and the numbers of sync samples from stss."""
+    if b"stz2" in t.tables:  # sizes of 4, 8 or 16 bits
+        at = t.tables[b"stz2"][0]
+        bits, count = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+        if bits not in (4, 8, 16):
+            raise ValueError(f"stz2 has sizes of {bits} bits")
+        own = numbers(data, at + 12, (count * bits + 7) // 8 if bits < 16 else count, ">u2" if bits == 16 else "u1")
+        t.sizes = np.stack([own >> 4, own & 15], axis=1).ravel()[:count] if bits == 4 else own
+    elif b"stsz" in t.tables:
+        size, count = struct.unpack_from(">II", data, t.tables[b"stsz"][0] + 4)
+        t.sizes = np.full(count, size, np.int64) if size else numbers(data, t.tables[b"stsz"][0] + 12, count, ">u4")
+    else:
+        raise ValueError("a track without stsz and stz2")
+    missing = [k.decode() for k in (b"stsc", b"stco") if k not in t.tables and not (k == b"stco" and b"co64" in t.tables)]
+    if missing:
+        raise ValueError(f"a track without {missing[0]}")
     wide = b"co64" in t.tables
     at = t.tables[b"co64" if wide else b"stco"][0]
     chunks = numbers(data, at + 8, struct.unpack_from(">I", data, at + 4)[0], ">u8" if wide else ">u4")
@@ -138,16 +152,91 @@ def sample_table(data: memoryview, t: Track) -> None:
         t.keys = np.arange(count)
 
 
+@dataclass
+class Fragment:
+    """What a track fragment says before its runs: track, where its data starts, size and flags of a sample that says nothing else."""
+
+    moof: int
+    track: int = 0
+    base: int | None = None
+    size: int = 0
+    flags: int = 0
+    end: int | None = None
+
+
+def fragment_header(data: memoryview, body: int, f: Fragment, defaults: dict[int, tuple[int, int]]) -> None:
+    flags, f.track = int.from_bytes(data[body + 1 : body + 4]), struct.unpack_from(">I", data, body + 4)[0]
+    f.size, f.flags = defaults.get(f.track, (0, 0))
+    at = body + 8
+    for bit, width in ((0x1, 8), (0x2, 4), (0x8, 4), (0x10, 4), (0x20, 4)):
+        if flags & bit:
+            value = int.from_bytes(data[at : at + width])
+            at += width
+            if bit == 0x1:
+                f.base = value
+            elif bit == 0x10:
+                f.size = value
+            elif bit == 0x20:
+                f.flags = value
+    if f.base is None:
+        f.base = f.moof
+
+
+def fragment_run(data: memoryview, body: int, stop: int, f: Fragment) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, sizes and whether it is a sync sample of each sample of one run of a track fragment."""
+    flags, count = int.from_bytes(data[body + 1 : body + 4]), struct.unpack_from(">I", data, body + 4)[0]
+    at, start = body + 8, f.end if f.end is not None else f.base
+    if flags & 0x1:
+        start = f.base + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    first = None
+    if flags & 0x4:
+        first = struct.unpack_from(">I", data, at)[0]
+        at += 4
+    told = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+    if at + 4 * len(told) * count > stop:
+        raise ValueError("trun runs past its box")
+    rows = numbers(data, at, len(told) * count, ">u4").reshape(count, len(told))
+    sizes = rows[:, told.index(0x200)] if 0x200 in told else np.full(count, f.size, np.int64)
+    own = rows[:, told.index(0x400)] if 0x400 in told else np.full(count, f.flags, np.int64)
+    if first is not None and count:
+        own = np.r_[first, own[1:]]
+    offsets = start + np.cumsum(sizes) - sizes
+    f.end = int(start + sizes.sum())
+    return offsets, sizes, own & 0x10000 == 0
+
+
 def read_container(raw: bytes) -> list[Track]:
-    """The tracks of a file. Content of mdat is not read."""
+    """The tracks of a file, with the samples of its movie box and of its fragments. Content of mdat is not read.
+
+    A file that breaks the format raises ValueError or struct.error; media_files() gives it a status instead.
+    """
     data, tracks = memoryview(raw), []
+    defaults: dict[int, tuple[int, int]] = {}
+    more: dict[int, list] = {}
+    open_: list[Fragment] = []
 
-    def walk(start: int, end: int) -> None:
+    def walk(start: int, end: int, depth: int = 0) -> None:
+        if depth > 16:
+            raise ValueError("boxes nest too deep")
         for kind, body, stop in boxes(data, start, end):
             if kind == b"trak":
                 tracks.append(Track())
+            elif kind == b"traf":
+                open_.append(Fragment(moofs[-1]))
+            elif kind == b"moof":
+                moofs.append(body - 8)
             if kind in NESTED:
-                walk(body + NESTED[kind], stop)
+                walk(body + NESTED[kind], stop, depth + 1)
+            elif kind == b"trex":
+                track, _, _, size, flags = struct.unpack_from(">IIIII", data, body + 4)
+                defaults[track] = size, flags
+            elif kind == b"tfhd" and open_:
+                fragment_header(data, body, open_[-1], defaults)
+            elif kind == b"trun" and open_:
+                more.setdefault(open_[-1].track, []).append(fragment_run(data, body, stop, open_[-1]))
+            elif kind == b"tkhd" and tracks:
+                tracks[-1].number = struct.unpack_from(">I", data, body + (20 if data[body] == 1 else 12))[0]
             elif tracks:
                 t = tracks[-1]
                 if kind == b"mdhd":
@@ -156,15 +245,55 @@ def read_container(raw: bytes) -> list[Track]:
                     t.handler = bytes(data[body + 8 : body + 12]).decode("latin-1")
                 elif kind == b"stsd":
                     t.codec = next((k.decode("latin-1") for k, _, _ in boxes(data, body + 8, stop)), "")
-                elif kind in (b"stts", b"stss", b"stsc", b"stsz", b"stco", b"co64"):
+                elif kind in (b"stts", b"stss", b"stsc", b"stsz", b"stz2", b"stco", b"co64"):
                     t.tables[kind] = (body, stop)
 
+    moofs: list[int] = []
     walk(0, len(raw))
     for t in tracks:
         sample_table(data, t)
+        for offsets, sizes, sync in more.get(t.number, ()):
+            t.keys = np.r_[t.keys, len(t.sizes) + np.nonzero(sync)[0]]
+            t.offsets, t.sizes = np.r_[t.offsets, offsets], np.r_[t.sizes, sizes]
+        if len(t.offsets) != len(t.sizes) or len(t.keys) and not 0 <= t.keys.min() <= t.keys.max() < len(t.sizes) or len(t.sizes) and int((t.offsets + t.sizes).max()) > len(raw):
+            raise ValueError("a sample lies outside the file or its tables")
     return tracks
 
 
+FILES = "path string, status string, tracks array<struct<codec: string, handler: string, duration: long, timescale: long, samples: long, keyframes: array<struct<start: long, end: long>>>>"
+
+
+def media_files(files: DataFrame) -> DataFrame:
+    """path, status, tracks of each row of files (path, content): codec, duration and the byte ranges of all key frames.
+
+    status: OK, NO_TRACKS, EMPTY (null or no bytes), or BROKEN with the reason; one odd file doesn't stop the others.
+    Repeated rows return as often as they occur, no rows give none, extra columns are ignored. A file is held whole,
+    once, its tables beside it.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(FILES))
+
+    def read(batches):
+        for b in batches:
+            for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                row = {"path": path, "status": "EMPTY", "tracks": []}
+                if raw:
+                    try:
+                        found = read_container(raw)
+                        row["status"] = "OK" if found else "NO_TRACKS"
+                        row["tracks"] = [
+                            {"codec": t.codec.strip(), "handler": t.handler, "duration": t.duration, "timescale": t.timescale, "samples": len(t.sizes), "keyframes": [{"start": a, "end": z} for a, z in t.ranges(t.keys)]}
+                            for t in found
+                        ]
+                    except (ValueError, struct.error, IndexError) as e:
+                        row["status"] = f"BROKEN: {e}"
+                yield pa.RecordBatch.from_pylist([row], schema=arrow)
+
+    return common.in_arrow(files.select("path", "content"), read, FILES)
+
+
 def padded(text: bytes, unit: int = UNIT) -> bytes:
     return text + PAD * (max(unit, -(-len(text) // unit) * unit) - len(text))
 
@@ -181,12 +310,9 @@ def read_payload(raw: bytes, t: Track) -> bytes:
 
 
 def feature(t: Track) -> str:
-    """Codec, duration in ticks at the timescale, samples, sync samples, digest of their byte ranges, first and last."""
-    keys = t.keys
-    spans = np.c_[t.offsets[keys], t.offsets[keys] + t.sizes[keys]]
-    digest = zlib.crc32(spans.astype("<i8").tobytes())
-    ends = f"{spans[0, 0]}-{spans[0, 1]},{spans[-1, 0]}-{spans[-1, 1]}" if len(spans) else ""
-    return f"codec={t.codec.strip()};duration={t.duration}/{t.timescale};samples={len(t.sizes)};keyframes={len(keys)};ranges={digest:08x};{ends}"
+    """Codec, duration in ticks at the timescale, samples, and the byte ranges of all sync samples."""
+    spans = ",".join(f"{a}-{z}" for a, z in t.ranges(t.keys))
+    return f"codec={t.codec.strip()};duration={t.duration}/{t.timescale};samples={len(t.sizes)};keyframes={len(t.keys)};ranges={spans}"
 
 
 SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
