@@ -56,7 +56,7 @@ def code(column: str):
 
 
 def cuts(df: DataFrame, dim: str, rows: str, bits: int = BITS) -> list:
-    """The distinct values of dim at which the quantiles of the rows lie, each value of df standing for `rows` of them.
+    """The distinct values of dim at which the quantiles of the rows lie, each value of df standing for `rows` of them, and the quantiles up to it.
 
     Values are counted map-side and sorted by range; of each, the rows before it are found from the sums of the
     partitions. The driver gets 2**bits - 1 values at most.
@@ -73,15 +73,17 @@ def cuts(df: DataFrame, dim: str, rows: str, bits: int = BITS) -> list:
     v = v.withColumn("before", F.col("upto") - F.col("n"))
     # quantile i lies in the value with before < i * total / 2**bits <= upto
     passed = lambda c: F.expr(f"LEAST(CAST({c} AS DECIMAL(30, 0)) * {1 << bits} DIV {total}, {(1 << bits) - 1})")
-    return [r[0] for r in v.where(passed("upto") > passed("before")).select(dim).orderBy(dim).collect()]
+    return [(r[0], r[1]) for r in v.where(passed("upto") > passed("before")).select(dim, passed("upto").cast("int")).orderBy(dim).collect()]
 
 
 def quantised(df: DataFrame, dims: list[str], rows: str, bits: int = BITS) -> DataFrame:
     """df with q_<dim>, 0 to 2**bits - 1: the number of quantiles, over all rows that df stands for, that the value passes."""
     out = df
     for d in dims:
-        passed = [(F.col(d) > F.lit(c)).cast("int") for c in cuts(df, d, rows, bits)]
-        out = out.withColumn(f"q_{d}", sum(passed, F.lit(0)))
+        found = cuts(df, d, rows, bits)
+        # a value that holds many quantiles is a step of as many
+        steps = [F.when(F.col(d) > F.lit(c), n - before).otherwise(0) for (c, n), before in zip(found, [0, *(n for _, n in found)])]
+        out = out.withColumn(f"q_{d}", sum(steps, F.lit(0)))
     return out
 
 
@@ -109,5 +111,10 @@ def sharded(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFram
     )
 
 
+def shard_ranges(laid: DataFrame, dims: list[str]) -> DataFrame:
+    """shard, n and for each dimension low_<dim> and high_<dim>: what a reader needs to leave files out. Nulls don't widen a range."""
+    return laid.groupBy("shard").agg(F.count("*").alias("n"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("low", F.min), ("high", F.max))])
+
+
 def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(common.table(spark, sf_dir, "documents"))

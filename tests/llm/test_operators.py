@@ -137,6 +137,30 @@ def test_language_learns_all(spark):
     assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.99
 
 
+def test_marks_and_ascii_narrowing():
+    assert language.cleaned("हिन्दी में 12 ²x_ýz don't") == "हिन्दी में x ýz don t".replace("ý", "ý")
+    assert [language.scripts_of(c) for c in "ଓසཀ"] == [1 << language.NAMES.index(n) for n in ("oriya", "sinhala", "tibetan")]
+    n = 1 << language.BUCKET_BITS
+    flat = np.zeros((n, 3), np.float32)
+    latin, greek = (1 << language.NAMES.index(x) for x in ("latin", "greek"))
+    m = language.Model(["de", "el", "en"], flat, flat, {latin: np.array([True, False, True]), greek: np.array([False, True, False]), 0: np.ones(3, bool)})
+    scores, _ = m.words("plain λόγος")
+    assert (scores[0] < -1e3).tolist() == [False, True, False] and (scores[1] < -1e3).tolist() == [True, False, True]
+
+
+def test_long_texts_in_parts(monkeypatch):
+    r = np.random.default_rng(2)
+    n = 1 << language.BUCKET_BITS
+    m = language.Model(list("abc"), r.normal(size=(n, 3)).astype(np.float32), r.normal(size=(n, 3)).astype(np.float32), {0: np.ones(3, bool)})
+    letters = random.Random(5)
+    text = " ".join("".join(letters.choice("abcdefgé") for _ in range(letters.randint(1, 7))) for _ in range(3000))
+    scores, count = m.words(text)
+    whole = language.viterbi(scores, np.array([len(scores)]), 3.0)
+    monkeypatch.setattr(language, "LONG_PART", 700)
+    got, own = m.labels(text, 3.0)
+    assert (got == whole).all() and (own == count).all() and len(set(whole.tolist())) == 3
+
+
 def test_viterbi_many_labels():
     scores = np.zeros((3, 700), np.float32)
     scores[[0, 1, 2], [650, 300, 299]] = 9
@@ -166,6 +190,33 @@ def test_toxic_terms_explain_labels():
     assert toxicity.explaining([], [], 0) == toxicity.explaining([1, 0], [[], []], 3) == []
 
 
+def test_penalty_from_folds():
+    r = random.Random(1)
+    y = [int(i % 4 == 0) for i in range(400)]
+    terms = [sorted({0} * v | {r.randrange(1, 60) for _ in range(2)}) if False else sorted(({0} if v else set()) | {r.randrange(1, 60) for _ in range(2)}) for v in y]
+    penalty = toxicity.chosen_penalty(y, terms, [1 + i % 3 for i in range(400)], 60)
+    assert penalty in toxicity.PENALTIES and toxicity.explaining(y, terms, 60, penalty)[0] == 0
+    assert toxicity.chosen_penalty([1], [[]], [1], 3) == max(toxicity.PENALTIES)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_hits_by_brute_force(seed):
+    """Matches of the automaton, one for each place with the heaviest term, outside of any exception phrase."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randint(1, 4)))
+    m = toxicity.Model({" " + word(): r.random() for _ in range(8)}, [f" {word()} {word()}" for _ in range(6)], np.array([-1.0, 0.5, 0.7, 0.3]))
+    for _ in range(60):
+        text = f" {' '.join(word() for _ in range(r.randint(0, 30)))} "
+        spared = {p for phrase in m.exceptions for a in range(len(text)) if text.startswith(phrase, a) for p in range(a, a + len(phrase))}
+        at = {a: max(w for t, w in m.terms.items() if text.startswith(t, a)) for a in range(len(text)) if any(text.startswith(t, a) for t in m.terms)}
+        at = {a: w for a, w in at.items() if a not in spared}
+        total, n = toxicity.hits(text, m.automaton())
+        assert n == len(at) and total == pytest.approx(sum(at.values()))
+        x = toxicity.features(text, m.automaton())
+        words_ = len(text.split())
+        assert x == pytest.approx([1, math.log1p(total), math.log1p(100 * total / (words_ + 20)), float(n > 0)])
+
+
 def test_toxic_term_density():
     found = toxicity.term_density("harmless " * 400 + "badword " + "stemmed stemming stems")
     assert found[" bad" + "w"] is False and found[" stem"] is True and found[" stemm"] is False
@@ -591,6 +642,24 @@ def test_sharding(docs, none, real):
     assert sharding.sharded(none).count() == 0
 
 
+def test_shards_prune(spark, real):
+    """A filter on any one dimension leaves out most shards; shards by a hash of the id leave out none."""
+    meta = real.select("doc_id", "lang", "source", F.octet_length("text").alias("bytes"))
+    laid = sharding.sharded(real).select("doc_id", "shard").join(meta, "doc_id")
+    hashed = meta.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(24)))
+
+    def read(df, dim, share):
+        """Mean share of shards that a filter on one value (or on the values between two near quantiles) reads."""
+        ranges = sharding.shard_ranges(df, [dim]).collect()
+        values = sorted(r[0] for r in meta.where(F.col(dim).isNotNull()).select(dim).collect())
+        asked = [(values[int(len(values) * q)], values[min(len(values) - 1, int(len(values) * (q + share)))]) for q in np.arange(0.05, 0.95, 0.1)]
+        return np.mean([sum(r[f"low_{dim}"] is not None and r[f"low_{dim}"] <= b and r[f"high_{dim}"] >= a for r in ranges) / len(ranges) for a, b in asked])
+
+    assert sum(r.n for r in sharding.shard_ranges(laid, ["lang"]).collect()) == real.count()
+    for dim in ("source", "lang", "bytes"):
+        assert read(laid, dim, 0.0) < 0.75 * read(hashed, dim, 0.0), dim
+
+
 def test_sharding_tells_long_names_apart(spark):
     rows = [(i, f"text {i}", "en", f"https://www.example.com/{i % 16:02}") for i in range(320)]
     rows += [(1000 + i, "copy", "en", "https://www.example.com/00") for i in range(160)] + [(2000, None, None, None)]
@@ -604,7 +673,7 @@ def test_sharding_tells_long_names_apart(spark):
     for x in names:
         at += [x for e in ends if upto < e <= upto + count[x]]
         upto += count[x]
-    want = {x: len({c for c in at if c < x}) for x in names}
+    want = {x: len([c for c in at if c < x]) for x in names}
     assert q == want and max(q.values()) >= 8
     by = defaultdict(set)
     source = {i: s for i, _, _, s in rows}
@@ -642,6 +711,50 @@ def test_media_sizes(n):
         media.read_container(raw[:-1])
 
 
+def fragmented(samples):
+    """A file whose movie box has no samples and whose fragments have one run each; every third sample is a sync sample."""
+    empty = media.write_container(b"")
+    cut = empty.index(b"mdat") - 4
+    moov = empty.index(b"moov") - 4
+    trex = media.box(b"mvex", media.full_box(b"trex", struct.pack(">IIIII", 1, 1, 0, 5, 0x10000)))
+    own = empty[moov + 8 : cut] + trex
+    raw = empty[:moov] + media.box(b"moov", own)
+    for k in range(0, len(samples), 4):
+        part = samples[k : k + 4]
+        rows = b"".join(struct.pack(">II", len(x), 0 if (k + i) % 3 == 0 else 0x10000) for i, x in enumerate(part))
+        moof = lambda offset: media.box(b"moof", media.full_box(b"mfhd", struct.pack(">I", k)), media.box(b"traf", media.full_box(b"tfhd", struct.pack(">I", 1), flags=0x20000), media.full_box(b"trun", struct.pack(">Ii", len(part), offset), rows, flags=0x601)))  # noqa: B023, E731
+        raw += moof(len(moof(0)) + 8) + media.box(b"mdat", *part)
+    return raw
+
+
+def test_media_fragments_and_small_sizes():
+    samples = [bytes([k]) * (1 + k % 7) for k in range(23)]
+    raw = fragmented(samples)
+    (t,) = media.read_container(raw)
+    assert media.read_payload(raw, t) == b"".join(samples) and t.keys.tolist() == list(range(0, 23, 3))
+    assert [raw[a:b] for a, b in t.ranges(t.keys)] == samples[::3]
+    for bits, sizes in ((4, [3, 15, 0, 7, 1]), (8, [200, 0, 9]), (16, [60_000, 2])):
+        plain = media.write_container(bytes(sum(sizes)), unit=sum(sizes))
+        packed = bytes((a << 4) | b for a, b in zip([*sizes, 0][::2], [*sizes, 0][1::2])) if bits == 4 else np.array(sizes, {8: "u1", 16: ">u2"}[bits]).tobytes()
+        stsz, stsc = plain.index(b"stsz") - 4, plain.index(b"stsc") - 4
+        body = media.full_box(b"stz2", struct.pack(">II", bits, len(sizes)), packed)
+        t = media.Track(tables={})
+        data = memoryview(plain[stsc : stsc + 28] + body + media.full_box(b"stco", struct.pack(">II", 1, 8)))
+        t.tables = {b"stsc": (8, 28), b"stz2": (36, 0), b"stco": (28 + len(body) + 8, 0)}
+        data = memoryview(bytes(data[:20]) + struct.pack(">II", len(sizes), 1) + bytes(data[28:]))
+        media.sample_table(data, t)
+        assert t.sizes.tolist() == sizes and t.offsets.tolist() == (8 + np.cumsum(sizes) - sizes).tolist(), stsz
+
+
+def test_media_files_have_a_status(spark):
+    good = media.write_container(b"x" * 5000)
+    rows = [("good", good), ("cut", good[:-10]), ("text", b"this is no container at all"), ("none", None), ("empty", b""), ("nothing", media.box(b"free", b"1234")), ("tables", good.replace(b"stsz", b"stsX")), ("far", good.replace(b"stco", b"stcX"))]
+    got = {r.path: r for r in media.media_files(spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary")).collect()}
+    assert {p: r.status.split(":")[0] for p, r in got.items()} == {"good": "OK", "cut": "BROKEN", "text": "BROKEN", "none": "EMPTY", "empty": "EMPTY", "nothing": "NO_TRACKS", "tables": "BROKEN", "far": "BROKEN"}
+    (t,) = got["good"].tracks
+    assert (t.codec, t.duration, t.samples) == ("raw", 5000, 9) and [good[k.start : k.end] for k in t.keyframes] == [b"x" * 576]
+
+
 # 10
 
 
