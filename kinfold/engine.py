@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import contextlib
 import fcntl
+import functools
 import json
 import os
 import sys
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import columns as C
-from kinfold.operators import compare, extract, index, observe, plan, relations, resolve, validate
+from kinfold.operators import compare, extract, group, index, observe, plan, relations, resolve, validate
 from kinfold.sources import files, guarded, sinks
 
 DONE, FAILED, INCOMPLETE = 0, 1, 2
@@ -252,6 +253,12 @@ class Engine:
         """Two to six trees: virtual entries, ledger, the lattice and its maximal groups, and what a check of the plan finds."""
         if not 2 <= len(roots) <= plan.MAX_ROOTS:
             raise ValueError(f"2 to {plan.MAX_ROOTS} roots")
+        for a in roots:
+            if sum(os.path.samefile(a, b) for b in roots) > 1:
+                raise ValueError(f"{a} is named twice")
+            for b in roots:
+                if a != b:
+                    outside(a, [b])
         e = None
         for k, r in enumerate(roots):
             own = self.tree(r).withColumn("root", F.lit(k)).withColumn("entry", F.xxhash64("path"))
@@ -259,7 +266,18 @@ class Engine:
         e = relations.checkpointed(e)
         clash = e.groupBy(compare.folded(F.col("path")).alias("k")).agg(F.count_distinct(F.struct("path", "kind", F.coalesce("digest", F.lit("")).alias("x"))).alias("n"), F.min("path").alias("path")).where("n > 1").select("path")
         v, ledger, lattice = plan.virtual_entries(e, clash), plan.ledger(e, clash), plan.subsets(e)
-        return {"entries": v, "ledger": ledger, "lattice": lattice, "maximal": plan.maximal(lattice), "variants": plan.variants(e), "violations": plan.verify_plan(e, v, ledger)}
+        return {"entries": v, "ledger": ledger, "lattice": lattice, "maximal": plan.maximal(lattice), "group": group.group_plan(e), "entries_of_roots": e, "variants": plan.variants(e), "violations": plan.verify_plan(e, v, ledger)}
+
+    def store_plan(self, roots: list[str], folder: str) -> None:
+        """The tables of a group plan over the roots, written once under folder, which may not lie in a root."""
+        outside(folder, roots)
+        for name, table in self.plan(roots)["group"].items():
+            table.write.mode("errorifexists").parquet(f"{folder}/{name}")
+
+    def verify_plan(self, roots: list[str], folder: str) -> DataFrame:
+        """What a stored group plan says otherwise than the roots as they are now."""
+        parts = self.plan(roots)
+        return group.verify_group(parts["entries_of_roots"], {k: self.spark.read.parquet(f"{folder}/{k}") for k in parts["group"]})
 
     def verify(self, run: int | None = None) -> DataFrame:
         """Rows of a run's index that break a rule."""
@@ -280,6 +298,10 @@ def main(argv: list[str] | None = None) -> int:
             x.add_argument("--output", required=True)
     for name in ("compare", "plan"):
         sub.add_parser(name).add_argument("--root", action="append", required=True)
+    for name in ("group-plan", "group-verify", "inspect", "resolve"):
+        x = sub.add_parser(name)
+        x.add_argument("--root", action="append", required=True)
+        x.add_argument("--output", required=True)
     x = sub.add_parser("observe")  # with --output the accepted stage is exported, without it taken
     x.add_argument("stage", choices=observe.STAGES)
     x.add_argument("--root", action="append")
@@ -294,6 +316,20 @@ def main(argv: list[str] | None = None) -> int:
             print(engine.report(args.output, args.run))
         elif args.command == "verify":
             return INCOMPLETE if not engine.verify(args.run).isEmpty() else DONE
+        elif args.command == "group-plan":
+            engine.store_plan(args.root, args.output)
+        elif args.command == "group-verify":
+            return DONE if engine.verify_plan(args.root, args.output).isEmpty() else INCOMPLETE
+        elif args.command in ("inspect", "resolve"):
+            outside(args.output, args.root)
+            charts = relations.checkpointed(functools.reduce(DataFrame.unionByName, (engine.extract(r) for r in args.root)))
+            if args.command == "inspect":
+                charts.write.mode("errorifexists").parquet(args.output)
+            else:
+                found = functools.reduce(DataFrame.unionByName, (files.stats(files.tree(engine.spark, r)).select("path") for r in args.root))
+                for name, table in engine.resolve(charts, found).items():
+                    table.write.mode("errorifexists").parquet(f"{args.output}/{name}")
+            return DONE if charts.where("coverage <> 'COMPLETE_SUPPORTED_SYNTAX'").isEmpty() else INCOMPLETE
         elif args.command == "observe":
             o = observe.Observation(engine.spark, args.store)
             if args.stage == "SOURCE":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import columns as C
 from kinfold.functions.python import dotnet_double, fold_key, win_canonical
-from kinfold.operators import compare, extract, index, plan, relations, resolve, validate
+from kinfold.operators import compare, extract, group, index, plan, relations, resolve, validate
 from kinfold.plans import views as V
 
 QUERIES: dict = {}
@@ -810,3 +810,127 @@ def _(s, d):
 @query("v9_duplicate_keys", "SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def _(s, d):
     return validate.duplicate_keys(V.table(s, d, "lineitem"), "l_orderkey", "l_partkey").select("l_orderkey", "l_partkey", "n")
+
+
+# group plans and components
+
+
+def group_entries(s, d) -> DataFrame:
+    return V.roots(s, d).withColumn("entry", F.col("path"))
+
+
+GROUP_SQL = f"""{SUBSETS_SQL.replace('SELECT mask, max(n) = 1 AS compatible FROM x GROUP BY 1', '').rstrip()}, l AS (SELECT mask FROM x GROUP BY 1 HAVING max(n) = 1),
+ g AS (SELECT mask FROM l WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.mask <> l.mask AND b.mask & l.mask = l.mask)), r AS (SELECT DISTINCT root FROM e),
+ h AS (SELECT mask, root, (mask >> root) & 1 = 1 AS inside, CASE WHEN (mask >> root) & 1 = 0 THEN '_variantes/' || lpad(CAST(sum(1 - ((mask >> root) & 1)) OVER (PARTITION BY mask ORDER BY root) AS BIGINT)::VARCHAR, 3, '0') END AS label FROM g, r)"""
+
+
+@query("c7_group_targets", f"{GROUP_SQL} SELECT 'group-' || printf('%02X', mask) AS candidate, path, min(kind) AS kind, min(digest) AS digest, count(*) AS sources FROM e JOIN h USING (root) WHERE inside GROUP BY mask, path")
+def _(s, d):
+    e = group_entries(s, d)
+    return group.group_plan(e)["targets"].withColumn("sources", F.size("sources").cast("long"))
+
+
+@query("c7_group_ledger", f"{GROUP_SQL} SELECT 'group-' || printf('%02X', mask) AS candidate, root, path, CASE WHEN inside THEN 'REPRESENTED_VIRTUALLY' ELSE 'PRESERVE_COMPLETE_VARIANT_IN_PLACE' END AS disposition, label FROM e JOIN h USING (root)")
+def _(s, d):
+    return group.group_plan(group_entries(s, d))["conservation"].drop("entry")
+
+
+@query("c7_group_selection", f"{GROUP_SQL} SELECT count(*) AS alternatives, CASE WHEN count(*) > 1 THEN 'HUMAN_SELECTION_REQUIRED' ELSE 'UNIQUE_PHYSICAL_PROPOSAL_NOT_SELECTED' END AS state FROM g")
+def _(s, d):
+    return group.group_plan(group_entries(s, d))["selection"]
+
+
+@query("v16_group_violations", f"""{GROUP_SQL}, t AS (SELECT DISTINCT 'group-' || printf('%02X', mask) AS candidate, path FROM e JOIN h USING (root) WHERE inside)
+ SELECT 'VIRTUAL_NAMESPACE' AS code, candidate || '/' || path AS key FROM t WHERE path LIKE '%7'
+ UNION ALL SELECT 'CONSERVATION_LEDGER', 'group-' || printf('%02X', mask) || '/' || root || '/' || path FROM e JOIN h USING (root) WHERE NOT inside AND path LIKE '%4'
+ UNION ALL SELECT 'SUBSETS', '15'""")
+def _(s, d):
+    """A stored plan with faults: targets that end in 7 are lost, kept variants that end in 4 have another label, a subset's state is turned."""
+    e = group_entries(s, d)
+    stored = group.group_plan(e)
+    stored["targets"] = stored["targets"].where("path NOT LIKE '%7'")
+    stored["conservation"] = stored["conservation"].withColumn("label", F.when(F.col("path").like("%4") & F.col("label").isNotNull(), "elsewhere").otherwise(F.col("label")))
+    stored["lattice"] = stored["lattice"].withColumn("compatible", F.col("compatible") != (F.col("mask") == 15))
+    return group.verify_group(e, stored)
+
+
+@query("g2_components_by_search", RELATED_SQL)
+def _(s, d):
+    return group.components_by_search(V.table(s, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 + 3).alias("b")).distinct())
+
+
+def token_sql(x: str) -> str:
+    return f"lpad(printf('%X', octet_length(encode({x}))), 8, '0') || hex({x})"
+
+
+@query("g4_component_identity", f"""WITH m AS (SELECT c_nationkey AS component, list_sort(list(DISTINCT c_mktsegment)) AS roots, list_sort(list(DISTINCT md5(c_name))) AS hashes FROM customer GROUP BY 1)
+ SELECT component, sha256(unhex({token_sql("'Component.v1'")} || {token_sql("'member_roots'")} || {token_sql("CAST(len(roots) AS VARCHAR)")} || {token_sql("'1'")}
+ || array_to_string(list_transform(roots, lambda v: {token_sql("'normalized_path'")} || {token_sql('v')}), '') || {token_sql("'chart_hashes'")} || {token_sql("CAST(len(hashes) AS VARCHAR)")} || {token_sql("'1'")}
+ || array_to_string(list_transform(hashes, lambda v: {token_sql("'sha256'")} || {token_sql('v')}), ''))) AS identity FROM m""")
+def _(s, d):
+    return group.component_identity(V.table(s, d, "customer").select(F.col("c_nationkey").alias("component"), F.col("c_mktsegment").alias("root"), F.md5("c_name").alias("content_id")))
+
+
+@query("p12_selected_components", "SELECT c_mktsegment AS cluster_id, c_custkey AS container FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def _(s, d):
+    return group.select_components(V.table(s, d, "customer").select(F.col("c_mktsegment").alias("cluster_id"), F.col("c_custkey").alias("container")), ["MACHINERY", "BUILDING", "BUILDING"])
+
+
+@query("j9_owner_roots", f"WITH m AS (SELECT DISTINCT path FROM ({V.DOCUMENTS_SQL}) WHERE path IS NOT NULL), r AS (SELECT DISTINCT source AS root FROM documents WHERE source IS NOT NULL AND source NOT LIKE '%3' UNION SELECT DISTINCT source || '/en' FROM documents WHERE source IS NOT NULL), h AS (SELECT path, count(*) AS n, min(root) AS root FROM m JOIN r ON path = root OR starts_with(path, root || '/') GROUP BY 1) SELECT path, CASE WHEN n = 1 THEN root END AS owner, coalesce(n, 0) AS n FROM m LEFT JOIN h USING (path)")
+def _(s, d):
+    """Sources whose name does not end in 3 and every folder of English texts are roots; some members have two or none."""
+    x = V.table(s, d, "documents").where("source IS NOT NULL").select("source").distinct()
+    roots = x.where("source NOT LIKE '%3'").select(F.col("source").alias("root")).union(x.select(F.concat("source", F.lit("/en")))).distinct().withColumn("active", F.lit(True))
+    return group.owners(V.documents(s, d).where("path IS NOT NULL"), roots)
+
+
+@query("r3_direct_drift", f"WITH {V.SNAPSHOT_SQL}, ch AS (SELECT regexp_replace(coalesce(o.path, s.path), '/[^/]*$', '') AS root FROM o FULL JOIN s ON o.path = s.path WHERE o.path IS NULL OR s.path IS NULL OR o.size <> s.size OR o.mtime <> s.mtime), f AS (SELECT DISTINCT user_id AS component, '/lib' || user_id % 3 || '/' || user_id AS root FROM events) SELECT component, root, CASE WHEN root IN (SELECT root FROM ch) THEN 'STALE' ELSE 'ADMITTED' END AS state FROM f")
+def _(s, d):
+    old, new = V.snapshots(s, d)
+    lib = F.concat(F.lit("/lib"), (F.col("user_id") % 3).cast("string"), F.lit("/"), F.col("user_id").cast("string"))
+    return group.drifted(old, new, V.table(s, d, "events").select(F.col("user_id").alias("component"), lib.alias("root")).distinct())
+
+
+@query("j20_candidate_index", "SELECT 'a/p' || p_partkey || '.wav' AS path, 'c' AS chart, p_partkey AS declaration, CASE p_partkey % 7 WHEN 1 THEN 'WINDOWS_ORDINAL_IGNORE_CASE' WHEN 2 THEN 'ALTERNATE_EXTENSION_UNPROVEN' ELSE 'LEXICAL_ORDINAL' END AS policy, 'DECLARATION_RESOLUTION' AS origin FROM part WHERE p_partkey % 7 IN (1, 2, 4) UNION ALL SELECT 'a/p' || p_partkey || '.wav', 'c', p_partkey, 'SAME_STEM_PROPOSAL', 'BMSON_AUDIO_LOOKUP_PROPOSAL' FROM part WHERE p_partkey % 7 IN (1, 2, 4)")
+def _(s, d):
+    files = V.table(s, d, "part").select(F.format_string("a/p%d.wav", F.col("p_partkey")).alias("path"))
+    declared = resolve.resolved(references(s, d), files).select(F.lit("c").alias("chart"), F.col("ref").alias("declaration"), "policy", "candidates")
+    return group.candidate_index(declared, resolve.same_stem(references(s, d), files).select(F.lit("c").alias("chart"), F.col("ref").alias("declaration"), "found"))
+
+
+def proofs(s, d) -> DataFrame:
+    p = V.table(s, d, "part").where("p_partkey % 5 <> 0").select(F.format_string("p%d.wav", F.col("p_partkey")).alias("path"))
+    return resolve.bounded_proof(extract.extracted(charts(s, d)), p.union(s.createDataFrame([("x.wav",), ("y.wav",)], "path string")))
+
+
+A18_SQL = "WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2), g AS (SELECT l_orderkey AS o, count(*) AS n, count(*) FILTER (WHERE p % 11 = 0) AS unbound, count(*) FILTER (WHERE p % 5 = 0) AS missing, count(*) FILTER (WHERE p % 11 <> 0 AND p % 5 <> 0) AS exact, CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 0 END AS one FROM l GROUP BY 1)"
+
+
+@query("a18_usage_counts", f"{A18_SQL} SELECT CAST(sum(n - unbound + one) AS BIGINT) AS satisfiable, 0::BIGINT AS impossible, CAST(sum(unbound) AS BIGINT) AS unknown FROM g")
+def _(s, d):
+    return resolve.usage_coverage(charts(s, d)).agg(F.count_if(F.col("region").isin(resolve.MAYBE, resolve.ALWAYS)).alias("satisfiable"), F.count_if(F.col("region") == resolve.NEVER).alias("impossible"), F.count_if(F.col("region") == resolve.UNKNOWN).alias("unknown"))
+
+
+@query("a19_physical_counts", f"{A18_SQL} SELECT CASE WHEN missing > 0 THEN 'INCOMPLETE_OR_NO_OBSERVED_BINDINGS' WHEN exact + one > 0 THEN 'COMPLETE_ORDINAL_OBSERVED_BINDINGS' ELSE 'ORDINAL_PATHS_WITHOUT_ADMITTED_USAGE_BINDING' END AS physical, count(*) AS charts, CAST(sum(n + 2 * one) AS BIGINT) AS declared, CAST(sum(n - unbound + 2 * one) AS BIGINT) AS related, CAST(sum(exact + 2 * one) AS BIGINT) AS ordinal FROM g GROUP BY 1")
+def _(s, d):
+    return proofs(s, d).groupBy("physical").agg(F.count("*").alias("charts"), *[F.sum(c).alias(c) for c in ("declared", "related", "ordinal")])
+
+
+@query("y11_binding_evidence", "WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) SELECT CASE WHEN p % 5 = 0 THEN 'NO_OBSERVED_MATCH' ELSE 'ORDINAL_EXACT_OBSERVED_MATCH' END AS state, count(*) + CASE WHEN p % 5 = 0 THEN 0 ELSE 2 * (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 2 = 0) END AS n FROM l GROUP BY ALL".replace("count(*) + CASE WHEN p % 5 = 0 THEN 0 ELSE", "count(*) + CASE WHEN min(p % 5) = 0 THEN 0 ELSE"))
+def _(s, d):
+    return proofs(s, d).select(F.explode("evidence").alias("e")).groupBy(F.col("e.state").alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("f24_stage_paths", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'TOO_LONG' WHEN 2 THEN 'ROOTED' WHEN 3 THEN 'UNSAFE_SEGMENT' WHEN 4 THEN 'ABSOLUTE_TOO_LONG' ELSE 'EMPTY' END AS problem FROM part")
+def _(s, d):
+    n, k = F.format_string("x%d", F.col("p_partkey")), F.col("p_partkey") % 6
+    path = F.when(k == 0, F.concat(F.lit("a/"), n)).when(k == 1, F.concat(n, F.repeat(F.lit("y"), 160))).when(k == 2, F.concat(F.lit("C:/"), n)).when(k == 3, F.concat(n, F.lit("/con.txt"))).when(k == 4, F.concat(n, F.repeat(F.lit("z"), 150))).otherwise("")
+    return V.table(s, d, "part").select("p_partkey", group.stage_path_problem(path, 100).alias("problem"))
+
+
+@query("v12_comparison_rederived", f"""WITH t AS ({DIFF_SQL}) SELECT path, 'REPORT' AS side FROM t WHERE category = 'SAME_FILE' AND path LIKE '1%' UNION ALL SELECT path, 'DERIVED' FROM t WHERE category = 'SAME_FILE' AND path LIKE '1%'""")
+def _(s, d):
+    """A stored comparison in which some files are called different is held against one made anew."""
+    found = compare.tree_diff(*trees(s, d)).select("path", "category")
+    stored = found.withColumn("category", F.when((F.col("category") == "SAME_FILE") & F.col("path").like("1%"), "CONTENT_CONFLICT").otherwise(F.col("category")))
+    return validate.reconcile(stored, found).select("path", "side")
