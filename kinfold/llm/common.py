@@ -21,7 +21,7 @@ ARROW_BYTES = 2 << 20
 SLICE_BYTES = 1 << 20
 PIECE_BYTES = 1 << 18
 SLICE_CELLS = 1 << 16
-MERGED_AT_ONCE = 256
+MERGED_AT_ONCE = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not where and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="kinfold-checkpoint-"))
     return where or sc._jsc.sc().getCheckpointDir().get()
 
