@@ -79,14 +79,15 @@ def pairs(items: DataFrame, max_work: int = MAX_PAIR_WORK) -> DataFrame:
     The work is counted first and an excess raises; a group of any size is spread, as the join is on content and AQE
     splits a skewed one. Counts are added before the second shuffle.
     """
-    member = members(items)
+    held = checkpointed(items.groupBy("container", "content_id").agg(F.count("*").alias("n")))  # one pass over the items
+    member = held.where("content_id IS NOT NULL").select("container", "content_id")
     work = int(pair_work(member).first().work)
     if work > max_work:
         raise PairBudgetExceeded(f"{work} pair contributions, {max_work} allowed")
     x = member.select("content_id", F.col("container").alias("a"))
     y = member.select("content_id", F.col("container").alias("b"))
     common = x.join(y, "content_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    size = containers(items)
+    size = held.groupBy("container").agg(F.sum("n").alias("physical_items"), F.count("content_id").alias("items"))
     of = lambda s: size.select(F.col("container").alias(s), F.col("physical_items").alias(f"physical_{s}"), F.col("items").alias(f"items_{s}"))
     out = common.join(of("a"), "a").join(of("b"), "b")
     n, a, b = F.col("common"), F.col("items_a"), F.col("items_b")
