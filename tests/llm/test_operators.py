@@ -903,6 +903,26 @@ def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     rows = out.collect()
     assert rows and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns)
+    # the same stages by hand, the last by brute force
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = common.checkpointed(stage(spark, docs, "/root/testdata/sf0.001"))
+    encode, want = packing.encoder(packing.default_tokenizer()), Counter()
+    for i, t in texts(docs):
+        ids = [*encode(t or "").tolist(), packing.END]
+        for a in range(0, len(ids), packing.LENGTH):
+            own = ids[a : a + packing.LENGTH]
+            want[i, a, len(own), zlib.crc32(np.array(own, "<u4").tobytes()), len(ids)] += 1
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
+    taken = defaultdict(list)
+    for r in rows:
+        taken[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= packing.LENGTH and [o for o, _ in sorted(x)] == list(itertools.accumulate((n for _, n in sorted(x)[:-1]), initial=0)) for x in taken.values())
+
+
+def test_pipeline_without_rows(spark, tmp_path, none):
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_registry():
