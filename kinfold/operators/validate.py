@@ -123,31 +123,6 @@ def seal_small(domain: str, groups: list[tuple[str, list[str], list[dict]]]) ->
     return hashlib.sha256(canonical_bytes(domain, groups)).hexdigest()
 
 
-def seal(domain: str, group: str, df: DataFrame, fields: list[str], order: list[str], leaf: int = 10_000) -> str:
-    """SHA-256 over a table of any size: rows in UTF-16 order are cut into leaves, hashed in parallel, then leaf by leaf.
-
-    The driver reads a digest for each `leaf` rows in order and holds one at a time. Equal tables have equal seals
-    however they are partitioned. A plain pre-image as for small groups would need one task to read all rows.
-    """
-    from pyspark.sql import Window
-
-    keys = [C.ordinal(F.col(c)) if df.schema[c].dataType.typeName() == "string" else F.col(c) for c in order]
-    n = df.count()
-    laid = df.select(row_tokens(df, fields).alias("t"), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("k"))
-    parts = max(1, -(-n // leaf))
-    laid = laid.repartitionByRange(parts, "k").sortWithinPartitions("k").withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id())
-    from kinfold.operators.relations import checkpointed
-
-    laid = checkpointed(laid)
-    base = laid.groupBy("p").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = laid.join(F.broadcast(base), "p").withColumn("row", F.col("before") + F.expr("i & 8589934591"))  # a row for each partition
-    leaves = numbered.groupBy(F.expr(f"row div {leaf}").alias("leaf")).agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("row", F.hex("t").alias("t")))), lambda x: x["t"])), 256).alias("h"))
-    total = hashlib.sha256(canonical_bytes(domain, [(group, fields, [])]) + n.to_bytes(8, "big"))
-    for r in leaves.orderBy("leaf").toLocalIterator():
-        total.update(bytes.fromhex(r.h))
-    return total.hexdigest()
-
-
 def chained(records: DataFrame) -> DataFrame:
     """Records (name, parent, digest, payload) whose parent no record has as digest, or whose digest isn't that of payload."""
     known = records.select(F.col("digest").alias("_d")).distinct()

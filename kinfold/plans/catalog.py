@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import columns as C
 from kinfold.functions.python import dotnet_double, fold_key, win_canonical
-from kinfold.operators import compare, extract, group, index, plan, relations, resolve, validate
+from kinfold.operators import compare, extract, group, index, plan, relations, resolve, symbolic, validate
 from kinfold.plans import views as V
 
 QUERIES: dict = {}
@@ -481,7 +481,7 @@ def _(s, d):
     """Against an inventory without the sounds of every fifth part."""
     p = V.table(s, d, "part").where("p_partkey % 5 <> 0").select(F.format_string("p%d.wav", F.col("p_partkey")).alias("path"))
     inventory = p.union(s.createDataFrame([("x.wav",), ("y.wav",)], "path string"))
-    return resolve.bounded_proof(extract.extracted(charts(s, d)), inventory).select("path", "proof", "logical", "declared", "related", "ordinal", "physical")
+    return resolve.bounded_proof(charts(s, d), inventory).select("path", "proof", "logical", "declared", "related", "ordinal", "physical")
 
 
 def references(s, d) -> DataFrame:
@@ -900,7 +900,7 @@ def _(s, d):
 
 def proofs(s, d) -> DataFrame:
     p = V.table(s, d, "part").where("p_partkey % 5 <> 0").select(F.format_string("p%d.wav", F.col("p_partkey")).alias("path"))
-    return resolve.bounded_proof(extract.extracted(charts(s, d)), p.union(s.createDataFrame([("x.wav",), ("y.wav",)], "path string")))
+    return resolve.bounded_proof(charts(s, d), p.union(s.createDataFrame([("x.wav",), ("y.wav",)], "path string")))
 
 
 A18_SQL = "WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2), g AS (SELECT l_orderkey AS o, count(*) AS n, count(*) FILTER (WHERE p % 11 = 0) AS unbound, count(*) FILTER (WHERE p % 5 = 0) AS missing, count(*) FILTER (WHERE p % 11 <> 0 AND p % 5 <> 0) AS exact, CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 0 END AS one FROM l GROUP BY 1)"
@@ -908,7 +908,7 @@ A18_SQL = "WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM
 
 @query("a18_usage_counts", f"{A18_SQL} SELECT CAST(sum(n - unbound + one) AS BIGINT) AS satisfiable, 0::BIGINT AS impossible, CAST(sum(unbound) AS BIGINT) AS unknown FROM g")
 def _(s, d):
-    return resolve.usage_coverage(charts(s, d)).agg(F.count_if(F.col("region").isin(resolve.MAYBE, resolve.ALWAYS)).alias("satisfiable"), F.count_if(F.col("region") == resolve.NEVER).alias("impossible"), F.count_if(F.col("region") == resolve.UNKNOWN).alias("unknown"))
+    return resolve.usage_coverage(charts(s, d)).agg(F.count_if(F.col("region").isin(symbolic.MAYBE, symbolic.ALWAYS)).alias("satisfiable"), F.count_if(F.col("region") == symbolic.NEVER).alias("impossible"), F.count_if(F.col("region") == symbolic.UNKNOWN).alias("unknown"))
 
 
 @query("a19_physical_counts", f"{A18_SQL} SELECT CASE WHEN missing > 0 THEN 'INCOMPLETE_OR_NO_OBSERVED_BINDINGS' WHEN exact + one > 0 THEN 'COMPLETE_ORDINAL_OBSERVED_BINDINGS' ELSE 'ORDINAL_PATHS_WITHOUT_ADMITTED_USAGE_BINDING' END AS physical, count(*) AS charts, CAST(sum(n + 2 * one) AS BIGINT) AS declared, CAST(sum(n - unbound + 2 * one) AS BIGINT) AS related, CAST(sum(exact + 2 * one) AS BIGINT) AS ordinal FROM g GROUP BY 1")

@@ -1,13 +1,12 @@
 """Chart extraction, path resolution and symbolic coverage against truth tables and enumeration."""
 
-import itertools
 import json
 
 import pytest
 
 from kinfold.functions import python as P
 from kinfold.operators import compare, extract, resolve
-from kinfold.operators.resolve import ALWAYS, MAYBE, NEVER, Region, Term
+from kinfold.operators.symbolic import COVERED, UNCLEAR
 
 
 def parse(text, ext="bms", **limits):
@@ -175,86 +174,31 @@ def test_ambiguous_and_limited_matches(spark):
 PLAY = "#00111:01"
 
 
-def chosen(*branches, by="IF", head="#RANDOM 2", end=("#ENDIF", "#ENDRANDOM")):
-    """A block with a declaration or usage in each branch."""
-    body = [x for k, b in enumerate(branches, 1) for x in (([f"#IF {k}", b, "#ENDIF"]) if by == "IF" else [f"#{by} {k}", b, "#SKIP"])]
-    return [head, *body, end[-1]]
-
-
-@pytest.mark.parametrize(
-    "lines,effective,coverage",
-    [
-        (["#WAV01 a.wav", PLAY], "SINGLE_CANDIDATE_WITHIN_MODEL", resolve.COVERED),
-        ([*chosen("#WAV01 a.wav"), PLAY], "SINGLE_CANDIDATE_WITHIN_MODEL", resolve.UNBOUND),
-        (["#WAV01 a.wav", *chosen(PLAY)], "SINGLE_CANDIDATE_WITHIN_MODEL", resolve.COVERED),
-        (chosen("#WAV01 a", PLAY), "NO_COMPATIBLE_DECLARATION_WITHIN_MODEL", resolve.UNBOUND),
-        ([*chosen("#WAV01 a", "#WAV01 b"), PLAY], "BRANCH_EXCLUSIVE_ALTERNATIVES_WITHIN_MODEL", resolve.COVERED),
-        (["#WAV01 a", "#WAV01 b", PLAY], "AMBIGUOUS_EFFECTIVE_DECLARATION", resolve.COVERED),
-        (["#WAV01 a", *chosen("#WAV01 b"), PLAY], "AMBIGUOUS_EFFECTIVE_DECLARATION", resolve.COVERED),
-        (["#SWITCH 3", "#CASE 1", "#WAV01 a", "#SKIP", "#CASE 2", "#WAV01 b", "#SKIP", "#DEF", "#WAV01 c", "#ENDSW", PLAY], "BRANCH_EXCLUSIVE_ALTERNATIVES_WITHIN_MODEL", resolve.COVERED),
-        ([*chosen("#WAV01 a", "#WAV01 b", by="CASE", head="#SETSWITCH 2", end=("#ENDSW",)), PLAY], "SINGLE_CANDIDATE_WITHIN_MODEL", None),
-        (["#SWITCH 3", "#CASE 1", "#WAV01 a", "#CASE 2", "#WAV01 b", "#ENDSW", PLAY], "UNKNOWN_EFFECTIVE_DECLARATION", resolve.UNCLEAR),
-        (["#RANDOM 2", "#WAV01 a", "#ENDRANDOM", PLAY], "UNKNOWN_EFFECTIVE_DECLARATION", resolve.UNCLEAR),
-        (["#RANDOM 2", "#IF 3", PLAY, "#ENDIF", "#ENDRANDOM", "#WAV01 a"], "NO_COMPATIBLE_DECLARATION_WITHIN_MODEL", resolve.UNUSED),
-        ([PLAY], "UNRESOLVED_LOGICAL_REFERENCE", resolve.UNCLEAR),  # an undeclared usage has no region
-    ],
-)
-def test_usage_semantics(lines, effective, coverage):
-    (u,) = resolve.analysed(song(*lines))
-    assert u["effective"] == effective and coverage in (None, u["coverage"])
+def terms_of(*lines, ext="bms"):
+    """kind, id and terms (None where they can't be told) of each fact of a chart."""
+    chart = extract.parse_chart("\n".join(lines).encode() if ext == "bms" else lines[0].encode(), ext)
+    return [(x["kind"], x["id"], x["terms"] if x["known"] else None) for x in resolve.chart_facts(chart) if x["kind"] != "CHART"]
 
 
 def test_unsupported_facts_have_no_region():
-    r = song("#BASE 62", "#WAV01 a.wav", PLAY)
-    decl, use = resolve.regions(r)
-    assert {x.state for x in (*decl.values(), *use.values())} == {resolve.UNKNOWN}
-    assert [x["state"] for x in resolve.obligations(r)] == ["POTENTIAL_OBLIGATION_UNKNOWN_SEMANTICS"]
-    title = parse(json.dumps(chart(info={"title_image": "t.png", "back_image": "b.png"})), "bmson")
-    decl, use = resolve.regions(title)
-    assert [decl[d["id"]].state == resolve.UNKNOWN for d in title["declarations"]] == [d["logical_id"] == "title_image" for d in title["declarations"]]
-    assert [use[u["id"]].state == resolve.UNKNOWN for u in title["usages"]] == [u["logical_id"] == "title_image" for u in title["usages"]]
-
+    assert {t is None for _, _, t in terms_of("#BASE 62", "#WAV01 a.wav", PLAY)} == {True}
+    text = json.dumps(chart(info={"title_image": "t.png", "back_image": "b.png"}))
+    title = parse(text, "bmson")
+    named = {("DECLARATION", x["id"]): x["logical_id"] for x in title["declarations"]} | {("USAGE", x["id"]): x["logical_id"] for x in title["usages"]}
+    assert all((t is None) == (named[kind, i] == "title_image") for kind, i, t in terms_of(text, ext="bmson")) and "title_image" in named.values()
 
-def test_order_in_text():
-    r = song(PLAY, "#WAV01 a", "#00112:01", "#BANNER b.png")
-    assert {(x["usage"], x["declaration"]): x["order"] for x in resolve.relations(r)} == {(0, 0): resolve.AFTER, (1, 0): resolve.BEFORE, (2, 1): resolve.AFTER}
-    assert {x["order"] for x in resolve.relations(parse(json.dumps(chart()), "bmson"))} == {resolve.NO_ORDER}
 
-
-def test_witness():
-    (u,) = resolve.analysed(song(*chosen("#WAV01 a.wav"), PLAY))
-    assert u["witness"] == "0=2-2"
+def test_terms_of_branches():
+    got = terms_of("#RANDOM 3", "#IF 1", "#WAV01 a", "#ELSEIF 2", "#WAV01 b", "#ELSE", "#WAV01 c", "#ENDIF", "#ENDRANDOM", PLAY)
+    own = [(0, 3, 1, []), (0, 3, 2, [1]), (0, 3, None, [1, 2])]
+    assert [[tuple(t.values()) for t in ts] for _, _, ts in got] == [[x] for x in own] + [[]]
 
 
 def test_coverage_of_files(spark):
     text = "\n".join(["#WAV01 a.wav", PLAY, "#00112:02"])
     files = spark.createDataFrame([("d/x.bms", bytearray(text.encode())), ("d/y.bms", None)], "path string, content binary")
     direct, parsed = (sorted(map(tuple, resolve.usage_coverage(x).collect()), key=str) for x in (files, extract.extracted(files)))
-    assert direct == parsed and [r[5] for r in direct] == [resolve.COVERED, resolve.UNCLEAR]
-
-
-def test_cover_grid():
-    cells = list(itertools.product((1, 2, 3), repeat=2))
-    for mask in range(512):
-        decls = [Region(MAYBE, (Term(0, 3, x), Term(1, 3, y))) for k, (x, y) in enumerate(cells) if mask >> k & 1]
-        state, witness = resolve.covered(Region(ALWAYS), decls)
-        assert (state == resolve.COVERED) == (mask == 511)
-        if mask and mask != 511:
-            box = [range(witness[v][0], witness[v][1] + 1) for v in (0, 1)]
-            assert all(not mask >> cells.index(c) & 1 for c in itertools.product(*box))
-
-
-@pytest.mark.parametrize("a,b", itertools.product(range(5), repeat=2))
-def test_intersection_enumerated(a, b):
-    for mask in range(8):
-        out = tuple(x for x in (1, 2, 3) if mask >> (x - 1) & 1)
-        r = resolve.joint(resolve.region((Term(0, 3, a or None),)), resolve.region((Term(0, 3, b or None, out),)))
-        values = [x for x in (1, 2, 3) if (not a or x == a) and (not b or x == b) and x not in out]
-        assert (r.state == NEVER) == (not values)
-
-
-def test_unknown_dominates():
-    assert resolve.joint(Region(resolve.UNKNOWN), Region(NEVER, (Term(0, 1, 2),))).state == resolve.UNKNOWN
+    assert direct == parsed and [r[4] for r in direct] == [COVERED, UNCLEAR]
 
 
 def test_names_and_json(spark):

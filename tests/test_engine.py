@@ -112,17 +112,6 @@ def test_compare_extract_plan(spark, library):
         e.plan([a])
 
 
-def test_coexistence_relations_obligations(spark):
-    chart = extract.parse_chart(b"#WAV01 a\n#RANDOM 2\n#IF 1\n#WAV01 b\n#WAV02 c\n#ELSE\n#WAV02 d\n#ENDIF\n#ENDRANDOM\n#00111:0102\n#WAV03 e", "bms")
-    assert {(r["a"], r["b"]): r["state"] for r in resolve.coexistence(chart)} == {(0, 1): "POSSIBLE_CONDITIONAL_REDEFINITION_PRECEDENCE_UNKNOWN", (2, 3): "CANNOT_CO_OCCUR_WITHIN_MODEL"}
-    assert all(r["compatibility"] == "MAY_BIND_WITHIN_MODEL" and r["order"] == resolve.BEFORE for r in resolve.relations(chart))
-    assert [r["state"] for r in resolve.obligations(chart)] == ["POTENTIAL_OBSERVED_USE", *["POTENTIAL_CONDITIONED_USE"] * 3, "NO_CO_OCCURRING_USE_OBSERVED_WITHIN_MODEL"]
-    files = spark.createDataFrame([("x.bms", bytearray(b"#WAV01 a\n#WAV01 b\n#00111:01"))], "path string, content binary")
-    charts = extract.extracted(files)
-    assert resolve.charted(charts, resolve.coexistence, resolve.COEXISTENCE).first().state == "SIMULTANEOUS_DECLARATIONS_PRECEDENCE_UNKNOWN"
-    assert resolve.charted(charts, resolve.relations, resolve.RELATIONS).count() == 2 and resolve.charted(charts, resolve.obligations, resolve.OBLIGATIONS).count() == 2
-
-
 def test_same_stem(spark):
     refs = spark.createDataFrame([(1, "d", "k.ogg"), (2, "", "../x")], "ref int, base string, authored string")
     got = resolve.same_stem(refs, spark.createDataFrame([("d/K.wav",), ("d/k.png",), ("k.wav",)], "path string"))

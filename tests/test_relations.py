@@ -210,12 +210,6 @@ def test_canonical_tokens(spark):
     assert df.select(F.hex(validate.row_tokens(df, ["a", "b", "c"])).alias("h")).first().h == "0000000161FFFFFFFF0000000162000000000000000163" + "00000002C3A9"
 
 
-def test_seal_is_of_the_rows(spark):
-    a = spark.range(1000).select(F.col("id"), F.concat(F.lit("x"), F.col("id")).alias("s"))
-    seals = {validate.seal("d", "g", x, ["id", "s"], ["s"], leaf=64) for x in (a, a.repartition(7), a.orderBy(F.desc("id")))}
-    assert len(seals) == 1 and validate.seal("d", "g", a.where("id <> 5"), ["id", "s"], ["s"], leaf=64) not in seals
-
-
 def test_rules(spark):
     rows = [("a/1", "a", "0" * 64, 1, 1, 1, True, "OK"), ("a/2", "b", "xyz", -1, 2, 1, False, "OK"), ("a/3", "a", None, 1, 1, 1, True, "OK")]
     i = spark.createDataFrame(rows, "path string, container string, content_id string, size long, first_seen int, last_seen int, present boolean, status string")
