@@ -215,7 +215,8 @@ class Index:
         return cls(spark, "", shards, common.id_kind(rows)).next(inserts=rows)
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(f"shard int, kind int, digest binary, keep {self.id_kind}, n long, filter binary").parquet(self.folder)
+        kept = self.spark.read.schema(f"shard int, kind int, digest binary, keep {self.id_kind}, n long, filter binary").parquet(self.folder)
+        return kept.select("shard", "kind", "digest", "keep", "n", "filter")  # a column that files are parted by comes last
 
     def content(self) -> DataFrame:
         """shard, digest, keep, n of each live digest."""

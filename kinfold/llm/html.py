@@ -98,7 +98,7 @@ def named(tag: str, attributes: str) -> tuple[str, bool, bool]:
         if key == "class":
             own = sorted({DIGITS.sub("", x).lower() for x in value.split()})
             name += "".join("." + x for x in own if x)
-        if key in ("class", "id") and tag not in SURE:
+        if tag not in SURE and (key == "class" or key == "id" and tag not in HEADINGS):  # the id of a heading is made of its words
             doubt = doubt or any(x.lower() in WORDS for x in SPLIT.split(value))
         elif key == "role":
             aside = aside or value.lower() in ROLES
@@ -108,7 +108,7 @@ def named(tag: str, attributes: str) -> tuple[str, bool, bool]:
 
 
 class Element:
-    """A container: its generalised path as a hash, and the text that stands right in it."""
+    """A container, or a block whose class speaks against it: its generalised path as a hash, and the text that stands right in it."""
 
     __slots__ = ("up", "name", "key", "tag", "sure", "doubt", "blocks", "chars", "linked", "prose", "bare")
 
@@ -140,9 +140,8 @@ def read(page: str) -> list[tuple[Element, str]]:
         if text:
             own = " ".join(entities.unescape("".join(text)).split())
             text.clear()
-            _, element, aside, doubt, block = stack[-1]
+            _, element, aside, _, block = stack[-1]
             if own and not aside:
-                element.doubt = element.doubt or doubt
                 element.chars += len(own)
                 element.linked += min(linked, len(own))
                 element.blocks.append(own)
@@ -196,7 +195,9 @@ def read(page: str) -> list[tuple[Element, str]]:
             names[key] = named(tag, attributes)
         name, aside, doubt = names[key]
         _, element, above, doubted, block = stack[-1]
-        if tag in CONTAINERS:
+        if tag in INLINE:
+            doubt = False
+        if tag in CONTAINERS or doubt:  # a block with a telling class is a container of its own, so that what is around it stays
             element = Element(element, name, tag, doubted or doubt)
         stack.append((tag, element, above or aside, doubted or doubt, block if tag in INLINE else len(stack)))
         open_tags[tag] = open_tags.get(tag, 0) + 1

@@ -129,6 +129,8 @@ def sample_table(data: memoryview, t: Track) -> None:
         t.sizes = np.stack([own >> 4, own & 15], axis=1).ravel()[:count] if bits == 4 else own
     elif b"stsz" in t.tables:
         size, count = struct.unpack_from(">II", data, t.tables[b"stsz"][0] + 4)
+        if size * count > len(data):
+            raise ValueError("stsz has more bytes of samples than the file")
         t.sizes = np.full(count, size, np.int64) if size else numbers(data, t.tables[b"stsz"][0] + 12, count, ">u4")
     else:
         raise ValueError("a track without stsz and stz2")
@@ -141,10 +143,13 @@ def sample_table(data: memoryview, t: Track) -> None:
     at = t.tables[b"stsc"][0]
     runs = numbers(data, at + 8, 3 * struct.unpack_from(">I", data, at + 4)[0], ">u4").reshape(-1, 3)
     if len(chunks):
-        per = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0], len(chunks) + 1]))
-        chunk = np.repeat(np.arange(len(chunks)), per)[:count]
+        first = np.r_[runs[:, 0], len(chunks) + 1]
+        if first[0] != 1 or (np.diff(first) < 0).any():
+            raise ValueError("stsc names chunks that are not there")
+        ends = np.minimum(np.cumsum(np.minimum(np.repeat(runs[:, 1], np.diff(first)), count)), count)  # no more samples than there are
+        chunk = np.repeat(np.arange(len(chunks)), np.diff(np.r_[0, ends]))
         before = np.cumsum(t.sizes) - t.sizes
-        t.offsets = chunks[chunk] + before - before[(np.cumsum(per) - per)[chunk]]
+        t.offsets = chunks[chunk] + before - before[np.r_[0, ends][chunk]]
     if b"stss" in t.tables:
         at = t.tables[b"stss"][0]
         t.keys = numbers(data, at + 8, struct.unpack_from(">I", data, at + 4)[0], ">u4") - 1
@@ -194,6 +199,8 @@ def fragment_run(data: memoryview, body: int, stop: int, f: Fragment) -> tuple[n
         first = struct.unpack_from(">I", data, at)[0]
         at += 4
     told = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+    if count > len(data):
+        raise ValueError("trun has more samples than the file bytes")
     if at + 4 * len(told) * count > stop:
         raise ValueError("trun runs past its box")
     rows = numbers(data, at, len(told) * count, ">u4").reshape(count, len(told))
@@ -235,6 +242,7 @@ def read_container(raw: bytes) -> list[Track]:
                 fragment_header(data, body, open_[-1], defaults)
             elif kind == b"trun" and open_:
                 more.setdefault(open_[-1].track, []).append(fragment_run(data, body, stop, open_[-1]))
+                counted(len(more[open_[-1].track][-1][0]))
             elif kind == b"tkhd" and tracks:
                 tracks[-1].number = struct.unpack_from(">I", data, body + (20 if data[body] == 1 else 12))[0]
             elif tracks:
@@ -249,9 +257,19 @@ def read_container(raw: bytes) -> list[Track]:
                     t.tables[kind] = (body, stop)
 
     moofs: list[int] = []
+    samples = 0
+
+    def counted(n: int) -> None:
+        """Samples that say nothing of their own take no bytes, so all of a file are held against its length."""
+        nonlocal samples
+        samples += n
+        if samples > len(raw):
+            raise ValueError("more samples than the file has bytes")
+
     walk(0, len(raw))
     for t in tracks:
         sample_table(data, t)
+        counted(len(t.sizes))
         for offsets, sizes, sync in more.get(t.number, ()):
             t.keys = np.r_[t.keys, len(t.sizes) + np.nonzero(sync)[0]]
             t.offsets, t.sizes = np.r_[t.offsets, offsets], np.r_[t.sizes, sizes]
@@ -267,7 +285,8 @@ def media_files(files: DataFrame) -> DataFrame:
     """path, status, tracks of each row of files (path, content): codec, duration and the byte ranges of all key frames.
 
     status: OK, NO_TRACKS, EMPTY (null or no bytes), or BROKEN with the reason; one odd file doesn't stop the others.
-    Repeated rows return as often as they occur, no rows give none, extra columns are ignored. A file is held whole,
+    All counts are held against the file's length before anything is made of them: a file with more samples than bytes,
+    also by tracks that share samples, is BROKEN. Repeated rows return as often as they occur, no rows give none, extra columns are ignored. A file is held whole,
     once, its tables beside it.
     """
     from pyspark.sql.pandas.types import to_arrow_schema

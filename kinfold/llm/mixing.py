@@ -157,9 +157,13 @@ def cut_block(rows: DataFrame) -> DataFrame:
     x = rows.withColumn("bin", F.substring("mark", 1, 3)).join(bins, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")) & (F.col("bin") == F.col("_bin")))
     met = (F.col("before") <= F.col("left")) & (F.col("before") + F.col("bin_size") > F.col("left"))
     whole = x.where(~met).withColumn("extra", F.col("before") + F.col("bin_size") <= F.col("left"))
+    # rows that share a mark are one here, so that all or none of them are taken
+    marks = x.where(met).groupBy("source", "block", "left", "before", "mark").agg(F.sum("size").alias("mark_size"))
     inside = Window.partitionBy("source", "block").orderBy("mark").rowsBetween(Window.unboundedPreceding, 0)
-    part = x.where(met).withColumn("extra", 2 * (F.col("before") + F.sum("size").over(inside)) - F.col("size") <= 2 * F.col("left"))
-    return whole.unionByName(part).select(*rows.columns, "extra")
+    extra = 2 * (F.col("before") + F.sum("mark_size").over(inside)) - F.col("mark_size") <= 2 * F.col("left")
+    marks = marks.select(F.col("source").alias("_ms"), F.col("block").alias("_mb"), F.col("mark").alias("_m"), extra.alias("extra"))
+    part = x.where(met).join(common.small_or_not(marks, 200_000), F.col("source").eqNullSafe(F.col("_ms")) & (F.col("block") == F.col("_mb")) & (F.col("mark") == F.col("_m")))
+    return whole.select(*rows.columns, "extra").unionByName(part.select(*rows.columns, "extra"))
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, blocks: int = BLOCKS, levels: int = LEVELS) -> DataFrame:
@@ -170,8 +174,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, blocks
     rest of the target; of the block in which it ends, the first documents of a permutation up to the last that
     passes half. These numbers of blocks are the quotas that the splitting tree divides among the output shards, which
     are then filled with disjoint blocks; shards holds the shard of each copy. A null source is a source; null text
-    has size 0 and taken 0; a source without words has target 0. Repeated rows share a place in the permutation and
-    are counted one by one; blocks that draw alike go by number. A text of any length is one number here. An empty
+    has size 0 and taken 0; a source without words has target 0. Rows that repeat share a place in the permutation, and
+    all of them are taken equally often; blocks that draw alike go by number. A text of any length is one number here. An empty
     table gives no rows. Extra columns are ignored.
     """
     d = docs.select("doc_id", F.col("source").cast("string").alias("source"), words().alias("size"), mark().alias("mark"))
@@ -210,11 +214,11 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """docs with a row for each copy that the mix takes, and _shard and _place: its output shard and the draw that orders it there."""
+    """docs with a row for each copy that the mix takes, and __kf_shard and __kf_place: its output shard and the draw that orders it there."""
     taken = mixed(docs, levels=levels).where("times > 0").groupBy(F.col("mark").alias("__kf_m")).agg(F.max(F.struct("times", "shards")).alias("__kf_t"))
     rows = docs.withColumn("__kf_mark", mark()).join(taken, F.col("__kf_mark") == F.col("__kf_m"))
-    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__kf_mark", F.posexplode("__kf_t.shards").alias("__kf_copy", "_shard"))
-    return rows.withColumn("_place", place(F.col("__kf_mark"), F.col("__kf_copy"))).drop("__kf_mark", "__kf_copy")
+    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__kf_mark", F.posexplode("__kf_t.shards").alias("__kf_copy", "__kf_shard"))
+    return rows.withColumn("__kf_place", place(F.col("__kf_mark"), F.col("__kf_copy"))).drop("__kf_mark", "__kf_copy")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -224,8 +228,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     larger than others by more than the shards are.
     """
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = F.floor((F.col("_shard") + F.col("_place") / float(1 << 52)) * n / (1 << LEVELS)).cast("int")
-    laid = placed(docs).repartitionById(n, F.least(part, F.lit(n - 1))).sortWithinPartitions("_shard", "_place")
+    part = F.floor((F.col("__kf_shard") + F.col("__kf_place") / float(1 << 52)) * n / (1 << LEVELS)).cast("int")
+    laid = placed(docs).repartitionById(n, F.least(part, F.lit(n - 1))).sortWithinPartitions("__kf_shard", "__kf_place")
     return laid.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -264,9 +268,10 @@ q0 AS (SELECT 0::BIGINT AS node, s0.i, count(c.i)::BIGINT AS q FROM s0 LEFT JOIN
 ends AS (SELECT i, node AS shard, sum(q) OVER (PARTITION BY i ORDER BY node) AS stop, q FROM q4),
 deal AS (SELECT i, block, copy, row_number() OVER (PARTITION BY i ORDER BY ('0x' || substr(md5('deal:' || i || ':' || block || ':' || copy), 1, 13))::BIGINT, block, copy) AS j FROM c),
 spots AS (SELECT deal.i, block, list(shard ORDER BY copy) AS spots FROM deal JOIN ends ON deal.i = ends.i AND j > stop - q AND j <= stop GROUP BY deal.i, block),
-j AS (SELECT doc_id, size, mark, source_size, target, whole, left_, block_size, b1.i, e.block, sum(size) OVER (PARTITION BY e.source, e.block ORDER BY mark ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+j AS (SELECT doc_id, size, mark, source_size, target, whole, left_, block_size, b1.i, e.block, sum(size) OVER (PARTITION BY e.source, e.block ORDER BY mark RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+             sum(size) OVER (PARTITION BY e.source, e.block, mark) AS mark_size
       FROM e JOIN b1 ON e.source IS NOT DISTINCT FROM b1.source AND e.block = b1.block),
-t AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE least(whole + CASE WHEN left_ <= 0 THEN 0 WHEN left_ >= block_size THEN 1 WHEN 2 * upto - size <= 2 * left_ THEN 1 ELSE 0 END, 3) END::BIGINT AS times FROM j)
+t AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE least(whole + CASE WHEN left_ <= 0 THEN 0 WHEN left_ >= block_size THEN 1 WHEN 2 * upto - mark_size <= 2 * left_ THEN 1 ELSE 0 END, 3) END::BIGINT AS times FROM j)
 SELECT doc_id, size, source_size, target, times * size AS taken, coalesce(array_to_string(spots[1:times], ','), '') AS shards,
        coalesce(array_to_string([('0x' || substr(md5('place:' || mark || ':' || k), 1, 13))::BIGINT for k in range(0, times)], ','), '') AS places
 FROM t LEFT JOIN spots ON t.i = spots.i AND t.block = spots.block

@@ -43,17 +43,19 @@ def byte_letters() -> dict[str, int]:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> ids as little-endian 32-bit numbers, as the file's tokenizer gives them without special tokens.
+    """text -> ids as little-endian 32-bit numbers, as the file's tokenizer gives them, adding no special tokens.
 
     A plain byte-level BPE file whose ids follow the order of its merges is run by tiktoken, several times as fast;
-    any other file by the tokenizers library.
+    any other file by the tokenizers library. Added tokens that a text spells out have their own ids, as there.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
     plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and model.get("type") == "BPE"
+    added = spec.get("added_tokens", [])
+    plain = plain and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip"))
     if plain and not model.get("ignore_merges") and not model.get("dropout"):
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in added}
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
         merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
@@ -61,14 +63,21 @@ def encoder(path: str):
             import tiktoken
 
             fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            return functools.partial(encoded, fast)
+            return functools.partial(with_added, functools.partial(encoded, fast), special)
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
 
 
+def with_added(encode, added: dict[str, int], text: str) -> np.ndarray:
+    """The ids of a text cut at the added tokens it spells out, leftmost first and of those the longest."""
+    if not any(t in text for t in added):
+        return encode(text)
+    cuts = re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text)
+    return np.concatenate([np.array([added[x]], "<u4") if i % 2 else encode(x) for i, x in enumerate(cuts)])
+
+
 def encoded(fast, text: str) -> np.ndarray:
     """The ids of a text of any length.
 
@@ -188,7 +197,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
 
     Full pieces and rests go by their length alone, so the driver sees a histogram of at most `length` rows. A piece's
     rank among those of its length, by doc_id and start, picks its slot. Null text is empty and has END alone.
-    Repeated rows and equal or null ids are packed each on its own. No rows give no rows; extra columns are ignored.
+    Repeated rows and equal or null ids are packed each on its own. A long text is encoded in parts and cut into pieces
+    like any other. No rows give no rows; extra columns are ignored.
     """
     spark = docs.sparkSession
     cut = common.ranked(common.checkpointed(pieces(docs, tokenizer, length)), ["fill"], ["doc_id", "start", "ids_crc32"])

@@ -245,9 +245,8 @@ def test_encoder_is_the_tokenizers_own(real):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     own = packing.encoder(packing.default_tokenizer())
-    cases = [x for _, x in texts(real.limit(100))] + ["", " ", "a<|endoftext|>b", "12３ ½", "é \U0001F600\x00", "\n\n  x  \n", " " * 999]
+    cases = [x for _, x in texts(real.limit(100))] + ["", " ", "a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n<|endoftext| >", " <|endoftext|> " * 500, "12３ ½", "é \U0001F600\x00", "\n\n  x  \n", " " * 999]
     assert all(own(x).tolist() == t.encode(x, add_special_tokens=False).ids for x in cases)
 
 
@@ -276,7 +275,6 @@ def test_encoder_long_runs():
 
     path = packing.default_tokenizer()
     own, library = packing.encoder(path), Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     r = random.Random(1)
     cases = [c * 2_000_000 for c in " \na"] + ["x" + " " * 5000 + "y z", "x" + "\n" * 5000 + " y", " " * 4096, " " * 4097 + "a", "ab\u3000" * 3000 + "\u3000" * 5000 + "c", "a" + "\t " * 4000 + "\x1c b", "\x1c" * 9000 + "x", "it's 12 words. " * 60_000]
     cases += ["".join(r.choice(["a", "b", " ", "  ", "\n", " " * 4100, "'s", "1", "é", "\u3000", "\x85", "!", "\x1f", "\u200b"]) for _ in range(400)) for _ in range(20)]
@@ -405,6 +403,26 @@ def test_html_vote_decides(spark):
     assert got[30] == own_text(odd) and got[41] == own_text(odder) and got[40] == own_text(page(40))
 
 
+TEASER = "<div class=teaser><p>Five words of a teaser</p></div>"
+STORY = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+
+
+@pytest.mark.parametrize("shell", ["<article>{}</article>", "<main>{}</main>", "<div class=post>{}</div>", "<div class=post><ul>{}</ul></div>", "<div class=post><section>{}</section></div>"])
+@pytest.mark.parametrize("telling", ["<p class='notice'>We use cookies</p>", "<p class=ad>Buy this now</p>", "<li class='related'>Read this as well</li>", "<p id=newsletter>Sign up for mail</p>", "<figure class='promo'><p>Buy that now</p></figure>", "<h3 class='share'>Share this</h3>"])
+def test_html_telling_block_goes_alone(shell, telling):
+    body = f"<h2 id='advert-{1}'>Heading</h2><p>{STORY[0]}</p>{telling}<p>{STORY[1]} <span class=ad>x</span></p><ul><li>{STORY[2]}</ul>"
+    page = f"<html><body><nav><a href=/>Home</a></nav>{shell.format(body)}<footer>f</footer></body></html>"
+    assert own_text(page) == "\n".join(["Heading", STORY[0], STORY[1] + " x", STORY[2]])
+
+
+def test_html_telling_block_goes_alone_over_a_host(spark):
+    page = lambda k: f"<html><body>{TEASER}<article><h1>Title {k}</h1><p>{STORY[k % 3]} {k}</p><p class='notice'>Notice {k}</p></article></body></html>"
+    plain = lambda k: f"<html><body><div class=post><h1 id=related-{k}>Title {k}</h1><p>{STORY[k % 3]} {k}</p><p class=ad>Ad {k}</p></div></body></html>"
+    rows = [(k, "http://h/", page(k)) for k in range(10)] + [(20 + k, "http://g/", plain(k)) for k in range(10)] + [(40, "http://one/", page(0)), (41, "http://two/", plain(0))]
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i % 20 % 10}\n{STORY[i % 20 % 10 % 3]} {i % 20 % 10}" if i < 40 else f"Title 0\n{STORY[0]} 0" for i, _, _ in rows}
+
+
 def test_html_vote_counts_copies_once_for_repeats(spark):
     page = "<body><div class=a><p>one and the same article</p></div></body>"
     got = html.extracted(spark.createDataFrame([(k, "http://h/", page) for k in range(9)], "page_id long, url string, html string")).collect()
@@ -581,6 +599,26 @@ def test_running_sums(spark):
         n, upto = n + 1, upto + k
 
 
+def marked(rows):
+    """The size of all rows that share source, block and mark."""
+    out = Counter()
+    for source, block, size, mark in rows:
+        out[source, block, mark] += size
+    return out
+
+
+def test_mixing_stage_takes_what_the_mix_takes(spark):
+    rows = [(1, "three equal words", "a", "s", "p", 1)] * 300 + [(k, f"words of row {k}", "a", "s", "p", 1) for k in range(2, 200)] + [(k, "w " * 30, "b", "s", "p", 1) for k in range(200, 240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _shard string, _place string, times int").repartition(7)
+    for blocks in (1, 4):
+        m = mixing.mixed(df, blocks=blocks)
+        per = {r.doc_id: r for r in m.groupBy("doc_id").agg(F.sum("times").alias("n"), F.count_distinct("times").alias("kinds")).collect()}
+        assert all(r.kinds == 1 for r in per.values())
+    per = Counter({r.doc_id: r.n for r in mixing.mixed(df).groupBy("doc_id").agg(F.sum("times").alias("n")).collect()})
+    out = mixing.stage(spark, df, SF)
+    assert out.columns == df.columns and Counter(r.doc_id for r in out.collect()) == +per
+
+
 def test_cut_block(spark):
     sizes = [(i * 7919) % 23 for i in range(3000)]
     rows = [(None if i % 3 == 0 else str(i % 3), i % 2, size, hashlib.md5(b"%d" % i).hexdigest()) for i, size in enumerate(sizes)]
@@ -591,7 +629,7 @@ def test_cut_block(spark):
     left = {k: [0, n // 3, n // 2, n - 1, 1, n // 7][i] for i, (k, n) in enumerate(sorted(whole.items(), key=str))}
     got = mixing.cut_block(spark.createDataFrame([(*r, left[r[:2]]) for r in rows], "source string, block int, size long, mark string, left long")).collect()
     want, upto = Counter(), Counter()
-    for source, block, size, mark in sorted(rows, key=lambda r: r[3]):
+    for (source, block, mark), size in sorted(marked(rows).items(), key=lambda r: r[0][2]):
         before = upto[source, block]
         want[source, block, mark, 2 * before + size <= 2 * left[source, block]] += size
         upto[source, block] += size
@@ -605,10 +643,10 @@ def test_mixing_shuffles_in_shards(spark, real):
     rows = mixing.placed(real).collect()
     place = defaultdict(list)
     for r in rows:
-        place[r.doc_id].append((r._shard, r._place))
-    assert {r._shard for r in rows} == set(range(16)) and len({p for x in place.values() for p in x}) == len(rows)
+        place[r.doc_id].append((r["__kf_shard"], r["__kf_place"]))
+    assert {r["__kf_shard"] for r in rows} == set(range(16)) and len({p for x in place.values() for p in x}) == len(rows)
     out = [r.doc_id for r in mixing.stage(spark, real, SF).collect()]
-    assert out == [r.doc_id for r in sorted(rows, key=lambda r: (r._shard, r._place))]
+    assert out == [r.doc_id for r in sorted(rows, key=lambda r: (r["__kf_shard"], r["__kf_place"]))]
     assert sum(a == b for a, b in zip(out, out[1:])) < len(out) // 20
 
 
@@ -755,6 +793,21 @@ def test_media_files_have_a_status(spark):
     assert (t.codec, t.duration, t.samples) == ("raw", 5000, 9) and [good[k.start : k.end] for k in t.keyframes] == [b"x" * 576]
 
 
+def test_media_counts_are_held_against_the_file(spark):
+    """Tables of a few bytes that claim thousands of millions of samples."""
+    most, good = 0xFFFFFFFF, media.write_container(b"x" * 5000)
+
+    def swapped(kind, *numbers):
+        at = good.index(kind) + 8
+        return good[:at] + struct.pack(f">{len(numbers)}I", *numbers) + good[at + 4 * len(numbers) :]
+
+    run = media.full_box(b"trun", struct.pack(">I", most))
+    moof = lambda n: media.box(b"moof", media.box(b"traf", media.full_box(b"tfhd", struct.pack(">I", 1)), *[media.full_box(b"trun", struct.pack(">I", 4000))] * n, run * (n == 1)))
+    rows = [("stsz", swapped(b"stsz", 1, most)), ("stsz2", swapped(b"stsz", 7, most)), ("stsc", swapped(b"stsc", 1, 1, most, 1)), ("chunk", swapped(b"stsc", 1, most, 1, 1)), ("trun", good + moof(1)), ("truns", good + moof(200)), ("stco", swapped(b"stco", most)), ("stss", swapped(b"stss", most))]
+    got = {r.path: r.status for r in media.media_files(spark.createDataFrame([(p, bytearray(c)) for p, c in [*rows, ("good", good)]], "path string, content binary")).collect()}
+    assert got.pop("good") == "OK" and {p for p, x in got.items() if x.startswith("BROKEN")} >= set(got) - {"stsc"}, got
+
+
 # 10
 
 
