@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.functions import columns as C
 
+# What a scan counts.
 COUNTERS = ("discovered", "reused", "hashed", "new", "changed", "missing", "errored", "unstable")
 
 
@@ -33,12 +35,12 @@ def merge(index: DataFrame, seen: DataFrame, run_id: int, rehash: bool = False,
     if active_roots is not None:
         j = j.join(active_roots.select(F.col("root").alias("a_root")).distinct(), F.coalesce("s_root", "o_root") == F.col("a_root"), "left")  # the configured roots
         active = F.col("a_root").isNotNull()
-    if blocked is not None:
-        j = j.withColumn("_up", F.explode_outer(F.when(~here, F.transform(F.sequence(F.lit(1), F.size(F.split("o_path", "/"))), lambda i: F.array_join(F.slice(F.split("o_path", "/"), 1, i), "/")))))
-        j = j.join(blocked.select(F.col("blocked").alias("_b")).distinct(), F.col("_up") == F.col("_b"), "left")
-        rest = [c for c in j.columns if c not in ("_up", "_b")]
-        j = j.groupBy(*rest).agg(F.max(F.col("_b").isNotNull()).alias("_held"))
-        held = F.col("_held")
+    if blocked is not None:  # of unseen rows alone, whose paths then go back to them
+        unseen = index.select("path").join(seen.select("path"), "path", "left_anti")
+        up = unseen.select("path", F.explode(C.ancestors(F.col("path"), own=True)).alias("_up"))
+        below = up.join(blocked.select(F.col("blocked").alias("_up")).distinct(), "_up", "left_semi").select(F.col("path").alias("_held")).distinct()
+        j = j.join(below, F.col("o_path") == F.col("_held"), "left")
+        held = F.col("_held").isNotNull()
     outcome = (
         F.when(~active, "INACTIVE").when(here & ~known, "NEW").when(reuse, "REUSED")
         .when(here & ~F.col("s_content_id").eqNullSafe(F.col("o_content_id")), "CHANGED").when(here, "HASHED").when(held, "UNVERIFIED").otherwise("MISSING")

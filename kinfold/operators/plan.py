@@ -89,14 +89,6 @@ def maximal(lattice: DataFrame) -> DataFrame:
     return s.join(F.broadcast(t), (F.col("mask") != F.col("other")) & (F.col("mask").bitwiseAND(F.col("other")) == F.col("mask")), "left_anti")
 
 
-def variants(entries: DataFrame) -> DataFrame:
-    """path, variant, digest, roots: contents of a path that roots disagree on, numbered by digest."""
-    g = entries.where("kind = 'REGULAR_FILE'").groupBy("path", "digest").agg(F.array_sort(F.collect_set("root")).alias("roots"))
-    many = g.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
-    by = Window.partitionBy("path").orderBy("digest")
-    return g.join(many, "path", "left_semi").select("path", F.concat(F.lit("_variants/"), F.lpad(F.row_number().over(by).cast("string"), 3, "0")).alias("variant"), "digest", "roots")
-
-
 def copy_source(entries: DataFrame) -> DataFrame:
     """path, root, entry: of equivalent sources the first by root and entry."""
     return entries.groupBy("path").agg(F.min(F.struct("root", "entry")).alias("s")).select("path", "s.root", "s.entry")

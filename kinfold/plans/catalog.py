@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import columns as C
 from kinfold.functions.python import dotnet_double, fold_key, win_canonical
-from kinfold.operators import compare, extract, group, index, plan, relations, resolve, symbolic, validate
+from kinfold.operators import classify, compare, contain, extract, group, index, merkle, plan, relations, resolve, sketch, symbolic, validate
 from kinfold.plans import views as V
 
 QUERIES: dict = {}
@@ -75,9 +75,9 @@ def _(s, d):
     return relations.containers(ok(V.documents(s, d)))
 
 
-@query("a4_label_counts", f"SELECT l.relationship, coalesce(n, 0) AS n FROM (VALUES ('EXACT_CHART_SET'), ('A_SUBSET_OF_B'), ('B_SUBSET_OF_A'), ('HIGH_OVERLAP'), ('MEDIUM_OVERLAP'), ('SHARED_CHARTS')) l(relationship) LEFT JOIN (SELECT relationship, count(*) AS n FROM ({pairs_sql(V.SUPPLIERS_SQL)}) GROUP BY 1) USING (relationship)")
+@query("a4_label_counts", f"SELECT l.relationship, coalesce(n, 0) AS n FROM (VALUES ('EXACT_CHART_SET'), ('A_SUBSET_OF_B'), ('B_SUBSET_OF_A'), ('HIGH_OVERLAP'), ('MEDIUM_OVERLAP'), ('SHARED_CHARTS')) l(relationship) LEFT JOIN (SELECT relationship, count(*) AS n FROM ({pairs_sql(V.BASKETS_SQL)}) GROUP BY 1) USING (relationship)")
 def _(s, d):
-    return relations.label_counts(relations.pairs(V.suppliers(s, d)))
+    return relations.label_counts(relations.pairs(V.baskets(s, d)))
 
 
 EXACT_SQL = f"WITH i AS ({V.USERS_SQL}), g AS (SELECT container, list_sort(list(DISTINCT content_id)) AS sig FROM i GROUP BY 1), k AS (SELECT sig, min(container) AS cluster_key, count(*) AS size FROM g GROUP BY 1 HAVING count(*) > 1) SELECT cluster_key, container, size FROM g JOIN k USING (sig)"
@@ -174,17 +174,17 @@ def _(s, d):
     return index.statistics(merged(s, d))
 
 
-DIFF_SQL = f"""WITH a AS ({V.TREE_SQL.format('A')}), b AS ({V.TREE_SQL.format('R')}) SELECT coalesce(a.path, b.path) AS path, a.kind AS kind_a, b.kind AS kind_b, a.digest AS digest_a, b.digest AS digest_b, a.is_item AS item_a, b.is_item AS item_b,
+DIFF_SQL = f"""WITH a AS ({V.TREE_SQL.format('R')}), b AS ({V.TREE_SQL.format('A')}) SELECT coalesce(a.path, b.path) AS path, a.kind AS kind_a, b.kind AS kind_b, a.digest AS digest_a, b.digest AS digest_b, a.is_item AS item_a, b.is_item AS item_b,
  CASE WHEN a.path IS NULL THEN CASE b.kind WHEN 'DIRECTORY' THEN 'DIRECTORY_ONLY_B' ELSE 'FILE_ONLY_B' END WHEN b.path IS NULL THEN CASE a.kind WHEN 'DIRECTORY' THEN 'DIRECTORY_ONLY_A' ELSE 'FILE_ONLY_A' END
  WHEN a.kind <> b.kind THEN 'KIND_CONFLICT' WHEN a.kind = 'DIRECTORY' THEN 'SAME_DIRECTORY' WHEN a.digest = b.digest THEN 'SAME_FILE' ELSE 'CONTENT_CONFLICT' END AS category FROM a FULL JOIN b ON a.path = b.path"""
-GROUPS_SQL = f"""WITH a AS ({V.TREE_SQL.format('A')}), b AS ({V.TREE_SQL.format('R')}), u AS (SELECT *, 0 AS side FROM a WHERE kind = 'REGULAR_FILE' UNION ALL SELECT *, 1 FROM b WHERE kind = 'REGULAR_FILE'),
+GROUPS_SQL = f"""WITH a AS ({V.TREE_SQL.format('R')}), b AS ({V.TREE_SQL.format('A')}), u AS (SELECT *, 0 AS side FROM a WHERE kind = 'REGULAR_FILE' UNION ALL SELECT *, 1 FROM b WHERE kind = 'REGULAR_FILE'),
  v AS (SELECT *, 'FULL' AS projection FROM u UNION ALL SELECT *, 'NON_CHART' FROM u WHERE NOT is_item)
  SELECT projection, digest, count(*) FILTER (WHERE side = 0) AS count_a, count(*) FILTER (WHERE side = 1) AS count_b,
   coalesce(list_sort(list(path) FILTER (WHERE side = 0)), []) <> coalesce(list_sort(list(path) FILTER (WHERE side = 1)), []) AS different_paths FROM v GROUP BY 1, 2"""
 
 
 def trees(s, d):
-    return V.tree(s, d, "A"), V.tree(s, d, "R")
+    return V.tree(s, d, "R"), V.tree(s, d, "A")
 
 
 @query("j4_tree_diff", DIFF_SQL)
@@ -214,7 +214,7 @@ def _(s, d):
     return compare.pair_flags(*trees(s, d))
 
 
-SETS_SQL = f"""WITH a AS (SELECT DISTINCT digest FROM ({V.TREE_SQL.format('A')}) WHERE is_item), b AS (SELECT DISTINCT digest FROM ({V.TREE_SQL.format('R')}) WHERE is_item),
+SETS_SQL = f"""WITH a AS (SELECT DISTINCT digest FROM ({V.TREE_SQL.format('R')}) WHERE is_item), b AS (SELECT DISTINCT digest FROM ({V.TREE_SQL.format('A')}) WHERE is_item),
  n AS (SELECT (SELECT count(*) FROM a JOIN b USING (digest)) AS common, (SELECT count(*) FROM a ANTI JOIN b USING (digest)) AS only_a, (SELECT count(*) FROM b ANTI JOIN a USING (digest)) AS only_b)
  SELECT CASE WHEN only_a = 0 AND only_b = 0 THEN 'CHART_SET_EXACT' WHEN common + only_a = 0 OR common + only_b = 0 THEN 'CHART_SET_DISJOINT' WHEN only_a = 0 THEN 'CHART_SET_SUBSET_A_IN_B'
   WHEN only_b = 0 THEN 'CHART_SET_SUBSET_B_IN_A' WHEN common > 0 THEN 'CHART_SET_PARTIAL_OVERLAP' ELSE 'CHART_SET_DISJOINT' END AS state, common, only_a, only_b FROM n"""
@@ -225,20 +225,55 @@ def _(s, d):
     return compare.item_set_state(*trees(s, d))
 
 
-@query("c2_pair_labels")
-def _(s, d):
-    return compare.pair_labels(*trees(s, d))
-
-
 CONFLICT_SQL = f"""SELECT path, array_to_string(CASE WHEN category = 'KIND_CONFLICT' THEN ['FILE_DIRECTORY_KIND_CONFLICT'] WHEN item_a <> item_b THEN ['SAME_RELATIVE_PATH_DIFFERENT_BYTES', 'CHART_RESOURCE_PATH_CONFLICT']
  WHEN NOT item_a THEN ['SAME_RELATIVE_PATH_DIFFERENT_BYTES', 'RESOURCE_VARIANT'] ELSE ['SAME_RELATIVE_PATH_DIFFERENT_BYTES'] END, ',') AS kinds FROM ({DIFF_SQL}) WHERE category IN ('KIND_CONFLICT', 'CONTENT_CONFLICT')"""
 
 
+LABEL_ROWS_SQL = f"""WITH f AS ({FLAGS_SQL}), t AS ({SETS_SQL}), n AS (SELECT count(*) AS n FROM ({CONFLICT_SQL})),
+ d AS (SELECT bool_and(category IN ('SAME_FILE', 'SAME_DIRECTORY', 'FILE_ONLY_B', 'DIRECTORY_ONLY_B')) AS a_in_b, bool_and(category IN ('SAME_FILE', 'SAME_DIRECTORY', 'FILE_ONLY_A', 'DIRECTORY_ONLY_A')) AS b_in_a,
+  bool_or(category NOT IN ('SAME_FILE', 'SAME_DIRECTORY') AND (coalesce(kind_a = 'REGULAR_FILE' AND NOT item_a, false) OR coalesce(kind_b = 'REGULAR_FILE' AND NOT item_b, false))) AS plain_differs,
+  count(*) FILTER (WHERE category = 'FILE_ONLY_A') AS fa, count(*) FILTER (WHERE category = 'FILE_ONLY_B') AS fb, count(*) FILTER (WHERE category = 'CONTENT_CONFLICT') AS cc, count(*) FILTER (WHERE category = 'KIND_CONFLICT') AS kc FROM ({DIFF_SQL})),
+ l AS (SELECT unnest([CASE WHEN tree THEN 'OBSERVATION_TREE_EXACT' END, CASE WHEN multiset AND NOT tree THEN 'CONTENT_MULTISET_EXACT_WITH_PATH_VARIANTS' END, CASE WHEN state = 'CHART_SET_EXACT' AND plain_differs THEN 'CHART_EXACT_WITH_NONCHART_DIFFERENCES' END,
+  CASE WHEN NOT tree AND a_in_b THEN 'OBSERVED_TREE_SUBSET_A_IN_B' END, CASE WHEN NOT tree AND b_in_a THEN 'OBSERVED_TREE_SUBSET_B_IN_A' END, CASE WHEN fa > 0 AND fb > 0 AND NOT path_conflict AND n = 0 THEN 'OBSERVED_COMPLEMENTARY_CONTENT' END,
+  CASE WHEN cc > 0 THEN 'HARD_PATH_CONTENT_CONFLICT' END, CASE WHEN kc > 0 THEN 'HARD_PATH_KIND_CONFLICT' END]) AS label FROM f, t, n, d) SELECT label FROM l WHERE label IS NOT NULL"""
+
+
+@query("c2_pair_labels", LABEL_ROWS_SQL)
+def _(s, d):
+    return compare.pair_labels(*trees(s, d)).select(F.explode("labels").alias("label"))
+
+
 @query("c5_conflicts", CONFLICT_SQL)
 def _(s, d):
     return compare.conflicts(*trees(s, d)).select("path", F.array_join("kinds", ",").alias("kinds"))
 
 
+def component(s, d) -> tuple[DataFrame, DataFrame]:
+    """The parts' trees by size as roots of a component, one of them inside another, with their entries."""
+    e = V.roots(s, d).withColumn("native_id", F.concat_ws(":", "root", "path"))
+    where = e.select("root").distinct().withColumn("path", F.when(F.col("root") == 3, F.lit("lib/r0/inner")).otherwise(F.concat(F.lit("lib/r"), F.col("root").cast("string"))))
+    return where, e.select("root", "path", "kind", "digest", "is_item", "native_id")
+
+
+C3_SQL = f"""WITH e AS ({V.ROOTS_SQL}), p AS (SELECT x.root AS a, y.root AS b FROM (SELECT DISTINCT root FROM e) x, (SELECT DISTINCT root FROM e) y WHERE CASE x.root WHEN 3 THEN 'lib/r0/inner' ELSE 'lib/r' || x.root END < CASE y.root WHEN 3 THEN 'lib/r0/inner' ELSE 'lib/r' || y.root END),
+ j AS (SELECT p.a, p.b, coalesce(x.path, y.path) AS path, x.kind AS ka, y.kind AS kb, x.digest AS da, y.digest AS db FROM p JOIN e x ON x.root = p.a FULL JOIN (SELECT p.a, p.b, e.* FROM p JOIN e ON e.root = p.b) y ON y.a = p.a AND y.b = p.b AND y.path = x.path)
+ SELECT a, b, 'PROVEN_FROM_ACCEPTED_CONTENT' AS state, count(*) FILTER (WHERE ka = 'REGULAR_FILE' AND da = db) AS same_file, count(*) FILTER (WHERE ka = 'REGULAR_FILE' AND kb = ka AND da <> db) AS content_conflict, bool_and(coalesce(ka = kb AND coalesce(da, '') = coalesce(db, ''), false)) AS tree,
+  CASE WHEN (a = 0 AND b = 3) THEN 'NESTED_OBSERVATION_ROOTS' ELSE '' END AS nested FROM j GROUP BY a, b"""
+
+
+@query("c3_classification", C3_SQL)
+def _(s, d):
+    x = classify.classified(*component(s, d)).pairs
+    return x.select("a", "b", "state", "same_file", "content_conflict", "tree", F.when(F.array_contains("labels", "NESTED_OBSERVATION_ROOTS"), "NESTED_OBSERVATION_ROOTS").otherwise("").alias("nested"))
+
+
+@query("c4_discovery", f"WITH p AS (SELECT a, b, row_number() OVER (ORDER BY a, b) AS k FROM ({pairs_sql(V.BRANDS_SQL)}) WHERE a <> 'Brand#11' AND a <> 'Brand#22' OR b <> 'Brand#22') SELECT a, b, CASE WHEN k > 200 THEN 'PHASE1_DISCOVERY_PAIR_LIMIT' ELSE 'CANDIDATE_FROM_PHASE1' END AS state FROM p")
+def _(s, d):
+    """Pairs of brands that no classification has compared yet; of two brands it has. The first 200 are candidates."""
+    known = s.createDataFrame([("Brand#11", classify.PROVEN), ("Brand#22", classify.PROVEN), ("Brand#3", classify.BLOCKED)], "path string, state string")
+    return classify.discovered(known, relations.pairs(V.brands(s, d)), classify.Limits(discovery_pairs=200))
+
+
 @query("a22_case_collisions", "WITH n AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN lower(p_brand) ELSE p_brand END AS path FROM part) SELECT upper(path) AS key, count(*) AS spellings, min(path) AS first, max(path) AS last FROM n GROUP BY 1 HAVING count(*) > 1")
 def _(s, d):
     return compare.case_collisions(V.table(s, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.lower("p_brand")).otherwise(F.col("p_brand")).alias("path")))
@@ -340,9 +375,10 @@ def _(s, d):
     return plan.maximal(plan.subsets(V.roots(s, d)))
 
 
-@query("w3_variants", f"WITH e AS ({V.ROOTS_SQL}), g AS (SELECT path, digest, array_to_string(list_sort(list(DISTINCT root)), ',') AS roots FROM e WHERE kind = 'REGULAR_FILE' GROUP BY 1, 2), n AS (SELECT path FROM g GROUP BY 1 HAVING count(*) > 1) SELECT path, '_variants/' || lpad(CAST(row_number() OVER (PARTITION BY path ORDER BY digest) AS VARCHAR), 3, '0') AS variant, digest, roots FROM g WHERE path IN (SELECT path FROM n)")
+@query("w3_variants", f"{SUBSETS_SQL.replace('SELECT mask, max(n) = 1 AS compatible FROM x GROUP BY 1', '').rstrip()}, g AS (SELECT CAST(unnest([1, 2, 5, 9, 14]) AS INT) AS mask), r AS (SELECT DISTINCT root FROM e) SELECT mask, root, (mask >> root) & 1 = 1 AS inside, CASE WHEN (mask >> root) & 1 = 0 THEN '_variantes/' || lpad(CAST(CAST(sum(1 - ((mask >> root) & 1)) OVER (PARTITION BY mask ORDER BY root) AS BIGINT) AS VARCHAR), 3, '0') END AS label FROM g, r")
 def _(s, d):
-    return plan.variants(V.roots(s, d)).withColumn("roots", F.array_join("roots", ","))
+    """Which folder each root gets that a union leaves out."""
+    return group.members(V.roots(s, d), s.createDataFrame([(m,) for m in (1, 2, 5, 9, 14)], "mask int"))
 
 
 @query("w6_copy_source", f"SELECT path, min(root) AS root FROM ({V.ROOTS_SQL}) GROUP BY 1")
@@ -388,10 +424,13 @@ def _(s, d):
     return V.table(s, d, "customer").select(F.col("c_nationkey").alias("k")).union(V.table(s, d, "supplier").select("s_nationkey")).distinct()
 
 
-@query("t6_sequence_difference", "WITH a AS (SELECT user_id, event_type FROM events WHERE event_id % 2 = 0), b AS (SELECT user_id, event_type FROM events WHERE event_id % 2 = 1) SELECT *, 'A' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'B' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+@query("t6_sequence_difference", "WITH a AS (SELECT row_number() OVER (ORDER BY event_id) AS place, user_id, event_type FROM events WHERE event_id % 2 = 0), b AS (SELECT row_number() OVER (ORDER BY event_id) AS place, user_id, event_type FROM events WHERE event_id % 2 = 1) SELECT place, a.user_id AS user_a, a.event_type AS type_a, b.user_id AS user_b, b.event_type AS type_b FROM a FULL JOIN b USING (place) WHERE a.user_id IS DISTINCT FROM b.user_id OR a.event_type IS DISTINCT FROM b.event_type")
 def _(s, d):
-    e = V.table(s, d, "events").select("event_id", "user_id", "event_type")
-    return compare.same_sequence(e.where("event_id % 2 = 0").drop("event_id"), e.where("event_id % 2 = 1").drop("event_id"), "user_id")
+    """The events of even and of odd numbers as two sequences, each numbered anew."""
+    e = V.table(s, d, "events").select(F.expr("event_id div 2").alias("n"), "event_id", "user_id", "event_type")
+    of = lambda k: e.where(F.col("event_id") % 2 == k).drop("event_id")
+    x = compare.sequence_differences(of(0), of(1), ["n"])
+    return x.select("place", F.col("a.user_id").alias("user_a"), F.col("a.event_type").alias("type_a"), F.col("b.user_id").alias("user_b"), F.col("b.event_type").alias("type_b"))
 
 
 @query("j3_unseen", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
@@ -436,6 +475,49 @@ def _(s, d):
     return validate.reconcile(x.select("s_suppkey", (F.col("s_nationkey") + (F.col("s_suppkey") % 10 == 0).cast("int")).alias("s_nationkey")), x)
 
 
+def shipped(s, d, changed: bool) -> DataFrame:
+    """Lines with what a report says of them; a changed report has other quantities in a few, some lines twice and lacks some."""
+    x = V.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("quantity"))
+    if not changed:
+        return x
+    x = x.withColumn("quantity", F.when(F.col("l_partkey") % 97 == 5, F.col("quantity") + 1).otherwise(F.col("quantity"))).where("l_orderkey % 211 <> 7")
+    return x.unionByName(x.where("l_orderkey % 307 = 11"))
+
+
+SHIPPED_SQL = """b AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem),
+ a0 AS (SELECT * REPLACE (CASE WHEN l_partkey % 97 = 5 THEN quantity + 1 ELSE quantity END AS quantity) FROM b WHERE l_orderkey % 211 <> 7), a AS (SELECT * FROM a0 UNION ALL SELECT * FROM a0 WHERE l_orderkey % 307 = 11)"""
+
+
+@query("v10_sketch_reconciliation", f"WITH {SHIPPED_SQL} SELECT *, 'REPORT' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'DERIVED' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def _(s, d):
+    return sketch.reconciled(shipped(s, d, True), shipped(s, d, False))
+
+
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "quantity"]
+
+
+def row_digest_sql(fields: list[str]) -> str:
+    """The digest of a row's canonical bytes: name and value of each field."""
+    token = lambda x: f"lpad(printf('%X', octet_length(encode({x}))), 8, '0') || hex({x})"
+    return "sha256(unhex(" + " || ".join(f"{token(repr(c))} || {token(f'CAST({c} AS VARCHAR)')}" for c in fields) + "))"
+
+
+@query("h2_manifest_difference", f"WITH {SHIPPED_SQL}, x AS (SELECT {row_digest_sql(LINE)} AS digest, count(*) AS rows FROM a GROUP BY ALL), y AS (SELECT {row_digest_sql(LINE)} AS digest, count(*) AS rows FROM b GROUP BY ALL) SELECT 'A' AS side, * FROM (SELECT * FROM x EXCEPT SELECT * FROM y) UNION ALL SELECT 'B', * FROM (SELECT * FROM y EXCEPT SELECT * FROM x)")
+def _(s, d):
+    """The rows in which two manifests differ, found from their roots down."""
+    a, b = (relations.checkpointed(merkle.tree(shipped(s, d, c), LINE, LINE)) for c in (True, False))
+    return merkle.differing(a, b).select("side", F.lower(F.hex("digest")).alias("digest"), "rows")
+
+
+@query("h2_membership_proofs", f"SELECT {row_digest_sql(['s_suppkey', 's_name', 's_nationkey'])} AS digest, true AS proven FROM supplier")
+def _(s, d):
+    """Whether each supplier's path leads to the root of the suppliers' manifest."""
+    x = V.table(s, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    nodes = relations.checkpointed(merkle.tree(x, x.columns, ["s_suppkey"]))
+    p = merkle.proofs(nodes, nodes.where("level = 0"))
+    return p.select(F.lower(F.hex("digest")).alias("digest"), merkle.proven(F.col("path"), F.col("digest"), merkle.root(nodes)).alias("proven"))
+
+
 @query("h1_row_tokens", "SELECT n_nationkey, sha256(unhex(concat('0000000b', hex('n_nationkey'), lpad(hex(octet_length(encode(CAST(n_nationkey AS VARCHAR)))), 8, '0'), hex(CAST(n_nationkey AS VARCHAR)), '00000006', hex('n_name'), lpad(hex(octet_length(encode(n_name))), 8, '0'), hex(n_name)))) AS seal FROM nation")
 def _(s, d):
     n = V.table(s, d, "nation")
@@ -484,6 +566,37 @@ def _(s, d):
     return resolve.bounded_proof(charts(s, d), inventory).select("path", "proof", "logical", "declared", "related", "ordinal", "physical")
 
 
+ORDERS_SQL = "WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2)"
+
+
+def semantics(s, d, limits: symbolic.Limits = symbolic.Limits()) -> symbolic.Analysis:
+    return symbolic.analysed(resolve.facts(charts(s, d)), limits)
+
+
+@query("y8_coexistence", f"{ORDERS_SQL} SELECT DISTINCT o || '.bms' AS path, '50' AS logical_id, 'CANNOT_CO_OCCUR_WITHIN_MODEL' AS state FROM l WHERE o % 2 = 0")
+def _(s, d):
+    """The two declarations that each second chart makes in branches."""
+    return semantics(s, d).coexistence.select("path", F.get_json_object("key", "$[2]").alias("logical_id"), "state")
+
+
+@query("y13_relations", f"{ORDERS_SQL} SELECT o || '.bms' AS path, CASE WHEN p % 11 = 0 THEN 'UNRESOLVED_LOGICAL_REFERENCE' ELSE 'MAY_BIND_WITHIN_MODEL' END AS compatibility, CASE WHEN p % 11 = 0 THEN 'NO_DECLARATION' ELSE 'DECLARATION_BEFORE_USAGE_IN_TEXT' END AS place, count(*) AS n FROM (SELECT * FROM l UNION ALL SELECT o, 50 + k, 1 FROM (SELECT DISTINCT o FROM l WHERE o % 2 = 0), range(2) r(k)) GROUP BY ALL")
+def _(s, d):
+    return semantics(s, d).relations.groupBy("path", "compatibility", "place").agg(F.count("*").alias("n"))
+
+
+@query("y10_obligations", f"{ORDERS_SQL} SELECT o || '.bms' AS path, state, count(*) AS n FROM (SELECT o, CASE WHEN p % 11 = 0 THEN 'NO_CO_OCCURRING_USE_OBSERVED_WITHIN_MODEL' ELSE 'POTENTIAL_OBSERVED_USE' END AS state FROM l UNION ALL SELECT o, 'POTENTIAL_CONDITIONED_USE' FROM (SELECT DISTINCT o FROM l WHERE o % 2 = 0), range(2)) GROUP BY ALL")
+def _(s, d):
+    return semantics(s, d).obligations.groupBy("path", "state").agg(F.count("*").alias("n"))
+
+
+@query("y7_relation_budget", f"""{ORDERS_SQL}, u AS (SELECT o, n, row_number() OVER (PARTITION BY o ORDER BY n) + CASE WHEN o % 2 = 0 THEN 3 ELSE 0 END AS spent, p FROM l),
+ v AS (SELECT o, spent > 4 AS cut, p % 11 = 0 AS undeclared FROM u UNION ALL SELECT DISTINCT o, false, false FROM l WHERE o % 2 = 0)
+ SELECT o || '.bms' AS path, CASE WHEN cut THEN 'INCOMPLETE_RELATION_COVERAGE' WHEN undeclared THEN 'UNKNOWN_SEMANTICS' ELSE 'DECLARATIONS_COVER_USAGE_WITHIN_MODEL' END AS coverage, count(*) AS n FROM v GROUP BY ALL""")
+def _(s, d):
+    """With four relations to each chart: a pair of declarations costs one, a usage one for each declaration it may mean."""
+    return semantics(s, d, symbolic.Limits(relations=4)).usages.groupBy("path", "coverage").agg(F.count("*").alias("n"))
+
+
 def references(s, d) -> DataFrame:
     p = V.table(s, d, "part")
     name = F.format_string("p%d", F.col("p_partkey"))
@@ -547,10 +660,10 @@ def _(s, d):
     return new.join(o, "path", "left").select("path", F.col("content_id").eqNullSafe(F.col("before")).alias("same"))
 
 
-@query("a9_root_inventory", f"WITH a AS ({V.TREE_SQL.format('A')}) SELECT count(*) FILTER (WHERE kind = 'REGULAR_FILE') AS files, count(*) FILTER (WHERE kind = 'DIRECTORY') AS directories, CAST(sum(CASE WHEN kind = 'REGULAR_FILE' THEN length(path) END) AS BIGINT) AS bytes FROM a")
+@query("a9_root_inventory", f"WITH a AS ({V.TREE_SQL.format('R')}) SELECT count(*) FILTER (WHERE kind = 'REGULAR_FILE') AS files, count(*) FILTER (WHERE kind = 'DIRECTORY') AS directories, CAST(sum(CASE WHEN kind = 'REGULAR_FILE' THEN length(path) END) AS BIGINT) AS bytes FROM a")
 def _(s, d):
     file = F.col("kind") == "REGULAR_FILE"
-    return V.tree(s, d, "A").agg(F.count_if(file).alias("files"), F.count_if(~file).alias("directories"), F.sum(F.when(file, F.length("path"))).alias("bytes"))
+    return V.tree(s, d, "R").agg(F.count_if(file).alias("files"), F.count_if(~file).alias("directories"), F.sum(F.when(file, F.length("path"))).alias("bytes"))
 
 
 @query("a10_shared_paths", f"WITH e AS ({V.ROOTS_SQL}), g AS (SELECT path, count(*) AS n, min(length(path)) AS b FROM e GROUP BY 1) SELECT count(*) FILTER (WHERE n > 1) AS shared, CAST(sum(b) AS BIGINT) AS union_bytes FROM g")
@@ -587,9 +700,9 @@ def _(s, d):
     return V.roots(s, d).where("root = 0").select("path", C.depth(F.col("path")).alias("depth")).orderBy("depth", "path")
 
 
-@query("p9_projections", f"WITH a AS ({V.TREE_SQL.format('A')}), f AS (SELECT * FROM a WHERE kind = 'REGULAR_FILE') SELECT 'FULL' AS projection, count(*) AS n FROM f UNION ALL SELECT 'NON_CHART', count(*) FROM f WHERE NOT is_item")
+@query("p9_projections", f"WITH a AS ({V.TREE_SQL.format('R')}), f AS (SELECT * FROM a WHERE kind = 'REGULAR_FILE') SELECT 'FULL' AS projection, count(*) AS n FROM f UNION ALL SELECT 'NON_CHART', count(*) FROM f WHERE NOT is_item")
 def _(s, d):
-    f = V.tree(s, d, "A").where("kind = 'REGULAR_FILE'")
+    f = V.tree(s, d, "R").where("kind = 'REGULAR_FILE'")
     p = F.explode(F.when(F.col("is_item"), F.array(F.lit("FULL"))).otherwise(F.array(F.lit("FULL"), F.lit("NON_CHART"))))
     return f.select(p.alias("projection")).groupBy("projection").agg(F.count("*").alias("n"))
 
@@ -668,10 +781,17 @@ def _(s, d):
     return merged(s, d).where("outcome IN ('MISSING', 'INACTIVE')").select("path", "outcome")
 
 
-@query("p13_subset_edges", f"SELECT CASE WHEN relationship = 'A_SUBSET_OF_B' THEN a ELSE b END AS inner_, CASE WHEN relationship = 'A_SUBSET_OF_B' THEN b ELSE a END AS outer_ FROM ({pairs_sql(V.SUPPLIERS_SQL)}) WHERE relationship IN ('A_SUBSET_OF_B', 'B_SUBSET_OF_A')")
+@query("p13_subset_edges", f"SELECT CASE WHEN relationship = 'A_SUBSET_OF_B' THEN a ELSE b END AS inner_, CASE WHEN relationship = 'A_SUBSET_OF_B' THEN b ELSE a END AS outer_ FROM ({pairs_sql(V.BASKETS_SQL)}) WHERE relationship IN ('A_SUBSET_OF_B', 'B_SUBSET_OF_A')")
+def _(s, d):
+    return contain.subset_edges(V.baskets(s, d))
+
+
+SETS_OF_BASKETS = f"s AS (SELECT DISTINCT list_sort(list(DISTINCT content_id)) AS items FROM ({V.BASKETS_SQL}) GROUP BY container)"
+
+
+@query("p13_containment_work", f"WITH {SETS_OF_BASKETS}, h AS (SELECT items, unnest(items) AS c FROM s), r AS (SELECT c, count(*) AS copies FROM h GROUP BY 1), a AS (SELECT items, min(copies) AS copies FROM h JOIN r USING (c) GROUP BY 1) SELECT count(*) AS sets, CAST(sum(copies - 1) AS BIGINT) AS candidates FROM a")
 def _(s, d):
-    p, first = relations.pairs(V.suppliers(s, d)), F.col("relationship") == "A_SUBSET_OF_B"
-    return p.where(F.col("relationship").isin("A_SUBSET_OF_B", "B_SUBSET_OF_A")).select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("inner_"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("outer_"))
+    return contain.Sets(V.baskets(s, d)).work()
 
 
 @query("a3_pair_common", f"WITH i AS ({V.BRANDS_SQL}) SELECT x.container AS a, y.container AS b, count(DISTINCT x.content_id) AS common FROM i x JOIN i y ON x.content_id = y.content_id AND x.container < y.container GROUP BY 1, 2")

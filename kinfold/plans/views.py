@@ -26,9 +26,8 @@ def brands(spark, d) -> DataFrame:
 
 
 def suppliers(spark, d) -> DataFrame:
-    x = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
-    p = table(spark, d, "part").select("p_partkey", "p_size")
-    return x.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("container"), F.col("p_size").alias("content_id"), F.col("l_partkey").alias("path"))
+    """Suppliers as containers of the parts they ship."""
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("container"), F.col("l_partkey").alias("content_id"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("path"))
 
 
 def baskets(spark, d) -> DataFrame:
@@ -37,12 +36,14 @@ def baskets(spark, d) -> DataFrame:
 
 
 def users(spark, d) -> DataFrame:
-    return table(spark, d, "events").select(F.col("user_id").alias("container"), F.col("event_type").alias("content_id"), F.col("event_id").cast("string").alias("path"))
+    """A user's day as a container of the kinds of events in it."""
+    e = table(spark, d, "events")
+    return e.select(F.concat_ws("/", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("container"), F.col("event_type").alias("content_id"), F.col("event_id").cast("string").alias("path"))
 
 
 def tree(spark, d, flag: str) -> DataFrame:
-    """Lines of one return flag as a tree: folders by part, files by line number, one of seven an item."""
-    x = table(spark, d, "lineitem").where(F.col("l_returnflag") == flag)
+    """Lines of all but one return flag as a tree: folders by part, files by line number, one of seven an item."""
+    x = table(spark, d, "lineitem").where(F.col("l_returnflag") != flag)
     files = x.groupBy("l_partkey", "l_linenumber").agg(F.min("l_quantity").cast("long").alias("q"))
     files = files.select(F.concat_ws("/", "l_partkey", "l_linenumber").alias("path"), F.lit("REGULAR_FILE").alias("kind"), F.md5(F.col("q").cast("string")).alias("digest"), (F.col("l_linenumber") == 7).alias("is_item"))
     folders = x.select(F.col("l_partkey").cast("string").alias("path")).distinct().select("path", F.lit("DIRECTORY").alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(False).alias("is_item"))
@@ -51,8 +52,8 @@ def tree(spark, d, flag: str) -> DataFrame:
 
 TREE_SQL = """
 SELECT l_partkey || '/' || l_linenumber AS path, 'REGULAR_FILE' AS kind, md5(CAST(CAST(min(l_quantity) AS BIGINT) AS VARCHAR)) AS digest, l_linenumber = 7 AS is_item
-FROM lineitem WHERE l_returnflag = '{0}' GROUP BY l_partkey, l_linenumber
-UNION ALL SELECT DISTINCT CAST(l_partkey AS VARCHAR), 'DIRECTORY', NULL, false FROM lineitem WHERE l_returnflag = '{0}'
+FROM lineitem WHERE l_returnflag <> '{0}' GROUP BY l_partkey, l_linenumber
+UNION ALL SELECT DISTINCT CAST(l_partkey AS VARCHAR), 'DIRECTORY', NULL, false FROM lineitem WHERE l_returnflag <> '{0}'
 """
 
 DOCUMENTS_SQL = """
@@ -60,22 +61,22 @@ SELECT source || '/' || lang || '/' || doc_id AS path, source || '/' || lang AS
        CASE WHEN doc_id % 97 = 5 THEN 'ERROR' WHEN doc_id % 89 = 7 THEN 'UNVERIFIED' ELSE 'OK' END AS status FROM documents
 """
 BRANDS_SQL = "SELECT p_brand AS container, CAST(p_size AS VARCHAR) AS content_id, CAST(p_partkey AS VARCHAR) AS path FROM part"
-SUPPLIERS_SQL = "SELECT l_suppkey AS container, p_size AS content_id, l_partkey AS path FROM lineitem JOIN part ON l_partkey = p_partkey"
+SUPPLIERS_SQL = "SELECT l_suppkey AS container, l_partkey AS content_id, l_orderkey || '/' || l_linenumber AS path FROM lineitem"
 BASKETS_SQL = "SELECT l_orderkey AS container, l_partkey AS content_id, l_orderkey || '/' || l_linenumber AS path FROM lineitem"
-USERS_SQL = "SELECT user_id AS container, event_type AS content_id, CAST(event_id AS VARCHAR) AS path FROM events"
+USERS_SQL = "SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS container, event_type AS content_id, CAST(event_id AS VARCHAR) AS path FROM events"
 
 
 def snapshots(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Two scans: the index of run 1 and what run 2 sees. A user's events of one type play a file, whose size and time come from them."""
+    """Two scans: the index of run 1 and what run 2 sees, each event in one of them or both. A user's events of one type play a file, whose size and time come from them."""
     e = table(spark, d, "events").select(F.concat(F.lit("/lib"), (F.col("user_id") % 3).cast("string"), F.lit("/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("path"), F.concat(F.lit("/lib"), (F.col("user_id") % 3).cast("string")).alias("root"), "event_id")
     of = lambda cut: e.where(cut).groupBy("path", "root").agg(F.count("*").alias("size"), F.max("event_id").alias("mtime"), F.md5(F.min("event_id").cast("string")).alias("content_id"))
     old = of("event_id % 200 < 120").withColumns({"status": F.lit("OK"), "first_seen": F.lit(1), "last_seen": F.lit(1), "present": F.lit(True)})
-    return old, of("event_id % 200 < 160 AND event_id % 200 > 4")
+    return old, of("event_id % 200 > 4")
 
 
 SNAPSHOT_SQL = """
 o AS (SELECT '/lib' || user_id % 3 || '/' || user_id || '/' || event_type AS path, '/lib' || user_id % 3 AS root, count(*) AS size, max(event_id) AS mtime, md5(CAST(min(event_id) AS VARCHAR)) AS content_id FROM events WHERE event_id % 200 < 120 GROUP BY ALL),
-s AS (SELECT '/lib' || user_id % 3 || '/' || user_id || '/' || event_type AS path, '/lib' || user_id % 3 AS root, count(*) AS size, max(event_id) AS mtime, md5(CAST(min(event_id) AS VARCHAR)) AS content_id FROM events WHERE event_id % 200 < 160 AND event_id % 200 > 4 GROUP BY ALL)
+s AS (SELECT '/lib' || user_id % 3 || '/' || user_id || '/' || event_type AS path, '/lib' || user_id % 3 AS root, count(*) AS size, max(event_id) AS mtime, md5(CAST(min(event_id) AS VARCHAR)) AS content_id FROM events WHERE event_id % 200 > 4 GROUP BY ALL)
 """
 
 
