@@ -119,8 +119,7 @@ def cut(piece: Column, box: Column) -> Column:
 
         return let(now, of)
 
-    kind = "array<struct<variable:int,upper:bigint,values:array<struct<lo:bigint,hi:bigint>>>>"
-    start = F.struct(piece.cast(kind).alias("inside"), F.array().cast(f"array<{kind}>").alias("out"), F.lit(True).alias("alive"))
+    start = F.struct(piece.cast(BOX).alias("inside"), F.array().cast(f"array<{BOX}>").alias("out"), F.lit(True).alias("alive"))
     return F.aggregate(box, start, step)
 
 
@@ -137,6 +136,7 @@ def subtracted(pieces: Column, boxes: Column) -> Column:
     return F.aggregate(boxes, pieces, step)
 
 
+BOX = "array<struct<variable:int,upper:bigint,values:array<struct<lo:bigint,hi:bigint>>>>"
 KIND = "array<struct<box:array<struct<variable:int,upper:bigint,values:array<struct<lo:bigint,hi:bigint>>>>,n:int>>"
 
 
@@ -162,33 +162,46 @@ class Analysis:
     obligations: DataFrame
 
 
+def apart(a: Column, b: Column) -> Column:
+    """Whether two boxes that hold something have no assignment in common."""
+    return F.exists(a, lambda x: F.exists(b, lambda y: (x["variable"] == y["variable"]) & (F.size(meet(x["values"], y["values"])) == 0)))
+
+
+def together(state_a: Column, box_a: Column, state_b: Column, box_b: Column) -> Column:
+    """The state of two facts at once; an unknown one makes both unknown, also beside an impossible one."""
+    never = (state_a == NEVER) | (state_b == NEVER) | apart(box_a, box_b)
+    return F.when((state_a == UNKNOWN) | (state_b == UNKNOWN), UNKNOWN).when(never, NEVER).when((state_a == ALWAYS) & (state_b == ALWAYS), ALWAYS).otherwise(MAYBE)
+
+
 def analysed(facts: DataFrame, limits: Limits = Limits()) -> Analysis:
     """The analysis of facts (rows of FACTS) within limits. A hot path is spread by its keys, its order by ranges of ids.
 
     Repeated rows are facts of their own; a path without facts has no rows but its own. Null keys name nothing: such a
-    usage is unresolved. No rows in, none out.
+    usage is unresolved. No rows in, none out. What is not asked for of the result is not computed.
     """
-    f = facts.withColumn("box", box_of(F.coalesce("terms", F.array().cast(TERMS))))
-    f = checkpointed(f.withColumn("state", state_of(F.col("known"), F.col("box"))).drop("terms"))
+    none, terms = F.lit(None).cast("int"), F.coalesce("terms", F.array().cast(TERMS))
+    box = F.when(F.size(terms) > 0, box_of(terms)).otherwise(F.array().cast(BOX))
+    f = facts.withColumn("box", box).withColumn("state", state_of(F.col("known"), F.col("box")))
+    f = f.withColumn("region", F.concat(F.col("state"), F.when(F.size("box") > 0, F.to_json("box")).otherwise("")))  # tells classes apart
+    f = checkpointed(f.drop("terms"))
     d = f.where("kind = 'DECLARATION' AND key IS NOT NULL")
     u = f.where("kind = 'USAGE'").withColumn("key", F.coalesce("key", F.lit("")))  # the key of no declaration
     keys = d.groupBy("path", "key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.count_if(F.col("state") == UNKNOWN).alias("unclear"))
     keys = checkpointed(keys.withColumn("pairs", F.expr("n * (n - 1) div 2")))
     keys = marked(keys, beyond(keys, ["path"], ["first"], "pairs", limits.relations), ["path", "key"])
-    full = keys.groupBy("path").agg(F.sum("pairs").alias("pairs"), F.min("fits").alias("pairs_done"))
 
     told = ["path", "key", "id", "box", "state", "conditioned"]
     side = lambda s: d.select("path", "key", *[F.col(c).alias(f"{c}_{s}") for c in told[2:]])
     pairs = side("a").join(keys.where("fits AND n > 1").select("path", "key"), ["path", "key"], "left_semi").join(side("b"), ["path", "key"]).where("id_a < id_b")
-    both = state_of((F.col("state_a") != UNKNOWN) & (F.col("state_b") != UNKNOWN), joint(F.col("box_a"), F.col("box_b")))
+    both = together(F.col("state_a"), F.col("box_a"), F.col("state_b"), F.col("box_b"))
     n = F.col("conditioned_a").cast("int") + F.col("conditioned_b").cast("int")
     held = F.when(n == 0, COEXISTING[0]).when(n == 1, COEXISTING[1]).otherwise(COEXISTING[2])
     state = F.when(both == UNKNOWN, "UNKNOWN_DECLARATION_COEXISTENCE").when(both == NEVER, APART).otherwise(held)
     pairs = checkpointed(pairs.select("path", "key", F.col("id_a").alias("a"), F.col("id_b").alias("b"), state.alias("state")))
-    none = F.lit(None).cast("int")
     coexistence = pairs.unionByName(keys.where("NOT fits AND n > 1").select("path", "key", none.alias("a"), none.alias("b"), F.lit(RELATION_LIMIT).alias("state")))
 
     clashes = pairs.where(F.col("state") != APART).groupBy("path", "key").agg(F.count("*").alias("clashes"))
+    full = keys.where("pairs > 0").groupBy("path").agg(F.sum("pairs").alias("pairs"), F.min("fits").alias("pairs_done"))
     asked = u.join(keys.select("path", "key", "n", "unclear"), ["path", "key"], "left").join(clashes, ["path", "key"], "left").join(full, "path", "left")
     cost = F.greatest(F.lit(1), F.coalesce("n", F.lit(0))) + F.coalesce("clashes", F.lit(0))
     asked = checkpointed(asked.withColumn("cost", cost))
@@ -197,34 +210,29 @@ def analysed(facts: DataFrame, limits: Limits = Limits()) -> Analysis:
     within = asked.where("fits")
 
     near = within.select("path", F.col("id").alias("usage"), "key", F.col("state").alias("use_state"), F.col("box").alias("use_box"), F.col("line").alias("use_line"))
-    far = d.select(F.col("path").alias("_path"), F.col("key").alias("_key"), F.col("id").alias("declaration"), F.col("state").alias("own_state"), F.col("box").alias("own_box"), F.col("line").alias("own_line"))
-    r = near.join(far, (F.col("path") == F.col("_path")) & (F.col("key") == F.col("_key")), "left")
-    met = state_of((F.col("use_state") != UNKNOWN) & (F.col("own_state") != UNKNOWN), joint(F.col("use_box"), F.col("own_box")))
+    far = d.select("path", "key", F.col("id").alias("declaration"), F.col("state").alias("own_state"), F.col("box").alias("own_box"), F.col("line").alias("own_line"))
+    met = together(F.col("use_state"), F.col("use_box"), F.col("own_state"), F.col("own_box"))
     compatibility = F.when(F.col("declaration").isNull(), UNRESOLVED).when(met == UNKNOWN, UNCLEAR).when(met == NEVER, APART).otherwise(MAY_BIND)
     place = F.when(F.col("declaration").isNull(), "NO_DECLARATION").when(F.col("own_line").isNull() | F.col("use_line").isNull(), NO_ORDER).when(F.col("own_line") < F.col("use_line"), BEFORE).otherwise(AFTER)
-    r = checkpointed(r.select("path", "usage", "declaration", compatibility.alias("compatibility"), place.alias("place")))
+    r = near.join(far, ["path", "key"], "left").select("path", "usage", "declaration", compatibility.alias("compatibility"), place.alias("place"))
     unseen = asked.where("NOT fits").select("path", F.col("id").alias("usage"), none.alias("declaration"), F.lit(RELATION_LIMIT).alias("compatibility"), F.lit("NO_DECLARATION").alias("place"))
 
-    found = covered(within, d, limits)
-    per = r.groupBy("path", "usage").agg(F.count_if(F.col("compatibility") == UNCLEAR).alias("unclear_"), F.count("declaration").alias("choices"), F.count_if(F.col("compatibility") == MAY_BIND).alias("possible"))
-    x = asked.withColumnRenamed("id", "usage").join(per, ["path", "usage"], "left").join(found, [F.col("path") == F.col("_path"), F.col("key") == F.col("_key"), F.col("box") == F.col("_box")], "left")
-    # an unclear declaration leaves the choice open wherever the usage is known or not
+    x = asked.join(covered(within, d, limits), ["path", "key", "region"], "left")
+    unsure = (F.col("state") == UNKNOWN) | (F.col("unclear") > 0) | F.col("short")
     effective = (
-        F.when(~F.col("fits"), UNSURE).when(F.col("choices") == 0, UNRESOLVED).when(F.col("unclear_") > 0, UNSURE).when(F.col("overlap"), AMBIGUOUS)
-        .when(F.col("possible") == 0, NONE_FITS).when(F.col("possible") == 1, SINGLE).otherwise(EXCLUSIVE)
+        F.when(~F.col("fits"), UNSURE).when(F.coalesce("n", F.lit(0)) == 0, UNRESOLVED).when(unsure, UNSURE).when(F.col("overlap"), AMBIGUOUS)
+        .when(F.coalesce("possible", F.lit(0)) == 0, NONE_FITS).when(F.col("possible") == 1, SINGLE).otherwise(EXCLUSIVE)
     )
     coverage = (
         F.when(~F.col("fits"), LIMITED).when((F.col("state") == UNKNOWN) | (F.col("unclear") > 0), UNCLEAR).when(F.col("state") == NEVER, UNUSED)
         .when(F.col("short"), CUT_SHORT).when(F.col("open").isNotNull(), UNBOUND).otherwise(COVERED)
     )
-    effective = F.when(F.col("fits") & F.col("short"), UNSURE).otherwise(effective)
-    usages = x.select("path", "usage", F.col("state").alias("region"), effective.alias("effective"), coverage.alias("coverage"), F.when(coverage == UNBOUND, F.col("open")).alias("witness"))
-    usages = checkpointed(usages)
+    usages = x.select("path", F.col("id").alias("usage"), F.col("state").alias("region"), effective.alias("effective"), coverage.alias("coverage"), F.when(coverage == UNBOUND, F.col("open")).alias("witness"))
 
-    short = asked.groupBy("path").agg((~F.min("fits")).alias("over"))
+    over = asked.where("NOT fits").select("path").union(keys.where("NOT fits").select("path")).distinct().withColumn("over", F.lit(True))
     seen = r.where("declaration IS NOT NULL").groupBy("path", "declaration").agg(F.count_if(F.col("compatibility") == UNCLEAR).alias("unclear"), F.count_if(F.col("compatibility") == MAY_BIND).alias("may"))
-    o = f.where("kind = 'DECLARATION'").withColumnRenamed("id", "declaration").join(seen, ["path", "declaration"], "left").join(short, "path", "left").join(full, "path", "left")
-    doubt = F.coalesce("over", F.lit(False)) | ~F.coalesce("pairs_done", F.lit(True)) | (F.col("state") == UNKNOWN) | (F.coalesce("unclear", F.lit(0)) > 0)
+    o = f.where("kind = 'DECLARATION'").withColumnRenamed("id", "declaration").join(seen, ["path", "declaration"], "left").join(over, "path", "left")
+    doubt = F.coalesce("over", F.lit(False)) | (F.col("state") == UNKNOWN) | (F.coalesce("unclear", F.lit(0)) > 0)
     obliged = F.when(doubt, OBLIGED[0]).when(F.coalesce("may", F.lit(0)) > 0, F.when(F.col("conditioned"), OBLIGED[2]).otherwise(OBLIGED[1])).otherwise(OBLIGED[3])
     return Analysis(f, coexistence, r.unionByName(unseen), usages, o.select("path", "declaration", obliged.alias("state")))
 
@@ -239,27 +247,37 @@ def marked(df: DataFrame, over: DataFrame | None, key: list[str]) -> DataFrame:
 
 
 def covered(usages: DataFrame, declarations: DataFrame, limits: Limits) -> DataFrame:
-    """_path, _key, _box, overlap, open, short for each class of usages with a region.
+    """path, key, region, possible, overlap, open, short for each class of usages with a region.
 
-    Each round cuts the pieces of the usages' regions at the next ROUND declaration classes of their key. A piece on which two
-    declarations hold makes an overlap, one on which none holds at the end is open; open is the least witness of them.
-    Paths with more pieces than the limit are cut short from the class on that passes it.
+    possible: declarations that may hold together with the usage. Where all declarations of a key hold always, their
+    number tells the rest. Else each round cuts the pieces of the usages' regions at the next ROUND declaration classes of their
+    key: a piece on which two declarations hold makes an overlap, one on which none holds at the end is open, and open is
+    the least witness of them. Paths with more pieces than the limit are cut short from the class on that passes it.
     """
     here = ["path", "key", "region"]
-    classes = usages.where(F.col("state").isin(ALWAYS, MAYBE) & (F.coalesce("unclear", F.lit(0)) == 0)).select("path", "key", F.to_json("box").alias("region"), "box").distinct()
-    by = declarations.where(F.col("state") != NEVER).groupBy("path", "key", "box").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("m"), F.min("id").alias("id"))
+    classes = usages.where(F.col("state").isin(ALWAYS, MAYBE) & (F.coalesce("unclear", F.lit(0)) == 0)).groupBy(*here).agg(F.first("box").alias("box"))
+    by = declarations.where(F.col("state") != NEVER).groupBy("path", "key", F.col("region").alias("own")).agg(F.first("box").alias("own_box"), F.count("*").alias("many"), F.min("id").alias("id"))
+    fits = ~apart(F.col("box"), F.col("own_box"))
+    met = classes.join(by, ["path", "key"], "left").groupBy(*here).agg(
+        F.first("box").alias("box"), F.coalesce(F.sum(F.when(fits, F.col("many"))), F.lit(0)).alias("possible"), F.coalesce(F.max(F.size("own_box")), F.lit(0)).alias("bounds")
+    )
+    met = checkpointed(met)
+    plain = met.where("bounds = 0").select(*here, "possible", (F.col("possible") > 1).alias("overlap"), F.when(F.col("possible") == 0, witness(F.col("box"))).alias("open"), F.lit(False).alias("short"))
+    hard = met.where("bounds > 0")
     at = F.row_number().over(Window.partitionBy("path", "key").orderBy("id")) - 1
-    rounds = by.withColumn("at", at).groupBy("path", "key", F.floor(F.col("at") / ROUND).cast("int").alias("round")).agg(F.array_sort(F.collect_list(F.struct("at", "box", "m"))).alias("boxes"))  # at most ROUND each
-    rounds = checkpointed(rounds.join(classes.select("path", "key").distinct(), ["path", "key"], "left_semi"))
-    last = (rounds.agg(F.max("round")).first()[0] if not rounds.isEmpty() else -1) + 1
-    pieces = classes.select(*here, F.col("box"), F.lit(0).alias("n"))
+    own = by.join(hard.select("path", "key").distinct(), ["path", "key"], "left_semi").withColumn("at", at)
+    entry_ = F.struct("at", F.col("own_box").alias("box"), F.least("many", F.lit(2)).cast("int").alias("m"))
+    rounds = checkpointed(own.groupBy("path", "key", F.floor(F.col("at") / ROUND).cast("int").alias("round")).agg(F.array_sort(F.collect_list(entry_)).alias("boxes")))  # at most ROUND each
+    last = rounds.agg(F.coalesce(F.max("round") + 1, F.lit(0))).first()[0]
+    if not last:
+        return plain
+    pieces = hard.select(*here, "box", F.lit(0).alias("n"))
     done, overlaps, short = [], [], []
     for k in range(last):
-        own = rounds.where(F.col("round") == k).select("path", "key", "boxes")
-        done.append(pieces.join(own, ["path", "key"], "left_anti").where("n = 0"))
-        now = pieces.join(own, ["path", "key"])
-        now = now.select(*here, F.explode(subtracted(F.array(F.struct("box", "n")).cast(KIND), F.col("boxes"))).alias("p")).select(*here, "p.box", "p.n")
-        now = checkpointed(now)
+        next_ = rounds.where(F.col("round") == k).select("path", "key", "boxes")
+        done.append(pieces.join(next_, ["path", "key"], "left_anti").where("n = 0"))
+        now = pieces.join(next_, ["path", "key"])
+        now = checkpointed(now.select(*here, F.explode(subtracted(F.array(F.struct("box", "n")).cast(KIND), F.col("boxes"))).alias("p")).select(*here, "p.box", "p.n"))
         overlaps.append(now.where("n >= 2").select(*here).distinct())
         pieces = now.where("n < 2")
         over = beyond(pieces.groupBy(*here).agg(F.count("*").alias("held")), ["path"], ["key", "region"], "held", limits.pieces)
@@ -268,7 +286,7 @@ def covered(usages: DataFrame, declarations: DataFrame, limits: Limits) -> DataF
             pieces = checkpointed(pieces.join(short[-1], here, "left_anti"))
     done.append(pieces.where("n = 0"))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    out = classes.join(union(done).groupBy(*here).agg(F.min(witness(F.col("box"))).alias("open")), here, "left")
-    flag = lambda parts, name: union(parts).distinct().withColumn(name, F.lit(True)) if parts else classes.select(*here).limit(0).withColumn(name, F.lit(True))
+    out = hard.select(*here, "possible").join(union(done).groupBy(*here).agg(F.min(witness(F.col("box"))).alias("open")), here, "left")
+    flag = lambda parts, name: union(parts).distinct().withColumn(name, F.lit(True)) if parts else hard.select(*here).limit(0).withColumn(name, F.lit(True))
     out = out.join(flag(overlaps, "overlap"), here, "left").join(flag(short, "short"), here, "left")
-    return out.select(F.col("path").alias("_path"), F.col("key").alias("_key"), F.col("box").alias("_box"), F.coalesce("overlap", F.lit(False)).alias("overlap"), "open", F.coalesce("short", F.lit(False)).alias("short"))
+    return plain.unionByName(out.select(*here, "possible", F.coalesce("overlap", F.lit(False)).alias("overlap"), "open", F.coalesce("short", F.lit(False)).alias("short")))
