@@ -26,6 +26,11 @@ def places(h: int, size: int) -> tuple[int, ...]:
     return tuple((((h & MASK) >> (20 * i)) & (size - 1)) + i * size for i in range(HASHES))
 
 
+def check(h: int) -> int:
+    """What a sum of hashes does not add up to: a product of parts of the hash, below 2^62."""
+    return (h & 0x7FFFFFFF) * ((h & MASK) >> 33)
+
+
 def hashed(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with __h and __c: two hashes of the whole row; null and the empty string differ."""
     whole = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
@@ -33,13 +38,14 @@ def hashed(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def cells(left: DataFrame, right: DataFrame, columns: list[str], size: int) -> DataFrame:
-    """cell, n, h, c: counts and sums of the hashes of the rows that fall into each cell, the right side's taken off."""
+    """cell, n, h, c, k: counts and sums of both hashes and of check() of the rows in each cell, the right side's taken off."""
     one = lambda df, sign: hashed(df, columns).select("__h", "__c", F.lit(sign).alias("n"))
     rows = one(left, 1).unionByName(one(right, -1))
     at = F.array(*[F.shiftrightunsigned("__h", 20 * i).bitwiseAND(F.lit(size - 1)) + i * size for i in range(HASHES)])  # places() as a Column
-    big = lambda c: (F.col(c).cast("decimal(20,0)") * F.col("n")).cast("decimal(38,0)")
-    spread = rows.select(F.explode(at).alias("cell"), "n", big("__h").alias("h"), big("__c").alias("c"))
-    return spread.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.sum("c").alias("c")).where("n <> 0 OR h <> 0 OR c <> 0")
+    big = lambda c: (c.cast("decimal(20,0)") * F.col("n")).cast("decimal(38,0)")
+    product = F.col("__h").bitwiseAND(F.lit(0x7FFFFFFF)) * F.shiftrightunsigned("__h", 33)  # check() as a Column
+    spread = rows.select(F.explode(at).alias("cell"), "n", big(F.col("__h")).alias("h"), big(F.col("__c")).alias("c"), big(product).alias("k"))
+    return spread.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.sum("c").alias("c"), F.sum("k").alias("k")).where("n <> 0 OR h <> 0 OR c <> 0")
 
 
 @dataclass(frozen=True)
@@ -50,21 +56,21 @@ class Difference:
     size: int
 
 
-def decoded(sums: dict[int, tuple[int, int, int]], size: int) -> dict[tuple[int, int], int] | None:
+def decoded(sums: dict[int, tuple[int, int, int, int]], size: int) -> dict[tuple[int, int], int] | None:
     """The rows whose cells these are; None if some cells stay mixed."""
     left, out, ready = dict(sums), {}, list(sums)
     while ready:
-        n, h, c = left.get(ready.pop(), (0, 0, 0))
-        if not n or h % n or c % n:
-            continue
+        n, h, c, k = left.get(ready.pop(), (0, 0, 0, 0))
+        if not n or h % n or c % n or not -(1 << 63) <= h // n < 1 << 63 or k != n * check(h // n):
+            continue  # none, or several rows
         row, at = (h // n, c // n), places(h // n, size)
-        if not all(x in left for x in at) or not any(left[x] == (n, h, c) for x in at) or not -(1 << 63) <= row[0] < 1 << 63:
-            continue  # mixed by chance
+        if not all(x in left for x in at):
+            continue
         out[row] = out.get(row, 0) + n
         for x in at:
-            a, b, d = left[x]
-            left[x] = (a - n, b - h, d - c)
-            if left[x] == (0, 0, 0):
+            a, b, d, e = left[x]
+            left[x] = (a - n, b - h, d - c, e - k)
+            if left[x] == (0, 0, 0, 0):
                 del left[x]
             else:
                 ready.append(x)
@@ -75,7 +81,7 @@ def difference(left: DataFrame, right: DataFrame, sizes: tuple[int, ...] = SIZES
     """What the smallest sketch of `sizes` that decodes says of the two tables, which have the same columns."""
     columns = left.columns
     for size in sizes:
-        sums = {r.cell: (int(r.n), int(r.h), int(r.c)) for r in cells(left, right.select(columns), columns, size).collect()}  # at most HASHES * size rows
+        sums = {r.cell: (int(r.n), int(r.h), int(r.c), int(r.k)) for r in cells(left, right.select(columns), columns, size).collect()}  # at most HASHES * size rows
         rows = decoded(sums, size)
         if rows is not None:
             return Difference(rows, size)
