@@ -67,9 +67,13 @@ def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return mixed[0], mixed[1], c != 32, np.nonzero(a == 32)[0]
 
 
+#: The score of a language for a word in a script that it never writes in.
+OUT = np.float32(-1e4)
+
+
 @dataclass
 class Model:
-    """languages, log probabilities by bucket of 3-grams and 4-grams, and for each script which languages use it."""
+    """languages, log probabilities by bucket of 3-grams and 4-grams, and of each script in each language's letters."""
 
     languages: list[str]
     three: np.ndarray
@@ -94,28 +98,32 @@ class Model:
         return scores, letters
 
     def candidates(self, key: int) -> np.ndarray:
-        """Languages that write in all of these scripts."""
+        """How likely each language is to write in all of these scripts, as a sum of logarithms; OUT where it never does."""
         if key not in self.uses:
-            ok = np.ones(len(self.languages), bool)
+            likely = np.zeros(len(self.languages), np.float32)
             for k in range(len(NAMES)):
                 if key >> k & 1:
-                    ok &= self.uses.get(1 << k, np.zeros(len(ok), bool))
-            self.uses[key] = ok
+                    likely = likely + self.uses.get(1 << k, np.full(len(likely), OUT))
+            self.uses[key] = np.maximum(likely, OUT)
         return self.uses[key]
 
     def narrow(self, scores: np.ndarray, text: str) -> None:
-        """Languages that don't write in a word's scripts are out for it, unless none does."""
+        """Languages that never write in a word's scripts are out for it, unless none does; a script that a language seldom
+        writes in speaks against it."""
         plain, words = 1 << NAMES.index("latin"), text.split(" ")
         odd = [] if text.isascii() else [i for i, w in enumerate(words) if not w.isascii()]
-        ok = self.candidates(plain)
-        if ok.any() and not ok.all():  # words of ASCII letters alone
-            own = np.ones(len(words), bool)
-            own[odd] = False
-            scores[np.ix_(own, ~ok)] = -1e4
+        likely = self.candidates(plain)
+        if likely.max(initial=OUT) > OUT and np.ptp(likely) > 1e-3:  # words of ASCII letters alone
+            if odd:
+                own = np.ones(len(words), bool)
+                own[odd] = False
+                scores[own] += likely
+            else:
+                scores += likely
         for i in odd:
-            ok = self.candidates(scripts_of(words[i]))
-            if ok.any() and not ok.all():
-                scores[i, ~ok] = -1e4
+            likely = self.candidates(scripts_of(words[i]))
+            if likely.max(initial=OUT) > OUT:
+                scores[i] += likely
 
     def labels(self, text: str, penalty: float) -> tuple[np.ndarray, np.ndarray]:
         """Label and letters of each word of a long text, by parts between words: a pass forward keeps the state before each
@@ -250,9 +258,10 @@ def train(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> Model:
         counts = common.unpacked(bytes(r.grams)).astype(np.float64).reshape(2, -1)
         log[:, :, i] = np.log((counts + 0.2) / (counts.sum(axis=1, keepdims=True) + 0.2 * buckets))
     letters = np.array([np.frombuffer(bytes(r.scripts), np.int64) for r in rows], np.float64).reshape(len(rows), -1)
-    share = letters / np.maximum(letters.sum(axis=1, keepdims=True), 1)
-    uses = {1 << k: share[:, k] >= 0.05 for k in range(len(NAMES))}
-    uses[0] = np.ones(len(rows), bool)
+    with np.errstate(divide="ignore"):
+        likely = np.maximum(np.log(letters / np.maximum(letters.sum(axis=1, keepdims=True), 1)), OUT).astype(np.float32)
+    uses = {1 << k: likely[:, k] for k in range(len(NAMES))}
+    uses[0] = np.zeros(len(rows), np.float32)
     return Model([r.lang for r in rows], log[0], log[1], uses)
 
 
