@@ -33,19 +33,28 @@ LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "з": "e", "і": "i", "ї": "i", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ϲ": "c", "ı": "i", "ʟ": "i", "ß": "ss", "6": "b",
 }
+#: Cherokee capitals and the Latin ones that they look like.
+CHEROKEE = {
+    "Ꭰ": "d", "Ꭱ": "r", "Ꭲ": "t", "Ꭵ": "i", "Ꭺ": "a", "Ꭻ": "j", "Ꭼ": "e", "Ꮃ": "w", "Ꮇ": "m", "Ꮋ": "h", "Ꮐ": "g", "Ꮒ": "h", "Ꮓ": "z", "Ꮢ": "r", "Ꮤ": "w", "Ꮥ": "s", "Ꮩ": "v", "Ꮪ": "s", "Ꮮ": "l", "Ꮯ": "c", "Ꮲ": "p", "Ꮶ": "k", "Ᏼ": "b",
+}
 INVISIBLE = "­​‌‍⁠﻿"
 OTHER = re.compile(r"[\W_]+")
+#: Blocks whose characters are folded by what they decompose to: accented Latin, raised and lowered letters, letter-like
+#: signs, Roman numerals, enclosed letters, full-width forms, mathematical letters and digits, squared letters.
+DECOMPOSED = (range(0xC0, 0x250), range(0x1D2C, 0x1DC0), range(0x1E00, 0x1F00), range(0x2070, 0x20A0), range(0x2100, 0x2150), range(0x2160, 0x2180), range(0x2460, 0x2500), range(0xFF01, 0xFF5F), range(0x1D400, 0x1D800), range(0x1F100, 0x1F190))
 
 
 def folding() -> dict[int, str | None]:
-    """Accents and full-width forms go by decomposition; look-alikes and digits become letters; i and l are one letter."""
+    """Accents, full-width, raised, enclosed and mathematical letters go by decomposition; look-alikes and digits become
+    letters; i and l are one letter."""
     table: dict[int, str | None] = {ord(c): None for c in INVISIBLE}
-    for p in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]:
+    for p in [p for block in DECOMPOSED for p in block]:
         base = "".join(c for c in unicodedata.normalize("NFKD", chr(p)).lower() if not unicodedata.combining(c))
-        table[p] = "".join(DIGITS.get(c, c) for c in base)
+        if len(base) == 1 or unicodedata.category(chr(p))[0] in "LN":  # a sign that stands for several characters is no letter
+            table[p] = "".join(DIGITS.get(c, LOOKALIKES.get(c, c)) for c in base)
     for p in range(0x300, 0x370):
         table[p] = None
-    for c, base in (LOOKALIKES | DIGITS).items():
+    for c, base in (LOOKALIKES | DIGITS | {x: base for c, base in CHEROKEE.items() for x in (c, c.lower())}).items():
         table[ord(c)] = "".join(DIGITS.get(b, b) for b in base)
     return table
 
