@@ -88,26 +88,27 @@ def quantised(df: DataFrame, dims: list[str], rows: str, bits: int = BITS) -> Da
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve for each row of docs.
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve, source, lang for each row of docs.
 
     Law `rows`: shard s holds the ranks from ceil(s N / shards) on, so counts differ by one at most. Dimensions are
     source, lang and size, each the smallest among the rows of equal text: copies lie side by side, in one shard
     unless a cut or the size of their group forbids. Null text is empty, null source and lang come first. Repeated
-    rows each get a slot. No rows give no rows; extra columns are ignored.
+    rows each get a slot; ties on the curve go by a hash of the text, then by doc_id. A text of any length is its hash and
+    size here. No rows give no rows; extra columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("text_key"), code("source").alias("source"), code("lang").alias("lang"))
+    d = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("text_key"), "source", "lang")
     d = common.checkpointed(d)
-    groups = d.groupBy("text_key", "size").agg(F.min("source").alias("source"), F.min("lang").alias("lang"), F.count("*").alias("copies"))
+    groups = d.groupBy("text_key", "size").agg(F.min(code("source")).alias("source"), F.min(code("lang")).alias("lang"), F.count("*").alias("copies"))
     groups = quantised(common.checkpointed(groups), ["source", "lang", "size"], "copies", bits)
     groups = groups.select("text_key", "size", curve([F.col("q_source"), F.col("q_lang"), F.col("q_size")], bits).alias("curve"))
-    laid = d.drop("source", "lang").join(groups, ["text_key", "size"])
+    laid = d.join(groups, ["text_key", "size"])
     laid = common.ranked(common.checkpointed(laid), [], ["curve", "text_key", "size", "doc_id"])
     n = laid.count()
     shard = F.expr(f"CAST(rank * {shards} DIV {max(n, 1)} AS INT)")
     first = F.expr(f"(shard * {n}L + {shards - 1}) DIV {shards}")
     return laid.withColumn("shard", shard).withColumn("slot", F.col("rank") - first).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", "source", "lang"
     )
 
 

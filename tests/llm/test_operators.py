@@ -173,6 +173,9 @@ def test_viterbi_many_labels():
 def test_folding():
     assert toxicity.folded("1D10T") == toxicity.folded("idiot") == toxicity.folded("іԁiоt") == toxicity.folded("ÍDÏÖT!!") == toxicity.folded("id​iot")
     assert toxicity.folded(" x--y_z ") == " x y z "
+    for text in ("ⓘdiot", "𝐢𝐝𝐢𝐨𝐭", "𝓘𝓓𝓘𝓞𝓣", "🄸🄳🄸🄾🅃", "ᎥᎠᎥoᎢ", "ⁱdiot", "ＩＤＩＯＴ", "𝟏𝐝𝟏𝟎𝐭", "ⅰⅾiot", "ⅠⅮⅠOT"):
+        assert toxicity.folded(text) == toxicity.folded("idiot"), text
+    assert toxicity.folded("№ ½ 日本 ω") == toxicity.folded("½ 日本 w")
 
 
 def test_exceptions_and_length():
@@ -680,6 +683,31 @@ def test_sharding(docs, none, real):
     assert sharding.sharded(none).count() == 0
 
 
+def test_curve_of_rows(docs, real):
+    """The place of each text on the curve, from quantiles counted by hand."""
+    for df in (docs, real):
+        texts_ = defaultdict(list)
+        for r in df.select("text", "source", "lang").collect():
+            texts_[r.text or ""].append([(x is not None, x or "") for x in (r.source, r.lang)])
+        groups = {t: (min(x[0] for x in rows), min(x[1] for x in rows), 8 + len(t.encode()), len(rows)) for t, rows in texts_.items()}
+        total, most = sum(g[3] for g in groups.values()), 1 << sharding.BITS
+        q = []
+        for d in range(3):
+            before, sums = 0, {}
+            for value in sorted({g[d] for g in groups.values()}, key=lambda v: (v[0], v[1].encode()) if d < 2 else v):
+                sums[value] = min(before * most // total, most - 1)
+                before += sum(g[3] for g in groups.values() if g[d] == value)
+            q.append(sums)
+        want = Counter()
+        for t, g in groups.items():
+            want[zlib.crc32(t.encode()), g[2], sharding.hilbert_index(tuple(q[d][g[d]] for d in range(3)), sharding.BITS)] += g[3]
+        got = sharding.sharded(df).collect()
+        assert Counter((r.text_crc32, r.size, r.curve) for r in got) == want
+        assert Counter((r.doc_id, r.source, r.lang) for r in got) == Counter((r.doc_id, r.source, r.lang) for r in df.select("doc_id", "source", "lang").collect())
+    ranges = sharding.shard_ranges(sharding.sharded(real), ["source", "lang", "size"]).collect()
+    assert len(ranges) == 24 and sum(r.n for r in ranges) == real.count() and all(r.low_size <= r.high_size for r in ranges)
+
+
 def test_shards_prune(spark, real):
     """A filter on any one dimension leaves out most shards; shards by a hash of the id leave out none."""
     meta = real.select("doc_id", "lang", "source", F.octet_length("text").alias("bytes"))
