@@ -15,12 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import columns as C
-from kinfold.operators import compare, extract, group, index, observe, plan, relations, resolve, validate
+from kinfold.operators import classify, compare, extract, group, index, observe, plan, relations, resolve, symbolic, validate
 from kinfold.sources import files, guarded, sinks
 
 DONE, FAILED, INCOMPLETE = 0, 1, 2
 
 
+class Unreadable(ValueError):
+    """A tree that was to be compared whole has entries that can't be read."""
+
+
 class Busy(RuntimeError):
     """Another writer holds the store."""
 
@@ -223,15 +227,21 @@ class Engine:
         return counts
 
     def tree(self, root: str) -> DataFrame:
-        """The files under root and the folders above them as a tree."""
-        f = files.tree(self.spark, root)
-        base = F.lit(os.path.realpath(root) + "/")
-        path = F.regexp_replace(F.col("path"), "^file:/+", "/")
-        f = f.select(F.substr(path, F.length(base) + 1).alias("path"), F.sha2("content", 256).alias("digest"))
-        item = C.extension(F.col("path")).isin(*files.ITEM_EXTENSIONS)
-        folders = f.select(F.explode(C.ancestors(F.col("path"))).alias("path")).distinct().union(self.spark.createDataFrame([(".",)], "path string"))
-        own = f.select("path", F.lit("REGULAR_FILE").alias("kind"), "digest", item.alias("is_item"))
-        return own.unionByName(folders.select("path", F.lit("DIRECTORY").alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(False).alias("is_item")))
+        """What lies under root as a tree: path from root on, kind, digest, is_item, native_id.
+
+        Listed and read as in a scan: by parts, links not followed, a file's digest counted only if it stayed as it was. A
+        tree with entries that can't be observed so raises Unreadable, which names how many and the first.
+        """
+        base = os.path.realpath(root)
+        entries = relations.checkpointed(guarded.walk(self.spark, [base]))
+        read = relations.checkpointed(guarded.read_charts(entries.where("kind = 'REGULAR_FILE'").select("path").repartition("path")))
+        bad = entries.where("status <> 'OK' OR kind NOT IN ('REGULAR_FILE', 'DIRECTORY')").select("path").unionByName(read.where("status <> 'SUCCESS'").select("path"))
+        first = bad.agg(F.count("*").alias("n"), F.min("path").alias("path")).first()
+        if first.n:
+            raise Unreadable(f"{first.n} entries under {root} can't be observed, {first.path} first")
+        path = F.when(F.col("path") == base, F.lit(".")).otherwise(F.substr("path", F.lit(len(base.rstrip("/")) + 2)))
+        item = (F.col("kind") == "REGULAR_FILE") & C.extension(F.col("path")).isin(*files.ITEM_EXTENSIONS)
+        return entries.join(read.select("path", "sha256"), "path", "left").select(path.alias("path"), "kind", F.col("sha256").alias("digest"), item.alias("is_item"), "native_id")
 
     def compare(self, a: str, b: str) -> dict[str, DataFrame]:
         x, y = relations.checkpointed(self.tree(a)), relations.checkpointed(self.tree(b))
@@ -246,11 +256,33 @@ class Engine:
     def resolve(self, charts: DataFrame, inventory: DataFrame) -> dict[str, DataFrame]:
         """What the charts' usages bind to, and which files of the inventory (path) their declarations name."""
         d = charts.select("path", F.explode("declarations").alias("d")).select(F.concat_ws("#", "path", F.col("d.id").cast("string")).alias("ref"), C.parent(F.col("path")).alias("base"), F.col("d.written_path").alias("authored"))
-        usages = resolve.usage_coverage(charts)
-        return {"paths": resolve.resolved(d.where("authored IS NOT NULL"), inventory), "usages": usages, "proof": resolve.bounded_proof(charts, inventory)}
+        a = symbolic.analysed(resolve.facts(charts))
+        proof = resolve.proofs(a, resolve.evidence(a.facts, inventory))
+        return {"paths": resolve.resolved(d.where("authored IS NOT NULL"), inventory), "usages": a.usages, "relations": a.relations, "coexistence": a.coexistence, "obligations": a.obligations, "proof": proof}
+
+    def bindings(self, root: str, tree: DataFrame) -> DataFrame:
+        """key, target: for each usage and declaration of the root's charts that may bind, the files and digests it may mean."""
+        base = F.lit(os.path.realpath(root) + "/")
+        charts = self.extract(root).withColumn("path", F.substr(F.regexp_replace("path", "^file:/+", "/"), F.length(base) + 1))
+        a = symbolic.analysed(resolve.facts(relations.checkpointed(charts)))
+        d = a.facts.where("kind = 'DECLARATION' AND written_path IS NOT NULL")
+        refs = d.select(F.struct("path", F.col("id").alias("declaration")).alias("ref"), C.parent(F.col("path")).alias("base"), F.col("written_path").alias("authored"))
+        files_ = tree.where("kind = 'REGULAR_FILE'").select(F.col("path").alias("found"), "digest")
+        found = resolve.resolved(refs, files_.select(F.col("found").alias("path"))).select("ref.path", "ref.declaration", F.explode("candidates").alias("found")).join(files_, "found")
+        near = a.relations.where(F.col("compatibility") == symbolic.MAY_BIND)
+        return near.join(found, ["path", "declaration"]).select(F.concat_ws("#", "path", "usage", "declaration").alias("key"), F.concat_ws(":", "found", "digest").alias("target"))
+
+    def classify(self, roots: list[str], limits: classify.Limits = classify.Limits()) -> classify.Classification:
+        """Every two roots compared by what lies under them and by what their charts may bind."""
+        trees = [relations.checkpointed(self.tree(r)) for r in roots]
+        of = lambda df, k: df.select(F.lit(os.path.realpath(roots[k])).alias("root"), "*")
+        both = lambda parts: functools.reduce(DataFrame.unionByName, (of(p, k) for k, p in enumerate(parts)))
+        where = self.spark.createDataFrame([(os.path.realpath(r),) * 2 for r in roots], "root string, path string")
+        return classify.classified(where, both(trees), limits, both([self.bindings(r, t) for r, t in zip(roots, trees)]))
 
     def plan(self, roots: list[str]) -> dict[str, DataFrame]:
-        """Two to six trees: virtual entries, ledger, the lattice and its maximal groups, and what a check of the plan finds."""
+        """Two to six trees: virtual entries, ledger, the lattice and its maximal groups, what a check of the plan finds, and
+        the roots that a maximal group leaves out as variants."""
         if not 2 <= len(roots) <= plan.MAX_ROOTS:
             raise ValueError(f"2 to {plan.MAX_ROOTS} roots")
         for a in roots:
@@ -261,12 +293,12 @@ class Engine:
                     outside(a, [b])
         e = None
         for k, r in enumerate(roots):
-            own = self.tree(r).withColumn("root", F.lit(k)).withColumn("entry", F.xxhash64("path"))
+            own = self.tree(r).drop("native_id").withColumn("root", F.lit(k)).withColumn("entry", F.xxhash64("path"))
             e = own if e is None else e.unionByName(own)
         e = relations.checkpointed(e)
         clash = e.groupBy(compare.folded(F.col("path")).alias("k")).agg(F.count_distinct(F.struct("path", "kind", F.coalesce("digest", F.lit("")).alias("x"))).alias("n"), F.min("path").alias("path")).where("n > 1").select("path")
         v, ledger, lattice = plan.virtual_entries(e, clash), plan.ledger(e, clash), plan.subsets(e)
-        return {"entries": v, "ledger": ledger, "lattice": lattice, "maximal": plan.maximal(lattice), "group": group.group_plan(e), "entries_of_roots": e, "variants": plan.variants(e), "violations": plan.verify_plan(e, v, ledger)}
+        return {"entries": v, "ledger": ledger, "lattice": lattice, "maximal": (best := plan.maximal(lattice)), "group": group.group_plan(e), "entries_of_roots": e, "variants": group.members(e, best).where("NOT inside").drop("inside"), "violations": plan.verify_plan(e, v, ledger)}
 
     def store_plan(self, roots: list[str], folder: str) -> None:
         """The tables of a group plan over the roots, written once under folder, which may not lie in a root."""
@@ -298,7 +330,7 @@ def main(argv: list[str] | None = None) -> int:
             x.add_argument("--output", required=True)
     for name in ("compare", "plan"):
         sub.add_parser(name).add_argument("--root", action="append", required=True)
-    for name in ("group-plan", "group-verify", "inspect", "resolve"):
+    for name in ("group-plan", "group-verify", "inspect", "resolve", "classify"):
         x = sub.add_parser(name)
         x.add_argument("--root", action="append", required=True)
         x.add_argument("--output", required=True)
@@ -320,6 +352,12 @@ def main(argv: list[str] | None = None) -> int:
             engine.store_plan(args.root, args.output)
         elif args.command == "group-verify":
             return DONE if engine.verify_plan(args.root, args.output).isEmpty() else INCOMPLETE
+        elif args.command == "classify":
+            outside(args.output, args.root)
+            found = engine.classify(args.root)
+            for name in ("roots", "pairs", "differences", "groups", "conflicts", "diagnostics"):
+                getattr(found, name).write.mode("errorifexists").parquet(f"{args.output}/{name}")
+            return DONE if found.state() == "COMPLETE" else INCOMPLETE
         elif args.command in ("inspect", "resolve"):
             outside(args.output, args.root)
             charts = relations.checkpointed(functools.reduce(DataFrame.unionByName, (engine.extract(r) for r in args.root)))

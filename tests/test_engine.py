@@ -107,11 +107,35 @@ def test_compare_extract_plan(spark, library):
     r = found["proof"].first()
     assert (r.proof, r.logical, r.physical) == ("NOT_PROVEN", "COMPLETE_WITHIN_ADMITTED_MODEL", "ALTERNATE_EXTENSION_PROPOSALS_ONLY_OR_MIXED") and found["usages"].count() == 1
     p = e.plan([a, b, c])
-    assert {r.mask for r in p["maximal"].collect()} == {0b101, 0b010} and p["violations"].count() == 0 and p["variants"].count() == 2
+    assert {r.mask for r in p["maximal"].collect()} == {0b101, 0b010} and p["violations"].count() == 0 and p["variants"].count() == 3  # one root beside a union of two, two beside the other
     with pytest.raises(ValueError):
         e.plan([a])
 
 
+def test_trees_are_read_guarded(spark, library):
+    e, root = engine.Engine(spark, str(library / "store")), library / "songs"
+    (root / "A/empty").mkdir()
+    got = {r.path: r for r in e.tree(str(root / "A")).collect()}
+    assert got["."].kind == got["empty"].kind == "DIRECTORY" and all((r.digest is None) == (r.kind == "DIRECTORY") for r in got.values())
+    (root / "A/link.bms").symlink_to(root / "B/one.bms")
+    with pytest.raises(engine.Unreadable, match="1 entries"):
+        e.tree(str(root / "A"))
+    assert engine.main(["--store", str(library / "store"), "compare", "--root", str(root / "A"), "--root", str(root / "B")]) == engine.FAILED
+
+
+def test_classify_command(spark, tmp_path):
+    for name, sound in (("a", b"x"), ("b", b"x"), ("c", b"y")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "k.wav").write_bytes(sound)
+        (tmp_path / name / "one.bms").write_bytes(b"#WAV01 k.wav\n#00111:01\n")
+    e, roots = engine.Engine(spark, str(tmp_path / "s")), [str(tmp_path / x) for x in "abc"]
+    c = e.classify(roots)
+    got = {(os.path.basename(r.a), os.path.basename(r.b)): r.labels for r in c.pairs.collect()}
+    assert got["a", "b"] == ["OBSERVATION_TREE_EXACT"] and got["a", "c"] == got["b", "c"] == ["CHART_EXACT_WITH_NONCHART_DIFFERENCES", "CHART_EXACT_POTENTIAL_REFERENCED_RESOURCE_VARIANT", "HARD_PATH_CONTENT_CONFLICT"]
+    args = ["--store", str(tmp_path / "s"), "classify", *[x for r in roots for x in ("--root", r)], "--output", str(tmp_path / "out")]
+    assert engine.main(args) == engine.DONE and spark.read.parquet(str(tmp_path / "out/pairs")).count() == 3
+
+
 def test_same_stem(spark):
     refs = spark.createDataFrame([(1, "d", "k.ogg"), (2, "", "../x")], "ref int, base string, authored string")
     got = resolve.same_stem(refs, spark.createDataFrame([("d/K.wav",), ("d/k.png",), ("k.wav",)], "path string"))
