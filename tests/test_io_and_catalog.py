@@ -35,6 +35,7 @@ def test_query_equals_sql(spark, duck, name):
     if name not in catalog.ORACLE_SQL:
         assert got.count() > 0
         return
+    assert not got.isEmpty()  # an empty result tells nothing
     want = duck.sql(catalog.ORACLE_SQL[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
@@ -113,8 +114,8 @@ def test_windows_of_stream(spark, tmp_path):
 
 def test_whole_events_and_lines(spark, duck):
     sets = {}
-    for user, kind in duck.sql("SELECT user_id, event_type FROM events").fetchall():
-        sets.setdefault(user, set()).add(kind)
+    for day, kind in duck.sql("SELECT user_id || '/' || strftime(ts, '%Y-%m-%d'), event_type FROM events").fetchall():
+        sets.setdefault(day, set()).add(kind)
     alike = Counter(frozenset(x) for x in sets.values())
     got = {r.container: r["size"] for r in catalog.QUERIES["g3_exact_clusters"](spark, SF).collect()}
     assert got == {u: alike[frozenset(x)] for u, x in sets.items() if alike[frozenset(x)] > 1}
@@ -122,7 +123,7 @@ def test_whole_events_and_lines(spark, duck):
 
 def test_whole_scans_sets_and_trees(spark, duck):
     run = lambda n: catalog.QUERIES[n](spark, SF).collect()
-    files = duck.sql("SELECT user_id, event_type, count(*) FILTER (WHERE event_id % 200 < 160 AND event_id % 200 > 4) FROM events GROUP BY 1, 2").fetchall()
+    files = duck.sql("SELECT user_id, event_type, count(*) FILTER (WHERE event_id % 200 > 4) FROM events GROUP BY 1, 2").fetchall()
     new = {f"/lib{u % 3}/{u}/{t}": n for u, t, n in files if n}
     assert {r.path: r["size"] for r in run("j2_index_merge") if r.last_seen == 2} == new
     sizes = dict(duck.sql("SELECT l_suppkey, count(*) FROM lineitem GROUP BY 1").fetchall())
