@@ -339,6 +339,7 @@ def main(argv: list[str] | None = None) -> int:
     x.add_argument("--root", action="append")
     x.add_argument("--accepted")
     x.add_argument("--output")
+    x.add_argument("--reports")  # a new folder for the report set of the accepted stage
     args = p.parse_args(argv)
     engine = Engine(SparkSession.builder.appName("kinfold").getOrCreate(), args.store)
     try:
@@ -374,6 +375,8 @@ def main(argv: list[str] | None = None) -> int:
                 if len(args.root or ()) != 2:
                     raise ValueError("SOURCE takes two roots")
                 print(o.capture(*args.root))
+            elif args.reports:
+                print(o.reports(args.stage, args.accepted, args.reports)["result"])
             elif args.output:
                 print(o.export(args.stage, args.accepted, args.output))
             else:
@@ -386,7 +389,7 @@ def main(argv: list[str] | None = None) -> int:
             parts = engine.plan(args.root)
             parts["maximal"].show()
             return DONE if parts["violations"].isEmpty() and parts["variants"].isEmpty() else INCOMPLETE
-    except (ValueError, Busy, observe.Stopped, relations.PairBudgetExceeded) as e:
+    except (ValueError, FileExistsError, Busy, observe.Stopped, relations.PairBudgetExceeded) as e:
         print(e, file=sys.stderr)
         return FAILED
     return DONE

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import columns as C
-from kinfold.operators import compare, merkle
+from kinfold.operators import compare, merkle, reports
 from kinfold.operators.relations import checkpointed
 from kinfold.sources import files, guarded, sinks
 
@@ -207,3 +207,33 @@ class Observation:
             raise Stopped("FAILED", "REPORT_BUDGET_EXCEEDED")
         sinks.publish_json(report, path)
         return out
+
+    def reports(self, stage: str, accepted: str, folder: str) -> dict:
+        """The report set of an admitted stage in a new folder: its tables as CSV, summary.json last.
+
+        A set begins with a mark RUNNING and ends with COMPLETED, each a file of its own that is written once; a folder
+        without the second is an export that was interrupted. The summary has a receipt of every file, read back.
+        """
+        out = self.verify(stage, accepted)
+        if stage == "SOURCE":
+            raise Inadmissible("SOURCE has no tables to report")
+        os.makedirs(folder)
+        sinks.publish_json({"state": "RUNNING", "stage": stage, "digest": accepted}, f"{folder}/_export-RUNNING.json")
+        entries = self.table("inventory")
+        tables = reports.preflight_set(entries)
+        if stage == "CONTENT":
+            a, b = (self.table("content").where(F.col("root") == k).drop("root") for k in (0, 1))
+            tables |= reports.content_set(a, b)
+        for name, (df, order) in tables.items():
+            sinks.write_csv_file(df, f"{folder}/{name}", *order)
+        written = {os.path.basename(r.path): {"bytes": r.bytes, "sha256": r.sha256} for r in sinks.receipts(self.spark, folder).where("path LIKE '%.csv'").collect()}  # a row for each table
+        summary = {"result": out, "inventory": reports.shared_paths(entries).first().asDict(), "files": written}
+        sinks.publish_json(summary, f"{folder}/summary.json")
+        sinks.publish_json({"state": "COMPLETED", "stage": stage, "digest": accepted}, f"{folder}/_export-COMPLETED.json")
+        return summary
+
+
+def export_state(folder: str) -> str:
+    """COMPLETED, or FAILED for a report set that began and did not end, or NONE."""
+    names = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    return "COMPLETED" if "_export-COMPLETED.json" in names else "FAILED" if "_export-RUNNING.json" in names else "NONE"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import columns as C
 from kinfold.functions.python import dotnet_double, fold_key, win_canonical
-from kinfold.operators import classify, compare, contain, extract, group, index, merkle, plan, relations, resolve, sketch, symbolic, validate
+from kinfold.operators import classify, compare, contain, extract, group, index, merkle, plan, relations, reports, resolve, sketch, symbolic, validate
 from kinfold.plans import views as V
 
 QUERIES: dict = {}
@@ -139,9 +139,18 @@ def _(s, d):
     return relations.pairs(ok(items).join(relations.incomplete_containers(items), "container", "left_anti"))
 
 
-@query("a11_extension_distribution", "SELECT p_brand AS brand, count(*) AS files, CAST(sum(p_size) AS BIGINT) AS bytes FROM part GROUP BY 1")
+def inventory(s, d) -> DataFrame:
+    """Pages as files of an observation: roots by scheme and site, sizes their lengths."""
+    p = V.table(s, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("p"), F.length("html").cast("long").alias("size"), "page_id")
+    return p.select(F.substring_index("p", "/", 1).alias("root"), F.concat(F.substring_index("p", "/", -1), F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(".h"), (F.col("page_id") % 4).cast("string")))).alias("path"), F.when(F.col("page_id") % 10 == 0, "DIRECTORY").otherwise("REGULAR_FILE").alias("kind"), "size", (F.col("page_id") % 4 == 1).alias("is_item"))
+
+
+INVENTORY_SQL = "SELECT split_part(p, '/', 1) AS root, string_split(p, '/')[-1] || CASE WHEN page_id % 3 = 0 THEN '' ELSE '.h' || page_id % 4 END AS path, CASE WHEN page_id % 10 = 0 THEN 'DIRECTORY' ELSE 'REGULAR_FILE' END AS kind, length(html)::BIGINT AS size, page_id % 4 = 1 AS is_item FROM (SELECT regexp_replace(url, '^[a-z]+://', '') AS p, html, page_id FROM pages)"
+
+
+@query("a11_extension_distribution", f"SELECT lower(regexp_extract(path, '(\\.[^./]*)$', 1)) AS extension, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM ({INVENTORY_SQL}) WHERE kind = 'REGULAR_FILE' GROUP BY 1")
 def _(s, d):
-    return V.table(s, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("files"), F.sum("p_size").alias("bytes"))
+    return reports.extension_distribution(inventory(s, d))
 
 
 @query("a13_digest_sizes", "SELECT md5(l_shipdate::VARCHAR[1:4]) AS content_id, min(l_linenumber)::BIGINT AS lo, max(l_linenumber)::BIGINT AS hi FROM lineitem GROUP BY 1 HAVING min(l_linenumber) <> max(l_linenumber)".replace("l_shipdate::VARCHAR[1:4]", "CAST(year(l_shipdate) AS VARCHAR)"))
@@ -452,10 +461,9 @@ def _(s, d):
     return x.select("o_orderkey", "l_linenumber", "c_name", "n_name", "r_name", "s_name", "p_brand")
 
 
-@query("a8_distinct_outcomes", "SELECT count(DISTINCT l_orderkey) FILTER (WHERE l_returnflag = 'A') AS a, count(DISTINCT l_orderkey) FILTER (WHERE l_returnflag = 'R') AS r, count(DISTINCT l_orderkey) FILTER (WHERE l_linestatus = 'O') AS o, count(DISTINCT l_partkey) AS parts FROM lineitem")
+@query("a8_distinct_outcomes", "SELECT count(DISTINCT l_orderkey) FILTER (WHERE l_returnflag = 'A') AS a, count(DISTINCT l_orderkey) FILTER (WHERE l_returnflag = 'R') AS r, count(DISTINCT l_orderkey) AS groups FROM lineitem")
 def _(s, d):
-    k = lambda c: F.count_distinct(F.when(F.expr(c), F.col("l_orderkey")))
-    return V.table(s, d, "lineitem").agg(k("l_returnflag = 'A'").alias("a"), k("l_returnflag = 'R'").alias("r"), k("l_linestatus = 'O'").alias("o"), F.count_distinct("l_partkey").alias("parts"))
+    return reports.outcome_entries(V.table(s, d, "lineitem").select(F.col("l_returnflag").alias("status"), F.col("l_orderkey").alias("group")), {"a": "A", "r": "R"})
 
 
 @query("v13_item_findings", f"SELECT 'INVALID' AS kind, 'ABSENT_BUT_OK' AS code, path AS key FROM ({V.DOCUMENTS_SQL}) WHERE status = 'OK' AND NOT present UNION ALL SELECT 'INVALID', 'SEEN_BEFORE_FIRST', path FROM ({V.DOCUMENTS_SQL}) WHERE size % 50 = 0")
@@ -660,27 +668,55 @@ def _(s, d):
     return new.join(o, "path", "left").select("path", F.col("content_id").eqNullSafe(F.col("before")).alias("same"))
 
 
-@query("a9_root_inventory", f"WITH a AS ({V.TREE_SQL.format('R')}) SELECT count(*) FILTER (WHERE kind = 'REGULAR_FILE') AS files, count(*) FILTER (WHERE kind = 'DIRECTORY') AS directories, CAST(sum(CASE WHEN kind = 'REGULAR_FILE' THEN length(path) END) AS BIGINT) AS bytes FROM a")
+@query("a9_root_inventory", f"SELECT root, count(*) FILTER (WHERE kind = 'REGULAR_FILE') AS files, count(*) FILTER (WHERE kind = 'DIRECTORY') AS directories, CAST(coalesce(sum(size) FILTER (WHERE kind = 'REGULAR_FILE'), 0) AS BIGINT) AS bytes FROM ({INVENTORY_SQL}) GROUP BY 1")
 def _(s, d):
-    file = F.col("kind") == "REGULAR_FILE"
-    return V.tree(s, d, "R").agg(F.count_if(file).alias("files"), F.count_if(~file).alias("directories"), F.sum(F.when(file, F.length("path"))).alias("bytes"))
+    return reports.root_inventory(inventory(s, d))
 
 
-@query("a10_shared_paths", f"WITH e AS ({V.ROOTS_SQL}), g AS (SELECT path, count(*) AS n, min(length(path)) AS b FROM e GROUP BY 1) SELECT count(*) FILTER (WHERE n > 1) AS shared, CAST(sum(b) AS BIGINT) AS union_bytes FROM g")
+@query("a10_shared_paths", f"WITH g AS (SELECT path, count(DISTINCT root) AS n, min(size) AS b FROM ({INVENTORY_SQL}) GROUP BY 1) SELECT count(*) FILTER (WHERE n > 1) AS shared, CAST(sum(b) AS BIGINT) AS union_bytes FROM g")
 def _(s, d):
-    g = V.roots(s, d).groupBy("path").agg(F.count("*").alias("n"), F.min(F.length("path")).alias("b"))
-    return g.agg(F.count_if(F.col("n") > 1).alias("shared"), F.sum("b").alias("union_bytes"))
+    return reports.shared_paths(inventory(s, d))
 
 
 @query("a12_diagnostic_counts", f"SELECT status AS severity, container AS code, count(*) AS n FROM ({V.DOCUMENTS_SQL}) WHERE status <> 'OK' GROUP BY 1, 2")
 def _(s, d):
-    return V.documents(s, d).where("status <> 'OK'").groupBy(F.col("status").alias("severity"), F.col("container").alias("code")).agg(F.count("*").alias("n"))
+    return reports.diagnostic_counts(V.documents(s, d).where("status <> 'OK'").select(F.col("status").alias("severity"), F.col("container").alias("code")))
 
 
 @query("a16_admitted_counts", f"SELECT count(*) FILTER (WHERE present) AS admitted, count(*) FILTER (WHERE status = 'OK' AND present) AS complete, count(*) FILTER (WHERE status <> 'OK' AND present) AS incomplete, CAST(coalesce(sum(size) FILTER (WHERE status = 'OK' AND present), 0) AS BIGINT) AS bytes FROM ({V.DOCUMENTS_SQL})")
 def _(s, d):
-    ok_ = F.col("present") & (F.col("status") == "OK")
-    return V.documents(s, d).agg(F.count_if("present").alias("admitted"), F.count_if(ok_).alias("complete"), F.count_if(F.col("present") & ~ok_).alias("incomplete"), F.coalesce(F.sum(F.when(ok_, F.col("size"))), F.lit(0)).alias("bytes"))
+    return reports.read_counts(V.documents(s, d).select(F.col("present").alias("admitted"), F.when(F.col("status") == "OK", "SUCCESS").otherwise(F.col("status")).alias("status"), F.col("size").alias("bytes")))
+
+
+@query("j25_diagnostic_rows", """SELECT n_name AS component_key, s_name AS root_key, p.p_name AS entry_key, q.p_name AS physical_path_key, l_returnflag AS code, l_linenumber AS attempt FROM lineitem l LEFT JOIN supplier ON l_linenumber <> 7 AND s_suppkey = l_suppkey
+ LEFT JOIN nation ON l_linenumber <> 6 AND n_nationkey = l_suppkey % 30 LEFT JOIN part p ON p.p_partkey = l_partkey + CASE WHEN l_linenumber = 5 THEN 1000000 ELSE 0 END LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderkey % 2 = 0 LEFT JOIN part q ON q.p_partkey = o_custkey""")
+def _(s, d):
+    """Lines as diagnostics: a nation the component, a supplier the root, a part the entry, an order the physical file; some name none, or one that isn't there."""
+    x, at = V.table(s, d, "lineitem"), F.col("l_linenumber")
+    said = x.select(F.when(at != 6, F.col("l_suppkey") % 30).alias("component_id"), F.when(at != 7, F.col("l_suppkey")).alias("root_id"), (F.col("l_partkey") + F.when(at == 5, 1_000_000).otherwise(0)).alias("entry_id"), F.col("l_orderkey").alias("physical_file_id"), F.col("l_returnflag").alias("code"), at.alias("attempt"))
+    key = lambda t, i, k, n: V.table(s, d, t).select(F.col(i).alias(f"{n}_id"), F.col(k).alias(f"{n}_key"))
+    physical = V.table(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("physical_file_id"), F.col("o_custkey").alias("entry_id"))
+    return reports.diagnostic_rows(said, key("nation", "n_nationkey", "n_name", "component"), key("supplier", "s_suppkey", "s_name", "root"), key("part", "p_partkey", "p_name", "entry"), physical)
+
+
+V6_SQL = """WITH a AS (SELECT r_regionkey AS c FROM region WHERE r_regionkey <> 4), f AS (SELECT n_regionkey AS c, s_suppkey AS f, s_nationkey AS size FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 4),
+ r AS (SELECT s_suppkey AS f, CASE WHEN s_suppkey % 13 = 4 THEN 'UNSTABLE' ELSE 'SUCCESS' END AS status, s_nationkey + CASE WHEN s_suppkey % 17 = 3 THEN 1 ELSE 0 END AS size FROM supplier),
+ n AS (SELECT c, count(*) AS n, count(*) FILTER (WHERE status = 'SUCCESS') AS good FROM f JOIN r USING (f) GROUP BY c)
+ SELECT 'CONTENT_SCOPE' AS code, CAST(f AS VARCHAR) AS key FROM r WHERE f NOT IN (SELECT f FROM f) UNION SELECT 'CONTENT_STAMP', CAST(f AS VARCHAR) FROM f JOIN r USING (f) WHERE status = 'SUCCESS' AND f.size <> r.size
+ UNION SELECT 'OUTCOME_SCOPE', '4' UNION SELECT 'OUTCOME_MISSING', CAST(c AS VARCHAR) FROM a WHERE c = 1 UNION SELECT 'OUTCOME_COUNT', CAST(c AS VARCHAR) FROM n WHERE c = 2
+ UNION SELECT 'COMPARISON_ELIGIBILITY', CAST(c AS VARCHAR) FROM n WHERE c = 0 AND n <> good UNION SELECT 'DIAGNOSTIC_SCOPE', CAST(f AS VARCHAR) FROM r WHERE f % 29 = 1 AND f NOT IN (SELECT f FROM f)"""
+
+
+@query("v6_scope_violations", V6_SQL)
+def _(s, d):
+    """Regions as components, suppliers as files; results of a region that isn't admitted, other stamps, lost and wrong outcomes."""
+    sup = V.table(s, d, "supplier").join(V.table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("component"), F.col("s_suppkey").alias("file"), F.col("s_nationkey").alias("size"), F.lit(0).alias("mtime"))
+    comps = V.table(s, d, "region").select(F.col("r_regionkey").alias("component"), F.when(F.col("r_regionkey") == 4, "REJECTED").otherwise("ADMITTED").alias("outcome"))
+    results = V.table(s, d, "supplier").select(F.col("s_suppkey").alias("file"), F.when(F.col("s_suppkey") % 13 == 4, "UNSTABLE").otherwise("SUCCESS").alias("status"), (F.col("s_nationkey") + F.when(F.col("s_suppkey") % 17 == 3, 1).otherwise(0)).alias("before_size"), F.lit(0).alias("before_mtime"))
+    n = sup.join(results, "file").groupBy("component").agg(F.count("*").alias("required"), F.count_if(F.col("status") == "SUCCESS").alias("successful"))
+    outcomes = n.where("component <> 1").select("component", F.when(F.col("required") == F.col("successful"), "COMPLETE").otherwise("INCOMPLETE").alias("outcome"), "required", (F.col("successful") - F.when(F.col("component") == 2, 1).otherwise(0)).alias("successful"), (F.col("component") == 0).alias("eligible"))
+    said = results.where("file % 29 = 1").select(F.lit(0).cast("long").alias("component"), "file")
+    return reports.scope_violations(comps, sup, results, outcomes, said)
 
 
 @query("o5_latest_completed", "SELECT user_id AS run_id, event_type AS status FROM (SELECT user_id, CASE WHEN min(event_id) % 3 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS event_type FROM events GROUP BY 1) WHERE event_type = 'COMPLETED' ORDER BY run_id DESC LIMIT 1")
@@ -702,9 +738,13 @@ def _(s, d):
 
 @query("p9_projections", f"WITH a AS ({V.TREE_SQL.format('R')}), f AS (SELECT * FROM a WHERE kind = 'REGULAR_FILE') SELECT 'FULL' AS projection, count(*) AS n FROM f UNION ALL SELECT 'NON_CHART', count(*) FROM f WHERE NOT is_item")
 def _(s, d):
-    f = V.tree(s, d, "R").where("kind = 'REGULAR_FILE'")
-    p = F.explode(F.when(F.col("is_item"), F.array(F.lit("FULL"))).otherwise(F.array(F.lit("FULL"), F.lit("NON_CHART"))))
-    return f.select(p.alias("projection")).groupBy("projection").agg(F.count("*").alias("n"))
+    return reports.projections(V.tree(s, d, "R"))
+
+
+@query("p11_structure", f"SELECT root, CASE WHEN count(DISTINCT CASE WHEN is_item THEN CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END END) > 1 OR root = 0 THEN 'CONTAINER_DIRECTORY_CANDIDATE' ELSE 'OBSERVATION_ROOT_ONLY' END AS structure FROM ({V.ROOTS_SQL}) GROUP BY root")
+def _(s, d):
+    """Roots that hold items in several folders, or another root, may be containers."""
+    return classify.structure(*component(s, d))
 
 
 @query("p11_container_candidates", f"SELECT root, CASE WHEN count(DISTINCT split_part(path, '/', 1)) > 1 THEN 'MULTIPLE' ELSE 'SINGLE' END AS state FROM ({V.ROOTS_SQL}) GROUP BY 1")

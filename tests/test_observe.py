@@ -1,11 +1,12 @@
 """Guarded reads, staging, stores, and observation of two trees in stages."""
 
+import hashlib
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators import extract, observe
+from kinfold.operators import extract, observe, reports
 from kinfold.sources import files, guarded, sinks, staging
 
 
@@ -110,6 +111,20 @@ def test_observation(spark, trees):
     assert o.compared(content)["labels"].first().labels == ["OBSERVED_TREE_SUBSET_A_IN_B"]
     assert o.verify("PREFLIGHT", pre)["pair_state"] == "BLOCKED"
     assert o.export("CONTENT", content, str(trees / "r.json"))["pair_state"] == "COMPLETE" and (trees / "r.json").exists()
+    told = o.reports("CONTENT", content, str(trees / "set"))
+    assert observe.export_state(str(trees / "set")) == "COMPLETED" and observe.export_state(str(trees / "nowhere")) == "NONE"
+    assert set(told["files"]) == {"roots.csv", "inventory.csv", "extensions.csv", "folder_comparisons.csv", "content_groups.csv", "comparison_counts.csv", "conflicts.csv"}
+    for name, r in told["files"].items():
+        raw = (trees / "set" / name).read_bytes()
+        assert (len(raw), hashlib.sha256(raw).hexdigest()) == (r["bytes"], r["sha256"]) and raw.endswith(b"\n")
+    assert (trees / "set/inventory.csv").read_text().count("\n") == o.table("inventory").count() + 1
+    with pytest.raises(FileExistsError):
+        o.reports("CONTENT", content, str(trees / "set"))
+    (trees / "broken").mkdir()
+    (trees / "broken/_export-RUNNING.json").write_text("{}")
+    assert observe.export_state(str(trees / "broken")) == "FAILED"
+    with pytest.raises(observe.Inadmissible):
+        o.reports("CONTENT", pre, str(trees / "other"))
     from kinfold.operators import validate
 
     assert validate.chained(o.records("CONTENT")).isEmpty()
@@ -144,3 +159,29 @@ def test_report_is_read_anew(spark, tmp_path):
     report = extract.extracted(f)
     assert extract.readmitted(report, f).isEmpty()
     assert {r.side for r in extract.readmitted(report.withColumn("coverage", F.lit("INCOMPLETE")), f).collect()} == {"REPORT", "DERIVED"}
+
+
+def test_scope_rules(spark):
+    f = lambda rows, schema: spark.createDataFrame(rows, schema)
+    comps = f([("c", "ADMITTED"), ("d", "ADMITTED"), ("e", "REJECTED")], "component string, outcome string")
+    need = f([("c", 1, 10, 1), ("c", 2, 20, 1), ("d", 2, 20, 1), ("e", 9, 1, 1)], "component string, file int, size int, mtime int")
+    good = [(1, "SUCCESS", 10, 1), (2, "SUCCESS", 20, 1)]
+    results = lambda rows: f(rows, "file int, status string, before_size int, before_mtime int")
+    told = [("c", "COMPLETE", 2, 2, True), ("d", "COMPLETE", 1, 1, True)]
+    outcomes = lambda rows: f(rows, "component string, outcome string, required long, successful long, eligible boolean")
+    none = f([], "component string, file int")
+    broken = lambda r, o, x=none: sorted((y.code, y.key) for y in reports.scope_violations(comps, need, results(r), outcomes(o), x).collect())
+    assert broken(good, told) == []
+    assert broken([*good, (9, "SUCCESS", 1, 1)], told) == [("CONTENT_SCOPE", "9")]
+    assert broken([(1, "SUCCESS", 11, 1), good[1]], told) == [("CONTENT_STAMP", "1")]
+    assert broken(good, told[:1]) == [("OUTCOME_MISSING", "d")]
+    assert broken(good, [*told, ("e", "COMPLETE", 1, 1, False)]) == [("OUTCOME_SCOPE", "e")]
+    assert broken([(1, "ERROR", 10, 1), good[1]], told) == [("OUTCOME_COUNT", "c")]
+    assert broken([(1, "ERROR", 10, 1), good[1]], [("c", "INCOMPLETE", 2, 1, True), told[1]]) == [("COMPARISON_ELIGIBILITY", "c")]
+    assert broken(good, told, f([("q", None), (None, 9), ("c", 1)], "component string, file int")) == [("DIAGNOSTIC_SCOPE", "9"), ("DIAGNOSTIC_SCOPE", "q")]
+
+
+def test_emitted_diagnostics(spark):
+    f = lambda rows: spark.createDataFrame(rows, "severity string, code string, path string")
+    got = reports.emitted({"G2": f([("ERROR", "X", "a/b/c")]), "G3": f([("WARNING", "Y", "q")])}, spark.createDataFrame([("a",), ("a/b",), ("a/b/c",)], "path string"))
+    assert sorted(map(tuple, got.collect())) == [("G2", "ERROR", "X", "a/b/c", "a/b"), ("G3", "WARNING", "Y", "q", None)]
