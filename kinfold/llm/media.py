@@ -341,7 +341,7 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """doc_id and the digest of each text stored as a container and read back; with keep_media also the file itself.
 
     Null text is empty; an empty text has one unit of padding. Equal texts have equal values. Repeated rows return as
-    often as they occur, no rows give none, extra columns are ignored.
+    often as they occur, no rows give none, extra columns are ignored. A long text is held with its file, one at a time.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *(x.split()[0] for x in SCHEMA.split(", ")), *["media"] * keep_media]

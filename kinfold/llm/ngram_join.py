@@ -395,8 +395,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     round takes the pairs within components too, so all links are verified: the work grows with the square of a group.
 
     Null or empty text has an empty set and links with nothing; fewer words than `width` are one shingle. A row with
-    null doc_id takes part in nothing and gets a null component. Repeated rows return as often as they occur. No
-    rows give no rows; extra columns are ignored.
+    null doc_id takes part in nothing and gets a null component. Repeated rows return as often as they occur. Shingles of
+    equal rarity go by their hashes, so ties cost candidates and never links. A long text costs a worker eight bytes a
+    word and its distinct shingles. No rows give no rows; extra columns are ignored.
     """
     spark = docs.sparkSession
     seen = common.checkpointed(profiled(docs, width))
@@ -449,7 +450,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id. Rows without words or doc_id all stay."""
+    """One document of each component stays, the one with the smallest doc_id. Rows without words or doc_id all stay, and so do rows that repeat with one id."""
     keep = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kf_id")).distinct()
     return docs.join(keep, F.col("doc_id") == F.col("__kf_id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
 

@@ -91,8 +91,8 @@ def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_H
     """One row for each row of docs: its figures, base_failed, kept and the host's figures.
 
     kept is false if the document fails a rule itself or its host's shrunk failure rate is above max_rate. A null
-    host has no verdict: its documents stand on their own. Repeated rows count and return as often as they occur. An
-    empty table gives no rows. Extra columns of docs are ignored.
+    host has no verdict: its documents stand on their own. Repeated rows count and return as often as they occur. A
+    long text is measured whole, at some bytes a word. An empty table gives no rows. Extra columns of docs are ignored.
     """
     stats = common.checkpointed(document_stats(docs, host))
     verdicts = common.small_or_not(host_verdicts(stats, max_rate), 100_000)
