@@ -21,7 +21,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents; results between them lie in the shared folder of the session."""
+    """The stages one after another over documents; results between them lie in the shared folder of the session.
+
+    Columns of documents go through all stages but the last, whatever their names; stages keep helpers under names of
+    their own. Null and empty texts fail the quality rules. Rows that repeat are judged, taken and packed alike. A text of
+    any length goes through whole. Without rows there are no pieces.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
