@@ -48,3 +48,16 @@ def beyond(df: DataFrame, group: list[str], order: list[str], cost: Column | str
         same = same & F.col(g).eqNullSafe(F.col(f"__h{i}"))
     some = df.join(heavy, same).select(*df.columns, "__already")
     return running(some, group, order, cost).where(F.col("upto") + F.col("__already") > most).select(*df.columns)
+
+
+def first_rows(df: DataFrame, group: list[str], order: list[str], k: int, most: int) -> DataFrame:
+    """df with `taken`: TAKEN for the first k rows of each group as long as all groups together take at most `most`, else
+    GROUP_LIMIT or BUDGET_LIMIT; no row goes without saying so.
+
+    Groups stand in their order, and rows in theirs; both numbers are running counts over ranges, so neither a group nor
+    the whole meets in one task.
+    """
+    own = running(df, group, order, F.lit(1).cast("long")).withColumnRenamed("upto", "__k")
+    all_ = running(own, [], [*group, *order], (F.col("__k") <= k).cast("long"))
+    taken = F.when(F.col("__k") > k, "GROUP_LIMIT").when(F.col("upto") > most, "BUDGET_LIMIT").otherwise("TAKEN")
+    return all_.select(*df.columns, taken.alias("taken"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import columns as C
 from kinfold.functions.python import dotnet_double, fold_key, win_canonical
-from kinfold.operators import classify, compare, contain, extract, group, index, merkle, plan, relations, reports, resolve, sketch, symbolic, validate
+from kinfold.operators import budget, classify, compare, contain, extract, group, index, merkle, plan, relations, reports, resolve, sketch, symbolic, validate
 from kinfold.plans import views as V
 
 QUERIES: dict = {}
@@ -401,9 +401,10 @@ def _(s, d):
     return V.table(s, d, "events").select("event_id", F.array_join(F.collect_list("event_type").over(w), ",").alias("earlier"))
 
 
-@query("w5_first_k", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 3")
+@query("w5_first_k", "WITH k AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), n AS (SELECT *, sum(CASE WHEN k <= 3 THEN 1 ELSE 0 END) OVER (ORDER BY user_id, event_id) AS n FROM k) SELECT event_id, CASE WHEN k > 3 THEN 'GROUP_LIMIT' WHEN n > 20 THEN 'BUDGET_LIMIT' ELSE 'TAKEN' END AS taken FROM n")
 def _(s, d):
-    return V.table(s, d, "events").withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("k <= 3").select("event_id")
+    """Three events of each user, twenty of all."""
+    return budget.first_rows(V.table(s, d, "events").select("user_id", "event_id"), ["user_id"], ["event_id"], 3, 20).select("event_id", "taken")
 
 
 @query("w2_first_spelling", "SELECT user_id, arg_min(event_type, event_id) AS spelling FROM events GROUP BY 1")

@@ -233,3 +233,15 @@ def test_running_costs(spark, parts):
         want[k], whole[k] = (upto[g], upto[g] + 10 > 300), all_
     assert {r.k: r.upto for r in got} == {k: v[0] for k, v in want.items()} and {r.k: r.upto for r in alone} == whole
     assert over == {k for k, v in want.items() if v[1]} and over
+
+
+def test_first_rows_of_groups_within_a_budget(spark):
+    r = random.Random(9)
+    table = [(r.choice("aaabc"), k) for k in r.sample(range(1000), 200)]
+    got = {(x.g, x.k): x.taken for x in budget.first_rows(spark.createDataFrame(table, "g string, k int").repartition(4), ["g"], ["k"], 30, 70).collect()}
+    want, n = {}, 0
+    for g in "abc":
+        for i, k in enumerate(sorted(k for h, k in table if h == g)):
+            n += i < 30
+            want[g, k] = "GROUP_LIMIT" if i >= 30 else "BUDGET_LIMIT" if n > 70 else "TAKEN"
+    assert got == want and set(want.values()) == {"TAKEN", "GROUP_LIMIT", "BUDGET_LIMIT"}
