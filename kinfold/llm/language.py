@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -45,12 +46,17 @@ def cleaned(text: str) -> str:
     return " ".join((NOT_LETTERS if text.isascii() else NOT_WORDS).sub(" ", text).split())
 
 
+@functools.lru_cache(1 << 15)
+def script_of(letter: str) -> int:
+    p = ord(letter)
+    return next((1 << NAMES.index(s) for a, b, s in SCRIPTS if a <= p <= b), 0)
+
+
 def scripts_of(word: str) -> int:
     """The scripts of the word's letters, as bits; 0 where no range is known."""
     bits = 0
     for c in set(word):
-        p = ord(c)
-        bits |= next((1 << NAMES.index(s) for a, b, s in SCRIPTS if a <= p <= b), 0)
+        bits |= script_of(c)
     return bits
 
 
@@ -120,10 +126,13 @@ class Model:
                 scores[own] += likely
             else:
                 scores += likely
+        by: dict[int, list[int]] = {}
         for i in odd:
-            likely = self.candidates(scripts_of(words[i]))
-            if likely.max(initial=OUT) > OUT:
-                scores[i] += likely
+            by.setdefault(scripts_of(words[i]), []).append(i)
+        for key, own in by.items():
+            likely = self.candidates(key)
+            if likely.max(initial=OUT) > OUT and np.ptp(likely) > 1e-3:
+                scores[own] += likely
 
     def labels(self, text: str, penalty: float) -> tuple[np.ndarray, np.ndarray]:
         """Label and letters of each word of a long text, by parts between words: a pass forward keeps the state before each
