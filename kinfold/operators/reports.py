@@ -5,7 +5,7 @@ Entries are rows root, path, kind, size and more; a path that several roots hold
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import columns as C
@@ -40,9 +40,10 @@ def read_counts(reads: DataFrame) -> DataFrame:
     return reads.agg(F.count_if("admitted").alias("admitted"), F.count_if(done).alias("complete"), F.count_if(F.col("admitted") & (F.col("status") != "SUCCESS")).alias("incomplete"), F.coalesce(F.sum(F.when(done, F.col("bytes"))), F.lit(0)).alias("bytes"))
 
 
-def outcome_entries(reads: DataFrame, outcomes: dict[str, str], by: str = "group") -> DataFrame:
-    """One row: for each name the groups with a read of that status, counted once each, and groups in all."""
-    return reads.agg(*[F.count_distinct(F.when(F.col("status") == status, F.col(by))).alias(name) for name, status in outcomes.items()], F.count_distinct(by).alias("groups"))
+def outcome_entries(reads: DataFrame, outcomes: dict[str, Column], by: str = "group") -> DataFrame:
+    """One row: for each name the groups with a read that fulfils its condition, counted once each, and groups in all."""
+    own = reads.where(F.col(by).isNotNull()).groupBy(by).agg(*[F.bool_or(cond).alias(name) for name, cond in outcomes.items()])
+    return own.agg(*[F.count_if(name).alias(name) for name in outcomes], F.count("*").alias("groups"))
 
 
 def projections(entries: DataFrame) -> DataFrame:

@@ -133,3 +133,12 @@ def test_whole_scans_sets_and_trees(spark, duck):
     assert {(r.root, r.path) for r in run("c6_ledger") if r.path.startswith("s/")} == set(trees)
     custs = {c for (c,) in duck.sql("SELECT DISTINCT o_custkey FROM orders").fetchall()}
     assert custs <= {r.container for r in run("g1_related_clusters")}
+
+
+def test_outcomes_count_groups_and_parts(spark, duck):
+    """All counts of the query: orders by flag and status, orders and parts in all."""
+    got = catalog.QUERIES["a8_distinct_outcomes"](spark, SF).first().asDict()
+    want = duck.sql("SELECT l_orderkey, l_returnflag, l_linestatus, l_partkey FROM lineitem").fetchall()
+    of = lambda cond: len({x[0] for x in want if cond(x)})
+    assert got == {"a": of(lambda x: x[1] == "A"), "r": of(lambda x: x[1] == "R"), "o": of(lambda x: x[2] == "O"), "groups": of(lambda x: True), "parts": len({x[3] for x in want})}
+    assert got == dict(zip(got, duck.sql(catalog.ORACLE_SQL["a8_distinct_outcomes"]).fetchall()[0]))
