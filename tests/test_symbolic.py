@@ -245,3 +245,22 @@ def test_first_rows_of_groups_within_a_budget(spark):
             n += i < 30
             want[g, k] = "GROUP_LIMIT" if i >= 30 else "BUDGET_LIMIT" if n > 70 else "TAKEN"
     assert got == want and set(want.values()) == {"TAKEN", "GROUP_LIMIT", "BUDGET_LIMIT"}
+
+
+def test_coexistence_meets_no_usages(spark, monkeypatch):
+    """What is not asked for is not computed: neither the usages' classes nor their regions."""
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(symbolic, "covered", never)
+    a = symbolic.analysed(resolve.facts(files(spark, {"x": ["#WAV01 a", "#WAV01 b", PLAY]})))
+    assert [r.state for r in a.coexistence.collect()] == [symbolic.COEXISTING[0]]
+    assert a.relations.count() == 2 and a.obligations.count() == 2
+
+
+def test_written_paths_are_resolved_once(spark, monkeypatch):
+    f = resolve.facts(files(spark, {x: ["#WAV01 a.wav", "#WAV02 b.wav", "#WAV03 a.wav"] for x in "xyz"}))
+    seen, own = [], resolve.resolved
+    monkeypatch.setattr(resolve, "resolved", lambda refs, *more: seen.append(refs.count()) or own(refs, *more))
+    found = resolve.evidence(f, spark.createDataFrame([("a.wav",)], "path string"))
+    assert seen == [2] and sorted((r.declaration, r.unique) for r in found.collect()) == sorted([(0, True), (1, False), (2, True)] * 3)
