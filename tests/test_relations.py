@@ -254,3 +254,16 @@ def test_subset_oracle_of_lattice(spark):
     for mask in range(1, 16):
         own = [files[i] for i in range(4) if mask >> i & 1]
         assert got[mask] == all(a[p] == b[p] for a, b in itertools.combinations(own, 2) for p in a.keys() & b.keys())
+
+
+def test_pairs_of_a_hot_content_meet_in_cells(spark, monkeypatch):
+    """Cells of a few containers and tasks of a few pairs give the same pairs, and no cell holds the whole content."""
+    rows = [(i, c, f"{i}/{c}") for i in range(40) for c in ("hot", f"own{i % 7}")]
+    items = spark.createDataFrame(rows, "container long, content_id string, path string")
+    want = sorted(map(tuple, relations.pairs(items).collect()))
+    monkeypatch.setattr(relations, "BLOCK", 4)
+    monkeypatch.setattr(relations, "TASK_WORK", 50)
+    x, y = relations.celled(relations.members(items))
+    assert max(r["count"] for r in x.groupBy("content_id", "row", "column").count().collect()) < 20
+    got = relations.pairs(items)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 40 * 39 // 2
