@@ -264,3 +264,17 @@ def test_written_paths_are_resolved_once(spark, monkeypatch):
     monkeypatch.setattr(resolve, "resolved", lambda refs, *more: seen.append(refs.count()) or own(refs, *more))
     found = resolve.evidence(f, spark.createDataFrame([("a.wav",)], "path string"))
     assert seen == [2] and sorted((r.declaration, r.unique) for r in found.collect()) == sorted([(0, True), (1, False), (2, True)] * 3)
+
+
+def test_regions_are_counted_without_meeting_declarations(spark, truth):
+    """As the regions of the coverage, from charts and from files; the query joins, stores and shuffles no usages."""
+    from kinfold.operators import extract
+    from kinfold.plans.catalog import QUERIES
+
+    f, a = truth
+    want = rows(a.usages.groupBy("region").agg(F.count("*").alias("usages")))
+    assert rows(resolve.usage_regions(f)) == rows(resolve.usage_regions(extract.extracted(f))) == want
+    assert {r for r, _ in want} == {symbolic.ALWAYS, MAYBE, NEVER, UNKNOWN}
+    assert rows(resolve.usage_regions(f.where("false"))) == []
+    plan = QUERIES["a18_usage_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "ExistingRDD" not in plan
