@@ -138,6 +138,58 @@ def test_manifest_digests_by_hand(spark):
     assert merkle.root(merkle.tree(a, ["i", "s"], ["i"])) == level[0][0].hex()
 
 
+def test_leaves_cut_by_ranges_and_batches(spark):
+    """Places, parents and leaves by a plain pass, however many tasks share a leaf; copies and null keys included."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(merkle.LAID))
+    rows_ = [(hashlib.sha256(str(i).encode()).digest(), 1 + i % 3) for i in range(3000)]
+    cuts = [0, 0, 7, 8, 900, 905, 2999, 3000]  # tasks without rows, and some that no leaf ends in
+    laid = []
+    for part, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        batches = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in own], pa.binary()), pa.array([n for _, n in own], pa.int64())], names=["digest", "rows"]) for own in (rows_[k : min(k + 64, hi)] for k in range(lo, hi, 64))]
+        laid += [r | {"part": part} for b in merkle.laid_out(batches, part, arrow) for r in b.to_pylist()]
+    assert [(r["digest"], r["rows"]) for r in laid if r["height"] is None] == rows_
+    starts, leaves, stops = {}, {}, 0
+    for part in range(len(cuts) - 1):
+        starts[part] = stops
+        stops += sum(r["height"] > 0 for r in laid if r["part"] == part and r["height"] is not None)
+    got = {}
+    for r in laid:
+        if r["height"] is not None:
+            own = got.setdefault(starts[r["part"]] + r["leaf"], [b"", 0, 0])
+            own[0], own[1], own[2] = (r["made"] or own[0] + r["children"]), own[1] + r["rows"], r["height"]
+            assert (r["made"] is None) == (r["leaf"] == 0 or r["height"] == 0)
+    low = lambda d: int.from_bytes(d[26:], "big")
+    own, n = b"", 0
+    for k, (d, m) in enumerate(rows_):
+        own, n = own + d + m.to_bytes(8, "big"), n + m
+        if low(d) % 256 == 0 or k == 2999:
+            leaves[len(leaves)] = [hashlib.sha256(b"\0\1" + own).digest(), n]
+            own, n = b"", 0
+    assert {k: [v[0] if len(v[0]) == 32 else hashlib.sha256(b"\0\1" + v[0]).digest(), v[1]] for k, v in got.items()} == leaves
+
+
+def test_manifest_rows_are_stored_and_met_once(spark):
+    """Rows are stored once, as Parquet, and those of both sides meet in one exchange by digest."""
+    a = table(spark, 400)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan(merkle.tree(a, COLUMNS, ["s", "i"]).where("level = 0"))
+    x, y = merkle.tree(a, COLUMNS, ["i"]), merkle.tree(a.where("i <> 9"), COLUMNS, ["i"])
+    found = plan(merkle.differing(x, y))
+    assert found.count("Exchange hashpartitioning(digest") == 1 and "SortMergeJoin" not in found
+
+
+def test_levels_below_many_differing_nodes_are_taken_whole(spark, monkeypatch):
+    a, b = table(spark, 3000), table(spark, 3000, {5, 6, 2000}).where("i <> 77")
+    x, y = merkle.tree(a, COLUMNS, ["i"]), merkle.tree(b, COLUMNS, ["i"])
+    few = rows(merkle.differing(x, y))
+    monkeypatch.setattr(merkle, "BROADCAST", 0)
+    assert rows(merkle.differing(x, y)) == few and len(few) == 9  # of 5 there are two a side
+
+
 def test_proofs_of_rows(spark):
     a = table(spark, 1500)
     nodes = relations.checkpointed(merkle.tree(a, COLUMNS, ["i"]))
