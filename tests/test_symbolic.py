@@ -278,3 +278,26 @@ def test_regions_are_counted_without_meeting_declarations(spark, truth):
     assert rows(resolve.usage_regions(f.where("false"))) == []
     plan = QUERIES["a18_usage_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan and "ExistingRDD" not in plan
+
+
+def test_charts_of_one_shape_are_analysed_once(spark, truth, monkeypatch):
+    """The same rows as each chart's own analysis; copies under other names, with other written paths, cost no analysis."""
+    f, a = truth
+    copies = f.union(f.select(F.concat(F.lit("copy/"), "path").alias("path"), F.encode(F.replace(F.decode("content", "UTF-8"), F.lit(".wav"), F.lit(".ogg")), "UTF-8").alias("content")))
+    seen, own = [], resolve.analysed
+    monkeypatch.setattr(resolve, "analysed", lambda facts, *more: seen.append(facts.where("kind = 'CHART'").count()) or own(facts, *more))
+    got = resolve.usage_coverage(copies.repartition(3))
+    assert got.columns == a.usages.columns and 0 < seen[0] <= len(TRUTH)
+    assert rows(got) == rows(a.usages.union(a.usages.withColumn("path", F.concat(F.lit("copy/"), "path"))))
+
+
+def test_shapes_keep_apart_what_an_analysis_tells_apart(spark):
+    charts = files(spark, {"x": ["#WAV01 a", PLAY], "late": [PLAY, "#WAV01 a"], "far": ["#WAV01 b", "", PLAY], "other": ["#WAV02 a", PLAY], "none": []})
+    s = resolve.shaped(charts)
+    shape = {r.path: r.shape for r in s.charts.collect()}
+    assert shape["x.bms"] == shape["far.bms"] and len(set(shape.values())) == 4
+    own = symbolic.analysed(resolve.facts(charts))
+    a = symbolic.analysed(s.facts)
+    for name in ("usages", "relations", "coexistence", "obligations"):
+        assert rows(s.spread(getattr(a, name))) == rows(getattr(own, name))
+    assert rows(s.spread(a.usages)) and rows(resolve.usage_coverage(charts.where("false"))) == []
