@@ -301,3 +301,36 @@ def test_shapes_keep_apart_what_an_analysis_tells_apart(spark):
     for name in ("usages", "relations", "coexistence", "obligations"):
         assert rows(s.spread(getattr(a, name))) == rows(getattr(own, name))
     assert rows(s.spread(a.usages)) and rows(resolve.usage_coverage(charts.where("false"))) == []
+
+
+def test_proofs_of_one_shape_share_their_analysis(spark, truth, monkeypatch):
+    """As the proofs of each chart's own analysis, with written paths of its own; also of a chart that writes none."""
+    more = files(spark, {"bare": [], "title": ["#TITLE t"], "off": ["#WAV01 b.wav", PLAY], "alike": ["#WAV01 A.wav", PLAY], "late": ["#WAV01 none.wav", PLAY]})
+    f, inventory = truth[0].union(more), spark.createDataFrame([("a.wav",), ("b.wav",), ("b",), ("c",)], "path string")
+    own = symbolic.analysed(resolve.facts(f))
+    want = resolve.proofs(own, resolve.evidence(own.facts, inventory))
+    seen, before = [], resolve.analysed
+    monkeypatch.setattr(resolve, "analysed", lambda facts, *rest: seen.append(facts.where("kind = 'CHART'").count()) or before(facts, *rest))
+    got = resolve.bounded_proof(f, inventory)
+    assert got.columns == want.columns and rows(got) == rows(want) and len(rows(got)) == len(TRUTH) + 5
+    assert len(TRUTH) < seen[0] <= len(TRUTH) + 2  # three of the five have the shape of one there
+
+
+def test_evidence_is_counted_without_an_analysis(spark, truth, monkeypatch):
+    from kinfold.plans import catalog
+
+    def never(*_):
+        raise AssertionError
+
+    f, inventory = truth[0], spark.createDataFrame([("a.wav",), ("B",)], "path string")
+    want = rows(resolve.evidence(resolve.facts(f), inventory).groupBy("state").agg(F.count("*").alias("n")))
+    assert rows(resolve.evidence_states(f, inventory)) == want and len(want) > 2
+    monkeypatch.setattr(resolve, "analysed", never)
+    assert catalog.QUERIES["y11_binding_evidence"](spark, "/root/testdata/sf0.001").count() == 2
+
+
+def test_budget_holds_for_each_chart_of_a_shape(spark):
+    charts = files(spark, {x: ["#WAV01 a", "#WAV02 b", *["#00111:01"] * 3] for x in "xy"} | {"z": ["#WAV01 a", "#WAV01 b", PLAY, PLAY]})
+    limits = symbolic.Limits(relations=2)
+    assert rows(resolve.usage_coverage(charts, limits)) == rows(symbolic.analysed(resolve.facts(charts), limits).usages)
+    assert [r.coverage for r in resolve.usage_coverage(charts, limits).where("path = 'y.bms'").orderBy("usage").collect()] == [COVERED, COVERED, LIMITED]
