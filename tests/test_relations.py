@@ -267,3 +267,25 @@ def test_pairs_of_a_hot_content_meet_in_cells(spark, monkeypatch):
     assert max(r["count"] for r in x.groupBy("content_id", "row", "column").count().collect()) < 20
     got = relations.pairs(items)
     assert sorted(map(tuple, got.collect())) == want and len(want) == 40 * 39 // 2
+
+
+def test_pairs_meet_where_their_first_container_is(spark, monkeypatch):
+    """Heavy containers in parts, hot contents in cells, repeated items and null contents: as counted by hand, and no pair is shuffled as a row."""
+    rows = [(i, None if c == 0 else c, f"{i}/{c}/{k}") for i in range(30) for c in range(12) if c < 2 or (i * 7 + c) % (c + 1) == 0 for k in range(1 + (i + c) % 3)]
+    items = spark.createDataFrame(rows, "container long, content_id long, path string")
+    monkeypatch.setattr(relations, "BLOCK", 4)
+    monkeypatch.setattr(relations, "TASK_WORK", 10)
+    sets, n = {}, {}
+    for i, c, _ in rows:
+        sets.setdefault(i, set()).update({c} - {None})
+        n[i] = n.get(i, 0) + 1
+    want = {(a, b, n[a], n[b], len(sets[a]), len(sets[b]), len(sets[a] & sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    got = relations.pairs(items)
+    assert {(r.a, r.b, r.physical_a, r.physical_b, r.items_a, r.items_b, r.common) for r in got.collect()} == want and got.count() == len(want)
+    work = sum(k * (k - 1) // 2 for k in (sum(c in x for x in sets.values()) for c in range(1, 12)))
+    assert relations.pairs(items, max_work=work).count() == len(want)
+    with pytest.raises(relations.PairBudgetExceeded):
+        relations.pairs(items, max_work=work - 1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    last = plan[: plan.index("Exchange")]
+    assert last.count("HashAggregate") == 2 and "Generate explode" in last  # what is shuffled last are arrays
